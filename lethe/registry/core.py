@@ -3,7 +3,8 @@
 A registered query is a Spark callable ``(spark, sf_dir) -> DataFrame`` and,
 when the operator is expressible in SQL, an oracle statement for DuckDB over
 the raw driver views.  Result columns are made comparable across engines by
-``canon``: dates and timestamps become ISO text, decimals become doubles.
+``canon``: dates and timestamps become ISO text, decimals become doubles and
+narrow integers become longs.
 The oracle side does the same with ``canon_sql``.
 """
 
@@ -28,8 +29,10 @@ def canon(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             c = c.cast("string")
-        elif isinstance(f.dataType, T.DecimalType):
+        elif isinstance(f.dataType, (T.DecimalType, T.FloatType)):
             c = c.cast("double")
+        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            c = c.cast("long")
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

@@ -134,8 +134,9 @@ _CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
-def with_tables(*names: str) -> str:
-    """``WITH`` clause defining ``names`` (and their dependencies) in order."""
+def with_tables(*names: str, **extra: str) -> str:
+    """``WITH`` clause defining ``names`` (and their dependencies) in order,
+    followed by the ``extra`` named statements."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -146,4 +147,6 @@ def with_tables(*names: str) -> str:
 
     for n in names:
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({_CTES[n][1]})" for n in order) + "\n"
+    parts = [f"{n} AS ({_CTES[n][1]})" for n in order]
+    parts += [f"{n} AS ({sql})" for n, sql in extra.items()]
+    return "WITH " + ",\n".join(parts) + "\n"

@@ -54,3 +54,170 @@ def compliant(m):
 def customers_compliant(m):
     """Compliant customer view: latest request (ties kept), three statuses."""
     return compliant(m)
+
+
+# --- joins and statuses of the compliant view -------------------------------
+
+@register("latest_request_join", canon_sql(
+    with_tables("px_customers", "px_erasure_requests") + f"""
+SELECT c.customer_id, c.email, er.status, er.requested_at
+FROM px_customers c LEFT JOIN {LATEST_SQL} er ON c.email = er.customer_email""",
+    ["requested_at"]))
+def latest_request_join(m):
+    """Every customer LEFT JOIN its newest request(s); ties duplicate."""
+    j = V.latest_request_join(m["customers"].select("customer_id", "email"),
+                              m["erasure_requests"])
+    return j.select("customer_id", "email", "status", "requested_at")
+
+
+@register("gdpr_status", with_tables("px_customers", "px_erasure_requests",
+                                     compliant=COMPLIANT_SQL) + """
+SELECT customer_id, gdpr_status, count(*) AS n FROM compliant GROUP BY customer_id, gdpr_status""")
+def gdpr_status(m):
+    """Erasure status of each live customer (one row per customer/status)."""
+    return compliant(m).groupBy("customer_id", "gdpr_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("retention_status", with_tables("px_customers", "px_erasure_requests",
+                                          compliant=COMPLIANT_SQL) + """
+SELECT DISTINCT customer_id, retention_status FROM compliant""")
+def retention_status(m):
+    return compliant(m).select("customer_id", "retention_status").distinct()
+
+
+@register("consent_status", with_tables("px_customers", "px_erasure_requests",
+                                        compliant=COMPLIANT_SQL) + """
+SELECT consent_status, count(DISTINCT customer_id) AS customers FROM compliant GROUP BY consent_status""")
+def consent_status(m):
+    return (compliant(m).groupBy("consent_status")
+            .agg(F.count_distinct("customer_id").alias("customers")))
+
+
+@register("project_safe_customer", with_tables("px_customers", "px_erasure_requests",
+                                               compliant=COMPLIANT_SQL) + """
+SELECT customer_id, email, gdpr_status, retention_status, consent_status,
+       CAST(deletion_requested_at AS VARCHAR) AS deletion_requested_at
+FROM compliant WHERE gdpr_status <> 'ACTIVE'""")
+def project_safe_customer(m):
+    """The derived columns of the view for customers with a request."""
+    return (compliant(m).where(F.col("gdpr_status") != "ACTIVE")
+            .select("customer_id", "email", "gdpr_status", "retention_status",
+                    "consent_status", "deletion_requested_at"))
+
+
+ORDERS_SAFE_SQL = """
+SELECT o.order_id, o.customer_id,
+       regexp_replace(o.customer_email, '^(.{2}).*(@.*)$', '\\1****\\2') AS customer_email,
+       o.order_date, o.total_amount, 'USD' AS currency, o.payment_method,
+       CASE WHEN json_extract_string(o.billing_address, '$.city') IS NULL
+              OR json_extract_string(o.billing_address, '$.country') IS NULL THEN NULL
+            ELSE '{"masked":"true","city":"' || json_extract_string(o.billing_address, '$.city')
+                 || '","country":"' || json_extract_string(o.billing_address, '$.country') || '"}'
+       END AS billing_address,
+       o.order_status, o.legal_retention_until, o.can_be_deleted, o.created_at
+FROM px_orders o JOIN compliant c ON o.customer_id = c.customer_id
+WHERE c.gdpr_status <> 'DELETED'"""
+
+
+@register("orders_safe", canon_sql(
+    with_tables("px_customers", "px_erasure_requests", "px_orders", compliant=COMPLIANT_SQL)
+    + ORDERS_SAFE_SQL, ["order_date", "legal_retention_until", "created_at"]))
+def orders_safe(m):
+    """Privacy-safe orders for an analyst: masked e-mail and address."""
+    return V.orders_safe(m["orders"], compliant(m), "ANALYTICS_TEAM")
+
+
+@register("orders_safe_join", with_tables("px_customers", "px_erasure_requests", "px_orders",
+                                          compliant=COMPLIANT_SQL) + """
+SELECT c.gdpr_status, count(*) AS orders
+FROM px_orders o JOIN compliant c ON o.customer_id = c.customer_id GROUP BY c.gdpr_status""")
+def orders_safe_join(m):
+    """Orders INNER JOIN compliant customers (privileged: nothing filtered)."""
+    c = compliant(m).select("customer_id", "gdpr_status")
+    return (m["orders"].select("customer_id").join(c, "customer_id", "inner")
+            .groupBy("gdpr_status").agg(F.count(F.lit(1)).alias("orders")))
+
+
+ACTIVITIES_SAFE_SQL = """
+SELECT event_id,
+       CASE WHEN is_pseudonymized THEN pseudonym_id ELSE customer_id END AS user_identifier,
+       CASE WHEN is_pseudonymized THEN 'PSEUDONYMIZED_USER' ELSE user_email END AS user_email,
+       session_id, event_type, event_timestamp, page_url,
+       CASE WHEN is_pseudonymized THEN 'ANONYMIZED' ELSE user_agent END AS user_agent,
+       CASE WHEN is_pseudonymized THEN 'XXX.XXX.XXX.XXX' ELSE ip_address END AS ip_address,
+       device_type, browser, country_code, event_properties, is_pseudonymized,
+       consent_for_analytics, created_at
+FROM px_user_activities"""
+
+
+@register("activities_safe", canon_sql(
+    with_tables("px_user_activities") + ACTIVITIES_SAFE_SQL
+    + "\nWHERE consent_for_analytics = TRUE OR is_pseudonymized = TRUE",
+    ["event_timestamp", "created_at"]))
+def activities_safe(m):
+    """Analytics view for an analyst: consent or pseudonymized rows only."""
+    return V.activities_safe(m["user_activities"], "ANALYTICS_TEAM")
+
+
+@register("activity_anonymize", canon_sql(
+    with_tables("px_user_activities") + ACTIVITIES_SAFE_SQL, ["event_timestamp", "created_at"]))
+def activity_anonymize(m):
+    """Identifier replacement of the analytics view, all rows (admin)."""
+    return V.activities_safe(m["user_activities"], "GDPR_ADMIN")
+
+
+# --- row access policies ----------------------------------------------------
+
+NOT_IN_COMPLETED = "(SELECT customer_email FROM px_erasure_requests WHERE status = 'COMPLETED')"
+
+
+@register("rap_erased", with_tables("px_user_activities", "px_erasure_requests") + f"""
+SELECT event_id, user_email FROM px_user_activities WHERE user_email NOT IN {NOT_IN_COMPLETED}""")
+def rap_erased(m):
+    """Activities visible to customer service: erased subjects hidden."""
+    return P.rap_erased(m["user_activities"], "user_email", m["erasure_requests"],
+                        "CUSTOMER_SERVICE").select("event_id", "user_email")
+
+
+@register("anti_erased", with_tables("px_orders", "px_erasure_requests") + f"""
+SELECT order_id FROM px_orders WHERE customer_email NOT IN {NOT_IN_COMPLETED}""")
+def anti_erased(m):
+    """Orders NOT IN completed-erasure subjects (null-aware anti join)."""
+    return P.not_in(m["orders"], "customer_email",
+                    P.completed_subjects(m["erasure_requests"]), "customer_email").select("order_id")
+
+
+@register("rap_marketing", with_tables("px_customers") + """
+SELECT customer_id FROM px_customers WHERE consent_marketing = TRUE""")
+def rap_marketing(m):
+    return P.rap_marketing(m["customers"], "MARKETING_TEAM").select("customer_id")
+
+
+@register("rap_analytics", with_tables("px_customers") + """
+SELECT customer_id FROM px_customers WHERE consent_analytics = TRUE""")
+def rap_analytics(m):
+    return P.rap_analytics(m["customers"], "DATA_SCIENTIST").select("customer_id")
+
+
+@register("rap_pseudonymized", with_tables("px_user_activities") + """
+SELECT event_id FROM px_user_activities WHERE is_pseudonymized = FALSE""")
+def rap_pseudonymized(m):
+    return P.rap_pseudonymized(m["user_activities"], "SALES").select("event_id")
+
+
+@register("apply_row_policies", with_tables("px_user_activities", "px_customers",
+                                            "px_erasure_requests") + f"""
+SELECT 'user_activities' AS table_name, event_id AS row_id FROM px_user_activities
+WHERE user_email NOT IN {NOT_IN_COMPLETED} AND is_pseudonymized = FALSE
+UNION ALL
+SELECT 'customers', customer_id FROM px_customers
+WHERE email NOT IN {NOT_IN_COMPLETED} AND consent_marketing = TRUE""")
+def apply_row_policies(m):
+    """Attached policies folded per table: activities for SALES, customers
+    for MARKETING_TEAM."""
+    req = m["erasure_requests"]
+    a = P.apply_row_policies(m["user_activities"], "user_activities", "SALES", req)
+    c = P.apply_row_policies(m["customers"], "customers", "MARKETING_TEAM", req)
+    return (a.select(F.lit("user_activities").alias("table_name"), F.col("event_id").alias("row_id"))
+            .unionByName(c.select(F.lit("customers").alias("table_name"),
+                                  F.col("customer_id").alias("row_id"))))
