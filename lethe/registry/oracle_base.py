@@ -122,6 +122,14 @@ _CTES: dict[str, tuple[list[str], str]] = {
                role AS subject,
                text AS description
         FROM conversations cv JOIN px_ckeys k ON cv.conv_id % 150 = k._k"""),
+    "px_order_items": ([], """
+        SELECT 'OI_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS order_item_id,
+               'ORD_' || CAST(l_orderkey AS VARCHAR) AS order_id
+        FROM lineitem"""),
+    "px_user_preferences": ([], """
+        SELECT 'PREF_' || CAST(c_custkey AS VARCHAR) AS preference_id,
+               'CUST_' || CAST(c_custkey AS VARCHAR) AS customer_id
+        FROM customer WHERE c_custkey % 2 = 0"""),
     "px_classification": ([], """
         SELECT * FROM (VALUES
           ('CUSTOMER_DATA_DB', 'CORE', 'CUSTOMERS', 'email', 'EMAIL_ADDRESS'),
