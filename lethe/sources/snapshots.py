@@ -50,7 +50,8 @@ class SnapshotStore:
     def manifest(self) -> DataFrame:
         if not self._exists(self._manifest_dir()):
             return self.spark.createDataFrame([], MANIFEST_SCHEMA)
-        return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self._manifest_dir())
+        return (self.spark.read.schema(MANIFEST_SCHEMA)
+                .option("recursiveFileLookup", "true").parquet(self._manifest_dir()))
 
     def versions(self, table: str) -> DataFrame:
         return self.manifest().where(F.col("table_name") == table)
@@ -106,8 +107,9 @@ class SnapshotStore:
         old = [int(r["version"]) for r in
                self.versions(table).where(F.col("version") < keep).select("version").collect()]
         for v in old:
-            fs, p = self._fs(f"{self._table_dir(table)}/v={v}")
-            fs.delete(p, True)
+            # manifest row first: from then on no reader selects the version
             fs, p = self._fs(f"{self._manifest_dir()}/{table}-v{v}.parquet")
             fs.delete(p, True)
+            fs, p = self._fs(f"{self._table_dir(table)}/v={v}")
+            fs.delete(p, True)
         return old

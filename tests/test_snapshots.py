@@ -1,0 +1,28 @@
+import datetime as dt
+import os
+
+from lethe.session import scratch_path
+from lethe.sources.snapshots import SnapshotStore
+from lethe.plans import erasure as X
+from lethe.sources.fixtures import FIXTURE_AS_OF
+
+
+def test_commit_read_as_of_expire(spark, fixtures):
+    store = SnapshotStore(spark, scratch_path(spark, "snapshots"))
+    t0 = dt.datetime(2024, 3, 19, 12, 0)
+    t1 = dt.datetime(2024, 3, 20, 12, 0)
+    v0 = store.commit("customers", fixtures["customers"], t0)
+    subj = spark.createDataFrame([("anna.mueller@email.de",)], "customer_email string")
+    kept, _ = X.erase_delete(store.current("customers"), subj, FIXTURE_AS_OF)
+    v1 = store.commit("customers", kept, t1)
+    assert (v0, v1) == (0, 1)
+    assert store.read_as_of("customers", t0 + dt.timedelta(hours=1)).count() == 12
+    assert store.read_hours_ago("customers", t1 + dt.timedelta(hours=1), 24).count() == 12
+    assert store.current("customers").count() == 11
+    # the version choice is partition-pruned
+    plan = store.read_version("customers", 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan or "v = 1" in plan or "isnotnull(v" in plan
+    removed = store.expire("customers", t1)
+    assert removed == [0]
+    assert store.current("customers").count() == 11
+    assert not os.path.exists(os.path.join(store.root, "customers", "v=0"))
