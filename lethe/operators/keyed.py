@@ -22,10 +22,26 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """Whether ``df`` holds at most ``max_rows`` rows.
+
+    Counting stops after ``max_rows + 1`` rows.  The answer is remembered on
+    the DataFrame object, so a subject set shared by many joins is counted
+    once."""
+    memo = getattr(df, "_lethe_small", None)
+    if memo is not None and memo[0] == max_rows:
+        return memo[1]
+    small = df.limit(max_rows + 1).count() <= max_rows
+    try:
+        df._lethe_small = (max_rows, small)
+    except AttributeError:
+        pass
+    return small
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` when it holds at most ``max_rows`` rows, else ``df``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def latest_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
@@ -36,8 +52,12 @@ def latest_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
     """
     mx = (df.where(F.col(key).isNotNull())
             .groupBy(key).agg(F.max(order_col).alias("__max")))
+    # ">=" rather than "==" (equivalent against the maximum): an equality
+    # would become a second join key and re-partition both sides on
+    # (key, order_col); this way both sides stay hash-partitioned on ``key``
+    # and a following join on ``key`` needs no further exchange of this side
     return (df.join(mx, on=key, how="inner")
-              .where(F.col(order_col) == F.col("__max"))
+              .where(F.col(order_col) >= F.col("__max"))
               .drop("__max"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify as C
-from ..operators.keyed import BROADCAST_MAX_ROWS
+from ..operators.keyed import BROADCAST_MAX_ROWS, is_small
 
 # Databases searched by discovery.
 DISCOVERY_DATABASES = ["CUSTOMER_DATA_DB", "ANALYTICS_DB", "COMPLIANCE_DB"]
@@ -82,7 +82,7 @@ def candidate_columns(catalog: DataFrame, intended: bool = False) -> DataFrame:
 def _subject_side(subjects: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     s = subjects.select(F.col("customer_email").alias("__subject")).where(
         F.col("__subject").isNotNull()).distinct()
-    small = s.limit(max_rows + 1).count() <= max_rows
+    small = is_small(subjects, max_rows)
     return (F.broadcast(s) if small else s), small
 
 

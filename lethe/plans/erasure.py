@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify as C
-from ..operators.keyed import BROADCAST_MAX_ROWS, count_if
+from ..operators.keyed import BROADCAST_MAX_ROWS, count_if, is_small
+from ..session import checkpoint_root
 
 # Databases erasure may touch (the compliance database holds
 # the requests and the audit trail and is never erased from).
@@ -39,16 +40,25 @@ def email_columns(df: DataFrame) -> list[str]:
             if "EMAIL" in f.name.upper() and isinstance(f.dataType, T.StringType)]
 
 
-def subjects_to_erase(plan: DataFrame) -> DataFrame:
-    """Distinct subjects whose request the plan lets through."""
-    return (plan.where(F.col("decision") == "IN_PROGRESS")
-            .select("customer_email").where(F.col("customer_email").isNotNull()).distinct())
+def subjects_to_erase(plan: DataFrame, materialize: bool = True) -> DataFrame:
+    """Distinct subjects whose request the plan lets through.
+
+    The set feeds one job per table plus the log and the verification, so
+    by default it is checkpointed once into the shared checkpoint folder:
+    later jobs read the small materialized set instead of re-running the
+    request / hold plan, and a lost executor cannot force that re-run."""
+    s = (plan.where(F.col("decision") == "IN_PROGRESS")
+         .select("customer_email").where(F.col("customer_email").isNotNull()).distinct())
+    if materialize:
+        checkpoint_root(s.sparkSession)
+        s = s.checkpoint(eager=True)
+    return s
 
 
 def _subject_side(subjects: DataFrame, max_rows: int) -> DataFrame:
     s = subjects.select(F.col("customer_email").alias("__s")).distinct()
-    n = s.limit(max_rows + 1).count()
-    return F.broadcast(s) if n <= max_rows else s
+    # the size check is made on (and remembered by) the caller's DataFrame
+    return F.broadcast(s) if is_small(subjects, max_rows) else s
 
 
 def tag_rows(df: DataFrame, subjects: DataFrame, cols: list[str] | None = None,
