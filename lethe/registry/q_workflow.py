@@ -606,3 +606,17 @@ def export_subject(m):
                         F.to_json(F.struct(*[F.col(c) for c in m[name].columns])).alias("record")))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# --- end to end -----------------------------------------------------------------
+
+@register("full_scenario")
+def full_scenario(m):
+    """The eight-step erasure scenario for every customer who withdrew both
+    consents, summarised per subject."""
+    from ..plans.scenario import full_scenario as run, scenario_summary
+    c = m["customers"]
+    subj = c.where((F.col("consent_marketing") == F.lit(False))
+                   & (F.col("consent_analytics") == F.lit(False))).select(
+        F.col("email").alias("customer_email"))
+    return scenario_summary(run(m, subj, AS_OF, SALT))

@@ -147,3 +147,23 @@ def test_access_audit_and_redaction(spark):
     red = D.pii_text_redact(log, "id", "q").where("id = 3").first()
     assert red.redacted_text == "personal data of [EMAIL], call [SSN]"
     assert (red.email_found, red.ssn_found) == (1, 1)
+
+
+def test_full_scenario_on_fixtures(spark, fixtures):
+    from lethe.plans.scenario import full_scenario, scenario_summary
+    from lethe.session import scratch_path
+    from lethe.sources.snapshots import SnapshotStore
+    subj = spark.createDataFrame([("anna.mueller@email.de",), ("jean.dupont@email.fr",),
+                                  ("john.smith@email.com",)], "customer_email string")
+    store = SnapshotStore(spark, scratch_path(spark, "scenario"))
+    steps = full_scenario(fixtures, subj, FIXTURE_AS_OF, "s", store=store)
+    got = {r.customer_email: r for r in scenario_summary(steps).collect()}
+    anna = got["anna.mueller@email.de"]
+    assert (anna.submit_outcome, anna.decision, anna.notifications) == ("ACCEPTED", "IN_PROGRESS", 5)
+    assert anna.records_discovered == 7 and anna.completed_after is True
+    # an open request already exists for Jean; John is under a legal hold
+    assert got["jean.dupont@email.fr"].submit_outcome == "ACTIVE_REQUEST_EXISTS"
+    assert got["john.smith@email.com"].decision == "REJECTED"
+    assert store.current("customers").where("email = 'anna.mueller@email.de'").count() == 0
+    d = steps["dashboard"].first()
+    assert d.completed_requests >= 1
