@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import classify as C
 from ..operators.keyed import BROADCAST_MAX_ROWS, count_if, is_small
-from ..session import checkpoint_root
+from ..session import materialize as write_and_read
 
 # Databases erasure may touch (the compliance database holds
 # the requests and the audit trail and is never erased from).
@@ -44,14 +44,13 @@ def subjects_to_erase(plan: DataFrame, materialize: bool = True) -> DataFrame:
     """Distinct subjects whose request the plan lets through.
 
     The set feeds one job per table plus the log and the verification, so
-    by default it is checkpointed once into the shared checkpoint folder:
-    later jobs read the small materialized set instead of re-running the
-    request / hold plan, and a lost executor cannot force that re-run."""
+    by default it is written once into the shared checkpoint folder: later
+    jobs read the small materialized set instead of re-running the request /
+    hold plan, and a lost executor cannot force that re-run."""
     s = (plan.where(F.col("decision") == "IN_PROGRESS")
          .select("customer_email").where(F.col("customer_email").isNotNull()).distinct())
     if materialize:
-        checkpoint_root(s.sparkSession)
-        s = s.checkpoint(eager=True)
+        s = write_and_read(s, "erase-subjects")
     return s
 
 

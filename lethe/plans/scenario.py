@@ -19,6 +19,7 @@ from . import discovery as D
 from . import erasure as X
 from . import reports as R
 from . import requests as Q
+from ..session import materialize
 
 
 def _merge_requests(base: DataFrame, updates: DataFrame, cols: list[str]) -> DataFrame:
@@ -40,10 +41,13 @@ def full_scenario(model, subjects: DataFrame, as_of: dt.date, salt: str,
     out["discovered"] = D.discover_subjects(model, subj)
     cand = subj.select("customer_email", F.lit(reason).alias("erasure_reason"),
                        F.lit(1).cast("long").alias("submission_seq"))
-    out["submitted"] = Q.submit_requests(cand, customers, requests, as_of)
+    # step outputs that several later steps read are materialized once in the
+    # shared checkpoint folder (lineage cut; no step re-runs an earlier one)
+    out["submitted"] = materialize(Q.submit_requests(cand, customers, requests, as_of), "submitted")
     requests1 = requests.unionByName(Q.accepted_request_rows(out["submitted"], as_of))
     accepted = out["submitted"].where(F.col("outcome") == "ACCEPTED").select("request_id")
-    out["plan"] = Q.process_plan(accepted, requests1, model["retention_policies"], customers, as_of)
+    out["plan"] = materialize(Q.process_plan(accepted, requests1, model["retention_policies"],
+                                             customers, as_of), "plan")
     to_erase = X.subjects_to_erase(out["plan"])
     planned = X.plan_erasure(model, to_erase, as_of, salt)
     go = out["plan"].where(F.col("decision") == "IN_PROGRESS").select("request_id", "customer_email")
@@ -52,6 +56,12 @@ def full_scenario(model, subjects: DataFrame, as_of: dt.date, salt: str,
     done = Q.complete_requests(requests2, out["operations"], as_of)
     requests3 = _merge_requests(requests2, done, ["status", "completed_at", "actual_completion_date",
                                                   "deletion_summary", "verification_hash"])
+    if store is not None:
+        ts = dt.datetime(as_of.year, as_of.month, as_of.day)
+        store.commit("erasure_requests", requests3, ts)
+        requests3 = store.current("erasure_requests")
+    else:
+        requests3 = materialize(requests3, "requests")
     out["requests"] = requests3
     out["notifications"] = Q.coordinate_processors(subj, requests3, as_of)
     after = {name: e["table"] for name, e in planned.items()}

@@ -55,19 +55,33 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     On a cluster this is whatever the cluster names in ``spark.checkpoint.dir``
     (a shared file system).  Only when it is unset, as in local tests, do we
-    pick a scratch folder of our own and register it.
+    pick a scratch folder of our own.  The context's checkpoint directory is
+    set once and reused afterwards.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="lethe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    return spark.sparkContext.getCheckpointDir() or root
+    sc.setCheckpointDir(root)
+    return sc.getCheckpointDir() or root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint root."""
     root = checkpoint_root(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` once as Parquet under the shared
+    checkpoint root and reading it back.
+
+    One job computes the data (an RDD checkpoint would compute it twice
+    unless cached), the read-back carries file statistics for adaptive
+    planning, and a lost executor only re-reads files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -16,9 +15,10 @@ def spark():
     s = build_session("local[*]", app="lethe-tests", shuffle_partitions=8,
                       extra={"spark.ui.enabled": "false", "spark.driver.memory": "6g"})
     s.sparkContext.setLogLevel("ERROR")
-    # tests own their checkpoint root (a cluster names a shared one)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lethe-test-ckpt-"))
+    # the checkpoint root comes from spark.checkpoint.dir; where that is
+    # unset, checkpoint_root picks a scratch folder for the test run
+    from lethe.session import checkpoint_root
+    checkpoint_root(s)
     yield s
     s.stop()
 
