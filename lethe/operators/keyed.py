@@ -83,8 +83,14 @@ def not_in(df: DataFrame, col: str, subset: DataFrame, subset_col: str) -> DataF
     nonempty = subset.select((F.count(F.lit(1)) > 0).alias("x")).scalar()
     has_null = subset.select(F.coalesce(F.max(F.col(subset_col).isNull()),
                                         F.lit(False)).alias("x")).scalar()
-    kept = df.join(keys, df[col] == keys["__k"], "left_anti")
-    return kept.where(~(nonempty & (F.col(col).isNull() | has_null)))
+    if is_small(keys):
+        keys = F.broadcast(keys)
+    # NULL keys never match: they bypass the join (in a shuffle join they
+    # would all land in one task) and are kept only when the set is empty
+    kept = (df.where(F.col(col).isNotNull())
+              .join(keys, df[col] == keys["__k"], "left_anti")
+              .unionByName(df.where(F.col(col).isNull() & ~nonempty)))
+    return kept.where(~(nonempty & has_null))
 
 
 def count_by(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:

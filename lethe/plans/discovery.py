@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify as C
-from ..operators.keyed import BROADCAST_MAX_ROWS, is_small
+from ..operators.keyed import BROADCAST_MAX_ROWS
+from ..operators.subjects import count_matches
 
 # Databases searched by discovery.
 DISCOVERY_DATABASES = ["CUSTOMER_DATA_DB", "ANALYTICS_DB", "COMPLIANCE_DB"]
@@ -79,13 +80,6 @@ def candidate_columns(catalog: DataFrame, intended: bool = False) -> DataFrame:
             .withColumn("sensitivity_level", C.sensitivity(cls)))
 
 
-def _subject_side(subjects: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    s = subjects.select(F.col("customer_email").alias("__subject")).where(
-        F.col("__subject").isNotNull()).distinct()
-    small = is_small(subjects, max_rows)
-    return (F.broadcast(s) if small else s), small
-
-
 def _email_columns(model, databases=None) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     dbs = set(databases or DISCOVERY_DATABASES)
@@ -133,12 +127,12 @@ def discover_subjects(model, subjects: DataFrame, mode: str = "observed",
     column_name, pii_classification, records_found, sensitivity_level.
     """
     spark = subjects.sparkSession
-    subj, small = _subject_side(subjects, max_broadcast_rows)
     email_cols = _email_columns(model, databases)
     if mode == "observed":
         long = _union([_long_form(model, n, c) for n, c in email_cols.items()])
-        counts = _count_matches(long, subj, small,
-                                ["database_name", "schema_name", "table_name", "column_name"])
+        counts = count_matches(long, "value", subjects,
+                               ["database_name", "schema_name", "table_name", "column_name"],
+                               max_broadcast_rows)
         cls = C.classify_by_name("column_name")
         return counts.select(*KEYS, cls.alias("pii_classification"),
                              F.col("records_found"), C.sensitivity(cls).alias("sensitivity_level"))
@@ -153,8 +147,8 @@ def discover_subjects(model, subjects: DataFrame, mode: str = "observed",
         parts.append(model[name].select(F.explode(vals).alias("value")).select(
             F.lit(db).alias("database_name"), F.lit(schema).alias("schema_name"),
             F.lit(name.upper()).alias("table_name"), "value"))
-    per_table = _count_matches(_union(parts), subj, small,
-                               ["database_name", "schema_name", "table_name"])
+    per_table = count_matches(_union(parts), "value", subjects,
+                              ["database_name", "schema_name", "table_name"], max_broadcast_rows)
     cands = candidate_columns(column_catalog(spark, model, databases), intended=True).select(
         "database_name", "schema_name", "table_name", "column_name", "pii_classification",
         "sensitivity_level")
@@ -163,16 +157,6 @@ def discover_subjects(model, subjects: DataFrame, mode: str = "observed",
     return j.select(*KEYS, "pii_classification", "records_found", "sensitivity_level")
 
 
-def _count_matches(long: DataFrame, subj: DataFrame, small: bool, group: list[str]) -> DataFrame:
-    if small:
-        j = long.join(subj, long["value"] == subj["__subject"], "inner")
-        return (j.groupBy(F.col("__subject").alias("customer_email"), *group)
-                .agg(F.count(F.lit(1)).alias("records_found")))
-    pre = long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("records_found"))
-    j = pre.join(subj, pre["value"] == subj["__subject"], "inner")
-    return j.select(F.col("__subject").alias("customer_email"), *group, "records_found")
-
-
 def sort_discovery(discovered: DataFrame, by_severity: bool = False) -> DataFrame:
     """Reference order (sensitivity text DESC, records DESC) or by severity."""
     if by_severity:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify as C
-from ..operators.keyed import BROADCAST_MAX_ROWS, count_if, is_small
+from ..operators import subjects as S
+from ..operators.keyed import BROADCAST_MAX_ROWS, count_if
 from ..session import materialize as write_and_read
 
 # Databases erasure may touch (the compliance database holds
@@ -54,27 +55,13 @@ def subjects_to_erase(plan: DataFrame, materialize: bool = True) -> DataFrame:
     return s
 
 
-def _subject_side(subjects: DataFrame, max_rows: int) -> DataFrame:
-    s = subjects.select(F.col("customer_email").alias("__s")).distinct()
-    # the size check is made on (and remembered by) the caller's DataFrame
-    return F.broadcast(s) if is_small(subjects, max_rows) else s
-
-
 def tag_rows(df: DataFrame, subjects: DataFrame, cols: list[str] | None = None,
              max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``df`` plus ``__subject``: the subject a row belongs to (NULL if none).
 
     A row belongs to a subject when any of its e-mail columns equals it."""
     cols = cols if cols is not None else email_columns(df)
-    s = _subject_side(subjects, max_broadcast_rows)
-    out = df
-    hits = []
-    for i, c in enumerate(cols):
-        si = s.select(F.col("__s").alias(f"__s{i}"))
-        out = out.join(si, out[c] == si[f"__s{i}"], "left")
-        hits.append(F.col(f"__s{i}"))
-    out = out.withColumn("__subject", F.coalesce(*hits) if hits else F.lit(None).cast("string"))
-    return out.drop(*[f"__s{i}" for i in range(len(cols))])
+    return S.tag_rows(df, subjects, cols, max_broadcast_rows)
 
 
 def row_hold(df: DataFrame, as_of) -> Column:
@@ -210,9 +197,7 @@ def deletion_summary(op_log: DataFrame) -> DataFrame:
 # --- verification ---------------------------------------------------------------
 
 def _counts(df: DataFrame, col: str, subjects: DataFrame, max_rows: int) -> DataFrame:
-    s = _subject_side(subjects, max_rows)
-    j = df.select(col).join(s, F.col(col) == s["__s"], "inner")
-    return j.groupBy(F.col("__s").alias("customer_email")).agg(F.count(F.lit(1)).alias("n"))
+    return S.count_matches(df.select(col), col, subjects, [], max_rows, name="n")
 
 
 def verify_counts(before: dict[str, DataFrame], after: dict[str, DataFrame],

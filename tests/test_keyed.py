@@ -23,3 +23,17 @@ def test_pick_one_per_key_breaks_ties(spark):
                                "k string, t long, id string")
     got = pick_one_per_key(df, "k", ["t", "id"], ["id", "t"]).collect()
     assert [(r.k, r.id) for r in got] == [("x", "r3")]
+
+
+def test_tag_rows_both_strategies_agree(spark):
+    from lethe.operators.subjects import count_matches, tag_rows
+    df = spark.createDataFrame([("r1", "a@x"), ("r2", None), ("r3", "b@x"), ("r4", "a@x")],
+                               "id string, e string")
+    subj = spark.createDataFrame([("a@x",), (None,)], "customer_email string")
+    small = sorted((r["id"], r["__subject"]) for r in tag_rows(df, subj, ["e"]).collect())
+    big = sorted((r["id"], r["__subject"]) for r in tag_rows(df, subj, ["e"], max_rows=0).collect())
+    assert small == big == [("r1", "a@x"), ("r2", None), ("r3", None), ("r4", "a@x")]
+    c1 = count_matches(df, "e", subj, []).collect()
+    c2 = count_matches(df, "e", subj, [], max_rows=0).collect()
+    assert [(r.customer_email, r.records_found) for r in c1] == \
+        [(r.customer_email, r.records_found) for r in c2] == [("a@x", 2)]
