@@ -73,24 +73,40 @@ def pick_one_per_key(df: DataFrame, key: str, order_cols: list[str],
               .select(key, *[F.col(f"__row.{c}").alias(c) for c in value_cols]))
 
 
-def not_in(df: DataFrame, col: str, subset: DataFrame, subset_col: str) -> DataFrame:
+def not_in(df: DataFrame, col: str, subset: DataFrame, subset_col: str,
+           max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``df WHERE col NOT IN (SELECT subset_col FROM subset)`` with SQL NULLs.
 
     An empty subset keeps every row (NULLs too); otherwise a NULL ``col`` is
     dropped, and a NULL inside the subset drops everything.
     """
     keys = subset.select(F.col(subset_col).alias("__k")).where(F.col("__k").isNotNull())
-    nonempty = subset.select((F.count(F.lit(1)) > 0).alias("x")).scalar()
-    has_null = subset.select(F.coalesce(F.max(F.col(subset_col).isNull()),
-                                        F.lit(False)).alias("x")).scalar()
-    if is_small(keys):
-        keys = F.broadcast(keys)
-    # NULL keys never match: they bypass the join (in a shuffle join they
-    # would all land in one task) and are kept only when the set is empty
-    kept = (df.where(F.col(col).isNotNull())
-              .join(keys, df[col] == keys["__k"], "left_anti")
-              .unionByName(df.where(F.col(col).isNull() & ~nonempty)))
-    return kept.where(~(nonempty & has_null))
+    # one scalar subquery: (set non-empty?, set holds a NULL?)
+    flags = subset.agg(F.struct(
+        (F.count(F.lit(1)) > 0).alias("nonempty"),
+        F.coalesce(F.max(F.col(subset_col).isNull()), F.lit(False)).alias("has_null")
+    ).alias("f")).scalar()
+    nonempty, has_null = flags.getField("nonempty"), flags.getField("has_null")
+    if is_small(keys, max_rows):
+        kept = df.join(F.broadcast(keys), df[col] == F.col("__k"), "left_anti")
+    else:
+        # NULL probe keys never match; spread them over partitions with a
+        # deterministic non-matching key instead of hashing them all to one
+        probe = df.withColumn("__probe", spread_nulls(df, col))
+        kept = probe.join(keys, probe["__probe"] == keys["__k"], "left_anti").drop("__probe")
+    return kept.where(~(nonempty & (F.col(col).isNull() | has_null)))
+
+
+NULL_KEY_PREFIX = "\u0000null:"
+
+
+def spread_nulls(df: DataFrame, col: str) -> Column:
+    """``col``, or for NULLs a per-row key that matches nothing (a hash of
+    the row behind a prefix no real key has): shuffle joins then spread NULL
+    rows over all partitions instead of one."""
+    return F.when(F.col(col).isNull(),
+                  F.concat(F.lit(NULL_KEY_PREFIX), F.xxhash64(*[F.col(c) for c in df.columns])
+                           .cast("string"))).otherwise(F.col(col).cast("string"))
 
 
 def count_by(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:

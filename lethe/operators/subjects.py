@@ -9,9 +9,9 @@ set (never by guesswork):
   broadcast; the table is filtered or tagged map-side, no shuffle of the
   table at all;
 * the set is large -> a shuffle join.  Rows whose key is NULL can never
-  match, so they bypass the join (otherwise they all hash to one task), and
-  counting pre-aggregates per value before the shuffle so a hot value is
-  combined map-side.  AQE's skew-join handling splits any remaining hot
+  match; they get a spread, non-matching probe key (otherwise they would
+  all hash to one task), and counting pre-aggregates per value before the
+  shuffle so a hot value is combined map-side.  AQE's skew-join handling splits any remaining hot
   partition of the table side.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import BROADCAST_MAX_ROWS, is_small
+from .keyed import BROADCAST_MAX_ROWS, is_small, spread_nulls
 
 SUBJECT = "customer_email"
 
@@ -47,9 +47,10 @@ def tag_rows(df: DataFrame, subjects: DataFrame, cols: list[str],
         if small:
             out = out.join(side, out[c] == side[alias], "left")
         else:
-            nulls = out.where(F.col(c).isNull()).withColumn(alias, F.lit(None).cast("string"))
-            rest = out.where(F.col(c).isNotNull())
-            out = rest.join(side, rest[c] == side[alias], "left").unionByName(nulls)
+            # NULL keys never match: a spread, non-matching probe key keeps
+            # them from all hashing into one task (one scan, one join)
+            probe = out.withColumn("__probe", spread_nulls(out, c))
+            out = probe.join(side, probe["__probe"] == side[alias], "left").drop("__probe")
         hits.append(F.col(alias))
     subject = F.coalesce(*hits) if hits else F.lit(None).cast("string")
     return out.withColumn("__subject", subject).drop(*[f"__s{i}" for i in range(len(cols))])

@@ -37,3 +37,13 @@ def test_tag_rows_both_strategies_agree(spark):
     c2 = count_matches(df, "e", subj, [], max_rows=0).collect()
     assert [(r.customer_email, r.records_found) for r in c1] == \
         [(r.customer_email, r.records_found) for r in c2] == [("a@x", 2)]
+
+
+def test_not_in_shuffle_path_matches_broadcast_path(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,), ("c",)], "e string")
+    for s_rows, want in [([("a",)], ["b", "c"]), ([("a",), (None,)], []), ([], ["a", "b", "c", None])]:
+        s = spark.createDataFrame(s_rows, "k string")
+        small = sorted(not_in(df, "e", s, "k").collect(), key=str)
+        big = sorted(not_in(df, "e", s, "k", max_rows=0).collect(), key=str)
+        assert small == big
+        assert sorted((r.e for r in small), key=str) == sorted(want, key=str)
