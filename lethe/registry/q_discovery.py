@@ -248,3 +248,28 @@ def name_pattern(m):
     j = per_table.join(F.broadcast(cands), ["database_name", "schema_name", "table_name"])
     return (j.groupBy("table_name", "column_name", "pii_classification")
             .agg(F.count_distinct("customer_email").alias("subjects")))
+
+
+@register("classify_by_name", _disc_with(candidates=CANDIDATES_SQL) + """
+SELECT DISTINCT c.table_name, c.column_name, c.pii_classification
+FROM candidates c JOIN discovered p USING (database_name, schema_name, table_name)""")
+def classify_by_name(m):
+    """Name-based class of every candidate column of tables holding
+    requesting subjects' data."""
+    d = D.discover_subjects(m, subjects(m), mode="intended")
+    return d.select("table_name", "column_name", "pii_classification").distinct()
+
+
+@register("sensitivity", _disc_with(candidates=CANDIDATES_SQL) + """
+SELECT c.sensitivity_level, count(DISTINCT c.table_name || '.' || c.column_name) AS columns,
+       sum(p.records_found) AS records
+FROM candidates c
+JOIN (SELECT database_name, schema_name, table_name, sum(records_found) AS records_found
+      FROM discovered GROUP BY ALL) p USING (database_name, schema_name, table_name)
+GROUP BY c.sensitivity_level""")
+def sensitivity(m):
+    """Candidate columns and matched records per sensitivity level."""
+    d = D.discover_subjects(m, subjects(m), mode="intended")
+    return (d.groupBy("sensitivity_level")
+            .agg(F.count_distinct(F.concat_ws(".", "table_name", "column_name")).alias("columns"),
+                 F.sum("records_found").cast("long").alias("records")))

@@ -620,3 +620,53 @@ def full_scenario(m):
                    & (F.col("consent_analytics") == F.lit(False))).select(
         F.col("email").alias("customer_email"))
     return scenario_summary(run(m, subj, AS_OF, SALT))
+
+
+# --- snapshots and appends (write to the shared checkpoint folder) ---------------
+
+def _store(m):
+    from ..session import scratch_path
+    from ..sources.snapshots import SnapshotStore
+    return SnapshotStore(m.spark, scratch_path(m.spark, "snapshots"))
+
+
+@register("read_as_of", with_tables("px_customers") + """
+SELECT customer_id, email FROM px_customers""")
+def read_as_of(m):
+    """Customers committed as v0, erased as v1; read as of one hour after v0
+    (the earlier version comes back whole)."""
+    import datetime as dt
+    store = _store(m)
+    t0 = dt.datetime(2001, 7, 31, 0, 0)
+    store.commit("customers", m["customers"].select("customer_id", "email"), t0)
+    kept, _ = X.erase_delete(store.current("customers"), erase_set(m), AS_OF)
+    store.commit("customers", kept, dt.datetime(2001, 8, 1, 0, 0))
+    return store.read_hours_ago("customers", t0 + dt.timedelta(hours=25), 24)
+
+
+@register("asof_snapshot", _plan_with() + """
+SELECT customer_id, email FROM px_customers
+WHERE NOT coalesce(email IN (SELECT customer_email FROM erase), FALSE)""")
+def asof_snapshot(m):
+    """The version in force at a time after the erasure commit: v1."""
+    import datetime as dt
+    store = _store(m)
+    store.commit("customers", m["customers"].select("customer_id", "email"), dt.datetime(2001, 7, 31))
+    kept, _ = X.erase_delete(store.current("customers"), erase_set(m), AS_OF)
+    store.commit("customers", kept, dt.datetime(2001, 8, 1))
+    return store.read_as_of("customers", dt.datetime(2001, 8, 2))
+
+
+@register("append_rows", canon_sql(
+    with_tables("px_customers", "px_erasure_requests", cand=CANDIDATES_SQL) + f"""
+SELECT request_id, customer_email, status FROM px_erasure_requests
+UNION ALL
+SELECT request_id, customer_email, 'SUBMITTED' FROM ({SUBMIT_SQL}) WHERE outcome = 'ACCEPTED'"""))
+def append_rows(m):
+    """Accepted submissions appended to the stored request table (INSERT)."""
+    from ..session import scratch_path
+    path = scratch_path(m.spark, "requests")
+    m["erasure_requests"].write.mode("overwrite").parquet(path)
+    sub = Q.submit_requests(candidates(m), m["customers"], m["erasure_requests"], AS_OF)
+    Q.accepted_request_rows(sub, AS_OF).write.mode("append").parquet(path)
+    return m.spark.read.parquet(path).select("request_id", "customer_email", "status")
