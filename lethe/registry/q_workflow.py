@@ -610,7 +610,76 @@ def export_subject(m):
 
 # --- end to end -----------------------------------------------------------------
 
-@register("full_scenario")
+def _full_scenario_sql() -> str:
+    from .q_discovery import LONG_SQL
+    subj = ("SELECT DISTINCT email AS customer_email FROM px_customers "
+            "WHERE consent_marketing = FALSE AND consent_analytics = FALSE")
+    submitted = f"""
+SELECT s.customer_email,
+       CASE WHEN o.customer_email IS NOT NULL THEN 'ACTIVE_REQUEST_EXISTS' ELSE 'ACCEPTED' END AS outcome,
+       'REQ_2001_' || substr(sha256(concat_ws('|', s.customer_email, 'WITHDRAWN_CONSENT', '1',
+                                              '2001-08-01')), 1, 32) AS request_id
+FROM subj s
+LEFT JOIN (SELECT DISTINCT customer_email FROM px_erasure_requests WHERE status IN {OPEN}) o
+  USING (customer_email)"""
+    plan = """
+SELECT a.request_id, a.customer_email,
+       CASE WHEN coalesce(h.hold_count, 0) > 0 THEN 'REJECTED' ELSE 'IN_PROGRESS' END AS decision
+FROM (SELECT * FROM submitted WHERE outcome = 'ACCEPTED') a
+LEFT JOIN holds h USING (customer_email)"""
+    requests3 = """
+SELECT request_id, customer_email, requested_at, status FROM px_erasure_requests
+UNION ALL
+SELECT p.request_id, p.customer_email, TIMESTAMP '2001-08-01 00:00:00',
+       CASE WHEN p.decision = 'REJECTED' THEN 'REJECTED'
+            WHEN EXISTS (SELECT 1 FROM affected_rows a WHERE a.e = p.customer_email) THEN 'COMPLETED'
+            ELSE 'IN_PROGRESS' END
+FROM sc_plan p"""
+    notif = """
+SELECT s.customer_email, 5 AS notifications
+FROM subj s
+WHERE EXISTS (SELECT 1 FROM requests3 r WHERE r.customer_email = s.customer_email
+              AND r.status IN ('IN_PROGRESS', 'COMPLETED'))"""
+    verify = f"""
+SELECT e, bool_and((b > 0 AND a = 0) OR (b = 0 AND a = 0)) AS all_verified
+FROM (SELECT coalesce(x.t, y.t) AS t, coalesce(x.e, y.e) AS e, coalesce(x.n, 0) AS b, coalesce(y.n, 0) AS a
+      FROM (SELECT t, e, count(*) AS n FROM before_rows
+            WHERE e IN (SELECT customer_email FROM erase) GROUP BY ALL) x
+      FULL OUTER JOIN (SELECT t, e, count(*) AS n FROM after_rows
+                       WHERE e IN (SELECT customer_email FROM erase) GROUP BY ALL) y
+        ON x.t = y.t AND x.e = y.e)
+WHERE b > 0 OR a > 0
+GROUP BY e"""
+    ctes = with_tables(
+        "px_customers", "px_erasure_requests", "px_retention_policies", "px_orders",
+        "px_support_tickets", "px_user_activities", "px_marketing_interactions", "px_audit_log",
+        subj=subj, holds=HOLDS_SQL, long=LONG_SQL, submitted=submitted, sc_plan=plan,
+        erase="SELECT DISTINCT customer_email FROM sc_plan WHERE decision = 'IN_PROGRESS'",
+        affected_rows=AFFECTED_SQL,
+        requests3=requests3, notif=notif, before_rows=BEFORE_SQL, after_rows=AFTER_SQL,
+        verify=verify)
+    # affected_rows above lists every row; keep only the erased subjects' rows
+    ctes = ctes.replace("WHERE a.e = p.customer_email)",
+                        "WHERE a.e = p.customer_email AND a.e IN (SELECT customer_email FROM erase))")
+    return ctes + f"""
+SELECT s.customer_email,
+       EXISTS (SELECT 1 FROM px_erasure_requests r WHERE r.customer_email = s.customer_email
+               AND r.status IN {OPEN}) AS active_before,
+       coalesce((SELECT count(*) FROM long l WHERE l.value = s.customer_email), 0) AS records_discovered,
+       sb.outcome AS submit_outcome,
+       p.decision,
+       coalesce(n.notifications, 0) AS notifications,
+       v.all_verified,
+       EXISTS (SELECT 1 FROM requests3 r WHERE r.customer_email = s.customer_email
+               AND r.status = 'COMPLETED') AS completed_after
+FROM subj s
+LEFT JOIN submitted sb USING (customer_email)
+LEFT JOIN sc_plan p ON p.request_id = sb.request_id
+LEFT JOIN notif n USING (customer_email)
+LEFT JOIN verify v ON v.e = s.customer_email"""
+
+
+@register("full_scenario", _full_scenario_sql())
 def full_scenario(m):
     """The eight-step erasure scenario for every customer who withdrew both
     consents, summarised per subject."""
