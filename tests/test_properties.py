@@ -65,3 +65,23 @@ def test_count_matches_both_paths(spark, values, subjects, small):
     subj = {x for x in subjects if x is not None}
     want = Counter(v for v in values if v is not None and v in subj)
     assert got == dict(want)
+
+
+def test_skewed_keys_same_answer_on_both_paths(spark, model):
+    """A third of the rows share one e-mail and a third have none: the
+    broadcast and shuffle strategies (NULL keys spread, AQE skew handling)
+    return the same rows."""
+    from pyspark.sql import functions as F
+    from lethe.plans import erasure as X
+    acts = model["user_activities"]
+    k = F.substring("event_id", 5, 20).cast("long")
+    hot = "hot.subject@example.com"
+    skewed = acts.withColumn("user_email", F.when(k % 3 == 0, F.lit(hot))
+                             .when(k % 3 == 1, F.lit(None)).otherwise(F.col("user_email")))
+    subj = spark.createDataFrame([(hot,), ("user7@building.example.com",)], "customer_email string")
+    a = X.tag_rows(skewed, subj, max_broadcast_rows=10).where("__subject IS NOT NULL")
+    b = X.tag_rows(skewed, subj, max_broadcast_rows=0).where("__subject IS NOT NULL")
+    assert a.count() == b.count() == skewed.where(F.col("user_email").isin(
+        hot, "user7@building.example.com")).count()
+    assert not_in(skewed, "user_email", subj, "customer_email", max_rows=0).count() == \
+        not_in(skewed, "user_email", subj, "customer_email").count()
