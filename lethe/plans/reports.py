@@ -141,18 +141,23 @@ def last_request_date(requests: DataFrame) -> DataFrame:
     return requests.groupBy("customer_email").agg(F.max("requested_at").alias("last_request_date"))
 
 
-def legal_holds(policies: DataFrame, customers: DataFrame, as_of) -> DataFrame:
-    """Blocking holds (unexpired, not overridable) joined to their subject."""
+def legal_holds(policies: DataFrame, customers: DataFrame, as_of,
+                honour_override: bool = True) -> DataFrame:
+    """Blocking holds (unexpired and, by default, not overridable) joined to
+    their subject.  ``honour_override=False`` is the documented variant in
+    which any unexpired hold blocks."""
     a = _date(as_of)
-    blocking = policies.where((F.col("retention_end_date") > a)
-                              & (F.col("can_override_gdpr") == F.lit(False)))
+    blocking = policies.where(F.col("retention_end_date") > a)
+    if honour_override:
+        blocking = blocking.where(F.col("can_override_gdpr") == F.lit(False))
     per_customer = blocking.groupBy("customer_id").agg(F.count(F.lit(1)).alias("hold_count"))
     return (per_customer.join(customers.select("customer_id", "email"), "customer_id", "inner")
             .select(F.col("email").alias("customer_email"), "customer_id", "hold_count"))
 
 
-def legal_hold_count(policies: DataFrame, customers: DataFrame, as_of) -> DataFrame:
-    return (legal_holds(policies, customers, as_of)
+def legal_hold_count(policies: DataFrame, customers: DataFrame, as_of,
+                     honour_override: bool = True) -> DataFrame:
+    return (legal_holds(policies, customers, as_of, honour_override)
             .groupBy("customer_email").agg(F.sum("hold_count").cast("long").alias("hold_count")))
 
 

@@ -110,12 +110,12 @@ def accepted_request_rows(submitted: DataFrame, as_of) -> DataFrame:
 
 
 def process_plan(to_process: DataFrame, requests: DataFrame, policies: DataFrame,
-                 customers: DataFrame, as_of) -> DataFrame:
+                 customers: DataFrame, as_of, honour_override: bool = True) -> DataFrame:
     """Decision for each request id: NOT_FOUND, NOT_PROCESSABLE, REJECTED
     (blocking legal hold), or IN_PROGRESS (erasure goes ahead)."""
     r = requests.select("request_id", "customer_email", "erasure_reason", "status")
     j = to_process.select("request_id").join(r, "request_id", "left")
-    holds = legal_hold_count(policies, customers, as_of).withColumnRenamed(
+    holds = legal_hold_count(policies, customers, as_of, honour_override).withColumnRenamed(
         "customer_email", "__hemail")
     j = j.join(holds, j["customer_email"] == holds["__hemail"], "left")
     hc = F.coalesce(F.col("hold_count"), F.lit(0)).cast("long")

@@ -260,3 +260,12 @@ def retention_bucket_counts(m):
     return (m["customers"].groupBy(C.retention_status("data_retention_until", AS_OF)
                                    .alias("retention_status"))
             .agg(F.count(F.lit(1)).alias("customers")))
+
+
+@register("legal_hold_any", with_tables("px_retention_policies", "px_customers") + """
+SELECT c.email AS customer_email, count(*) AS hold_count
+FROM px_retention_policies rp JOIN px_customers c ON c.customer_id = rp.customer_id
+WHERE rp.retention_end_date > DATE '2001-08-01' GROUP BY c.email""")
+def legal_hold_any(m):
+    """Documented variant: every unexpired hold blocks (no override test)."""
+    return R.legal_hold_count(m["retention_policies"], m["customers"], AS_OF, honour_override=False)
