@@ -24,6 +24,7 @@ PROCESSORS = ["GOOGLE_ANALYTICS", "MAILCHIMP", "SALESFORCE", "STRIPE", "ZENDESK"
 MSG_BAD_REASON = ("ERROR: Invalid GDPR grounds for erasure. Must be one of: "
                   + ", ".join(VALID_REASONS))
 MSG_ACTIVE = "ERROR: An active erasure request already exists for this email"
+MSG_NO_EMAIL = "ERROR: customer_email is required"
 MSG_SUBMITTED = "SUCCESS: Erasure request submitted with ID: "
 MSG_NOT_FOUND = "ERROR: Erasure request not found"
 MSG_NOT_PROCESSABLE = "ERROR: Request is not in a processable state. Current status: "
@@ -62,7 +63,8 @@ def submit_requests(candidates: DataFrame, customers: DataFrame, requests: DataF
     submission_seq (order within the batch).  Outcome per candidate, checked
     in the reference's order: INVALID_REASON, ACTIVE_REQUEST_EXISTS (an open
     request in the table, or an earlier valid submission in this batch),
-    ACCEPTED.  Accepted rows carry the new request's id and fields.
+    ACCEPTED.  A NULL e-mail is MISSING_EMAIL (the column is NOT NULL).
+    Accepted rows carry the new request's id and fields.
     """
     cand = candidates
     if "request_source" not in cand.columns:
@@ -79,7 +81,8 @@ def submit_requests(candidates: DataFrame, customers: DataFrame, requests: DataF
             .select(F.col("email").alias("__cemail"), F.col("customer_id").alias("__cid")))
     c = c.join(live, c["customer_email"] == live["__cemail"], "left")
     a = _date(as_of)
-    outcome = (F.when(~valid | F.col("erasure_reason").isNull(), "INVALID_REASON")
+    outcome = (F.when(F.col("customer_email").isNull(), "MISSING_EMAIL")
+                .when(~valid | F.col("erasure_reason").isNull(), "INVALID_REASON")
                 .when(F.col("__open").isNotNull(), "ACTIVE_REQUEST_EXISTS")
                 .when(F.col("submission_seq") != F.col("__first"), "ACTIVE_REQUEST_EXISTS")
                 .otherwise("ACCEPTED"))
@@ -92,7 +95,8 @@ def submit_requests(candidates: DataFrame, customers: DataFrame, requests: DataF
                      "outcome",
                      F.when(accepted, rid).alias("request_id"),
                      F.when(accepted, F.col("__cid")).alias("customer_id"),
-                     F.when(F.col("outcome") == "INVALID_REASON", F.lit(MSG_BAD_REASON))
+                     F.when(F.col("outcome") == "MISSING_EMAIL", F.lit(MSG_NO_EMAIL))
+                      .when(F.col("outcome") == "INVALID_REASON", F.lit(MSG_BAD_REASON))
                       .when(F.col("outcome") == "ACTIVE_REQUEST_EXISTS", F.lit(MSG_ACTIVE))
                       .otherwise(F.concat(F.lit(MSG_SUBMITTED), rid)).alias("message"),
                      F.when(accepted, F.date_add(a, response_days)).alias("estimated_completion_date")))

@@ -33,6 +33,7 @@ def test_submit_requests_outcomes(spark, fixtures):
         ("jean.dupont@email.fr", "OBJECTION", 1),        # open request exists
         ("maria.garcia@email.es", "JUST_BECAUSE", 1),    # invalid ground
         ("nobody@nowhere.org", "CHILD_CONSENT", 1),      # accepted, no customer record
+        (None, "OBJECTION", 1),                           # no subject at all
     ], "customer_email string, erasure_reason string, submission_seq long")
     out = Q.submit_requests(cand, fixtures["customers"], fixtures["erasure_requests"], FIXTURE_AS_OF)
     got = {(r.customer_email, r.submission_seq): r for r in out.collect()}
@@ -44,6 +45,7 @@ def test_submit_requests_outcomes(spark, fixtures):
     assert got[("maria.garcia@email.es", 1)].message.startswith("ERROR: Invalid GDPR grounds")
     assert got[("nobody@nowhere.org", 1)].outcome == "ACCEPTED"
     assert got[("nobody@nowhere.org", 1)].customer_id is None
+    assert got[(None, 1)].outcome == "MISSING_EMAIL"
     rows = Q.accepted_request_rows(out, FIXTURE_AS_OF)
     assert rows.count() == 2 and set(rows.columns) >= {"request_id", "status", "requested_at"}
 
