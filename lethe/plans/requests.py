@@ -270,3 +270,30 @@ def complete_requests(requests: DataFrame, op_log: DataFrame, as_of) -> DataFram
         "deletion_summary",
         F.when(done, F.sha2(F.concat(F.col("customer_email"), a.cast("string")), 256))
          .alias("verification_hash"))
+
+
+def workflow_audit_events(submitted: DataFrame, completed: DataFrame,
+                          notifications: DataFrame, as_of) -> DataFrame:
+    """The audit events the workflow logs: submission (accepted rows),
+    completion (with the deletion summary) and processor coordination (one
+    per request notified).  Input of ``audit_append``."""
+    ts = _ts(as_of)
+    sub = submitted.where(F.col("outcome") == "ACCEPTED").select(
+        F.lit("ERASURE_REQUEST_SUBMITTED").alias("event_type"), "customer_email",
+        F.concat(F.lit("Erasure request submitted with reason: "), F.col("erasure_reason"))
+         .alias("event_description"),
+        F.to_json(F.struct("request_id", F.col("erasure_reason").alias("reason"))).alias("event_data"),
+        ts.alias("event_timestamp"))
+    done = completed.where(F.col("status") == "COMPLETED").select(
+        F.lit("ERASURE_REQUEST_COMPLETED").alias("event_type"), "customer_email",
+        F.lit("Erasure request completed successfully").alias("event_description"),
+        F.concat(F.lit('{"request_id": "'), F.col("request_id"), F.lit('", "deletion_summary": '),
+                 F.coalesce(F.col("deletion_summary"), F.lit("{}")), F.lit("}")).alias("event_data"),
+        ts.alias("event_timestamp"))
+    coord = (notifications.groupBy("request_id", "customer_email")
+             .agg(F.array_sort(F.collect_list("third_party_name")).alias("systems"))
+             .select(F.lit("THIRD_PARTY_COORDINATION_INITIATED").alias("event_type"), "customer_email",
+                     F.lit("Third-party deletion coordination initiated").alias("event_description"),
+                     F.to_json(F.struct("request_id", "systems")).alias("event_data"),
+                     ts.alias("event_timestamp")))
+    return sub.unionByName(done).unionByName(coord)

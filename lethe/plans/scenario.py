@@ -31,8 +31,13 @@ def _merge_requests(base: DataFrame, updates: DataFrame, cols: list[str]) -> Dat
 
 
 def full_scenario(model, subjects: DataFrame, as_of: dt.date, salt: str,
-                  reason: str = "WITHDRAWN_CONSENT", store=None) -> dict[str, DataFrame]:
-    """Run the eight steps; returns every intermediate result by name."""
+                  reason: str = "WITHDRAWN_CONSENT", store=None,
+                  verify_hours_back: int = 24) -> dict[str, DataFrame]:
+    """Run the eight steps; returns every intermediate result by name.
+
+    With a ``SnapshotStore`` the erased tables are committed, verification
+    reads the pre-erasure version by time travel, and once the verification
+    result is written the pre-erasure versions are expired."""
     out: dict[str, DataFrame] = {}
     subj = subjects.select("customer_email").where(F.col("customer_email").isNotNull()).distinct()
     requests = model["erasure_requests"]
@@ -64,21 +69,39 @@ def full_scenario(model, subjects: DataFrame, as_of: dt.date, salt: str,
         requests3 = materialize(requests3, "requests")
     out["requests"] = requests3
     out["notifications"] = Q.coordinate_processors(subj, requests3, as_of)
+    completed_now = requests3.join(go.select("request_id"), "request_id", "left_semi")
+    out["audit"] = Q.audit_append(Q.workflow_audit_events(out["submitted"], completed_now,
+                                                          out["notifications"], as_of))
     after = {name: e["table"] for name, e in planned.items()}
-    if store is not None:
-        ts = dt.datetime(as_of.year, as_of.month, as_of.day)
-        for name, df in after.items():
-            store.commit(name, df, ts)
-        after = {name: store.current(name) for name in after}
     try:
         scope = X.scope_from_classification(model["data_classification"])
     except KeyError:  # a model without curated labels: every e-mail column
         scope = [(".".join((*model.location(n), n.upper())), c)
                  for n, df in after.items() for c in X.email_columns(df)]
     scope = [s for s in scope if s[0].split(".")[-1].lower() in after]
-    before = {s[0].split(".")[-1].lower(): model[s[0].split(".")[-1].lower()] for s in scope}
-    out["verification"] = X.verify_deletion(
-        X.verify_counts(before, {k: after[k] for k in before}, scope, to_erase)) if scope else None
+    keys = sorted({s[0].split(".")[-1].lower() for s in scope})
+    if store is not None:
+        # time travel as the reference does it: the tables as they were
+        # ``verify_hours_back`` hours ago (the pre-erasure snapshot) against
+        # the committed post-erasure snapshot
+        now = dt.datetime(as_of.year, as_of.month, as_of.day)
+        for name, df in after.items():
+            if store.version_as_of(name, now) is None:
+                store.commit(name, model[name], now - dt.timedelta(hours=verify_hours_back))
+            store.commit(name, df, now)
+        after = {name: store.current(name) for name in after}
+        later = now + dt.timedelta(hours=1)
+        before = {k: store.read_hours_ago(k, later, verify_hours_back) for k in keys}
+    else:
+        before = {k: model[k] for k in keys}
+    verification = (X.verify_deletion(X.verify_counts(before, {k: after[k] for k in keys},
+                                                       scope, to_erase)) if scope else None)
+    if store is not None and verification is not None:
+        # keep the proof, then drop the snapshots that still hold erased data
+        verification = materialize(verification, "verification")
+        for name in after:
+            store.expire(name, now)
+    out["verification"] = verification
     out["status_after"] = Q.subject_status(subj, requests3, after.get("customers", customers))
     out["dashboard"] = R.dashboard(requests3, as_of)
     return out
