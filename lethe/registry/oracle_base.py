@@ -22,7 +22,7 @@ _CTES: dict[str, tuple[list[str], str]] = {
     "px_customers": ([], """
         SELECT 'CUST_' || CAST(c_custkey AS VARCHAR) AS customer_id,
                'user' || CAST(c_custkey AS VARCHAR) || '@' || lower(c_mktsegment) || '.example.com' AS email,
-               substring(c_name, 1, 8) AS first_name,
+               'First' || CAST(c_custkey % 97 AS VARCHAR) AS first_name,
                c_name AS last_name,
                '+1-555-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS phone_number,
                DATE '1960-01-01' + CAST((c_custkey * 37) % 18000 AS INTEGER) AS date_of_birth,

@@ -61,7 +61,7 @@ def customers(t: TableSet) -> DataFrame:
         F.concat(F.lit("CUST_"), _s(k)).alias("customer_id"),
         F.concat(F.lit("user"), _s(k), F.lit("@"), F.lower("c_mktsegment"),
                  F.lit(".example.com")).alias("email"),
-        F.substring("c_name", 1, 8).alias("first_name"),
+        F.concat(F.lit("First"), _s(k % 97)).alias("first_name"),
         F.col("c_name").alias("last_name"),
         F.concat(F.lit("+1-555-"), F.lpad(_s(k), 7, "0")).alias("phone_number"),
         _days(dt.date(1960, 1, 1), (k * 37) % 18000).alias("date_of_birth"),
