@@ -222,13 +222,15 @@ def subject_status_object(status: DataFrame) -> DataFrame:
 
 
 def audit_append(events: DataFrame, user_name: str = "SYSTEM", role_name: str = "GDPR_ADMIN",
-                 warehouse_name: str = "GDPR_PROCESSING_WH") -> DataFrame:
+                 warehouse_name: str | None = None) -> DataFrame:
     """GDPR_AUDIT_LOG rows for a batch of events.
 
     ``events``: event_type, customer_email, event_description, event_data,
     event_timestamp.  ``audit_hash`` = SHA-256 of id || type || e-mail ||
     timestamp (NULL when any part is NULL, as the reference's ``||``)."""
     from ..sources.schemas import conform
+    if warehouse_name is None:  # the compute that ran the job: the Spark application
+        warehouse_name = events.sparkSession.sparkContext.appName
     ts_txt = F.col("event_timestamp").cast("string")
     aid = F.concat(F.lit("AUDIT_"), short_hash("event_type", "customer_email", ts_txt,
                                                "event_description"))
