@@ -139,9 +139,10 @@ def plan_erasure(model, subjects: DataFrame, as_of, salt: str,
     with the analysis error).  Nothing runs until the results are used."""
     out = {}
     for name, db, schema, op in erasure_targets(model):
-        df = model[name]
         entry = {"database": db, "schema": schema, "operation": op, "error": None}
+        df = None
         try:
+            df = model[name]
             if not email_columns(df):
                 entry.update(status="SKIPPED", table=df, affected=None,
                              error="no subject column")
@@ -158,38 +159,58 @@ def plan_erasure(model, subjects: DataFrame, as_of, salt: str,
 
 
 def operation_log(planned: dict[str, dict], requests: DataFrame) -> DataFrame:
-    """ERASURE_OPERATIONS-style rows: one per (request, table) with the
-    number of the subject's rows the operation touched."""
+    """ERASURE_OPERATIONS-style rows.
+
+    SUCCESS: one row per (request, table) where the subject had rows, with
+    the number of rows the operation touched.  FAILED: a table whose plan
+    could not be built gets one row per request, with the error text and no
+    count (the reference logs SQLERRM the same way).  SKIPPED tables (no
+    subject column) hold none of the subject's data and are not logged, as
+    discovery never lists them."""
     spark = requests.sparkSession
+    r = requests.select("request_id", "customer_email")
     parts = []
+    failed = []
     for name, e in planned.items():
+        if e["status"] == "FAILED":
+            failed.append(F.struct(F.lit(e["database"]).alias("target_database"),
+                                   F.lit(e["schema"]).alias("target_schema"),
+                                   F.lit(name.upper()).alias("target_table"),
+                                   F.lit(e["operation"]).alias("operation_type"),
+                                   F.lit(e["error"]).alias("error_message")))
         if e["affected"] is None:
             continue
         parts.append(e["affected"].select(
-            "customer_email", "records_affected",
+            "customer_email", F.col("records_affected").cast("long").alias("records_affected"),
             F.lit(e["database"]).alias("target_database"), F.lit(e["schema"]).alias("target_schema"),
             F.lit(name.upper()).alias("target_table"), F.lit(e["operation"]).alias("operation_type"),
-            F.lit(e["status"]).alias("operation_status")))
+            F.lit(e["status"]).alias("operation_status"),
+            F.lit(None).cast("string").alias("error_message")).join(r, "customer_email", "inner"))
+    if failed:
+        parts.append(r.select("customer_email", "request_id",
+                              F.explode(F.array(*failed)).alias("f")).select(
+            "customer_email", F.lit(None).cast("long").alias("records_affected"),
+            "f.target_database", "f.target_schema", "f.target_table", "f.operation_type",
+            F.lit("FAILED").alias("operation_status"), "f.error_message", "request_id"))
     if not parts:
-        return spark.createDataFrame([], "request_id string")
+        return spark.createDataFrame([], "operation_id string, request_id string")
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    r = requests.select("request_id", "customer_email")
-    j = u.join(r, "customer_email", "inner")
-    return j.select(
+    return u.select(
         F.concat(F.lit("OP_"), F.substring(F.sha2(F.concat_ws("|", "request_id", "target_database",
                                                               "target_schema", "target_table"), 256),
                                            1, 24)).alias("operation_id"),
         "request_id", "operation_type", "target_database", "target_schema", "target_table",
-        "operation_status", F.col("records_affected").cast("long").alias("records_affected"))
+        "operation_status", "records_affected", "error_message")
 
 
 def deletion_summary(op_log: DataFrame) -> DataFrame:
-    """Per request: JSON object table → rows affected (keys sorted)."""
+    """Per request: JSON object table → rows affected (keys sorted), over
+    the successful operations."""
     entry = F.struct(F.concat_ws(".", "target_database", "target_schema", "target_table").alias("k"),
                      F.col("records_affected").alias("v"))
-    return (op_log.groupBy("request_id")
+    return (op_log.where(F.col("operation_status") == "SUCCESS").groupBy("request_id")
             .agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry))))
                  .alias("deletion_summary")))
 

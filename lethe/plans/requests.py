@@ -260,7 +260,7 @@ def complete_requests(requests: DataFrame, op_log: DataFrame, as_of) -> DataFram
     from .erasure import deletion_summary
     per = (op_log.groupBy("request_id")
            .agg(count_if(F.col("operation_status") == "FAILED").alias("failed"))
-           .join(deletion_summary(op_log), "request_id"))
+           .join(deletion_summary(op_log), "request_id", "left"))
     r = requests.drop("deletion_summary").join(per, "request_id", "inner")
     done = F.col("failed") == 0
     a = _ts(as_of)

@@ -226,7 +226,7 @@ OPLOG_SQL = """
 SELECT 'OP_' || substr(sha256(concat_ws('|', p.request_id, a.target_database, a.target_schema,
                                         a.target_table)), 1, 24) AS operation_id,
        p.request_id, a.operation_type, a.target_database, a.target_schema, a.target_table,
-       'SUCCESS' AS operation_status, a.records_affected
+       'SUCCESS' AS operation_status, a.records_affected, CAST(NULL AS VARCHAR) AS error_message
 FROM (SELECT target_database, target_schema, target_table, operation_type, e AS customer_email,
              count(*) AS records_affected
       FROM affected_rows WHERE e IN (SELECT customer_email FROM erase) GROUP BY ALL) a

@@ -180,3 +180,30 @@ def test_full_scenario_on_fixtures(spark, fixtures):
     assert ("ERASURE_REQUEST_SUBMITTED", "anna.mueller@email.de") in audit
     assert ("ERASURE_REQUEST_COMPLETED", "anna.mueller@email.de") in audit
     assert ("THIRD_PARTY_COORDINATION_INITIATED", "anna.mueller@email.de") in audit
+
+
+def test_failed_table_is_logged_and_blocks_completion(spark, fixtures):
+    from lethe.sources.fixtures import FixtureModel
+
+    class Broken(FixtureModel):
+        def __getitem__(self, name):
+            df = super().__getitem__(name)
+            if name == "support_tickets":
+                # a table whose subject column cannot be resolved
+                return df.withColumnRenamed("customer_email", "customer_email_x").select(
+                    "ticket_id", F.col("customer_email_x").alias("customer_email"), "missing_col")
+            return df
+
+    model = Broken(spark)
+    subj = spark.createDataFrame([("anna.mueller@email.de",)], "customer_email string")
+    planned = X.plan_erasure(model, subj, FIXTURE_AS_OF, "s")
+    assert planned["support_tickets"]["status"] == "FAILED"
+    reqs = spark.createDataFrame([("REQ_X", "anna.mueller@email.de")], "request_id string, customer_email string")
+    log = X.operation_log(planned, reqs)
+    failed = log.where("operation_status = 'FAILED'").collect()
+    assert len(failed) == 1 and failed[0].target_table == "SUPPORT_TICKETS" and failed[0].error_message
+    full = fixtures["erasure_requests"].unionByName(
+        fixtures["erasure_requests"].where("request_id = 'REQ_2024_003'")
+        .withColumn("request_id", F.lit("REQ_X")).withColumn("customer_email", F.lit("anna.mueller@email.de")))
+    done = Q.complete_requests(full, log, FIXTURE_AS_OF).first()
+    assert done.status == "IN_PROGRESS" and done.completed_at is None
