@@ -72,7 +72,9 @@ def full_scenario(model, subjects: DataFrame, as_of: dt.date, salt: str,
     completed_now = requests3.join(go.select("request_id"), "request_id", "left_semi")
     out["audit"] = Q.audit_append(Q.workflow_audit_events(out["submitted"], completed_now,
                                                           out["notifications"], as_of))
-    after = {name: e["table"] for name, e in planned.items()}
+    # only tables the erasure rewrote get a new version (failed and skipped
+    # tables keep their current one)
+    after = {name: e["table"] for name, e in planned.items() if e["status"] == "SUCCESS"}
     try:
         scope = X.scope_from_classification(model["data_classification"])
     except KeyError:  # a model without curated labels: every e-mail column
