@@ -2,7 +2,8 @@
 
 * ``suppress_erased``: a stream of rows loses every row of a subject whose
   erasure is COMPLETED -- a stream-static left-anti join against the request
-  table, so an erasure takes effect on data that arrives after it.
+  table (re-planned per micro-batch), so an erasure takes effect on data
+  that arrives after it.
 * ``audit_daily``: the daily audit summary as a watermarked 1-day tumbling
   window.  Exact distinct counts keep a per-window set in state
   (``size(collect_set)``; Spark rejects COUNT(DISTINCT) on streams); the
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.keyed import not_in
 from ..session import scratch_path
 from ..sources.tables import DRIVER_SCHEMAS, table_path
 
@@ -33,20 +35,12 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1)
 def suppress_erased(stream: DataFrame, email_col: str, requests: DataFrame) -> DataFrame:
     """Rows of ``stream`` whose e-mail is NOT IN the completed subjects.
 
-    NOT IN rules: with a non-empty set a NULL e-mail is dropped, and a NULL in
-    the set drops everything.  The two flags are aggregates of the static set
-    (scalars), evaluated once when the query starts."""
-    done = requests.where(F.col("status") == "COMPLETED").select(
-        F.col("customer_email").alias("__done"))
-    flags = done.agg(F.count(F.lit(1)).alias("n"),
-                     F.count(F.when(F.col("__done").isNull(), 1)).alias("nulls")).first()
-    keys = done.where(F.col("__done").isNotNull())
-    out = stream.join(keys, stream[email_col] == keys["__done"], "left_anti")
-    if flags["n"] > 0:
-        if flags["nulls"] > 0:
-            return out.where(F.lit(False))
-        out = out.where(F.col(email_col).isNotNull())
-    return out
+    The same operator as the batch policy: a stream-static left-anti join
+    plus the NOT IN flags as scalar subqueries.  The static side is planned
+    again in every micro-batch, so an erasure completed while the query runs
+    takes effect on the next batch."""
+    done = requests.where(F.col("status") == "COMPLETED").select("customer_email")
+    return not_in(stream, email_col, done, "customer_email")
 
 
 def audit_daily(audit_stream: DataFrame, watermark: str = "1 day", exact: bool = False) -> DataFrame:
