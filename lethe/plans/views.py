@@ -79,3 +79,15 @@ def activities_safe(activities: DataFrame, role: str) -> DataFrame:
         "device_type", "browser", "country_code", "event_properties",
         "is_pseudonymized", "consent_for_analytics", "created_at",
     )
+
+
+def secure_table(df: DataFrame, table: str, role: str, requests: DataFrame) -> DataFrame:
+    """A table as ``role`` may read it: the row policies attached to the
+    table are applied on the raw values first, then the column masks."""
+    from ..operators.policies import apply_row_policies
+    rows = apply_row_policies(df, table, role, requests)
+    if table == "customers":
+        return M.masked_customers(rows, role)
+    if table in M.EMAIL_MASKED_COLUMNS:
+        return M.masked_table(rows, table, role)
+    return rows

@@ -221,3 +221,23 @@ def apply_row_policies(m):
     return (a.select(F.lit("user_activities").alias("table_name"), F.col("event_id").alias("row_id"))
             .unionByName(c.select(F.lit("customers").alias("table_name"),
                                   F.col("customer_id").alias("row_id"))))
+
+
+@register("secure_customers", canon_sql(with_tables("px_customers", "px_erasure_requests") + f"""
+SELECT customer_id,
+       regexp_replace(email, '^(.).*(@.*)$', '\\1****\\2') AS email,
+       CASE WHEN length(first_name) > 1 THEN left(first_name, 1) || repeat('*', length(first_name) - 1)
+            ELSE '*' END AS first_name,
+       CASE WHEN length(phone_number) >= 10 THEN left(phone_number, 3) || '-***-' || right(phone_number, 4)
+            ELSE '***-***-****' END AS phone_number,
+       make_date(year(date_of_birth), 1, 1) AS date_of_birth,
+       regexp_replace(address_line1, '\\d+', '***', 'g') AS address_line1,
+       consent_marketing
+FROM px_customers
+WHERE email NOT IN {NOT_IN_COMPLETED} AND consent_marketing = TRUE""", ["date_of_birth"]))
+def secure_customers(m):
+    """Customers as marketing reads them: erased subjects and customers
+    without marketing consent filtered on raw values, then masked."""
+    t = V.secure_table(m["customers"], "customers", "MARKETING_TEAM", m["erasure_requests"])
+    return t.select("customer_id", "email", "first_name", "phone_number", "date_of_birth",
+                    "address_line1", "consent_marketing")
