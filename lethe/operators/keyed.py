@@ -109,9 +109,5 @@ def spread_nulls(df: DataFrame, col: str) -> Column:
                            .cast("string"))).otherwise(F.col(col).cast("string"))
 
 
-def count_by(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-
-
 def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
