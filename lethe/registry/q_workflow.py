@@ -610,7 +610,7 @@ def export_subject(m):
 
 # --- end to end -----------------------------------------------------------------
 
-def _full_scenario_sql() -> str:
+def _scenario_ctes(**extra) -> str:
     from .q_discovery import LONG_SQL
     subj = ("SELECT DISTINCT email AS customer_email FROM px_customers "
             "WHERE consent_marketing = FALSE AND consent_analytics = FALSE")
@@ -657,11 +657,14 @@ GROUP BY e"""
         erase="SELECT DISTINCT customer_email FROM sc_plan WHERE decision = 'IN_PROGRESS'",
         affected_rows=AFFECTED_SQL,
         requests3=requests3, notif=notif, before_rows=BEFORE_SQL, after_rows=AFTER_SQL,
-        verify=verify)
+        verify=verify, **extra)
     # affected_rows above lists every row; keep only the erased subjects' rows
-    ctes = ctes.replace("WHERE a.e = p.customer_email)",
+    return ctes.replace("WHERE a.e = p.customer_email)",
                         "WHERE a.e = p.customer_email AND a.e IN (SELECT customer_email FROM erase))")
-    return ctes + f"""
+
+
+def _full_scenario_sql() -> str:
+    return _scenario_ctes() + f"""
 SELECT s.customer_email,
        EXISTS (SELECT 1 FROM px_erasure_requests r WHERE r.customer_email = s.customer_email
                AND r.status IN {OPEN}) AS active_before,
@@ -739,3 +742,58 @@ def append_rows(m):
     sub = Q.submit_requests(candidates(m), m["customers"], m["erasure_requests"], AS_OF)
     Q.accepted_request_rows(sub, AS_OF).write.mode("append").parquet(path)
     return m.spark.read.parquet(path).select("request_id", "customer_email", "status")
+
+
+def _workflow_audit_sql() -> str:
+    ops = """
+SELECT p.request_id, a.target_database || '.' || a.target_schema || '.' || a.target_table AS k,
+       count(*) AS n
+FROM affected_rows a JOIN sc_plan p ON p.customer_email = a.e
+WHERE p.decision = 'IN_PROGRESS' AND a.e IN (SELECT customer_email FROM erase)
+GROUP BY ALL"""
+    summary = """
+SELECT request_id, '{' || string_agg('"' || k || '":' || CAST(n AS VARCHAR), ',' ORDER BY k) || '}' AS s
+FROM ops GROUP BY request_id"""
+    latest = """
+SELECT customer_email, request_id FROM requests3
+WHERE status IN ('IN_PROGRESS', 'COMPLETED')
+  AND customer_email IN (SELECT customer_email FROM subj)
+QUALIFY row_number() OVER (PARTITION BY customer_email ORDER BY requested_at DESC, request_id DESC) = 1"""
+    events = """
+SELECT 'ERASURE_REQUEST_SUBMITTED' AS event_type, customer_email,
+       'Erasure request submitted with reason: WITHDRAWN_CONSENT' AS event_description,
+       '{"request_id":"' || request_id || '","reason":"WITHDRAWN_CONSENT"}' AS event_data
+FROM submitted WHERE outcome = 'ACCEPTED'
+UNION ALL
+SELECT 'ERASURE_REQUEST_COMPLETED', r.customer_email, 'Erasure request completed successfully',
+       '{"request_id": "' || r.request_id || '", "deletion_summary": ' || coalesce(sm.s, '{}') || '}'
+FROM requests3 r JOIN sc_plan p ON p.request_id = r.request_id AND p.decision = 'IN_PROGRESS'
+LEFT JOIN summary sm ON sm.request_id = r.request_id
+WHERE r.status = 'COMPLETED'
+UNION ALL
+SELECT 'THIRD_PARTY_COORDINATION_INITIATED', customer_email,
+       'Third-party deletion coordination initiated',
+       '{"request_id":"' || request_id || '","systems":["GOOGLE_ANALYTICS","MAILCHIMP","SALESFORCE","STRIPE","ZENDESK"]}'
+FROM latest"""
+    return _scenario_ctes(ops=ops, summary=summary, latest=latest, ev=events) + """
+SELECT audit_id, event_type, event_timestamp, customer_email, event_description, event_data,
+       sha256(audit_id || event_type || customer_email || CAST(event_timestamp AS VARCHAR)) AS audit_hash
+FROM (SELECT 'AUDIT_' || substr(sha256(concat_ws('|', event_type, customer_email,
+                                                 '2001-08-01 00:00:00', event_description)), 1, 32)
+               AS audit_id,
+             CAST(TIMESTAMP '2001-08-01 00:00:00' AS VARCHAR) AS event_timestamp, *
+      FROM ev)"""
+
+
+@register("workflow_audit", _workflow_audit_sql())
+def workflow_audit(m):
+    """The audit trail the scenario writes: submissions, completions and
+    processor coordination, each row hashed."""
+    from ..plans.scenario import full_scenario as run
+    c = m["customers"]
+    subj = c.where((F.col("consent_marketing") == F.lit(False))
+                   & (F.col("consent_analytics") == F.lit(False))).select(
+        F.col("email").alias("customer_email"))
+    a = run(m, subj, AS_OF, SALT)["audit"]
+    return a.select("audit_id", "event_type", "event_timestamp", "customer_email",
+                    "event_description", "event_data", "audit_hash")
