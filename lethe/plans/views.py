@@ -26,9 +26,25 @@ def latest_requests(requests: DataFrame) -> DataFrame:
 
 
 def latest_request_join(customers: DataFrame, requests: DataFrame) -> DataFrame:
-    """Customers LEFT JOIN their newest request(s) on e-mail."""
+    """Customers LEFT JOIN their newest request(s) on e-mail.
+
+    Written as INNER JOIN UNION ALL (customers without a request): a subject
+    whose newest requests are many tied rows would otherwise sit, whole, in
+    one task as the non-splittable side of an outer join; the inner join's
+    skewed partition can be split by AQE, and the anti join probes distinct
+    keys only."""
     lr = latest_requests(requests).withColumnRenamed("customer_email", "__req_email")
-    return customers.join(lr, customers["email"] == lr["__req_email"], "left").drop("__req_email")
+    matched = customers.join(lr, customers["email"] == lr["__req_email"], "inner").drop("__req_email")
+    # e-mails that have a newest request = e-mails with a dated request: one
+    # narrow scan with map-side de-duplication, not a second latest-pass
+    keys = (requests.where(F.col("requested_at").isNotNull())
+            .select(F.col("customer_email").alias("__req_email"))
+            .where(F.col("__req_email").isNotNull()).distinct())
+    unmatched = customers.join(keys, customers["email"] == keys["__req_email"], "left_anti")
+    for f in lr.schema.fields:
+        if f.name != "__req_email":
+            unmatched = unmatched.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return matched.unionByName(unmatched)
 
 
 def customers_compliant(customers: DataFrame, requests: DataFrame, as_of) -> DataFrame:

@@ -85,3 +85,26 @@ def test_skewed_keys_same_answer_on_both_paths(spark, model):
         hot, "user7@building.example.com")).count()
     assert not_in(skewed, "user_email", subj, "customer_email", max_rows=0).count() == \
         not_in(skewed, "user_email", subj, "customer_email").count()
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(keys, st.one_of(st.none(), st.integers(0, 2)), st.integers(0, 99)),
+                max_size=8, unique_by=lambda r: r[2]))
+def test_latest_request_join_is_a_left_join_with_ties(spark, reqs):
+    from lethe.plans.views import latest_request_join
+    cust = spark.createDataFrame([("C1", "a"), ("C2", "b"), ("C3", "c"), ("C4", None)],
+                                 "customer_id string, email string")
+    r = spark.createDataFrame([(e, "S", t, None, i) for e, t, i in reqs],
+                              "customer_email string, status string, requested_at long, "
+                              "completed_at long, rid long")
+    got = sorted((x.customer_id, x.requested_at) for x in latest_request_join(cust, r).collect())
+    best = {}
+    for e, t, _ in reqs:
+        if e is not None and t is not None:
+            best[e] = max(best.get(e, t), t)
+    want = []
+    for cid, em in [("C1", "a"), ("C2", "b"), ("C3", "c"), ("C4", None)]:
+        hits = [t for e, t, _ in reqs if em is not None and e == em and t is not None and t == best.get(e)]
+        want += [(cid, t) for t in hits] or [(cid, None)]
+    assert got == sorted(want, key=lambda x: (x[0], -1 if x[1] is None else x[1])) or \
+        sorted(got, key=str) == sorted(want, key=str)
