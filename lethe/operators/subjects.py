@@ -23,6 +23,42 @@ from pyspark.sql import functions as F
 from .keyed import BROADCAST_MAX_ROWS, is_small, spread_nulls
 
 SUBJECT = "customer_email"
+# Subject sets up to this many keys are also pushed into the table scans as
+# an IN predicate (Parquet row-group / dictionary skipping); a proven bound,
+# so the literal list stays small.
+PUSHDOWN_MAX_KEYS = 1000
+
+
+def few_subject_keys(subjects: DataFrame, max_keys: int = PUSHDOWN_MAX_KEYS) -> list[str] | None:
+    """The distinct subject keys when there are at most ``max_keys`` of
+    them (counted first, bounded), else None.  Remembered on the DataFrame."""
+    memo = getattr(subjects, "_lethe_keys", None)
+    if memo is not None and memo[0] == max_keys:
+        return memo[1]
+    keys = None
+    if is_small(subjects, max_keys):
+        keys = sorted({r[0] for r in subjects.select(SUBJECT).where(F.col(SUBJECT).isNotNull())
+                      .distinct().collect()})
+    try:
+        subjects._lethe_keys = (max_keys, keys)
+    except AttributeError:
+        pass
+    return keys
+
+
+def prefilter(df: DataFrame, cols: list[str], subjects: DataFrame) -> DataFrame:
+    """``df`` restricted to rows where some of ``cols`` may hold a subject:
+    an IN predicate the Parquet scan can use to skip row groups.  Only an
+    optimisation -- the joins that follow still decide matches."""
+    keys = few_subject_keys(subjects)
+    if keys is None or not cols:
+        return df
+    if not keys:
+        return df.where(F.lit(False))
+    cond = F.col(cols[0]).isin(keys)
+    for c in cols[1:]:
+        cond = cond | F.col(c).isin(keys)
+    return df.where(cond)
 
 
 def subject_side(subjects: DataFrame, alias: str, max_rows: int = BROADCAST_MAX_ROWS

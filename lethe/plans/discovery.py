@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions import classify as C
 from ..operators.keyed import BROADCAST_MAX_ROWS
-from ..operators.subjects import count_matches
+from ..operators.subjects import count_matches, prefilter
 
 # Databases searched by discovery.
 DISCOVERY_DATABASES = ["CUSTOMER_DATA_DB", "ANALYTICS_DB", "COMPLIANCE_DB"]
@@ -93,12 +93,16 @@ def _email_columns(model, databases=None) -> dict[str, list[str]]:
     return out
 
 
-def _long_form(model, name: str, cols: list[str]) -> DataFrame:
-    """(database, schema, table, column, value) rows of one table."""
+def _long_form(model, name: str, cols: list[str], subjects: DataFrame | None = None) -> DataFrame:
+    """(database, schema, table, column, value) rows of one table; with a
+    few subjects, only rows that may hold one are read (scan pushdown)."""
     db, schema = model.location(name)
     stack = "stack({n}, {args}) as (column_name, value)".format(
         n=len(cols), args=", ".join(f"'{c.upper()}', cast(`{c}` as string)" for c in cols))
-    return (model[name].select(*cols).selectExpr(stack)
+    src = model[name].select(*cols)
+    if subjects is not None:
+        src = prefilter(src, cols, subjects)
+    return (src.selectExpr(stack)
             .where(F.col("value").isNotNull())
             .select(F.lit(db).alias("database_name"), F.lit(schema).alias("schema_name"),
                     F.lit(name.upper()).alias("table_name"), "column_name", "value"))
@@ -129,7 +133,7 @@ def discover_subjects(model, subjects: DataFrame, mode: str = "observed",
     spark = subjects.sparkSession
     email_cols = _email_columns(model, databases)
     if mode == "observed":
-        long = _union([_long_form(model, n, c) for n, c in email_cols.items()])
+        long = _union([_long_form(model, n, c, subjects) for n, c in email_cols.items()])
         counts = count_matches(long, "value", subjects,
                                ["database_name", "schema_name", "table_name", "column_name"],
                                max_broadcast_rows)
@@ -144,7 +148,8 @@ def discover_subjects(model, subjects: DataFrame, mode: str = "observed",
         db, schema = model.location(name)
         vals = F.array_distinct(F.filter(F.array(*[F.col(c) for c in cols]),
                                          lambda x: x.isNotNull()))
-        parts.append(model[name].select(F.explode(vals).alias("value")).select(
+        src = prefilter(model[name].select(*cols), cols, subjects)
+        parts.append(src.select(F.explode(vals).alias("value")).select(
             F.lit(db).alias("database_name"), F.lit(schema).alias("schema_name"),
             F.lit(name.upper()).alias("table_name"), "value"))
     per_table = count_matches(_union(parts), "value", subjects,

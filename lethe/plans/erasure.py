@@ -218,7 +218,8 @@ def deletion_summary(op_log: DataFrame) -> DataFrame:
 # --- verification ---------------------------------------------------------------
 
 def _counts(df: DataFrame, col: str, subjects: DataFrame, max_rows: int) -> DataFrame:
-    return S.count_matches(df.select(col), col, subjects, [], max_rows, name="n")
+    src = S.prefilter(df.select(col), [col], subjects)
+    return S.count_matches(src, col, subjects, [], max_rows, name="n")
 
 
 def verify_counts(before: dict[str, DataFrame], after: dict[str, DataFrame],
