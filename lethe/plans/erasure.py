@@ -87,11 +87,15 @@ def erase_delete(df: DataFrame, subjects: DataFrame, as_of, honour_row_holds: bo
                  cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows kept after deleting the subjects' rows, and per-subject counts
     of deleted rows.  Held rows stay when ``honour_row_holds``."""
+    cols = cols if cols is not None else email_columns(df)
     t = tag_rows(df, subjects, cols)
     hold = row_hold(df, as_of) if honour_row_holds else F.lit(False)
     gone = F.col("__subject").isNotNull() & ~hold
     kept = t.where(~gone).drop("__subject")
-    affected = (t.where(gone).groupBy(F.col("__subject").alias("customer_email"))
+    # the counts only need the subjects' rows: with few subjects the scan
+    # behind them skips row groups (IN pushdown) instead of re-reading all
+    hit = tag_rows(S.prefilter(df, cols, subjects), subjects, cols)
+    affected = (hit.where(gone).groupBy(F.col("__subject").alias("customer_email"))
                 .agg(F.count(F.lit(1)).alias("records_affected")))
     return kept, affected
 
@@ -115,7 +119,8 @@ def erase_pseudonymize(df: DataFrame, subjects: DataFrame, salt: str,
         else:
             out.append(F.col(c))
     table = t.select(*out)
-    affected = (t.where(hit).groupBy(F.col("__subject").alias("customer_email"))
+    sub = tag_rows(S.prefilter(df, cols, subjects), subjects, cols)
+    affected = (sub.where(hit).groupBy(F.col("__subject").alias("customer_email"))
                 .agg(F.count(F.lit(1)).alias("records_affected")))
     return table, affected
 
