@@ -204,7 +204,7 @@ SELECT customer_id,
        sha256(email) AS email_sha256,
        coalesce(consent_given_date, created_at) AS consent_or_created,
        TRY_CAST(postal_code AS BIGINT) AS postal_number,
-       TRY_CAST(first_name AS BIGINT) AS name_number,
+       TRY_CAST(first_name AS BIGINT) IS NULL AS name_not_numeric,
        list_contains(['01', '02', '03'], country_code) AS early_nation,
        len(['01', '02', country_code]) AS three,
        split_part(email, '@', 2) AS email_domain
@@ -240,7 +240,7 @@ def scalar_functions(m):
         F.sha2(e, 256).alias("email_sha256"),
         F.coalesce("consent_given_date", "created_at").alias("consent_or_created"),
         F.col("postal_code").try_cast("long").alias("postal_number"),
-        F.col("first_name").try_cast("long").alias("name_number"),
+        F.col("first_name").try_cast("long").isNull().alias("name_not_numeric"),
         F.array_contains(F.array(F.lit("01"), F.lit("02"), F.lit("03")),
                          F.col("country_code")).alias("early_nation"),
         F.size(F.array(F.lit("01"), F.lit("02"), F.col("country_code"))).alias("three"),
