@@ -125,12 +125,15 @@ def scenario_summary(steps: dict[str, DataFrame]) -> DataFrame:
     j = (s.join(disc, "customer_email", "left").join(sub, "customer_email", "left")
          .join(plan, "request_id", "left").join(notif, "customer_email", "left")
          .join(after, "customer_email", "left"))
+    verification = F.lit("NOT_ERASED")
     if steps.get("verification") is not None:
         ver = X.verify_all(steps["verification"]).select("customer_email", "all_verified")
         j = j.join(ver, "customer_email", "left")
+        verification = (F.when(F.col("all_verified"), F.lit("VERIFIED"))
+                         .when(~F.col("all_verified"), F.lit("NOT_VERIFIED"))
+                         .otherwise(F.lit("NOT_ERASED")))
     return j.select("customer_email", "active_before",
-                    F.coalesce("records_discovered", F.lit(0)).alias("records_discovered"),
+                    F.coalesce("records_discovered", F.lit(0)).cast("long").alias("records_discovered"),
                     "submit_outcome", "decision",
-                    F.coalesce("notifications", F.lit(0)).alias("notifications"),
-                    *(["all_verified"] if "all_verified" in j.columns else []),
-                    "completed_after")
+                    F.coalesce("notifications", F.lit(0)).cast("long").alias("notifications"),
+                    verification.alias("verification"), "completed_after")

@@ -81,7 +81,7 @@ INTENDED_SQL = """
 SELECT p.customer_email, c.database_name, c.schema_name, c.table_name, c.column_name,
        c.pii_classification, p.records_found, c.sensitivity_level
 FROM (SELECT customer_email, database_name, schema_name, table_name,
-             sum(records_found) AS records_found
+             CAST(sum(records_found) AS BIGINT) AS records_found
       FROM discovered GROUP BY ALL) p
 JOIN candidates c USING (database_name, schema_name, table_name)"""
 
@@ -93,7 +93,7 @@ def discover_subjects_intended(m):
 
 
 @register("discovery_join", _disc_with() + """
-SELECT customer_email, table_name, sum(records_found) AS matched_rows
+SELECT customer_email, table_name, CAST(sum(records_found) AS BIGINT) AS matched_rows
 FROM discovered GROUP BY customer_email, table_name""")
 def discovery_join(m):
     """Long-form e-mail values joined to the subject set, per table."""
@@ -102,7 +102,7 @@ def discovery_join(m):
 
 
 @register("discovery_summary", _disc_with() + """
-SELECT customer_email, sum(records_found) AS total_records,
+SELECT customer_email, CAST(sum(records_found) AS BIGINT) AS total_records,
        count(DISTINCT database_name) AS systems_affected,
        count(*) FILTER (WHERE sensitivity_level = 'HIGH') AS high_sensitivity_items
 FROM discovered GROUP BY customer_email""")
@@ -119,8 +119,8 @@ def distinct_tables(m):
 
 
 @register("sort_discovery", _disc_with() + """
-SELECT *, CASE sensitivity_level WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3
-                                 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS severity
+SELECT *, CAST(CASE sensitivity_level WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3
+                                      WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS BIGINT) AS severity
 FROM discovered ORDER BY sensitivity_level DESC, records_found DESC""")
 def sort_discovery(m):
     """Discovery in the reference's order, with a numeric severity column."""
@@ -262,7 +262,7 @@ def classify_by_name(m):
 
 @register("sensitivity", _disc_with(candidates=CANDIDATES_SQL) + """
 SELECT c.sensitivity_level, count(DISTINCT c.table_name || '.' || c.column_name) AS columns,
-       sum(p.records_found) AS records
+       CAST(sum(p.records_found) AS BIGINT) AS records
 FROM candidates c
 JOIN (SELECT database_name, schema_name, table_name, sum(records_found) AS records_found
       FROM discovered GROUP BY ALL) p USING (database_name, schema_name, table_name)

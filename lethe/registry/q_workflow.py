@@ -437,8 +437,8 @@ def coordination_outcome(m):
 STATUS_SQL = f"""
 SELECT s.email AS customer_email, coalesce(a.has_active, FALSE) AS has_active_request,
        a.last_request_date, coalesce(a.completed, FALSE) AS deletion_completed,
-       c.data_retention_until, c.consent_marketing AS marketing, c.consent_analytics AS analytics,
-       c.consent_given_date
+       c.data_retention_until, CAST(c.consent_marketing AS VARCHAR) AS marketing,
+       CAST(c.consent_analytics AS VARCHAR) AS analytics, c.consent_given_date
 FROM (SELECT DISTINCT email FROM px_customers) s
 LEFT JOIN (SELECT customer_email, count(*) FILTER (WHERE status IN {OPEN}) > 0 AS has_active,
                   max(requested_at) AS last_request_date,
@@ -452,8 +452,11 @@ LEFT JOIN (SELECT * FROM px_customers WHERE is_deleted = FALSE) c ON c.email = s
                                        "consent_given_date"]))
 def subject_status(m):
     """Compliance status of every customer (the status function, in bulk)."""
-    return Q.subject_status(m["customers"].select(F.col("email").alias("customer_email")),
-                            m["erasure_requests"], m["customers"])
+    st = Q.subject_status(m["customers"].select(F.col("email").alias("customer_email")),
+                          m["erasure_requests"], m["customers"])
+    # consents are NULL without a live record: shown as text (true/false/NULL)
+    return st.withColumn("marketing", F.col("marketing").cast("string")) \
+             .withColumn("analytics", F.col("analytics").cast("string"))
 
 
 @register("semi_has_request", with_tables("px_customers", "px_erasure_requests") + f"""
@@ -640,7 +643,7 @@ SELECT p.request_id, p.customer_email, TIMESTAMP '2001-08-01 00:00:00',
             ELSE 'IN_PROGRESS' END
 FROM sc_plan p"""
     notif = """
-SELECT s.customer_email, 5 AS notifications
+SELECT s.customer_email, CAST(5 AS BIGINT) AS notifications
 FROM subj s
 WHERE EXISTS (SELECT 1 FROM requests3 r WHERE r.customer_email = s.customer_email
               AND r.status IN ('IN_PROGRESS', 'COMPLETED'))"""
@@ -675,8 +678,9 @@ SELECT s.customer_email,
        coalesce((SELECT count(*) FROM long l WHERE l.value = s.customer_email), 0) AS records_discovered,
        sb.outcome AS submit_outcome,
        p.decision,
-       coalesce(n.notifications, 0) AS notifications,
-       v.all_verified,
+       coalesce(n.notifications, CAST(0 AS BIGINT)) AS notifications,
+       CASE WHEN v.all_verified THEN 'VERIFIED' WHEN NOT v.all_verified THEN 'NOT_VERIFIED'
+            ELSE 'NOT_ERASED' END AS verification,
        EXISTS (SELECT 1 FROM requests3 r WHERE r.customer_email = s.customer_email
                AND r.status = 'COMPLETED') AS completed_after
 FROM subj s

@@ -170,7 +170,7 @@ def test_full_scenario_on_fixtures(spark, fixtures):
     d = steps["dashboard"].first()
     assert d.completed_requests >= 1
     # verified by time travel against the pre-erasure snapshot, which is then expired
-    assert anna.all_verified is False  # her orders are under legal retention (row holds)
+    assert anna.verification == "NOT_VERIFIED"  # her orders are under legal retention (row holds)
     v = {r.table_name: r for r in steps["verification"].where(
         "customer_email = 'anna.mueller@email.de'").collect()}
     assert v["CUSTOMER_DATA_DB.CORE.CUSTOMERS"].deletion_verified is True
