@@ -39,6 +39,10 @@ def _type_name(dt: T.DataType) -> str:
     return dt.simpleString().upper()
 
 
+def _label(model, name: str) -> str:
+    return model.label(name) if hasattr(model, "label") else name.upper()
+
+
 def catalog_rows(model, databases=None) -> list[tuple]:
     """(database, schema, table, column, data_type) of every in-scope table.
 
@@ -52,7 +56,7 @@ def catalog_rows(model, databases=None) -> list[tuple]:
         if db not in dbs:
             continue
         for f in model[name].schema.fields:
-            rows.append((db, schema, name.upper(), f.name.upper(), _type_name(f.dataType)))
+            rows.append((db, schema, _label(model, name), f.name.upper(), _type_name(f.dataType)))
     return rows
 
 
@@ -105,7 +109,7 @@ def _long_form(model, name: str, cols: list[str], subjects: DataFrame | None = N
     return (src.selectExpr(stack)
             .where(F.col("value").isNotNull())
             .select(F.lit(db).alias("database_name"), F.lit(schema).alias("schema_name"),
-                    F.lit(name.upper()).alias("table_name"), "column_name", "value"))
+                    F.lit(_label(model, name)).alias("table_name"), "column_name", "value"))
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:
@@ -151,7 +155,7 @@ def discover_subjects(model, subjects: DataFrame, mode: str = "observed",
         src = prefilter(model[name].select(*cols), cols, subjects)
         parts.append(src.select(F.explode(vals).alias("value")).select(
             F.lit(db).alias("database_name"), F.lit(schema).alias("schema_name"),
-            F.lit(name.upper()).alias("table_name"), "value"))
+            F.lit(_label(model, name)).alias("table_name"), "value"))
     per_table = count_matches(_union(parts), "value", subjects,
                               ["database_name", "schema_name", "table_name"], max_broadcast_rows)
     cands = candidate_columns(column_catalog(spark, model, databases), intended=True).select(

@@ -125,12 +125,13 @@ def erase_pseudonymize(df: DataFrame, subjects: DataFrame, salt: str,
     return table, affected
 
 
-def erasure_targets(model) -> list[tuple[str, str, str, str]]:
+def erasure_targets(model, databases=None) -> list[tuple[str, str, str, str]]:
     """(table, database, schema, operation) for every erasable table."""
     out = []
+    dbs = set(databases or ERASURE_DATABASES)
     for name in model.names():
         db, schema = model.location(name)
-        if db not in ERASURE_DATABASES:
+        if db not in dbs:
             continue
         op = "PSEUDONYMIZE" if (db == C.PSEUDONYMIZE_DB and schema in C.PSEUDONYMIZE_SCHEMAS) else "DELETE"
         out.append((name, db, schema, op))
@@ -138,13 +139,14 @@ def erasure_targets(model) -> list[tuple[str, str, str, str]]:
 
 
 def plan_erasure(model, subjects: DataFrame, as_of, salt: str,
-                 honour_row_holds: bool = True) -> dict[str, dict]:
+                 honour_row_holds: bool = True, databases=None) -> dict[str, dict]:
     """For each erasable table: the new table DataFrame, per-subject counts,
     and status (SUCCESS, or SKIPPED when no subject column exists, or FAILED
     with the analysis error).  Nothing runs until the results are used."""
     out = {}
-    for name, db, schema, op in erasure_targets(model):
-        entry = {"database": db, "schema": schema, "operation": op, "error": None}
+    for name, db, schema, op in erasure_targets(model, databases):
+        entry = {"database": db, "schema": schema, "operation": op, "error": None,
+                 "label": model.label(name) if hasattr(model, "label") else name.upper()}
         df = None
         try:
             df = model[name]
@@ -180,7 +182,7 @@ def operation_log(planned: dict[str, dict], requests: DataFrame) -> DataFrame:
         if e["status"] == "FAILED":
             failed.append(F.struct(F.lit(e["database"]).alias("target_database"),
                                    F.lit(e["schema"]).alias("target_schema"),
-                                   F.lit(name.upper()).alias("target_table"),
+                                   F.lit(e.get("label", name.upper())).alias("target_table"),
                                    F.lit(e["operation"]).alias("operation_type"),
                                    F.lit(e["error"]).alias("error_message")))
         if e["affected"] is None:
@@ -188,7 +190,8 @@ def operation_log(planned: dict[str, dict], requests: DataFrame) -> DataFrame:
         parts.append(e["affected"].select(
             "customer_email", F.col("records_affected").cast("long").alias("records_affected"),
             F.lit(e["database"]).alias("target_database"), F.lit(e["schema"]).alias("target_schema"),
-            F.lit(name.upper()).alias("target_table"), F.lit(e["operation"]).alias("operation_type"),
+            F.lit(e.get("label", name.upper())).alias("target_table"),
+            F.lit(e["operation"]).alias("operation_type"),
             F.lit(e["status"]).alias("operation_status"),
             F.lit(None).cast("string").alias("error_message")).join(r, "customer_email", "inner"))
     if failed:
