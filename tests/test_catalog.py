@@ -11,7 +11,7 @@ from lethe.sources.catalog import CatalogModel
 
 def test_catalog_model_discovery_and_erasure(spark, fixtures):
     db = "lethe_catalog_test"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{scratch_path(spark, db)}'")
     for name in ("customers", "orders", "user_activities"):
         path = scratch_path(spark, name)
         fixtures[name].write.parquet(path)
