@@ -65,3 +65,26 @@ def test_compliance_status_levels(spark):
     df = spark.createDataFrame([(0,), (2,), (3,)], "n long")
     assert [r.s for r in df.select(C.compliance_status("n").alias("s")).collect()] == \
         ["COMPLIANT", "AT_RISK", "NON_COMPLIANT"]
+
+
+import re as _re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+_alphabet = "ab1-+@./ 9x"
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(alphabet=_alphabet, max_size=14), min_size=1, max_size=6))
+def test_value_classes_match_python_fullmatch(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [r.c for r in df.select(C.classify_by_value(F.lit("x"), F.col("v")).alias("c")).collect()]
+
+    def py(v):
+        for cls, pat in (("EMAIL_ADDRESS", C.EMAIL_RE), ("SSN", C.SSN_RE),
+                         ("PHONE_NUMBER", C.PHONE_RE), ("DATE_OF_BIRTH", C.DATE_RE)):
+            if _re.fullmatch(pat, v):
+                return cls
+        return "NON_PII"
+    assert got == [py(v) for v in values]

@@ -60,3 +60,13 @@ def test_unprivileged_never_sees_input(spark, user, domain):
     e = f"{user}@{domain}"
     for role in ["ANALYTICS_TEAM", "MARKETING_TEAM", "SALES", "PUBLIC"]:
         assert _one(spark, lambda v: M.mask_email(v, role), e) != e
+
+
+def test_masks_take_a_role_column(spark):
+    roles = M.ALL_ROLES
+    df = spark.createDataFrame([(r, "anna.mueller@email.de") for r in roles], "role string, e string")
+    got = {r.role: r.m for r in df.select("role", M.mask_email("e", F.col("role")).alias("m")).collect()}
+    assert got["GDPR_ADMIN"] == "anna.mueller@email.de"
+    assert got["DATA_SCIENTIST"] == "an****@email.de"
+    assert got["MARKETING_TEAM"] == "a****@email.de"
+    assert got["SHIPPING"] == "*****@*****.***"
