@@ -179,10 +179,11 @@ def operation_log(planned: dict[str, dict], requests: DataFrame) -> DataFrame:
     parts = []
     failed = []
     for name, e in planned.items():
+        label = e.get("label", name.upper())
         if e["status"] == "FAILED":
             failed.append(F.struct(F.lit(e["database"]).alias("target_database"),
                                    F.lit(e["schema"]).alias("target_schema"),
-                                   F.lit(e.get("label", name.upper())).alias("target_table"),
+                                   F.lit(label).alias("target_table"),
                                    F.lit(e["operation"]).alias("operation_type"),
                                    F.lit(e["error"]).alias("error_message")))
         if e["affected"] is None:
@@ -190,22 +191,25 @@ def operation_log(planned: dict[str, dict], requests: DataFrame) -> DataFrame:
         parts.append(e["affected"].select(
             "customer_email", F.col("records_affected").cast("long").alias("records_affected"),
             F.lit(e["database"]).alias("target_database"), F.lit(e["schema"]).alias("target_schema"),
-            F.lit(e.get("label", name.upper())).alias("target_table"),
-            F.lit(e["operation"]).alias("operation_type"),
+            F.lit(label).alias("target_table"), F.lit(e["operation"]).alias("operation_type"),
             F.lit(e["status"]).alias("operation_status"),
-            F.lit(None).cast("string").alias("error_message")).join(r, "customer_email", "inner"))
+            F.lit(None).cast("string").alias("error_message")))
+    out = None
+    if parts:
+        u = parts[0]
+        for p in parts[1:]:
+            u = u.unionByName(p)
+        # per-subject counts of all tables meet the requests in one join
+        out = u.join(r, "customer_email", "inner")
     if failed:
-        parts.append(r.select("customer_email", "request_id",
-                              F.explode(F.array(*failed)).alias("f")).select(
+        f = r.select("customer_email", "request_id", F.explode(F.array(*failed)).alias("f")).select(
             "customer_email", F.lit(None).cast("long").alias("records_affected"),
             "f.target_database", "f.target_schema", "f.target_table", "f.operation_type",
-            F.lit("FAILED").alias("operation_status"), "f.error_message", "request_id"))
-    if not parts:
+            F.lit("FAILED").alias("operation_status"), "f.error_message", "request_id")
+        out = f if out is None else out.unionByName(f)
+    if out is None:
         return spark.createDataFrame([], "operation_id string, request_id string")
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.select(
+    return out.select(
         F.concat(F.lit("OP_"), F.substring(F.sha2(F.concat_ws("|", "request_id", "target_database",
                                                               "target_schema", "target_table"), 256),
                                            1, 24)).alias("operation_id"),
