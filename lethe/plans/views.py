@@ -9,6 +9,11 @@ from ..functions import classify as C
 from ..functions import masking as M
 from ..operators.keyed import latest_per_key
 
+# What the analytics view shows for pseudonymized rows.
+PSEUDONYMIZED_EMAIL = "PSEUDONYMIZED_USER"
+ANONYMIZED_AGENT = "ANONYMIZED"
+ANONYMIZED_IP = "XXX.XXX.XXX.XXX"
+
 # Customer columns exposed by the compliant view.
 CUSTOMER_VIEW_COLUMNS = [
     "customer_id", "email", "first_name", "last_name", "phone_number", "date_of_birth",
@@ -88,10 +93,10 @@ def activities_safe(activities: DataFrame, role: str) -> DataFrame:
     return a.select(
         "event_id",
         F.when(p, F.col("pseudonym_id")).otherwise(F.col("customer_id")).alias("user_identifier"),
-        F.when(p, F.lit("PSEUDONYMIZED_USER")).otherwise(F.col("user_email")).alias("user_email"),
+        F.when(p, F.lit(PSEUDONYMIZED_EMAIL)).otherwise(F.col("user_email")).alias("user_email"),
         "session_id", "event_type", "event_timestamp", "page_url",
-        F.when(p, F.lit("ANONYMIZED")).otherwise(F.col("user_agent")).alias("user_agent"),
-        F.when(p, F.lit("XXX.XXX.XXX.XXX")).otherwise(F.col("ip_address")).alias("ip_address"),
+        F.when(p, F.lit(ANONYMIZED_AGENT)).otherwise(F.col("user_agent")).alias("user_agent"),
+        F.when(p, F.lit(ANONYMIZED_IP)).otherwise(F.col("ip_address")).alias("ip_address"),
         "device_type", "browser", "country_code", "event_properties",
         "is_pseudonymized", "consent_for_analytics", "created_at",
     )
