@@ -34,6 +34,17 @@ SSN_RE = r"\d{3}-\d{2}-\d{4}"
 PHONE_RE = r"\+?\d{10,15}"
 DATE_RE = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 
+# Output labels of the rules below, in rule order.
+PII_CLASSES = ["EMAIL_ADDRESS", "PHONE_NUMBER", "POSTAL_ADDRESS", "PERSONAL_NAME", "SSN",
+               "DATE_OF_BIRTH", "POTENTIAL_PII", "IP_ADDRESS", "NON_PII"]
+SENSITIVITY_LEVELS = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
+GDPR_STATUSES = ["DELETED", "DELETION_PENDING", "ACTIVE"]
+RETENTION_STATUSES = ["OVERDUE_FOR_DELETION", "DUE_FOR_DELETION_SOON", "WITHIN_RETENTION_PERIOD"]
+CONSENT_STATUSES = ["NO_CONSENT_RECORD", "ALL_CONSENT_WITHDRAWN", "MARKETING_CONSENT_WITHDRAWN",
+                    "ANALYTICS_CONSENT_WITHDRAWN", "CONSENTED"]
+COMPLIANCE_STATUSES = ["COMPLIANT", "AT_RISK", "NON_COMPLIANT"]
+OPERATION_TYPES = ["PSEUDONYMIZE", "DELETE"]
+
 # Statuses.
 OPEN_STATES = ["SUBMITTED", "VALIDATED", "IN_PROGRESS"]
 ACTIVE_STATES = ["IN_PROGRESS", "COMPLETED"]
