@@ -31,3 +31,32 @@ def test_stream_audit_daily_equals_batch(spark, model):
     batch = R.audit_summary(model["gdpr_audit_log"], derived.EVENTS_AS_OF, months=3)
     key = ["audit_date", "event_type", "event_count", "unique_customers", "unique_users"]
     assert sorted(streamed.select(*key).collect()) == sorted(batch.select(*key).collect())
+
+
+def test_audit_window_drops_late_rows_in_append_mode(spark):
+    """Four files arrive one per micro-batch.  The day-1 window is emitted
+    once the watermark (max event time - 1 day) passes its end; an event for
+    day 1 arriving after that is dropped, and windows the watermark has not
+    closed (day 9) are not emitted."""
+    import datetime as dt
+    import time
+    from lethe.session import scratch_path
+    root = scratch_path(spark, "late-audit")
+    schema = ("audit_id string, event_type string, event_timestamp timestamp, "
+              "customer_email string, user_name string")
+    batches = [
+        [("a1", "LOGIN", dt.datetime(2024, 1, 1, 10), "x@e.org", "u1"),
+         ("a2", "LOGIN", dt.datetime(2024, 1, 1, 11), "y@e.org", "u1")],
+        [("a3", "LOGIN", dt.datetime(2024, 1, 5, 9), "x@e.org", "u2")],
+        [("a4", "LOGIN", dt.datetime(2024, 1, 6, 9), "x@e.org", "u2")],
+        [("a5", "LOGIN", dt.datetime(2024, 1, 1, 12), "z@e.org", "u3"),   # late
+         ("a6", "LOGIN", dt.datetime(2024, 1, 9, 9), "x@e.org", "u2")],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/in/b{i}")
+        time.sleep(1.1)  # files are taken in modification-time order
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(f"{root}/in"))
+    out = S.run_to_table(S.audit_daily(stream, "1 day", exact=True), "late", "append")
+    got = sorted((r.audit_date.isoformat(), r.event_count, r.unique_customers) for r in out.collect())
+    assert got == [("2024-01-01", 2, 2), ("2024-01-05", 1, 1), ("2024-01-06", 1, 1)]
