@@ -26,3 +26,18 @@ def test_commit_read_as_of_expire(spark, fixtures):
     assert removed == [0]
     assert store.current("customers").count() == 11
     assert not os.path.exists(os.path.join(store.root, "customers", "v=0"))
+
+
+def test_uncommitted_version_is_invisible_and_overwritten(spark, fixtures):
+    """A writer that dies after writing data but before its manifest row
+    leaves a folder no reader selects; the next commit takes that version
+    number and overwrites it."""
+    store = SnapshotStore(spark, scratch_path(spark, "snapshots-crash"))
+    t0 = dt.datetime(2024, 3, 19, 12, 0)
+    store.commit("customers", fixtures["customers"], t0)
+    # crashed writer: data of v=1 written, no manifest row
+    fixtures["customers"].limit(3).write.parquet(f"{store.root}/customers/v=1")
+    assert store.current("customers").count() == 12
+    assert store.read_as_of("customers", t0 + dt.timedelta(days=1)).count() == 12
+    v = store.commit("customers", fixtures["customers"].limit(5), t0 + dt.timedelta(hours=2))
+    assert v == 1 and store.current("customers").count() == 5
