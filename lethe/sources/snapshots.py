@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST_SCHEMA = "table_name string, version bigint, committed_at timestamp, rows bigint"
@@ -66,8 +66,11 @@ class SnapshotStore:
         """Write ``df`` as the next version of ``table``; returns the version."""
         v = self._next_version(table)
         out = df.repartition(partitions) if partitions else df
-        out.write.mode("overwrite").parquet(f"{self._table_dir(table)}/v={v}")
-        rows = self.spark.read.parquet(f"{self._table_dir(table)}/v={v}").count()
+        # the row count is observed by the write job itself (no second pass)
+        obs = Observation(f"commit-{table}-v{v}")
+        out.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(
+            f"{self._table_dir(table)}/v={v}")
+        rows = int(obs.get["rows"])
         row = self.spark.createDataFrame([(table, v, committed_at, rows)], MANIFEST_SCHEMA)
         row.coalesce(1).write.mode("overwrite").parquet(f"{self._manifest_dir()}/{table}-v{v}.parquet")
         return v
