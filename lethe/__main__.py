@@ -62,7 +62,6 @@ def main(argv=None) -> None:
     else:
         out = R.requests_topk(model["erasure_requests"], as_of, a.limit)
     out.show(a.rows, truncate=False)
-    spark.stop()
 
 
 if __name__ == "__main__":

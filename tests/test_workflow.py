@@ -207,3 +207,11 @@ def test_failed_table_is_logged_and_blocks_completion(spark, fixtures):
         .withColumn("request_id", F.lit("REQ_X")).withColumn("customer_email", F.lit("anna.mueller@email.de")))
     done = Q.complete_requests(full, log, FIXTURE_AS_OF).first()
     assert done.status == "IN_PROGRESS" and done.completed_at is None
+
+
+def test_command_line_runs(spark, capsys):
+    from lethe.__main__ import main
+    main(["dashboard", "--data", "/root/testdata/sf0.001"])
+    main(["status", "--data", "/root/testdata/sf0.001", "--email", "user10@automobile.example.com"])
+    out = capsys.readouterr().out
+    assert "overall_compliance_status" in out and "has_active_request" in out
