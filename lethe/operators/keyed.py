@@ -90,10 +90,10 @@ def not_in(df: DataFrame, col: str, subset: DataFrame, subset_col: str,
     if is_small(keys, max_rows):
         kept = df.join(F.broadcast(keys), df[col] == F.col("__k"), "left_anti")
     else:
-        # NULL probe keys never match; spread them over partitions with a
-        # deterministic non-matching key instead of hashing them all to one
-        probe = df.withColumn("__probe", spread_nulls(df, col))
-        kept = probe.join(keys, probe["__probe"] == keys["__k"], "left_anti").drop("__probe")
+        # NULL probe keys never match: they get a spread, non-matching key;
+        # hot keys are salted over several tasks
+        from .skew import salted_join
+        kept = salted_join(df, keys.distinct(), col, "__k", "left_anti")
     return kept.where(~(nonempty & (F.col(col).isNull() | has_null)))
 
 

@@ -10,9 +10,9 @@ set (never by guesswork):
   table at all;
 * the set is large -> a shuffle join.  Rows whose key is NULL can never
   match; they get a spread, non-matching probe key (otherwise they would
-  all hash to one task), and counting pre-aggregates per value before the
-  shuffle so a hot value is combined map-side.  AQE's skew-join handling splits any remaining hot
-  partition of the table side.
+  all hash to one task); keys with very many rows are salted over several
+  tasks (``operators.skew``); counting pre-aggregates per value before the
+  shuffle, so a hot value is combined map-side.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import BROADCAST_MAX_ROWS, is_small, spread_nulls
+from .keyed import BROADCAST_MAX_ROWS, is_small
+from .skew import salted_join
 
 SUBJECT = "customer_email"
 # Subject sets up to this many keys are also pushed into the table scans as
@@ -83,10 +84,9 @@ def tag_rows(df: DataFrame, subjects: DataFrame, cols: list[str],
         if small:
             out = out.join(side, out[c] == side[alias], "left")
         else:
-            # NULL keys never match: a spread, non-matching probe key keeps
-            # them from all hashing into one task (one scan, one join)
-            probe = out.withColumn("__probe", spread_nulls(out, c))
-            out = probe.join(side, probe["__probe"] == side[alias], "left").drop("__probe")
+            # shuffle join: NULL keys get a spread, non-matching probe key
+            # and hot keys are salted over several tasks (see operators.skew)
+            out = salted_join(out, side, c, alias, "left")
         hits.append(F.col(alias))
     subject = F.coalesce(*hits) if hits else F.lit(None).cast("string")
     return out.withColumn("__subject", subject).drop(*[f"__s{i}" for i in range(len(cols))])

@@ -107,3 +107,24 @@ def test_latest_request_join_is_a_left_join_with_ties(spark, reqs):
         hits = [t for e, t, _ in reqs if em is not None and e == em and t is not None and t == best.get(e)]
         want += [(cid, t) for t in hits] or [(cid, None)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_salted_join_equals_plain_join_on_skewed_keys(spark, model):
+    from pyspark.sql import functions as F
+    from lethe.operators.skew import salted_join
+    acts = model["user_activities"].select("event_id", "user_email")
+    k = F.substring("event_id", 5, 20).cast("long")
+    hot = "hot.subject@example.com"
+    big = acts.withColumn("user_email", F.when(k % 3 == 0, F.lit(hot))
+                          .when(k % 3 == 1, F.lit(None)).otherwise(F.col("user_email")))
+    small = (model["erasure_requests"].select(F.col("customer_email").alias("s")).distinct()
+             .unionByName(spark.createDataFrame([(hot,)], "s string")))
+    for how in ("left", "inner", "left_anti"):
+        salted = salted_join(big, small, "user_email", "s", how, min_rows=50, buckets=4)
+        plain = big.join(small, big["user_email"] == small["s"], how)
+        cols = ["event_id", "user_email"] + ([] if how == "left_anti" else ["s"])
+        assert sorted(map(tuple, salted.select(*cols).collect()), key=str) == \
+            sorted(map(tuple, plain.select(*cols).collect()), key=str), how
+    p = salted_join(big, small, "user_email", "s", "left", min_rows=50, buckets=4) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "__salt" in p
