@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import masking as M
 from ..operators.keyed import latest_per_key
+from ..operators.skew import salted_join
 
 # What the analytics view shows for pseudonymized rows.
 PSEUDONYMIZED_EMAIL = "PSEUDONYMIZED_USER"
@@ -35,11 +36,12 @@ def latest_request_join(customers: DataFrame, requests: DataFrame) -> DataFrame:
 
     Written as INNER JOIN UNION ALL (customers without a request): a subject
     whose newest requests are many tied rows would otherwise sit, whole, in
-    one task as the non-splittable side of an outer join; the inner join's
-    skewed partition can be split by AQE, and the anti join probes distinct
-    keys only."""
+    one task as the non-splittable side of an outer join.  The inner join
+    salts such hot subjects over several tasks, and the anti join probes
+    distinct keys only."""
     lr = latest_requests(requests).withColumnRenamed("customer_email", "__req_email")
-    matched = customers.join(lr, customers["email"] == lr["__req_email"], "inner").drop("__req_email")
+    # the request side may hold a hot subject (many tied rows): salted join
+    matched = salted_join(lr, customers, "__req_email", "email", "inner").drop("__req_email")
     # e-mails that have a newest request = e-mails with a dated request: one
     # narrow scan with map-side de-duplication, not a second latest-pass
     keys = (requests.where(F.col("requested_at").isNotNull())
