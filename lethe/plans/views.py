@@ -72,7 +72,8 @@ def customers_compliant(customers: DataFrame, requests: DataFrame, as_of) -> Dat
 def orders_safe(orders: DataFrame, compliant: DataFrame, role: str) -> DataFrame:
     """Orders of visible customers with masked e-mail and billing address."""
     c = compliant.select(F.col("customer_id").alias("__cid"), "gdpr_status")
-    j = orders.join(c, orders["customer_id"] == c["__cid"], "inner")
+    # one customer may own a large share of all orders: salted join
+    j = salted_join(orders, c, "customer_id", "__cid", "inner")
     if role not in ("ACCOUNTADMIN", "GDPR_ADMIN"):
         j = j.where(F.col("gdpr_status") != "DELETED")
     return j.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
+from ..operators.skew import salted_join
 from ..plans import reports as R
 from ..sources.derived import AS_OF, EVENTS_AS_OF, VALID_REASONS
 from .core import canon_sql, register
@@ -209,7 +210,7 @@ def subject_lookup(m):
     live = (m["customers"].where(F.col("is_deleted") == F.lit(False))
             .select(F.col("customer_id").alias("found_customer_id"), F.col("email")))
     r = m["erasure_requests"].select("request_id", "customer_email")
-    return r.join(live, r["customer_email"] == live["email"], "left").drop("email")
+    return salted_join(r, live, "customer_email", "email", "left").drop("email")
 
 
 VALID_SQL = ", ".join(f"'{v}'" for v in VALID_REASONS)

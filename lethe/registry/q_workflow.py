@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
-from ..operators.keyed import spread_nulls
+from ..operators.skew import salted_join
 from ..plans import erasure as X
 from ..plans import requests as Q
 from ..sources.derived import AS_OF, VALID_REASONS
@@ -558,10 +558,9 @@ def fk_orphans(m):
     for c, fc, p, pc in FK:
         parent = m[p].select(F.col(pc).alias("__pk"))
         child = m[c].select(fc)
-        # NULL foreign keys are orphans too; a spread probe key keeps them
-        # from all hashing into one task of the anti join
-        child = child.withColumn("__probe", spread_nulls(child, fc))
-        orphans = child.join(parent, child["__probe"] == parent["__pk"], "left_anti")
+        # NULL foreign keys are orphans too: the salted anti join spreads
+        # them (and any hot key) instead of hashing them into one task
+        orphans = salted_join(child, parent, fc, "__pk", "left_anti")
         part = orphans.agg(F.count(F.lit(1)).alias("orphan_rows")).select(
             F.lit(c).alias("child_table"), F.lit(fc).alias("fk_column"), "orphan_rows")
         out = part if out is None else out.unionByName(part)
