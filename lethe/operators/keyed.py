@@ -93,7 +93,7 @@ def not_in(df: DataFrame, col: str, subset: DataFrame, subset_col: str,
         # NULL probe keys never match: they get a spread, non-matching key;
         # hot keys are salted over several tasks
         from .skew import salted_join
-        kept = salted_join(df, keys.distinct(), col, "__k", "left_anti")
+        kept = salted_join(df, keys.distinct(), col, "__k", "left_anti", broadcast_max_rows=max_rows)
     return kept.where(~(nonempty & (F.col(col).isNull() | has_null)))
 
 

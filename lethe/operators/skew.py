@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import is_small, spread_nulls
+from .keyed import BROADCAST_MAX_ROWS, is_small, spread_nulls
 
 HOT_KEY_ROWS = 1_000_000   # rows of one key that make it hot
 SALT_BUCKETS = 32          # tasks a hot key is spread over
@@ -38,15 +38,24 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS) -> DataFrame
 
 
 def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, how: str,
-                min_rows: int = HOT_KEY_ROWS, buckets: int = SALT_BUCKETS) -> DataFrame:
+                min_rows: int = HOT_KEY_ROWS, buckets: int = SALT_BUCKETS,
+                broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
     """``big`` joined to ``small`` on ``big_key == small_key`` with hot keys
     of ``big`` salted.  ``how`` is ``left``, ``inner`` or ``left_anti``;
-    the output has ``big``'s columns (plus ``small``'s unless anti)."""
+    the output has ``big``'s columns (plus ``small``'s unless anti).
+
+    When ``small`` is within the broadcast bound (counted), it is broadcast
+    instead: a map-side join has no reduce task for a hot key to overload."""
+    cols = big.columns
+    keep = cols if how == "left_anti" else cols + [c for c in small.columns if c not in cols]
+    if broadcast_max_rows is not None and is_small(small, broadcast_max_rows):
+        sb = F.broadcast(small)
+        out = big.join(sb, big[big_key] == sb[small_key], how)
+        return out.select(*[big[c] if c in cols else sb[c] for c in keep])
     hot = hot_keys(big, big_key, min_rows)
     if not is_small(hot, MAX_HOT_KEYS):
         raise ValueError("hot-key list above its broadcast bound; raise min_rows")
     hot_b = F.broadcast(hot.withColumn("__is_hot", F.lit(True)))
-    cols = big.columns
     probe = spread_nulls(big, big_key)
     b = (big.join(hot_b, big[big_key] == hot_b["__hot"], "left")
          .withColumn("__probe", probe)
@@ -60,5 +69,4 @@ def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
          .drop("__hot", "__is_hot"))
     cond = (b["__probe"] == s[small_key]) & (b["__salt"] == s["__salt"])
     out = b.join(s, cond, how)
-    keep = cols if how == "left_anti" else cols + [c for c in small.columns if c not in cols]
     return out.select(*[b[c] if c in cols else s[c] for c in keep])

@@ -86,7 +86,7 @@ def tag_rows(df: DataFrame, subjects: DataFrame, cols: list[str],
         else:
             # shuffle join: NULL keys get a spread, non-matching probe key
             # and hot keys are salted over several tasks (see operators.skew)
-            out = salted_join(out, side, c, alias, "left")
+            out = salted_join(out, side, c, alias, "left", broadcast_max_rows=max_rows)
         hits.append(F.col(alias))
     subject = F.coalesce(*hits) if hits else F.lit(None).cast("string")
     return out.withColumn("__subject", subject).drop(*[f"__s{i}" for i in range(len(cols))])
