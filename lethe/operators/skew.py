@@ -6,8 +6,9 @@ whole job.  ``salted_join`` splits such keys explicitly:
 
 1. one aggregation over the big side's key column finds the keys with at
    least ``min_rows`` rows (partial aggregation, so the hot key itself is
-   combined map-side); there are at most ``rows / min_rows`` of them, and
-   that bound is checked before they are broadcast;
+   combined map-side); there are at most ``rows / min_rows`` of them, the
+   list is bounded (at most ``MAX_HOT_KEYS``, checked) and broadcast; with
+   no hot key the join is a plain shuffle join;
 2. big-side rows of a hot key get a salt in ``[0, buckets)`` from a hash of
    the row (deterministic, so a retried task reproduces it); other rows get
    salt 0;
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import BROADCAST_MAX_ROWS, is_small, spread_nulls
+from .keyed import is_small, spread_nulls
 
 HOT_KEY_ROWS = 1_000_000   # rows of one key that make it hot
 SALT_BUCKETS = 32          # tasks a hot key is spread over
@@ -39,24 +40,35 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS) -> DataFrame
 
 def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, how: str,
                 min_rows: int = HOT_KEY_ROWS, buckets: int = SALT_BUCKETS,
-                broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
+                broadcast_max_rows: int | None = None) -> DataFrame:
     """``big`` joined to ``small`` on ``big_key == small_key`` with hot keys
     of ``big`` salted.  ``how`` is ``left``, ``inner`` or ``left_anti``;
     the output has ``big``'s columns (plus ``small``'s unless anti).
 
-    When ``small`` is within the broadcast bound (counted), it is broadcast
-    instead: a map-side join has no reduce task for a hot key to overload."""
+    With ``broadcast_max_rows``, a ``small`` side within that bound (counted
+    first) is broadcast instead: a map-side join has no reduce task for a hot
+    key to overload.  Without it nothing is counted; the salted plan still
+    lets AQE turn the final join into a broadcast from runtime sizes."""
     cols = big.columns
     keep = cols if how == "left_anti" else cols + [c for c in small.columns if c not in cols]
     if broadcast_max_rows is not None and is_small(small, broadcast_max_rows):
         sb = F.broadcast(small)
         out = big.join(sb, big[big_key] == sb[small_key], how)
         return out.select(*[big[c] if c in cols else sb[c] for c in keep])
-    hot = hot_keys(big, big_key, min_rows)
-    if not is_small(hot, MAX_HOT_KEYS):
+    # one job finds the hot keys; the list is bounded before it is used
+    hot_rows = hot_keys(big, big_key, min_rows).limit(MAX_HOT_KEYS + 1).collect()
+    if len(hot_rows) > MAX_HOT_KEYS:
         raise ValueError("hot-key list above its broadcast bound; raise min_rows")
-    hot_b = F.broadcast(hot.withColumn("__is_hot", F.lit(True)))
     probe = spread_nulls(big, big_key)
+    if not hot_rows:
+        # no hot key: a plain shuffle join, NULL probe keys spread
+        b = big.withColumn("__probe", probe)
+        out = b.join(small, b["__probe"] == small[small_key], how)
+        return out.select(*[b[c] if c in cols else small[c] for c in keep])
+    spark = big.sparkSession
+    key_type = big.schema[big_key].dataType.simpleString()
+    hot = spark.createDataFrame([(r[0],) for r in hot_rows], f"__hot {key_type}")
+    hot_b = F.broadcast(hot.withColumn("__is_hot", F.lit(True)))
     b = (big.join(hot_b, big[big_key] == hot_b["__hot"], "left")
          .withColumn("__probe", probe)
          .withColumn("__salt", F.when(F.col("__is_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in cols]),
