@@ -55,8 +55,10 @@ def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
         sb = F.broadcast(small)
         out = big.join(sb, big[big_key] == sb[small_key], how)
         return out.select(*[big[c] if c in cols else sb[c] for c in keep])
-    # one job finds the hot keys; the list is bounded before it is used
-    hot_rows = hot_keys(big, big_key, min_rows).limit(MAX_HOT_KEYS + 1).collect()
+    # one job finds the hot keys; the list is bounded before it is used (a
+    # stream has no finished key distribution to look at: no salting there)
+    hot_rows = ([] if big.isStreaming else
+                hot_keys(big, big_key, min_rows).limit(MAX_HOT_KEYS + 1).collect())
     if len(hot_rows) > MAX_HOT_KEYS:
         raise ValueError("hot-key list above its broadcast bound; raise min_rows")
     probe = spread_nulls(big, big_key)

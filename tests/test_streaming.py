@@ -60,3 +60,16 @@ def test_audit_window_drops_late_rows_in_append_mode(spark):
     out = S.run_to_table(S.audit_daily(stream, "1 day", exact=True), "late", "append")
     got = sorted((r.audit_date.isoformat(), r.event_count, r.unique_customers) for r in out.collect())
     assert got == [("2024-01-01", 2, 2), ("2024-01-05", 1, 1), ("2024-01-06", 1, 1)]
+
+
+def test_stream_suppress_shuffle_path(spark, model):
+    """Above the broadcast bound the streaming anti join takes the shuffle
+    path (no hot-key pass on a stream) and gives the same rows."""
+    from lethe.operators.keyed import not_in
+    acts = derived.user_activities(_Streamed(model)).select("event_id", "user_email")
+    done = model["erasure_requests"].where("status = 'COMPLETED'").select("customer_email")
+    streamed = S.run_to_table(not_in(acts, "user_email", done, "customer_email", max_rows=0),
+                              "t_suppress_shuffle")
+    batch = P.rap_erased(model["user_activities"], "user_email", model["erasure_requests"],
+                         "SALES").select("event_id", "user_email")
+    assert sorted(streamed.collect()) == sorted(batch.collect())
