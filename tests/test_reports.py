@@ -38,3 +38,23 @@ def test_topk_and_latest_active_on_fixtures(fixtures):
     la = {r.customer_email: r.request_id for r in
           R.latest_active_request(fixtures["erasure_requests"]).collect()}
     assert la == {"consent.withdrawn@email.de": "REQ_2024_001", "jean.dupont@email.fr": "REQ_2024_002"}
+
+
+def test_views_and_policies_on_fixtures(fixtures):
+    from lethe.operators import policies as P
+    from lethe.plans import views as V
+    comp = V.customers_compliant(fixtures["customers"], fixtures["erasure_requests"], FIXTURE_AS_OF)
+    orders = {r.order_id: r for r in V.orders_safe(fixtures["orders"], comp, "ANALYTICS_TEAM").collect()}
+    assert len(orders) == 6
+    assert orders["ORD_001_001"].customer_email == "an****@email.de"
+    assert orders["ORD_001_001"].billing_address == '{"masked":"true","city":"Berlin","country":"DE"}'
+    acts = V.activities_safe(fixtures["user_activities"], "ANALYTICS_TEAM")
+    assert acts.count() == 5  # two events lack analytics consent, none is pseudonymized
+    assert V.activities_safe(fixtures["user_activities"], "GDPR_ADMIN").count() == 7
+    visible = P.apply_row_policies(fixtures["user_activities"], "user_activities", "CUSTOMER_SERVICE",
+                                   fixtures["erasure_requests"])
+    assert visible.count() == 6  # the erased subject's event is hidden
+    marketing = P.apply_row_policies(fixtures["customers"], "customers", "MARKETING_TEAM",
+                                     fixtures["erasure_requests"])
+    assert sorted(r.customer_id for r in marketing.collect()) == [
+        "CUST_001", "CUST_003", "CUST_004", "CUST_006", "CUST_007", "CUST_010", "CUST_012"]
