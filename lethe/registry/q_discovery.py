@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..plans import discovery as D
 from ..sources.derived import DERIVED
-from .core import canon_sql, register
+from .core import register
 from .oracle_base import with_tables
 
 # Oracle side: e-mail columns of the in-scope derived tables, in long form.
