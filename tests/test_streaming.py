@@ -73,3 +73,18 @@ def test_stream_suppress_shuffle_path(spark, model):
     batch = P.rap_erased(model["user_activities"], "user_email", model["erasure_requests"],
                          "SALES").select("event_id", "user_email")
     assert sorted(streamed.collect()) == sorted(batch.collect())
+
+
+def test_stream_audit_daily_sketch_is_close_to_exact(spark, model):
+    """The default (bounded-state) form keeps HLL sketches: distinct counts
+    within a few percent of the exact ones; event counts exact."""
+    audit = derived.gdpr_audit_log(_Streamed(model))
+    approx = {(r.audit_date, r.event_type): r for r in
+              S.run_to_table(S.audit_daily(audit), "t_audit_hll", "complete").collect()}
+    exact = {(r.audit_date, r.event_type): r for r in
+             R.audit_summary(model["gdpr_audit_log"], derived.EVENTS_AS_OF, months=3).collect()}
+    assert approx.keys() == exact.keys()
+    for k, e in exact.items():
+        a = approx[k]
+        assert a.event_count == e.event_count
+        assert abs(a.unique_customers - e.unique_customers) <= max(1, 0.05 * e.unique_customers)
