@@ -804,3 +804,30 @@ def workflow_audit(m):
     a = run(m, subj, AS_OF, SALT)["audit"]
     return a.select("audit_id", "event_type", "event_timestamp", "customer_email",
                     "event_description", "event_data", "audit_hash")
+
+
+_TS_JSON = "strftime({c}, '%Y-%m-%dT%H:%M:%S.000Z')"
+
+
+@register("subject_status_object", with_tables("px_customers", "px_erasure_requests", st=STATUS_SQL) + f"""
+SELECT customer_email,
+       '{{"customer_email":"' || customer_email || '","has_active_request":'
+       || CASE WHEN has_active_request THEN 'true' ELSE 'false' END
+       || coalesce(',"last_request_date":"' || {_TS_JSON.format(c='last_request_date')} || '"', '')
+       || ',"deletion_completed":' || CASE WHEN deletion_completed THEN 'true' ELSE 'false' END
+       || coalesce(',"data_retention_until":"' || CAST(data_retention_until AS VARCHAR) || '"', '')
+       || CASE WHEN marketing IS NULL AND analytics IS NULL AND consent_given_date IS NULL THEN ''
+               ELSE ',"consent_status":{{' || concat_ws(',',
+                    CASE WHEN marketing IS NOT NULL THEN '"marketing":' || marketing END,
+                    CASE WHEN analytics IS NOT NULL THEN '"analytics":' || analytics END,
+                    CASE WHEN consent_given_date IS NOT NULL
+                         THEN '"consent_given_date":"' || {_TS_JSON.format(c='consent_given_date')} || '"' END)
+                    || '}}' END
+       || '}}' AS compliance_status
+FROM st""")
+def subject_status_object(m):
+    """The status function's OBJECT per customer, as JSON text (absent
+    values omitted)."""
+    st = Q.subject_status(m["customers"].select(F.col("email").alias("customer_email")),
+                          m["erasure_requests"], m["customers"])
+    return Q.subject_status_object(st)
