@@ -7,7 +7,8 @@ whole DataFrame of subjects:
 1. the catalog (table schemas, driver-side metadata only) selects candidate
    columns by name and classifies them;
 2. every in-scope table is read once, only its e-mail columns, and turned
-   into long form ``(table, column, value)`` with ``stack``;
+   into long form ``(table, column, value)`` with ``stack``; with few
+   subjects an ``IN`` predicate on those columns reaches the scan first;
 3. the long form is joined to the subjects -- broadcast when the subject set
    is proven small, otherwise pre-aggregated per value (map-side partial
    aggregation absorbs hot values) and shuffle-joined;
