@@ -2,8 +2,9 @@
 the operations, and verify the result against an earlier snapshot.
 
 One Spark job per table: the table is tagged by a left join to the subject
-set (broadcast only when the set is proven small), then rows are dropped
-(DELETE) or rewritten (PSEUDONYMIZE) in a single projection.  The result is a
+set (broadcast only when the set is proven small, otherwise a shuffle join
+with NULL keys spread and hot keys salted), then rows are dropped (DELETE)
+or rewritten (PSEUDONYMIZE) in a single projection.  The result is a
 new DataFrame to be committed as a snapshot (see ``sources.snapshots``);
 nothing is updated in place.
 """
