@@ -32,6 +32,7 @@ def main(argv=None) -> None:
     ap.add_argument("--salt", default="change-me")
     ap.add_argument("--store", default=None, help="snapshot folder (shared storage)")
     ap.add_argument("--rows", type=int, default=50, help="rows to print")
+    ap.add_argument("--json", action="store_true", help="status as one JSON object per subject")
     a = ap.parse_args(argv)
 
     from .plans import discovery as D, reports as R, requests as Q, scenario as SC
@@ -50,6 +51,8 @@ def main(argv=None) -> None:
         out = D.sort_discovery(D.discover_subjects(model, subjects))
     elif a.command == "status":
         out = Q.subject_status(subjects, model["erasure_requests"], model["customers"])
+        if a.json:
+            out = Q.subject_status_object(out)
     elif a.command == "request":
         cand = subjects.select("customer_email", F.lit(a.reason).alias("erasure_reason"),
                                F.lit(1).cast("long").alias("submission_seq"))
