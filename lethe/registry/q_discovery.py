@@ -115,6 +115,7 @@ def discovery_summary(m):
 SELECT DISTINCT customer_email, database_name, schema_name, table_name
 FROM discovered WHERE records_found > 0""")
 def distinct_tables(m):
+    """Distinct (database, schema, table) holding each subject's data."""
     return D.distinct_tables(observed(m))
 
 

@@ -33,6 +33,7 @@ def mask_email(m):
 SELECT customer_id, email AS email_dpo, regexp_replace(email, '.{1,}@', '*****@') AS email_other
 FROM px_customers""")
 def mask_email_simple(m):
+    """Documented simple e-mail mask: clear for two roles, local part starred otherwise."""
     c = m["customers"]
     return c.select("customer_id",
                     M.mask_email_simple("email", "DATA_PROTECTION_OFFICER").alias("email_dpo"),
@@ -69,6 +70,7 @@ SELECT customer_id, address_line1 AS address_shipping,
        {ADDR_SQL.format(v='address_line2')} AS address2_other
 FROM px_customers""")
 def mask_address(m):
+    """Address mask: digit runs starred except for shipping and support roles."""
     c = m["customers"]
     return c.select("customer_id",
                     M.mask_address("address_line1", "SHIPPING").alias("address_shipping"),
@@ -83,6 +85,7 @@ SELECT customer_id, first_name AS first_support,
        {NAME_SQL.format(v="left(country_code, 1)")} AS single_letter_other
 FROM px_customers""")
 def mask_name(m):
+    """Name mask: first letter kept, the rest starred; a single letter becomes '*'."""
     c = m["customers"]
     return c.select("customer_id",
                     M.mask_name("first_name", "GDPR_ADMIN").alias("first_support"),
@@ -95,6 +98,7 @@ def mask_name(m):
 SELECT customer_id, date_of_birth AS dob_support, {DOB_SQL.format(v='date_of_birth')} AS dob_other
 FROM px_customers""", ["dob_support", "dob_other"]))
 def mask_dob(m):
+    """Date-of-birth mask: only the year is kept."""
     c = m["customers"]
     return c.select("customer_id",
                     M.mask_dob("date_of_birth", "CUSTOMER_SERVICE").alias("dob_support"),
@@ -146,6 +150,7 @@ SELECT order_id, billing_address AS billing_shipping,
        || '","country":"' || json_extract_string(billing_address, '$.country') || '"}' AS billing_other
 FROM px_orders""")
 def json_mask_address(m):
+    """JSON address mask: only masked flag, city and country remain."""
     o = m["orders"]
     return o.select("order_id",
                     M.json_mask_address("billing_address", "SHIPPING").alias("billing_shipping"),

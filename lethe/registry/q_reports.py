@@ -43,6 +43,7 @@ def dashboard(m):
 @register("compliance_status", with_tables("px_erasure_requests") + f"""
 SELECT overall_compliance_status, overdue_requests FROM ({DASHBOARD_SQL})""")
 def compliance_status(m):
+    """Overall status from the number of overdue open requests."""
     return R.dashboard(m["erasure_requests"], AS_OF).select(
         "overall_compliance_status", "overdue_requests")
 
@@ -133,6 +134,7 @@ def legal_hold_join(m):
 SELECT customer_email, count(*) FILTER (WHERE status IN {OPEN}) AS active_requests
 FROM px_erasure_requests GROUP BY customer_email""")
 def active_request_count(m):
+    """Open requests per subject."""
     return R.active_request_count(m["erasure_requests"])
 
 
@@ -140,6 +142,7 @@ def active_request_count(m):
 SELECT customer_email, max(requested_at) AS last_request_date
 FROM px_erasure_requests GROUP BY customer_email""", ["last_request_date"]))
 def last_request_date(m):
+    """Newest request time per subject."""
     return R.last_request_date(m["erasure_requests"])
 
 
@@ -197,6 +200,7 @@ def sample_limit(m):
 @register("filter_not_deleted", with_tables("px_customers") + """
 SELECT customer_id, email FROM px_customers WHERE is_deleted = FALSE""")
 def filter_not_deleted(m):
+    """Customers not flagged as deleted."""
     return m["customers"].where(F.col("is_deleted") == F.lit(False)).select("customer_id", "email")
 
 

@@ -82,6 +82,7 @@ def gdpr_status(m):
                                           compliant=COMPLIANT_SQL) + """
 SELECT DISTINCT customer_id, retention_status FROM compliant""")
 def retention_status(m):
+    """Retention status of each live customer."""
     return compliant(m).select("customer_id", "retention_status").distinct()
 
 
@@ -89,6 +90,7 @@ def retention_status(m):
                                         compliant=COMPLIANT_SQL) + """
 SELECT consent_status, count(DISTINCT customer_id) AS customers FROM compliant GROUP BY consent_status""")
 def consent_status(m):
+    """Live customers per consent status."""
     return (compliant(m).groupBy("consent_status")
             .agg(F.count_distinct("customer_id").alias("customers")))
 
@@ -190,18 +192,21 @@ def anti_erased(m):
 @register("rap_marketing", with_tables("px_customers") + """
 SELECT customer_id FROM px_customers WHERE consent_marketing = TRUE""")
 def rap_marketing(m):
+    """Customers visible to marketing: marketing consent given."""
     return P.rap_marketing(m["customers"], "MARKETING_TEAM").select("customer_id")
 
 
 @register("rap_analytics", with_tables("px_customers") + """
 SELECT customer_id FROM px_customers WHERE consent_analytics = TRUE""")
 def rap_analytics(m):
+    """Customers visible to analytics roles: analytics consent given."""
     return P.rap_analytics(m["customers"], "DATA_SCIENTIST").select("customer_id")
 
 
 @register("rap_pseudonymized", with_tables("px_user_activities") + """
 SELECT event_id FROM px_user_activities WHERE is_pseudonymized = FALSE""")
 def rap_pseudonymized(m):
+    """Activities visible to sales: pseudonymized rows hidden."""
     return P.rap_pseudonymized(m["user_activities"], "SALES").select("event_id")
 
 

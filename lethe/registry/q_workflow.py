@@ -356,6 +356,7 @@ def verify_deletion(m):
 SELECT table_name, customer_email, deletion_verified, records_before FROM ({VERIFIED_SQL})
 ORDER BY deletion_verified ASC, records_before DESC""")
 def sort_verify(m):
+    """Verification rows, unverified first, then by rows before."""
     return X.verify_deletion(verify_counts(m)).select(
         "table_name", "customer_email", "deletion_verified", "records_before")
 
