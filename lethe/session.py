@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -50,13 +49,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Scratch folders made, by application; ``release`` deletes them.
+_MADE: dict[str, list[str]] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and snapshots.
 
     On a cluster this is whatever the cluster names in ``spark.checkpoint.dir``
-    (a shared file system).  Only when it is unset, as in local tests, do we
-    pick a scratch folder of our own.  The context's checkpoint directory is
-    set once and reused afterwards.
+    (a shared file system).  Where it is unset, a local session uses a folder
+    under its warehouse and any other session is refused: a folder of one
+    machine's own would leave each executor with its own part.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,15 +67,27 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="lethe-ckpt-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        root = f"{warehouse.rstrip('/')}/scratch-{uuid.uuid4().hex[:12]}"
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every scratch folder this session made; their DataFrames end with it."""
+    jvm = spark.sparkContext._jvm
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint root."""
-    root = checkpoint_root(spark)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df, name: str):
