@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import mixing, sharding
+from . import langid, mixing, pii, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,5 @@ def _register(name: str, fn: Callable[[DataFrame], DataFrame], source: str = "do
 
 _register("op1_sharding", sharding.op1_sharding)
 _register("op5_mixing", mixing.op5_mixing, sql=mixing.OP5_SQL)
+_register("op4_langid", langid.op4_langid)
+_register("op9_pii", pii.op9_pii)
