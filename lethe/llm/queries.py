@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import langid, mixing, packing, pii, sharding
+from . import langid, mixing, packing, pii, sharding, simhash_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,4 @@ _register("op5_mixing", mixing.op5_mixing, sql=mixing.OP5_SQL)
 _register("op4_langid", langid.op4_langid)
 _register("op9_pii", pii.op9_pii)
 _register("op8_packing", packing.op8_packing)
+_register("op3_simhash_dedup", simhash_dedup.op3_simhash_dedup)
