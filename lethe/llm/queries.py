@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import langid, mixing, packing, pii, sharding, simhash_dedup
+from . import langid, mixing, packing, pii, quality, sharding, simhash_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _register(name: str, fn: Callable[[DataFrame], DataFrame], source: str = "documents", sql: str | None = None) -> None:
+def _register(name: str, fn: Callable[..., DataFrame], *sources: str, sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
-        return fn(table(spark, sf_dir, source))
+        return fn(*[table(spark, sf_dir, s) for s in sources or ("documents",)])
     run.__name__, run.__doc__ = name, fn.__doc__
     QUERIES[name] = run
     if sql:
@@ -30,3 +30,4 @@ _register("op4_langid", langid.op4_langid)
 _register("op9_pii", pii.op9_pii)
 _register("op8_packing", packing.op8_packing)
 _register("op3_simhash_dedup", simhash_dedup.op3_simhash_dedup)
+_register("op2_quality", quality.score, "documents", "labels")
