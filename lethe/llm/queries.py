@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import ann, langid, mixing, packing, pii, quality, sharding, simhash_dedup
+from . import ann, langid, mixing, packing, pii, quality, sharding, simhash_dedup, substring_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,4 @@ _register("op8_packing", packing.op8_packing)
 _register("op3_simhash_dedup", simhash_dedup.op3_simhash_dedup)
 _register("op2_quality", quality.score, "documents", "labels")
 _register("op10_ann", ann.op10_ann, "embeddings")
+_register("op7_substring_dedup", substring_dedup.op7_substring_dedup)
