@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -42,3 +43,22 @@ def per_batch(df: DataFrame, schema: str, start: Callable[[], Callable[[list[lis
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)], names)
 
     return df.mapInArrow(run, schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns and group starts of sorted rows of numbers, cut between groups of the first
+    ``keys`` columns; a group that a batch leaves unfinished waits for the next one."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        if not len(cols[0]):
+            continue
+        new = np.any([c[1:] != c[:-1] for c in cols[:keys]], axis=0)
+        cut = np.concatenate([[0], np.nonzero(new)[0] + 1])
+        held = [c[cut[-1]:] for c in cols]
+        if len(cut) > 1:
+            yield [c[:cut[-1]] for c in cols], cut[:-1]
+    if held is not None and len(held[0]):
+        yield held, np.array([0])

@@ -73,3 +73,19 @@ def ranked(df: DataFrame, within: list[str], order: list[str], out: str, salts:
     return (numbered.join(starts, [*within, "_cell"])
             .withColumn(out, (F.col("_from") + F.col("_i")).cast("long"))
             .drop("_cell", "_from", "_i"))
+
+
+def meetings(rows: DataFrame, spread: str, part: int) -> DataFrame:
+    """Rows (t, key, ...) of buckets with more than one row, dealt so that all of a bucket's rows
+    meet in pairs of parts of about ``part`` rows: columns i, j (the pair) and part (the row's own).
+
+    A bucket of any size is spread over tasks (t, key, i, j); every two of its rows meet
+    in exactly one of them.  ``spread`` names a column that differs within a bucket.
+    """
+    crowds = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "t", "key", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    dealt = attach(rows, crowds, ["t", "key"], [spread]).withColumn("part", F.pmod(F.xxhash64(spread), F.col("parts")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = [c for c in rows.columns if c not in ("t", "key")]
+    tasks = pairs.select("t", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", *own)
+    return tasks.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "part")

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import per_batch
-from .common import SALTS, attach, bucket, materialize, pick
+from .arrow import per_batch, whole_groups
+from .common import SALTS, attach, bucket, materialize, meetings, pick
 from .graph import components
 
 #: Words of a shingle, bits two linked fingerprints may differ in, seed of the shingle hash.
@@ -192,28 +192,10 @@ def links(fps: np.ndarray, side: np.ndarray, starts: np.ndarray, radius: int) ->
 
 
 def _compare(radius: int) -> Callable:
-    """Rows sorted by group (t, key, i, j) and part -> links; carries an unfinished group on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def done(cols: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
-            fps = cols[5].view(np.uint64)
-            a, b = links(fps, cols[4] != cols[2], cut, radius)
-            return pa.RecordBatch.from_arrays([pa.array(cols[5][a]), pa.array(cols[5][b])], ["a", "b"])
-
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            if not len(cols[0]):
-                continue
-            new = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
-            cut = np.concatenate([[0], np.nonzero(new)[0] + 1])
-            held = [c[cut[-1]:] for c in cols]
-            if len(cut) > 1:
-                yield done([c[:cut[-1]] for c in cols], cut[:-1])
-        if held is not None and len(held[0]):
-            yield done(held, np.array([0]))
+        for cols, cut in whole_groups(batches, 4):
+            a, b = links(cols[5].view(np.uint64), cols[4] != cols[2], cut, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[5][a]), pa.array(cols[5][b])], ["a", "b"])
     return run
 
 
@@ -223,13 +205,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     choices = masks(ranges_for(n, radius), radius)
     each = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(choices)])
     rows = fps.select("fp", F.explode(each).alias("x")).select("x.t", "x.key", "fp")
-    crowds = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        "t", "key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    dealt = attach(rows, crowds, ["t", "key"], ["fp"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = pairs.select("t", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp")
-    placed = tasks.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "part")
-    return placed.mapInArrow(_compare(radius), "a long, b long").distinct()
+    return meetings(rows, "fp", PART).mapInArrow(_compare(radius), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

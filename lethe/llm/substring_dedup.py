@@ -32,68 +32,20 @@ from pyspark.sql import functions as F
 
 from .arrow import per_batch
 from .common import attach, materialize, pick
+from .hashing import GROUP, MUL, U64, Powers, WordHasher, mix
 
 #: Words of a window and of the grams whose least hash names a path.
 WINDOW, GRAM = 20, 6
-#: Bytes of texts hashed together.
-GROUP = 1 << 20
 #: Rows that share a doc_id but not the text get places of their own from here on.
 PART = 1 << 40
 NO_ID = -(1 << 63)
 
-_U = np.uint64
-_MUL = 0x9E3779B97F4A7C15
-_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
-_BYTE = np.frombuffer(hashlib.shake_256(b"byte values").digest(256 * 8), "<u8")
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class _Powers:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
-
-    def __init__(self, base: int):
-        self.bases = (base, pow(base, -1, 1 << 64))
-        self.up = self.down = np.ones(1, _U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, b, _U)])) for b in self.bases)
-        return self.up[:n], self.down[:n]
-
-
-class Hasher:
+class Hasher(WordHasher):
     """Hashes of the words, windows and paths of texts."""
 
     def __init__(self) -> None:
-        self.bytes, self.words = _Powers(0x2545F4914F6CDD1D), _Powers(0xD6E8FEB86659FD93)
-
-    def word_hashes(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, first byte) of every word of ``raw``, in pieces cut at white space."""
-        hashes, firsts = [], []
-        at = 0
-        while at < len(raw):
-            to = min(len(raw), at + GROUP)
-            while to < len(raw) and not _SPACE[raw[to]]:
-                to += 1
-            b = np.frombuffer(raw, np.uint8, to - at, at)
-            inside = np.concatenate([[False], ~_SPACE[b], [False]])
-            edge = np.flatnonzero(inside[1:] != inside[:-1])
-            first, end = edge[::2], edge[1::2]
-            if len(first):
-                up, down = self.bytes.to(len(b) + 1)
-                total = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[b] * up[:-1])])
-                hashes.append(_mix((total[end] - total[first]) * down[first] + (end - first).astype(_U) * _U(_MUL)))
-                firsts.append(first + at)
-            at = to
-        if not hashes:
-            return np.zeros(0, _U), np.zeros(0, np.int64)
-        return np.concatenate(hashes), np.concatenate(firsts)
+        super().__init__()
+        self.words = Powers(0xD6E8FEB86659FD93)
 
     def sums(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(gram hashes, window hashes) at every word where one starts."""
@@ -106,16 +58,16 @@ class Hasher:
         four = longer(two, two, 2)
         six = longer(four, two, 4)
         sixteen = longer(eight := longer(four, four, 4), eight, 8)
-        return _mix(six), _mix(longer(sixteen, four, 16))
+        return mix(six), mix(longer(sixteen, four, 16))
 
     def window_hashes(self, h: np.ndarray) -> np.ndarray:
-        return self.sums(h)[1] if len(h) >= WINDOW else np.zeros(0, _U)
+        return self.sums(h)[1] if len(h) >= WINDOW else np.zeros(0, U64)
 
     def path_hashes(self, h: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """Hash of the words of the paths of ``windows`` windows from word ``first`` on."""
         up, down = self.words.to(len(h) + 1)
-        total = np.concatenate([np.zeros(1, _U), np.cumsum(h * up[:-1])])
-        return _mix((total[first + windows + WINDOW - 1] - total[first]) * down[first] + windows.astype(_U) * _U(_MUL))
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(h * up[:-1])])
+        return mix((total[first + windows + WINDOW - 1] - total[first]) * down[first] + windows.astype(U64) * U64(MUL))
 
 
 def least_of_each(grams: np.ndarray) -> np.ndarray:
@@ -186,7 +138,7 @@ def _paths(hasher: Hasher, ids: list[int], parts: list[int], texts: list[bytes])
     at, back = at[head], back[head]
     d = doc[at]
     pos = place[d] + at - first_word[d]
-    own = [_mix((pos + key[d]).astype(_U)).view(np.int64), np.zeros(len(at), np.int64), key[d], pos, -many, key[d], pos - back]
+    own = [mix((pos + key[d]).astype(U64)).view(np.int64), np.zeros(len(at), np.int64), key[d], pos, -many, key[d], pos - back]
     return [np.concatenate(x) for x in zip(paths, own)]
 
 
@@ -203,7 +155,7 @@ def _combined(cols: list[np.ndarray]) -> list[np.ndarray]:
     cols[5] = np.where(same, doc[first], cols[5])
     cols[6] = np.where(same, pos[first], cols[6])
     cols[4] = np.where(same, -n, n)
-    cols[0] = np.where(same, _mix((pos + doc).astype(_U)).view(np.int64), v)
+    cols[0] = np.where(same, mix((pos + doc).astype(U64)).view(np.int64), v)
     cols[1] = np.where(same, 0, c)
     return cols
 
