@@ -1,24 +1,51 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""Corpus pipeline over ``documents``: language, near-duplicates, personal data, mix, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it
+kept, and returns a DataFrame that is written as Parquet and read again.  All
+but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lethe.llm import mixing
+from lethe.llm import langid, mixing, packing, pii, simhash_dedup
 from lethe.llm.common import materialize, table
 
 
-def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents, each as often as the mix takes it."""
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those in none of the learnt languages."""
+    return langid.keep_known(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group linked by fingerprints of 3-word shingles within 3 bits."""
+    return simhash_dedup.keep_first(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind; n_chars counts the new text."""
+    return pii.redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emits each document as often as the mix takes it, not at all where it takes none."""
     return mixing.mix(docs)
 
 
-STAGES = [("mixing", stage_mixing)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("near-duplicates", near_duplicates), ("personal data", personal_data),
+          ("mixture", mixture), ("packing", packed)]
+#: Models, fingerprints and tokens have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs

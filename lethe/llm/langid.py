@@ -13,9 +13,10 @@ array rows, and the language of the shortest code wins.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,41 +159,66 @@ def _lengths(context: bytes, follow: list[dict[bytes, Counter]]) -> np.ndarray:
     return bits
 
 
-def predict(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
-    """The language of every whole text of ``docs`` (doc_id, text, lang).
+#: A text whose shortest code needs more bits a byte than plain bytes is in no learnt language.
+MOST_BITS = 8.0
 
-    Returns doc_id, held_out, lang_pred, score and bits_per_byte.  Learnt from
-    ``train`` (by default ``docs``), never from held-out documents.  A text that is
-    null or has no letter is ``und`` with score 0; so is every text when there is
-    nothing to learn from.  Equal codes go to the language first by code point.
-    Repeated rows each get their row, a null doc_id is not held out, an empty
-    table gives an empty result, other columns are left aside.
-    """
-    spark = docs.sparkSession
-    learnt = learn(sample(docs if train is None else train))
-    packed = spark.sparkContext.broadcast((learnt.langs, learnt.contexts, learnt.lengths))  # bounded by MAX_CONTEXTS and the languages
+
+def _predictor(docs: DataFrame) -> Callable[[], Callable[[list], tuple[list, list, list]]]:
+    """Learn from ``docs``; the result, run once in a task, gives texts' languages, scores and bits a byte."""
+    learnt = learn(sample(docs))
+    packed = docs.sparkSession.sparkContext.broadcast((learnt.langs, learnt.contexts, learnt.lengths))  # bounded by MAX_CONTEXTS and the languages
 
     def start() -> Callable:
         model = Model(*packed.value)
 
-        def score(cols: list[list]) -> list:
-            ids, out, texts = cols
+        def run(texts: list) -> tuple[list, list, list]:
             has = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.langs else []
             pred, scores, rate = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
             raw = [texts[i].encode() for i in has]
-            bits = model.code_lengths(raw)
-            for i, b, t in zip(has, bits, raw):
+            for i, b, t in zip(has, model.code_lengths(raw), raw):
                 best = int(b.argmin())
                 pred[i] = model.langs[best]
                 scores[i] = float(1.0 / np.exp2((b[best] - b) / BITS_PER_BIT).sum())
                 rate[i] = float(b[best] / len(t))
-            return [ids, out, pred, scores, rate]
+            return pred, scores, rate
+        return run
+    return start
 
-        return score
+
+def predict(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
+    """The language of every whole text of ``docs`` (doc_id, text, lang).
+
+    Returns doc_id, held_out, lang_pred, score and bits_per_byte.  Learnt from
+    ``train`` (by default ``docs``), never from held-out documents.  A text that is
+    null or has no letter is ``und`` with score 0; so is every text when there is
+    nothing to learn from.  Equal codes go to the language first by code point.
+    Repeated rows each get their row, a null doc_id is not held out, an empty
+    table gives an empty result, other columns are left aside.
+    """
+    predictor = _predictor(docs if train is None else train)
+
+    def start() -> Callable:
+        run = predictor()
+        return lambda cols: [cols[0], cols[1], *run(cols[2])]
 
     d = pick(docs, "doc_id", "text").select("doc_id", held_out().alias("held_out"), "text")
     return per_batch(d, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double", start)
 
 
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a learnt language: not ``und``,
+    and coded in at most MOST_BITS bits a byte.  No row moves."""
+    predictor = _predictor(docs)
+
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = predictor()
+        for texts in batches:
+            pred, _, rate = run(texts.tolist())
+            yield pd.Series([p != UNDETERMINED and r <= MOST_BITS for p, r in zip(pred, rate)], dtype=bool)
+
+    return docs.filter(known("text"))
+
+
 def op4_langid(docs: DataFrame) -> DataFrame:
     return predict(docs)

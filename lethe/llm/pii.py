@@ -17,6 +17,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,7 +184,6 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets and
     ``n_chars`` counted anew; a null text stays null, all other columns stay."""
     def start() -> Callable:
-        import pandas as pd
         anchors = automaton()
 
         def clean(texts: pd.Series) -> pd.Series:
@@ -191,7 +191,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return clean
 
     @F.pandas_udf("string")
-    def cleaned(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         clean = start()
         for texts in batches:
             yield clean(texts)
