@@ -104,6 +104,8 @@ def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, alph
 def _add_reverse(x: np.ndarray, graph: np.ndarray, points: np.ndarray, alpha: float) -> None:
     """For every edge from ``points``, add the edge back; prune where a list runs over."""
     to, place = np.nonzero(graph[points] >= 0)
+    if not len(to):
+        return
     heads, tails = graph[points][to, place], points[to]
     order = np.argsort(heads, kind="stable")
     heads, tails = heads[order], tails[order]

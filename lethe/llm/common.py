@@ -29,6 +29,19 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return by_place.select(*[F.col(f"_c{at[n]}").alias(n) for n in names])
 
 
+def framed(df: DataFrame, *names: str) -> DataFrame:
+    """All columns of ``df`` under names of their places (_c0, ...), and the named ones once
+    more under their own: work on these cannot clash with other columns.  ``restored`` goes back."""
+    by_place = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    return by_place.select("*", *[F.col(f"_c{df.columns.index(n)}").alias(n) for n in names])
+
+
+def restored(frame: DataFrame, df: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``df`` from what became of its ``framed`` form, some of them changed."""
+    return frame.select(*[changed.get(c, F.col(f"_c{i}")) if df.columns.index(c) == i else F.col(f"_c{i}")
+                          for i, c in enumerate(df.columns)]).toDF(*df.columns)
+
+
 def bucket(n: int, *by: Column | str) -> Column:
     """A row's place among ``n`` by a hash of ``by`` (nulls included)."""
     return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import per_batch
-from .common import materialize, pick
+from .common import framed, materialize, pick, restored
 
 ORDER = 3
 #: The sample a language is learnt from: documents, and bytes of one document.
@@ -91,6 +91,8 @@ class Model:
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of every text under every language."""
         out = np.empty((len(texts), len(self.langs)))
+        if not out.size:
+            return out
         table, flat = self.table(), self.lengths.reshape(-1, len(self.langs))
         for i, t in enumerate(texts):
             total = np.zeros(len(self.langs))
@@ -217,7 +219,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
             pred, _, rate = run(texts.tolist())
             yield pd.Series([p != UNDETERMINED and r <= MOST_BITS for p, r in zip(pred, rate)], dtype=bool)
 
-    return docs.filter(known("text"))
+    return restored(framed(docs, "text").filter(known("text")), docs)
 
 
 def op4_langid(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, attach_small, materialize, pick
+from .common import WORD, attach_small, framed, materialize, pick, restored
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -88,11 +88,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX
     """
     sized = with_source_key(pick(docs, "source", "text").select("source", words(F.col("text")).alias("size")))
     r = materialize(rates(sized.drop("source"), weights, max_rate), "mix-rates").select("src_null", "src", "rate")
-    keyed = with_source_key(docs)
+    keyed = with_source_key(framed(docs, "doc_id", "source"))
     out = attach_small(keyed, r, ["src_null", "src"], ["doc_id"])
     times = copies(F.col("rate"), F.col("doc_id")).cast("int")
-    return (out.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), times)))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return restored(out.withColumn("copy", F.explode(F.array_repeat(F.lit(True), times))), docs)
 
 
 def op5_mixing(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import per_batch
-from .common import pick
+from .common import framed, pick, restored
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
@@ -196,10 +196,11 @@ def redact(docs: DataFrame) -> DataFrame:
         for texts in batches:
             yield clean(texts)
 
-    out = docs.withColumn("text", cleaned("text"))
+    out = framed(docs, "text").withColumn("clean", cleaned("text"))
+    changed = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.length("clean").cast("long")
+    return restored(out, docs, **changed)
 
 
 def op9_pii(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import per_batch, whole_groups
-from .common import SALTS, attach, bucket, materialize, meetings, pick
+from .common import SALTS, attach, bucket, framed, materialize, meetings, pick, restored
 from .graph import components
 
 #: Words of a shingle, bits two linked fingerprints may differ in, seed of the shingle hash.
@@ -236,10 +236,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     and, where rows share that doc_id, of the smallest text hash."""
     found = near_duplicates(docs).filter(
         F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("component_hash")))
-    chosen = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    chosen = found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    keyed = framed(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    kept = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi")
+    return restored(kept.dropDuplicates(["doc_id", "text_hash"]), docs)
 
 
 def op3_simhash_dedup(docs: DataFrame) -> DataFrame:

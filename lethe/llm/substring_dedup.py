@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import per_batch
@@ -324,18 +324,19 @@ def _start_removal() -> Callable:
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc, part, text): doc is doc_id (null ones least), part tells rows that share a
-    doc_id but not the text apart; rows that repeat both are one document."""
+    doc_id but not the text apart; rows that repeat both are one document.  Where a
+    doc_id repeats, also (doc, part, times): how many rows each document has."""
     d = pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     many = d.select("doc").groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if many.isEmpty():
-        return d.select("doc", F.col("doc").bitwiseAND(F.lit(0)).alias("part"), "text")  # 0, but no constant: joins keep both keys
-    from pyspark.sql import Window
+        return d.select("doc", F.col("doc").bitwiseAND(F.lit(0)).alias("part"), "text"), None  # 0, but no constant: joins keep both keys
     hashed = d.withColumn("h", F.xxhash64("text"))
-    parts = materialize(hashed.select("doc", "h").distinct().withColumn(
+    parts = materialize(hashed.groupBy("doc", "h").agg(F.count(F.lit(1)).alias("times")).withColumn(
         "part", (F.row_number().over(Window.partitionBy("doc").orderBy("h")) - 1).cast("long")), "repeats-parts")
-    return attach(hashed, parts, ["doc", "h"], ["text"]).dropDuplicates(["doc", "part"]).select("doc", "part", "text")
+    keyed = attach(hashed, parts, ["doc", "h"], ["text"]).dropDuplicates(["doc", "part"]).select("doc", "part", "text")
+    return keyed, parts.select("doc", "part", "times")
 
 
 def find_pieces(keyed: DataFrame) -> DataFrame:
@@ -351,9 +352,8 @@ def find_pieces(keyed: DataFrame) -> DataFrame:
     return first.filter("branch is null").union(edges).select("doc", part_of, start_of, "n", "src_doc", "src_pos")
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and their verified spans (doc, part, start, windows, src_doc, src_pos)."""
-    keyed = _keyed(docs)
+def repeated_spans(keyed: DataFrame) -> DataFrame:
+    """Verified spans (doc, part, start, windows, src_doc, src_pos) of the documents (doc, part, text)."""
     pieces = find_pieces(keyed)
     by_doc = pieces.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_pos")).alias("p"))  # a document's own
     spans = materialize(per_batch(
@@ -364,7 +364,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sources = per_batch(keyed.join(asked, ["doc", "part"]).select("doc", "part", "text", "w.src_pos", "w.windows"),
                         "src_doc long, src_pos long, windows long, digest long", _start_sources)
     proven = attach(spans, sources.withColumnRenamed("digest", "source_digest"), ["src_doc", "src_pos", "windows"], ["doc", "part"])
-    return keyed, proven.filter("digest = source_digest").select("doc", "part", "start", "windows", "src_doc", "src_pos")
+    return proven.filter("digest = source_digest").select("doc", "part", "start", "windows", "src_doc", "src_pos")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -376,11 +376,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     a doc_id only are documents of their own, ordered by text hash, and a null doc_id
     comes first.  An empty table gives an empty result; other columns are left aside.
     """
-    keyed, spans = repeated_spans(docs)
+    keyed, times = _keyed(docs)
+    spans = repeated_spans(keyed)
     lists = spans.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "windows")).alias("s"))  # a document's own
     done = per_batch(keyed.join(lists, ["doc", "part"], "left").select(
         "doc", "part", "text", "s.start", "s.windows"),
         "doc long, part long, n_words long, n_removed long, kept_sha256 string, kept string", _start_removal)
+    if times is not None:
+        done = done.join(times, ["doc", "part"]).withColumn("row", F.explode(F.array_repeat(F.lit(True), F.col("times").cast("int"))))
     return done.withColumn("doc_id", F.when(F.col("doc") != NO_ID, F.col("doc"))).select(
         "doc_id", "n_words", "n_removed", "kept_sha256", "kept")
 
