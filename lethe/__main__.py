@@ -30,7 +30,7 @@ def main(argv=None) -> None:
     ap.add_argument("--as-of", default="2001-08-01")
     ap.add_argument("--limit", type=int, default=10)
     ap.add_argument("--salt", default="change-me")
-    ap.add_argument("--store", default=None, help="snapshot folder (shared storage)")
+    ap.add_argument("--store", default=None, help="folder that keeps the tables between runs (shared storage)")
     ap.add_argument("--rows", type=int, default=50, help="rows to print")
     ap.add_argument("--json", action="store_true", help="status as one JSON object per subject")
     a = ap.parse_args(argv)
@@ -38,7 +38,7 @@ def main(argv=None) -> None:
     from .plans import discovery as D, reports as R, requests as Q, scenario as SC
     from .session import build_session
     from .sources.derived import ComplianceModel
-    from .sources.snapshots import SnapshotStore
+    from .sources.state import StateFolder
 
     spark = build_session()
     spark.sparkContext.setLogLevel("ERROR")
@@ -58,8 +58,8 @@ def main(argv=None) -> None:
                                F.lit(1).cast("long").alias("submission_seq"))
         out = Q.submit_requests(cand, model["customers"], model["erasure_requests"], as_of)
     elif a.command == "scenario":
-        store = SnapshotStore(spark, a.store) if a.store else None
-        out = SC.scenario_summary(SC.full_scenario(model, subjects, as_of, a.salt, store=store))
+        state = StateFolder(spark, a.store) if a.store else None
+        out = SC.scenario_summary(SC.full_scenario(model, subjects, as_of, a.salt, state=state))
     elif a.command == "dashboard":
         out = R.dashboard(model["erasure_requests"], as_of)
     else:

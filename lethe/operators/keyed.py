@@ -1,16 +1,16 @@
 """Per-key selection and membership operators, written to survive skew.
 
 * ``latest_per_key`` keeps *every* row that carries the key's maximum (ties
-  kept), via a partial/final aggregate and an equi-join rather than a window:
-  a hot key is pre-aggregated map-side and its join partition can be split by
-  AQE, while a window would sort the whole hot group inside one task.
+  kept), via a partial/final aggregate and a salted join rather than a window:
+  a hot key is pre-aggregated map-side and its rows meet their maximum in many
+  tasks, while a window would sort the whole hot group inside one.
 * ``pick_one_per_key`` keeps exactly one row per key (newest first, then a
   deterministic tie-break) with ``max_by`` over a struct: one aggregate.
 * ``not_in`` is SQL ``x NOT IN (subquery)`` with its NULL rules, as a hash
   anti-join plus two scalar subqueries, so it is not tied to the
   broadcast-only null-aware anti-join.
-* ``broadcast_if_small`` broadcasts a side only after counting it against a
-  row bound; beyond the bound the join is left to the shuffle planner / AQE.
+* ``broadcast_if_small`` broadcasts a side only after measuring its rows and
+  bytes; beyond the bounds the join is left to the shuffle planner / AQE.
 """
 
 from __future__ import annotations
@@ -18,20 +18,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest row count we broadcast on our own initiative.
-BROADCAST_MAX_ROWS = 1_000_000  # about 50 MB of e-mail keys
+# Largest table we broadcast on our own initiative: rows and measured bytes.
+BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Whether ``df`` holds at most ``max_rows`` rows.
-
-    Counting stops after ``max_rows + 1`` rows.  The answer is remembered on
-    the DataFrame object, so a subject set shared by many joins is counted
+    """Whether ``df`` holds at most ``max_rows`` rows and BROADCAST_MAX_BYTES
+    bytes, by one aggregate (combined map-side).  The answer is remembered on
+    the DataFrame object, so a subject set shared by many joins is measured
     once."""
     memo = getattr(df, "_lethe_small", None)
     if memo is not None and memo[0] == max_rows:
         return memo[1]
-    small = df.limit(max_rows + 1).count() <= max_rows
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16
+                 for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "variant"))), F.lit(16))
+    n, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    small = n <= max_rows and (size or 0) <= BROADCAST_MAX_BYTES
     try:
         df._lethe_small = (max_rows, small)
     except AttributeError:
@@ -52,13 +55,11 @@ def latest_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
     """
     mx = (df.where(F.col(key).isNotNull())
             .groupBy(key).agg(F.max(order_col).alias("__max")))
-    # ">=" rather than "==" (equivalent against the maximum): an equality
-    # would become a second join key and re-partition both sides on
-    # (key, order_col); this way both sides stay hash-partitioned on ``key``
-    # and a following join on ``key`` needs no further exchange of this side
-    return (df.join(mx, on=key, how="inner")
-              .where(F.col(order_col) >= F.col("__max"))
-              .drop("__max"))
+    from .skew import salted_join
+    mx = mx.withColumnRenamed(key, "__key")
+    return (salted_join(df, mx, key, "__key", "inner")
+            .where(F.col(order_col) >= F.col("__max"))
+            .drop("__max", "__key"))
 
 
 def pick_one_per_key(df: DataFrame, key: str, order_cols: list[str],

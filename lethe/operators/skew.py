@@ -1,22 +1,19 @@
-"""Salted shuffle joins for hot keys.
+"""Salted shuffle joins.
 
 When a join cannot broadcast its small side, every row of one key meets in
 one reduce task; a key holding a third of a table would make that task the
-whole job.  ``salted_join`` splits such keys explicitly:
-
-1. one aggregation over the big side's key column finds the keys with at
-   least ``min_rows`` rows (partial aggregation, so the hot key itself is
-   combined map-side); there are at most ``rows / min_rows`` of them, the
-   list is bounded (at most ``MAX_HOT_KEYS``, checked) and broadcast; with
-   no hot key the join is a plain shuffle join;
-2. big-side rows of a hot key get a salt in ``[0, buckets)`` from a hash of
-   the row (deterministic, so a retried task reproduces it); other rows get
-   salt 0;
-3. small-side rows of a hot key are replicated once per salt value (an
-   ``explode`` of a bounded sequence), other rows once with salt 0;
-4. the join runs on (key, salt): a hot key is spread over ``buckets`` tasks.
-
-NULL keys never match and are spread the same way (see ``spread_nulls``).
+whole job.  ``salted_join`` deals every key over sub-keys, so no list of hot
+keys is needed and any number of keys may be hot:
+
+1. big-side rows get a salt in ``[0, buckets)`` from a hash of the row
+   (deterministic, so a retried task reproduces it);
+2. the distinct (key, salt) pairs of the big side, combined map-side, meet
+   the small side on the key: a key brings at most ``buckets`` pairs there,
+   however many rows it has;
+3. big-side rows meet their pair on (key, salt).
+
+NULL keys never match; they get a spread, non-matching probe key (see
+``spread_nulls``) and no pair.
 """
 
 from __future__ import annotations
@@ -26,61 +23,36 @@ from pyspark.sql import functions as F
 
 from .keyed import is_small, spread_nulls
 
-HOT_KEY_ROWS = 1_000_000   # rows of one key that make it hot
-SALT_BUCKETS = 32          # tasks a hot key is spread over
-MAX_HOT_KEYS = 1_000_000   # broadcast bound for the hot-key list
-
-
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Values of ``key`` with at least ``min_rows`` rows (NULL excluded)."""
-    return (df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot"))
-            .agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_rows)
-            .select("__hot"))
+SALT_BUCKETS = 64  # sub-keys a key is dealt over
 
 
 def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, how: str,
-                min_rows: int = HOT_KEY_ROWS, buckets: int = SALT_BUCKETS,
-                broadcast_max_rows: int | None = None) -> DataFrame:
-    """``big`` joined to ``small`` on ``big_key == small_key`` with hot keys
+                buckets: int = SALT_BUCKETS, broadcast_max_rows: int | None = None) -> DataFrame:
+    """``big`` joined to ``small`` on ``big_key == small_key`` with the keys
     of ``big`` salted.  ``how`` is ``left``, ``inner`` or ``left_anti``;
     the output has ``big``'s columns (plus ``small``'s unless anti).
 
     With ``broadcast_max_rows``, a ``small`` side within that bound (counted
     first) is broadcast instead: a map-side join has no reduce task for a hot
-    key to overload.  Without it nothing is counted; the salted plan still
-    lets AQE turn the final join into a broadcast from runtime sizes."""
+    key to overload."""
     cols = big.columns
     keep = cols if how == "left_anti" else cols + [c for c in small.columns if c not in cols]
     if broadcast_max_rows is not None and is_small(small, broadcast_max_rows):
         sb = F.broadcast(small)
         out = big.join(sb, big[big_key] == sb[small_key], how)
         return out.select(*[big[c] if c in cols else sb[c] for c in keep])
-    # one job finds the hot keys; the list is bounded before it is used (a
-    # stream has no finished key distribution to look at: no salting there)
-    hot_rows = ([] if big.isStreaming else
-                hot_keys(big, big_key, min_rows).limit(MAX_HOT_KEYS + 1).collect())
-    if len(hot_rows) > MAX_HOT_KEYS:
-        raise ValueError("hot-key list above its broadcast bound; raise min_rows")
     probe = spread_nulls(big, big_key)
-    if not hot_rows:
-        # no hot key: a plain shuffle join, NULL probe keys spread
+    if big.isStreaming:  # a stream has no distinct pairs to look at
         b = big.withColumn("__probe", probe)
         out = b.join(small, b["__probe"] == small[small_key], how)
         return out.select(*[b[c] if c in cols else small[c] for c in keep])
-    spark = big.sparkSession
-    key_type = big.schema[big_key].dataType.simpleString()
-    hot = spark.createDataFrame([(r[0],) for r in hot_rows], f"__hot {key_type}")
-    hot_b = F.broadcast(hot.withColumn("__is_hot", F.lit(True)))
-    b = (big.join(hot_b, big[big_key] == hot_b["__hot"], "left")
-         .withColumn("__probe", probe)
-         .withColumn("__salt", F.when(F.col("__is_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in cols]),
-                                                                 F.lit(buckets)))
-                     .otherwise(F.lit(0)).cast("int"))
-         .drop("__hot", "__is_hot"))
-    s = (small.join(hot_b, small[small_key] == hot_b["__hot"], "left")
-         .withColumn("__salt", F.explode(F.when(F.col("__is_hot"), F.sequence(F.lit(0), F.lit(buckets - 1)))
-                                         .otherwise(F.array(F.lit(0)))))
-         .drop("__hot", "__is_hot"))
-    cond = (b["__probe"] == s[small_key]) & (b["__salt"] == s["__salt"])
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(buckets)).cast("int")
+    b = big.withColumn("__probe", probe).withColumn("__salt", salt)
+    pairs = (b.where(F.col(big_key).isNotNull())
+             .select(F.col("__probe").alias("__pair"), F.col("__salt").alias("__pair_salt")).distinct())
+    s = pairs.join(small, pairs["__pair"] == small[small_key].cast("string"), "inner")
+    cond = (b["__probe"] == s["__pair"]) & (b["__salt"] == s["__pair_salt"])
+    if how == "left_anti":
+        return b.join(s.select("__pair", "__pair_salt"), cond, how).select(*[b[c] for c in cols])
     out = b.join(s, cond, how)
     return out.select(*[b[c] if c in cols else s[c] for c in keep])

@@ -74,8 +74,9 @@ def subject_side(subjects: DataFrame, alias: str, max_rows: int = BROADCAST_MAX_
 
 def tag_rows(df: DataFrame, subjects: DataFrame, cols: list[str],
              max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``df`` plus ``__subject``: the subject whose key appears in any of
-    ``cols`` (NULL when none)."""
+    """``df`` plus ``__subjects``, the distinct subjects whose keys appear in
+    ``cols`` (in column order), and ``__subject``, the first of them (NULL
+    when none)."""
     out = df
     hits = []
     for i, c in enumerate(cols):
@@ -88,8 +89,10 @@ def tag_rows(df: DataFrame, subjects: DataFrame, cols: list[str],
             # and hot keys are salted over several tasks (see operators.skew)
             out = salted_join(out, side, c, alias, "left")
         hits.append(F.col(alias))
-    subject = F.coalesce(*hits) if hits else F.lit(None).cast("string")
-    return out.withColumn("__subject", subject).drop(*[f"__s{i}" for i in range(len(cols))])
+    found = (F.array_distinct(F.array_compact(F.array(*hits))) if hits
+             else F.array().cast("array<string>"))
+    return (out.withColumn("__subjects", found).withColumn("__subject", F.get("__subjects", F.lit(0)))
+            .drop(*[f"__s{i}" for i in range(len(cols))]))
 
 
 def count_matches(long: DataFrame, value_col: str, subjects: DataFrame, group: list[str],

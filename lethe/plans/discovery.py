@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify as C
-from ..operators.keyed import BROADCAST_MAX_ROWS
+from ..operators.keyed import BROADCAST_MAX_ROWS, broadcast_if_small
+from ..operators.skew import salted_join
 from ..operators.subjects import count_matches, prefilter
 
 # Databases searched by discovery.
@@ -113,7 +114,10 @@ def _long_form(model, name: str, cols: list[str], subjects: DataFrame | None = N
                     F.lit(_label(model, name)).alias("table_name"), "column_name", "value"))
 
 
-def _union(dfs: list[DataFrame]) -> DataFrame:
+def _union(dfs: list[DataFrame], spark: SparkSession | None = None, schema: str = "") -> DataFrame:
+    """All of ``dfs``; of none, an empty frame of ``schema``."""
+    if not dfs:
+        return spark.createDataFrame([], schema)
     out = dfs[0]
     for d in dfs[1:]:
         out = out.unionByName(d)
@@ -138,7 +142,8 @@ def discover_subjects(model, subjects: DataFrame, mode: str = "observed",
     spark = subjects.sparkSession
     email_cols = _email_columns(model, databases)
     if mode == "observed":
-        long = _union([_long_form(model, n, c, subjects) for n, c in email_cols.items()])
+        long = _union([_long_form(model, n, c, subjects) for n, c in email_cols.items()], spark,
+                      "database_name string, schema_name string, table_name string, column_name string, value string")
         counts = count_matches(long, "value", subjects,
                                ["database_name", "schema_name", "table_name", "column_name"],
                                max_broadcast_rows)
@@ -157,13 +162,14 @@ def discover_subjects(model, subjects: DataFrame, mode: str = "observed",
         parts.append(src.select(F.explode(vals).alias("value")).select(
             F.lit(db).alias("database_name"), F.lit(schema).alias("schema_name"),
             F.lit(_label(model, name)).alias("table_name"), "value"))
-    per_table = count_matches(_union(parts), "value", subjects,
+    per_table = count_matches(_union(parts, spark, "database_name string, schema_name string, table_name string, value string"),
+                              "value", subjects,
                               ["database_name", "schema_name", "table_name"], max_broadcast_rows)
     cands = candidate_columns(column_catalog(spark, model, databases), intended=True).select(
         "database_name", "schema_name", "table_name", "column_name", "pii_classification",
         "sensitivity_level")
-    # the candidate list is catalog metadata (a few rows per table): broadcast
-    j = per_table.join(F.broadcast(cands), ["database_name", "schema_name", "table_name"])
+    # the candidate list is catalog metadata: broadcast once measured
+    j = per_table.join(broadcast_if_small(cands), ["database_name", "schema_name", "table_name"])
     return j.select(*KEYS, "pii_classification", "records_found", "sensitivity_level")
 
 
@@ -179,7 +185,9 @@ def discovery_results(discovered: DataFrame, requests: DataFrame) -> DataFrame:
     """DATA_DISCOVERY_RESULTS rows: discovery joined back to each request of
     the subject, carrying the erasure request id (so processing finds them)."""
     r = requests.select("request_id", "customer_email")
-    j = discovered.join(r, "customer_email", "inner")
+    # a subject may have many requests: the requests are the salted side
+    d = discovered.withColumnRenamed("customer_email", "__subject")
+    j = salted_join(r, d, "customer_email", "__subject", "inner")
     return j.select(
         F.concat(F.lit("DISC_"), F.substring(F.sha2(F.concat_ws(
             "|", "request_id", "database_name", "schema_name", "table_name", "column_name"),

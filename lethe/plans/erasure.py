@@ -3,9 +3,9 @@ the operations, and verify the result against an earlier snapshot.
 
 One Spark job per table: the table is tagged by a left join to the subject
 set (broadcast only when the set is proven small, otherwise a shuffle join
-with NULL keys spread and hot keys salted), then rows are dropped (DELETE)
+with NULL keys spread and keys salted), then rows are dropped (DELETE)
 or rewritten (PSEUDONYMIZE) in a single projection.  The result is a
-new DataFrame to be committed as a snapshot (see ``sources.snapshots``);
+new DataFrame that takes the table's place (see ``sources.state``);
 nothing is updated in place.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions import classify as C
 from ..operators import subjects as S
 from ..operators.keyed import BROADCAST_MAX_ROWS, count_if
+from ..operators.skew import salted_join
 from ..session import materialize as write_and_read
 
 # Databases erasure may touch (the compliance database holds
@@ -84,6 +85,12 @@ def pseudonym_id(email: Column, salt: str) -> Column:
                     F.substring(F.sha2(F.concat(F.lit(salt + "|id|"), email), 256), 1, 16))
 
 
+def rows_per_subject(tagged: DataFrame) -> DataFrame:
+    """Tagged rows counted for every subject they belong to."""
+    return (tagged.select(F.explode("__subjects").alias("customer_email")).groupBy("customer_email")
+            .agg(F.count(F.lit(1)).alias("records_affected")))
+
+
 def erase_delete(df: DataFrame, subjects: DataFrame, as_of, honour_row_holds: bool = True,
                  cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows kept after deleting the subjects' rows, and per-subject counts
@@ -92,27 +99,26 @@ def erase_delete(df: DataFrame, subjects: DataFrame, as_of, honour_row_holds: bo
     t = tag_rows(df, subjects, cols)
     hold = row_hold(df, as_of) if honour_row_holds else F.lit(False)
     gone = F.col("__subject").isNotNull() & ~hold
-    kept = t.where(~gone).drop("__subject")
+    kept = t.where(~gone).drop("__subject", "__subjects")
     # the counts only need the subjects' rows: with few subjects the scan
     # behind them skips row groups (IN pushdown) instead of re-reading all
     hit = tag_rows(S.prefilter(df, cols, subjects), subjects, cols)
-    affected = (hit.where(gone).groupBy(F.col("__subject").alias("customer_email"))
-                .agg(F.count(F.lit(1)).alias("records_affected")))
-    return kept, affected
+    return kept, rows_per_subject(hit.where(gone))
 
 
 def erase_pseudonymize(df: DataFrame, subjects: DataFrame, salt: str,
                        cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Subjects' e-mails replaced by a salted hash, rows flagged and given a
-    pseudonym id; other columns untouched.  Returns (table, counts)."""
+    pseudonym id; other people's e-mails in the same row and all other columns
+    stay.  Returns (table, counts)."""
     cols = cols if cols is not None else email_columns(df)
     t = tag_rows(df, subjects, cols)
     hit = F.col("__subject").isNotNull()
     out = []
     for c in df.columns:
         if c in cols:
-            out.append(F.when(hit & F.col(c).isNotNull(), pseudonym(F.col(c), salt))
-                       .otherwise(F.col(c)).alias(c))
+            own = F.coalesce(F.array_contains("__subjects", F.col(c)), F.lit(False))
+            out.append(F.when(own, pseudonym(F.col(c), salt)).otherwise(F.col(c)).alias(c))
         elif c == "is_pseudonymized":
             out.append(F.when(hit, F.lit(True)).otherwise(F.col(c)).alias(c))
         elif c == "pseudonym_id":
@@ -121,9 +127,30 @@ def erase_pseudonymize(df: DataFrame, subjects: DataFrame, salt: str,
             out.append(F.col(c))
     table = t.select(*out)
     sub = tag_rows(S.prefilter(df, cols, subjects), subjects, cols)
-    affected = (sub.where(hit).groupBy(F.col("__subject").alias("customer_email"))
-                .agg(F.count(F.lit(1)).alias("records_affected")))
-    return table, affected
+    return table, rows_per_subject(sub.where(hit))
+
+
+def mark_erased(df: DataFrame, subjects: DataFrame, as_of, since, at) -> DataFrame:
+    """``df`` as a history: every row valid from ``since``, those an erasure at
+    ``at`` removes valid until then (``valid_from``, ``valid_to``)."""
+    cols = email_columns(df)
+    t = tag_rows(df, subjects, cols)
+    gone = F.col("__subject").isNotNull() & ~row_hold(df, as_of)
+    return t.select(*df.columns, F.lit(since).cast("timestamp").alias("valid_from"),
+                    F.when(gone, F.lit(at).cast("timestamp")).alias("valid_to"))
+
+
+def valid_at(history: DataFrame, ts) -> DataFrame:
+    """The rows of a history in force at ``ts``, without its two columns."""
+    at = F.lit(ts).cast("timestamp")
+    live = (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))
+    return history.where(live).drop("valid_from", "valid_to")
+
+
+def full_name(model, name: str) -> str:
+    """DATABASE.SCHEMA.TABLE of a model's table."""
+    label = model.label(name) if hasattr(model, "label") else name.upper()
+    return ".".join((*model.location(name), label))
 
 
 def erasure_targets(model, databases=None) -> list[tuple[str, str, str, str]]:
@@ -161,7 +188,7 @@ def plan_erasure(model, subjects: DataFrame, as_of, salt: str,
                 t, a = erase_delete(df, subjects, as_of, honour_row_holds)
                 entry.update(status="SUCCESS", table=t, affected=a)
         except Exception as e:  # noqa: BLE001 - per-table failure is logged, as the reference does
-            entry.update(status="FAILED", table=df, affected=None, error=str(e)[:1000])
+            entry.update(status="FAILED", table=df, affected=None, error=str(e))
         out[name] = entry
     return out
 
@@ -201,7 +228,9 @@ def operation_log(planned: dict[str, dict], requests: DataFrame) -> DataFrame:
         for p in parts[1:]:
             u = u.unionByName(p)
         # per-subject counts of all tables meet the requests in one join
-        out = u.join(r, "customer_email", "inner")
+        # (a subject may have many requests: the requests are the salted side)
+        out = salted_join(r, u.withColumnRenamed("customer_email", "__subject"), "customer_email",
+                          "__subject", "inner").drop("__subject")
     if failed:
         f = r.select("customer_email", "request_id", F.explode(F.array(*failed)).alias("f")).select(
             "customer_email", F.lit(None).cast("long").alias("records_affected"),
@@ -239,10 +268,11 @@ def verify_counts(before: dict[str, DataFrame], after: dict[str, DataFrame],
                   scope: list[tuple[str, str]], subjects: DataFrame,
                   max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Full outer join of per-subject row counts before and after, for each
-    (full table name, e-mail column) in ``scope``; missing side = 0."""
+    (full table name, e-mail column) in ``scope``; missing side = 0.
+    ``before`` and ``after`` are keyed by full table name."""
     parts = []
     for full, col in scope:
-        key = full.split(".")[-1].lower()
+        key = full
         b = _counts(before[key], col, subjects, max_broadcast_rows).withColumnRenamed("n", "records_before")
         a = _counts(after[key], col, subjects, max_broadcast_rows).withColumnRenamed("n", "records_after")
         j = b.join(a, "customer_email", "full_outer")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..operators.keyed import count_if, pick_one_per_key
+from ..operators.skew import salted_join
 
 
 def _date(d) -> Column:
@@ -61,22 +62,19 @@ def dashboard(requests: DataFrame, as_of, sla_days: int = 30, warn_days: int = 2
 
 
 def dashboard_brief(requests: DataFrame, discovered: DataFrame, as_of,
-                    sla_days: int = 30, databases: list[str] | None = None) -> DataFrame:
+                    sla_days: int = 30) -> DataFrame:
     """The shorter dashboard: PENDING (= SUBMITTED), discovery totals and a
     two-state status.  ``discovered`` holds (customer_email, database_name,
-    records_found) rows of a discovery run for the requests' subjects;
-    ``databases`` are the databases that run searched."""
-    from .discovery import DISCOVERY_DATABASES
-    databases = databases or DISCOVERY_DATABASES
+    records_found) rows of a discovery run for the requests' subjects; every
+    database it names counts as a system."""
     a = _date(as_of)
     r = lookback_filter(requests, "requested_at", as_of, 12)
-    # per subject: records found and one flag per searched database, so the
-    # distinct-systems count needs no second pass over the discovery result
-    flags = [F.max(F.when(F.col("database_name") == db, 1).otherwise(0)).alias(f"__db{i}")
-             for i, db in enumerate(databases)]
-    per_subject = (discovered.groupBy("customer_email")
-                   .agg(F.sum("records_found").alias("records_discovered"), *flags))
-    j = r.join(per_subject, "customer_email", "left")
+    # per subject: records found and the databases that hold them (as many as
+    # there are databases), so the systems need no second pass
+    per_subject = (discovered.groupBy(F.col("customer_email").alias("__subject"))
+                   .agg(F.sum("records_found").alias("records_discovered"),
+                        F.array_sort(F.collect_set("database_name")).alias("__dbs")))
+    j = salted_join(r, per_subject, "customer_email", "__subject", "left")
     pending = F.col("status").isin("SUBMITTED", "IN_PROGRESS")
     age = C.days_between("requested_at", a)
     overdue = count_if(pending & (age > sla_days))
@@ -89,11 +87,9 @@ def dashboard_brief(requests: DataFrame, discovered: DataFrame, as_of,
                              C.days_between("requested_at", "completed_at"))), 4)
          .alias("avg_processing_days"),
         F.coalesce(F.sum("records_discovered"), F.lit(0)).cast("long").alias("total_records_discovered"),
-        *[F.coalesce(F.max(f"__db{i}"), F.lit(0)).alias(f"__db{i}") for i in range(len(databases))],
+        F.size(F.array_distinct(F.flatten(F.collect_set("__dbs")))).cast("long")
+         .alias("systems_with_customer_data"),
     )
-    systems = sum((F.col(f"__db{i}") for i in range(len(databases))), F.lit(0))
-    agg = agg.select(*[c for c in agg.columns if not c.startswith("__db")],
-                     systems.cast("long").alias("systems_with_customer_data"))
     return agg.withColumn("overall_compliance_status",
                           C.compliance_status("overdue_requests", two_state=True))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..operators.keyed import count_if, pick_one_per_key
+from ..operators.skew import salted_join
 from ..plans.reports import legal_hold_count
 from ..sources.derived import VALID_REASONS
 
@@ -28,7 +29,8 @@ MSG_NO_EMAIL = "ERROR: customer_email is required"
 MSG_SUBMITTED = "SUCCESS: Erasure request submitted with ID: "
 MSG_NOT_FOUND = "ERROR: Erasure request not found"
 MSG_NOT_PROCESSABLE = "ERROR: Request is not in a processable state. Current status: "
-MSG_HOLD = "ERROR: Customer data under legal retention - cannot delete"
+HOLD_BASIS = "Customer data under legal retention - cannot delete"  # stored with the request
+MSG_HOLD = "ERROR: " + HOLD_BASIS  # returned to the caller
 MSG_NO_ACTIVE = "ERROR: No active erasure request found for customer"
 
 
@@ -72,14 +74,15 @@ def submit_requests(candidates: DataFrame, customers: DataFrame, requests: DataF
     valid = F.col("erasure_reason").isin(VALID_REASONS)
     open_emails = (requests.where(F.col("status").isin(C.OPEN_STATES))
                    .select(F.col("customer_email").alias("__open")).distinct())
-    c = cand.join(open_emails, cand["customer_email"] == open_emails["__open"], "left")
+    # an address may be hot or missing in a large batch: salted joins
+    c = salted_join(cand, open_emails, "customer_email", "__open", "left")
     # first valid submission per e-mail in the batch: an aggregate, not a window
-    first = (cand.where(valid).groupBy("customer_email")
+    first = (cand.where(valid & F.col("customer_email").isNotNull()).groupBy(F.col("customer_email").alias("__femail"))
              .agg(F.min("submission_seq").alias("__first")))
-    c = c.join(first, "customer_email", "left")
+    c = salted_join(c, first, "customer_email", "__femail", "left")
     live = (customers.where(F.col("is_deleted") == F.lit(False))
             .select(F.col("email").alias("__cemail"), F.col("customer_id").alias("__cid")))
-    c = c.join(live, c["customer_email"] == live["__cemail"], "left")
+    c = salted_join(c, live, "customer_email", "__cemail", "left")
     a = _date(as_of)
     outcome = (F.when(F.col("customer_email").isNull(), "MISSING_EMAIL")
                 .when(~valid | F.col("erasure_reason").isNull(), "INVALID_REASON")
@@ -121,7 +124,8 @@ def process_plan(to_process: DataFrame, requests: DataFrame, policies: DataFrame
     j = to_process.select("request_id").join(r, "request_id", "left")
     holds = legal_hold_count(policies, customers, as_of, honour_override).withColumnRenamed(
         "customer_email", "__hemail")
-    j = j.join(holds, j["customer_email"] == holds["__hemail"], "left")
+    # ids that do not exist have no address: the salted join spreads them
+    j = salted_join(j, holds, "customer_email", "__hemail", "left")
     hc = F.coalesce(F.col("hold_count"), F.lit(0)).cast("long")
     decision = (F.when(F.col("customer_email").isNull(), "NOT_FOUND")
                  .when(~F.col("status").isin("SUBMITTED", "VALIDATED"), "NOT_PROCESSABLE")
@@ -145,7 +149,7 @@ def apply_decisions(requests: DataFrame, plan: DataFrame, as_of) -> DataFrame:
     d = F.col("decision")
     return j.select(*[
         (F.coalesce(d, F.col("status")).alias("status") if c == "status" else
-         F.when(d == "REJECTED", F.lit(MSG_HOLD)).otherwise(F.col(c)).alias(c)
+         F.when(d == "REJECTED", F.lit(HOLD_BASIS)).otherwise(F.col(c)).alias(c)
          if c == "legal_basis_override" else
          F.when(d == "IN_PROGRESS", _ts(as_of)).otherwise(F.col(c)).alias(c)
          if c == "started_at" else F.col(c))
@@ -253,16 +257,23 @@ def audit_verify(audit: DataFrame) -> DataFrame:
                         (F.col("audit_hash") == audit_hash_expr()).alias("hash_matches"))
 
 
-def complete_requests(requests: DataFrame, op_log: DataFrame, as_of) -> DataFrame:
+def complete_requests(requests: DataFrame, op_log: DataFrame, as_of,
+                      processed: DataFrame | None = None) -> DataFrame:
     """Close requests whose erasure ran: COMPLETED when no table operation
     failed (else they stay IN_PROGRESS), with the per-table summary object
-    and a verification hash."""
+    and a verification hash.
+
+    ``processed`` (request_id) are the requests the plan let through, by
+    default those in the log; one whose subject had no rows has no operation
+    and completes with an empty summary."""
     from .erasure import deletion_summary
-    per = (op_log.groupBy("request_id")
+    ops = (op_log.groupBy("request_id")
            .agg(count_if(F.col("operation_status") == "FAILED").alias("failed"))
            .join(deletion_summary(op_log), "request_id", "left"))
+    ids = (processed if processed is not None else op_log).select("request_id").distinct()
+    per = ids.join(ops, "request_id", "left").withColumn("deletion_summary", F.coalesce("deletion_summary", F.lit("{}")))
     r = requests.drop("deletion_summary").join(per, "request_id", "inner")
-    done = F.col("failed") == 0
+    done = F.coalesce(F.col("failed"), F.lit(0)) == 0
     a = _ts(as_of)
     return r.select(
         "request_id", "customer_email",

@@ -3,9 +3,10 @@
 Steps, as the reference's demo runs them for one e-mail: initial status,
 discovery, submission, processing, third-party coordination, verification,
 final status, dashboard.  Every step is a DataFrame plan over the whole
-batch; the only driver work is composing them.  With a ``SnapshotStore`` the
-erased tables are committed as new snapshots (data first, manifest last) and
-verification reads the committed versions back.
+batch; the only driver work is composing them.  With a ``StateFolder`` every
+table is read from it once it is kept there, and the run keeps its results in
+this order: erased tables, after their verification; then requests; then the
+operations, audit rows and notifications, which are appended.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from . import erasure as X
 from . import reports as R
 from . import requests as Q
 from ..session import materialize
+from ..sources.state import StatefulModel, StateFolder
 
 
 def _merge_requests(base: DataFrame, updates: DataFrame, cols: list[str]) -> DataFrame:
@@ -31,80 +33,76 @@ def _merge_requests(base: DataFrame, updates: DataFrame, cols: list[str]) -> Dat
 
 
 def full_scenario(model, subjects: DataFrame, as_of: dt.date, salt: str,
-                  reason: str = "WITHDRAWN_CONSENT", store=None,
-                  verify_hours_back: int = 24) -> dict[str, DataFrame]:
+                  reason: str = "WITHDRAWN_CONSENT", state: StateFolder | None = None,
+                  databases: list[str] | None = None) -> dict[str, DataFrame]:
     """Run the eight steps; returns every intermediate result by name.
 
-    With a ``SnapshotStore`` the erased tables are committed, verification
-    reads the pre-erasure version by time travel, and once the verification
-    result is written the pre-erasure versions are expired."""
+    ``databases`` are those searched and erased from, by default the fixed
+    ones (a model of other databases passes its ``scope()``).  Without a state
+    nothing is written but lineage cuts, and verification compares the tables
+    with the plan's results."""
+    if state is not None:
+        model = StatefulModel(model, state)
+    # results that later steps read, or that must outlast the old tables, are
+    # written once in the shared checkpoint folder
+    kept = (lambda df, name: materialize(df, name)) if state is not None else (lambda df, name: df)
     out: dict[str, DataFrame] = {}
     subj = subjects.select("customer_email").where(F.col("customer_email").isNotNull()).distinct()
     requests = model["erasure_requests"]
     customers = model["customers"]
-    out["status_before"] = Q.subject_status(subj, requests, customers)
-    out["discovered"] = D.discover_subjects(model, subj)
+    out["status_before"] = kept(Q.subject_status(subj, requests, customers), "status")
+    out["discovered"] = kept(D.discover_subjects(model, subj, databases=databases), "discovered")
     cand = subj.select("customer_email", F.lit(reason).alias("erasure_reason"),
                        F.lit(1).cast("long").alias("submission_seq"))
-    # step outputs that several later steps read are materialized once in the
-    # shared checkpoint folder (lineage cut; no step re-runs an earlier one)
     out["submitted"] = materialize(Q.submit_requests(cand, customers, requests, as_of), "submitted")
     requests1 = requests.unionByName(Q.accepted_request_rows(out["submitted"], as_of))
     accepted = out["submitted"].where(F.col("outcome") == "ACCEPTED").select("request_id")
     out["plan"] = materialize(Q.process_plan(accepted, requests1, model["retention_policies"],
                                              customers, as_of), "plan")
     to_erase = X.subjects_to_erase(out["plan"])
-    planned = X.plan_erasure(model, to_erase, as_of, salt)
+    planned = X.plan_erasure(model, to_erase, as_of, salt, databases=databases)
+    if state is not None:
+        for name, e in planned.items():  # a table that fails to be written is logged and stays as it is
+            if e["status"] == "SUCCESS":
+                try:
+                    e["table"] = state.stage(name, e["table"])
+                except Exception as error:  # noqa: BLE001
+                    e.update(status="FAILED", affected=None, error=str(error))
+    # only tables the erasure rewrote change (failed and skipped ones stay)
+    after = {name: e["table"] for name, e in planned.items() if e["status"] == "SUCCESS"}
     go = out["plan"].where(F.col("decision") == "IN_PROGRESS").select("request_id", "customer_email")
-    out["operations"] = X.operation_log(planned, go)
+    out["operations"] = kept(X.operation_log(planned, go), "operations")
+    # verification: every rewritten table's e-mail columns (the labelled ones, where there are labels)
+    by_name = {X.full_name(model, n): n for n in after}
+    try:
+        scope = X.scope_from_classification(model["data_classification"])
+    except KeyError:
+        scope = [(full, c) for full, n in by_name.items() for c in X.email_columns(after[n])]
+    scope = [s for s in scope if s[0] in by_name]
+    out["verification"] = (kept(X.verify_deletion(X.verify_counts(
+        {f: model[by_name[f]] for f, _ in scope}, {f: after[by_name[f]] for f, _ in scope}, scope, to_erase)),
+        "verification") if scope else None)
     requests2 = Q.apply_decisions(requests1, out["plan"], as_of)
-    done = Q.complete_requests(requests2, out["operations"], as_of)
-    requests3 = _merge_requests(requests2, done, ["status", "completed_at", "actual_completion_date",
-                                                  "deletion_summary", "verification_hash"])
-    if store is not None:
-        ts = dt.datetime(as_of.year, as_of.month, as_of.day)
-        store.commit("erasure_requests", requests3, ts)
-        requests3 = store.current("erasure_requests")
-    else:
-        requests3 = materialize(requests3, "requests")
+    done = Q.complete_requests(requests2, out["operations"], as_of, go)
+    requests3 = materialize(_merge_requests(requests2, done, ["status", "completed_at", "actual_completion_date",
+                                                              "deletion_summary", "verification_hash"]), "requests")
     out["requests"] = requests3
-    out["notifications"] = Q.coordinate_processors(subj, requests3, as_of)
+    out["notifications"] = kept(Q.coordinate_processors(subj, requests3, as_of), "notifications")
     completed_now = requests3.join(go.select("request_id"), "request_id", "left_semi")
-    out["audit"] = Q.audit_append(Q.workflow_audit_events(out["submitted"], completed_now,
-                                                          out["notifications"], as_of))
-    # only tables the erasure rewrote get a new version (failed and skipped
-    # tables keep their current one)
-    after = {name: e["table"] for name, e in planned.items() if e["status"] == "SUCCESS"}
-    try:
-        scope = X.scope_from_classification(model["data_classification"])
-    except KeyError:  # a model without curated labels: every e-mail column
-        scope = [(".".join((*model.location(n), n.upper())), c)
-                 for n, df in after.items() for c in X.email_columns(df)]
-    scope = [s for s in scope if s[0].split(".")[-1].lower() in after]
-    keys = sorted({s[0].split(".")[-1].lower() for s in scope})
-    if store is not None:
-        # time travel as the reference does it: the tables as they were
-        # ``verify_hours_back`` hours ago (the pre-erasure snapshot) against
-        # the committed post-erasure snapshot
-        now = dt.datetime(as_of.year, as_of.month, as_of.day)
-        for name, df in after.items():
-            if store.version_as_of(name, now) is None:
-                store.commit(name, model[name], now - dt.timedelta(hours=verify_hours_back))
-            store.commit(name, df, now)
-        after = {name: store.current(name) for name in after}
-        later = now + dt.timedelta(hours=1)
-        before = {k: store.read_hours_ago(k, later, verify_hours_back) for k in keys}
-    else:
-        before = {k: model[k] for k in keys}
-    verification = (X.verify_deletion(X.verify_counts(before, {k: after[k] for k in keys},
-                                                       scope, to_erase)) if scope else None)
-    if store is not None and verification is not None:
-        # keep the proof, then drop the snapshots that still hold erased data
-        verification = materialize(verification, "verification")
+    out["audit"] = kept(Q.audit_append(Q.workflow_audit_events(out["submitted"], completed_now,
+                                                               out["notifications"], as_of)), "audit")
+    if state is not None:
         for name in after:
-            store.expire(name, now)
-    out["verification"] = verification
-    out["status_after"] = Q.subject_status(subj, requests3, after.get("customers", customers))
+            state.publish(name)
+        state.stage("erasure_requests", requests3)
+        state.publish("erasure_requests")
+        for name, key in (("erasure_operations", "operations"), ("workflow_audit", "audit"),
+                          ("third_party_notifications", "notifications")):
+            state.append(name, out[key])
+        customers = model["customers"]
+    else:
+        customers = after.get("customers", customers)
+    out["status_after"] = Q.subject_status(subj, requests3, customers)
     out["dashboard"] = R.dashboard(requests3, as_of)
     return out
 

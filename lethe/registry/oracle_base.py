@@ -40,7 +40,9 @@ _CTES: dict[str, tuple[list[str], str]] = {
                DATE '2001-08-01' + CAST(c_custkey % 120 - 60 AS INTEGER) AS data_retention_until,
                CAST(DATE '1994-01-01' + CAST(c_custkey % 365 AS INTEGER) AS TIMESTAMP) AS created_at,
                CAST(DATE '1994-01-01' + CAST(c_custkey % 365 AS INTEGER) AS TIMESTAMP) AS updated_at,
-               c_custkey % 50 = 7 AS is_deleted
+               c_custkey % 50 = 7 AS is_deleted,
+               CAST(NULL AS TIMESTAMP) AS deleted_at,
+               CAST(NULL AS VARCHAR) AS pii_classification
         FROM customer"""),
     "px_orders": (["px_ckeys"], """
         SELECT 'ORD_' || CAST(o_orderkey AS VARCHAR) AS order_id,
@@ -84,8 +86,7 @@ _CTES: dict[str, tuple[list[str], str]] = {
                ts AS interaction_timestamp,
                (['email', 'social', 'web'])[CAST(floor(event_id / 3) AS BIGINT) % 3 + 1] AS channel,
                round(value, 2) AS conversion_value
-        FROM events e JOIN px_ckeys k ON e.user_id = k._k
-        WHERE event_id % 3 = 0"""),
+        FROM events e JOIN px_ckeys k ON e.user_id = k._k"""),
     "px_erasure_requests": (["px_ckeys"], """
         SELECT 'REQ_' || CAST(o_orderkey AS VARCHAR) AS request_id,
                k.customer_id,
@@ -115,13 +116,24 @@ _CTES: dict[str, tuple[list[str], str]] = {
                CASE WHEN event_id % 20 = 0 THEN NULL ELSE k.email END AS customer_email,
                'agent_' || CAST(event_id % 7 AS VARCHAR) AS user_name
         FROM events e JOIN px_ckeys k ON e.user_id = k._k"""),
+    "px_query_log": (["px_ckeys"], """
+        SELECT 'QRY_' || CAST(event_id AS VARCHAR) AS query_id,
+               'analyst_' || CAST(event_id % 9 AS VARCHAR) AS user_name,
+               (['GDPR_ADMIN', 'DATA_SCIENTIST', 'SALES'])[event_id % 3 + 1] AS role_name,
+               ts AS start_time,
+               CASE event_id % 5 WHEN 0 THEN 'SELECT * FROM customers WHERE email = ' || chr(39) || k.email || chr(39)
+                    WHEN 1 THEN 'SELECT count(*) FROM orders'
+                    WHEN 2 THEN 'UPDATE Customer_Notes SET note = NULL WHERE id = ' || CAST(event_id AS VARCHAR)
+                    WHEN 3 THEN 'select PERSONAL_DATA from profiles -- for ' || k.email
+                    ELSE 'SELECT event_type FROM events' END AS query_text
+        FROM events e JOIN px_ckeys k ON e.user_id = k._k"""),
     "px_support_tickets": (["px_ckeys"], """
         SELECT 'TICK_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS ticket_id,
                k.customer_id,
                k.email AS customer_email,
                role AS subject,
                text AS description
-        FROM conversations cv JOIN px_ckeys k ON cv.conv_id % 150 = k._k"""),
+        FROM conversations cv JOIN px_ckeys k ON cv.conv_id % (SELECT count(*) FROM customer) = k._k"""),
     "px_order_items": ([], """
         SELECT 'OI_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS order_item_id,
                'ORD_' || CAST(l_orderkey AS VARCHAR) AS order_id
@@ -129,7 +141,11 @@ _CTES: dict[str, tuple[list[str], str]] = {
     "px_user_preferences": ([], """
         SELECT 'PREF_' || CAST(c_custkey AS VARCHAR) AS preference_id,
                'CUST_' || CAST(c_custkey AS VARCHAR) AS customer_id
-        FROM customer WHERE c_custkey % 2 = 0"""),
+        FROM customer"""),
+    "px_customer_ml_features": ([], """
+        SELECT 'FEAT_' || CAST(c_custkey AS VARCHAR) AS feature_id,
+               'CUST_' || CAST(c_custkey AS VARCHAR) AS customer_id
+        FROM customer"""),
     "px_classification": ([], """
         SELECT * FROM (VALUES
           ('CUSTOMER_DATA_DB', 'CORE', 'CUSTOMERS', 'email', 'EMAIL_ADDRESS'),
@@ -137,7 +153,9 @@ _CTES: dict[str, tuple[list[str], str]] = {
           ('CUSTOMER_DATA_DB', 'CORE', 'CUSTOMERS', 'date_of_birth', 'DATE_OF_BIRTH'),
           ('CUSTOMER_DATA_DB', 'TRANSACTIONS', 'ORDERS', 'customer_email', 'EMAIL_ADDRESS'),
           ('ANALYTICS_DB', 'EVENTS', 'USER_ACTIVITIES', 'user_email', 'EMAIL_ADDRESS'),
-          ('ANALYTICS_DB', 'EVENTS', 'USER_ACTIVITIES', 'ip_address', 'IP_ADDRESS'))
+          ('ANALYTICS_DB', 'EVENTS', 'USER_ACTIVITIES', 'ip_address', 'IP_ADDRESS'),
+          ('CUSTOMER_DATA_DB', 'SUPPORT', 'SUPPORT_TICKETS', 'customer_email', 'EMAIL_ADDRESS'),
+          ('ANALYTICS_DB', 'CAMPAIGNS', 'MARKETING_INTERACTIONS', 'customer_email', 'EMAIL_ADDRESS'))
           AS t(database_name, schema_name, table_name, column_name, pii_type)"""),
 }
 

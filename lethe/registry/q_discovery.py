@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
+from ..operators.keyed import broadcast_if_small
 from ..plans import discovery as D
 from ..sources.derived import DERIVED
+from ..sources.tables import DRIVER_SCHEMAS
 from .core import register
 from .oracle_base import with_tables
 
@@ -23,6 +26,8 @@ UNION ALL SELECT 'COMPLIANCE_DB', 'REQUESTS', 'ERASURE_REQUESTS', 'CUSTOMER_EMAI
           FROM px_erasure_requests
 UNION ALL SELECT 'COMPLIANCE_DB', 'AUDIT', 'GDPR_AUDIT_LOG', 'CUSTOMER_EMAIL', customer_email FROM px_audit_log"""
 
+# Name fragments, written out again on the oracle side.
+SQL_FRAGMENTS = ["EMAIL", "CUSTOMER", "USER", "PHONE", "ADDRESS", "NAME", "SSN", "SOCIAL", "BIRTH"]
 CLASS_SQL = """CASE WHEN upper({c}) LIKE '%EMAIL%' THEN 'EMAIL_ADDRESS'
             WHEN upper({c}) LIKE '%PHONE%' THEN 'PHONE_NUMBER'
             WHEN upper({c}) LIKE '%ADDRESS%' THEN 'POSTAL_ADDRESS'
@@ -74,8 +79,7 @@ SELECT database_name, schema_name, table_name, column_name,
        {CLASS_SQL.format(c='column_name')} AS pii_classification,
        {SENS_SQL.format(p=CLASS_SQL.format(c='column_name'))} AS sensitivity_level
 FROM (VALUES {_CATALOG_VALUES}) AS t(database_name, schema_name, table_name, column_name)
-WHERE """ + " OR ".join(f"upper(column_name) LIKE '%{f}%'"
-                        for f in C.CANDIDATE_FRAGMENTS + C.INTENDED_EXTRA_FRAGMENTS)
+WHERE """ + " OR ".join(f"upper(column_name) LIKE '%{f}%'" for f in SQL_FRAGMENTS)
 
 INTENDED_SQL = """
 SELECT p.customer_email, c.database_name, c.schema_name, c.table_name, c.column_name,
@@ -173,8 +177,13 @@ def dashboard_brief(m):
 
 # --- content scanning -------------------------------------------------------
 
-SCAN_TEXT = {"documents": ["text"], "conversations": ["text"], "pages": ["url", "html"],
-             "benchmark": ["text"]}
+#: Every string column of every input table.
+SCAN_TEXT = {t: [f.split()[0] for f in ddl.split(",") if f.split()[1].lower() == "string"]
+             for t, ddl in DRIVER_SCHEMAS.items()}
+SCAN_TEXT = {t: cols for t, cols in SCAN_TEXT.items() if cols}
+# Fixed values, written out again on the oracle side.
+EMAIL_SQL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+SSN_SQL, PHONE_SQL, DATE_SQL = r"\d{3}-\d{2}-\d{4}", r"\+?\d{10,15}", r"\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 
 
 def _scan_sql() -> str:
@@ -183,10 +192,10 @@ def _scan_sql() -> str:
         for c in cols:
             parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS rows_scanned,
        count({c}) AS non_null,
-       count(*) FILTER (WHERE regexp_matches({c}, '{C.EMAIL_RE}')) AS email_hits,
-       count(*) FILTER (WHERE regexp_matches({c}, '{C.SSN_RE}')) AS ssn_hits,
-       count(*) FILTER (WHERE regexp_matches({c}, '{C.PHONE_RE}')) AS phone_hits,
-       count(*) FILTER (WHERE regexp_matches({c}, '{C.DATE_RE}')) AS date_hits
+       count(*) FILTER (WHERE regexp_matches({c}, '{EMAIL_SQL}')) AS email_hits,
+       count(*) FILTER (WHERE regexp_matches({c}, '{SSN_SQL}')) AS ssn_hits,
+       count(*) FILTER (WHERE regexp_matches({c}, '{PHONE_SQL}')) AS phone_hits,
+       count(*) FILTER (WHERE regexp_matches({c}, '{DATE_SQL}')) AS date_hits
 FROM {t}""")
     inner = "\nUNION ALL\n".join(parts)
     return f"""SELECT *, round(email_hits / greatest(rows_scanned, 1), 6) AS email_share
@@ -195,44 +204,48 @@ FROM ({inner})"""
 
 @register("pii_scan", _scan_sql())
 def pii_scan(m):
-    """Personal-data pattern hits in every text column of the text tables."""
+    """Personal-data pattern hits in every string column of every input table."""
     t = m.tables
     return D.pii_scan({n: t[n] for n in SCAN_TEXT}, SCAN_TEXT)
 
 
 @register("pii_text_redact", f"""
 WITH s1 AS (SELECT doc_id, text AS t0,
-                   len(regexp_extract_all(text, '{C.EMAIL_RE}')) AS email_found,
-                   regexp_replace(text, '{C.EMAIL_RE}', '[EMAIL]', 'g') AS t1 FROM documents),
-     s2 AS (SELECT *, len(regexp_extract_all(t1, '{C.SSN_RE}')) AS ssn_found,
-                   regexp_replace(t1, '{C.SSN_RE}', '[SSN]', 'g') AS t2 FROM s1),
-     s3 AS (SELECT *, len(regexp_extract_all(t2, '{C.PHONE_RE}')) AS phone_found,
-                   regexp_replace(t2, '{C.PHONE_RE}', '[PHONE]', 'g') AS t3 FROM s2)
+                   len(regexp_extract_all(text, '{EMAIL_SQL}')) AS email_found,
+                   regexp_replace(text, '{EMAIL_SQL}', '[EMAIL]', 'g') AS t1 FROM documents),
+     s2 AS (SELECT *, len(regexp_extract_all(t1, '{SSN_SQL}')) AS ssn_found,
+                   regexp_replace(t1, '{SSN_SQL}', '[SSN]', 'g') AS t2 FROM s1),
+     s3 AS (SELECT *, len(regexp_extract_all(t2, '{PHONE_SQL}')) AS phone_found,
+                   regexp_replace(t2, '{PHONE_SQL}', '[PHONE]', 'g') AS t3 FROM s2)
 SELECT doc_id, email_found, ssn_found, phone_found, t3 AS redacted_text FROM s3""")
 def pii_text_redact(m):
     """Free-text redaction of e-mails, SSNs and phone numbers (whole texts)."""
     return D.pii_text_redact(m.tables["documents"], "doc_id", "text")
 
 
-@register("access_audit", f"""
-SELECT doc_id, source, lang,
-       nullif(regexp_extract(text, '{C.EMAIL_RE}', 0), '') AS customer_email_accessed
-FROM documents
-WHERE text ILIKE '%customer%' OR text ILIKE '%email%' OR text ILIKE '%personal%'
-ORDER BY doc_id DESC""")
+ACCESSED_SQL = f"""
+SELECT query_id, user_name, role_name, CAST(start_time AS VARCHAR) AS start_time,
+       nullif(regexp_extract(query_text, '{EMAIL_SQL}', 0), '') AS customer_email_accessed
+FROM px_query_log
+WHERE query_text ILIKE '%customer%' OR query_text ILIKE '%email%' OR query_text ILIKE '%personal%'"""
+
+
+@register("access_audit", with_tables("px_query_log") + ACCESSED_SQL)
 def access_audit(m):
-    """Log entries touching customer data, with the e-mail they mention."""
-    return D.access_audit(m.tables["documents"], "text", "doc_id", ["doc_id", "source", "lang"])
+    """Statements that touch customer data: who, as what, when, and the e-mail they mention."""
+    return D.access_audit(m["query_log"], "query_text", "start_time", ["query_id", "user_name", "role_name", "start_time"])
 
 
-@register("sort_access", f"""
-SELECT doc_id, nullif(regexp_extract(text, '{C.EMAIL_RE}', 0), '') AS customer_email_accessed
-FROM documents
-WHERE text ILIKE '%customer%' OR text ILIKE '%email%' OR text ILIKE '%personal%'
-ORDER BY doc_id DESC""")
+@register("sort_access", with_tables("px_query_log") + f"SELECT query_id, customer_email_accessed, "
+          f"row_number() OVER (ORDER BY start_time DESC, query_id DESC) AS place FROM ({ACCESSED_SQL}) "
+          "QUALIFY place <= 100")
 def sort_access(m):
-    """Access audit ordered newest first (by log id)."""
-    return D.access_audit(m.tables["documents"], "text", "doc_id", ["doc_id"])
+    """The hundred newest statements that touch customer data, in order (a
+    top-k report)."""
+    newest = D.access_audit(m["query_log"], "query_text", "start_time", ["query_id", "start_time"]).orderBy(
+        F.col("start_time").desc(), F.col("query_id").desc()).limit(100)
+    return newest.withColumn("place", F.row_number().over(Window.orderBy(F.col("start_time").desc(), F.col("query_id").desc()))
+                             .cast("long")).select("query_id", "customer_email_accessed", "place")
 
 
 @register("name_pattern", _disc_with(candidates=CANDIDATES_SQL) + """
@@ -246,7 +259,7 @@ def name_pattern(m):
     cat = D.column_catalog(m.spark, m)
     cands = D.candidate_columns(cat, intended=True).where(F.upper("column_name").like("%NAME%"))
     per_table = observed(m).select("customer_email", "database_name", "schema_name", "table_name")
-    j = per_table.join(F.broadcast(cands), ["database_name", "schema_name", "table_name"])
+    j = per_table.join(broadcast_if_small(cands), ["database_name", "schema_name", "table_name"])
     return (j.groupBy("table_name", "column_name", "pii_classification")
             .agg(F.count_distinct("customer_email").alias("subjects")))
 

@@ -181,7 +181,7 @@ def json_parse(m):
         F.try_variant_get(v, "$.missing", "string").alias("missing"))
 
 
-EMAIL_RE_SQL = C.EMAIL_RE
+EMAIL_RE_SQL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"  # fixed value, written out on the oracle side
 
 
 @register("scalar_functions", canon_sql(with_tables("px_customers") + """
@@ -253,8 +253,11 @@ def scalar_functions(m):
     )
 
 
-MELT_COLS = ["email", "phone_number", "first_name", "address_line1", "customer_id",
-             "date_of_birth", "postal_code"]
+#: Every column of the customer table, as text.
+MELT_COLS = ["customer_id", "email", "first_name", "last_name", "phone_number", "date_of_birth",
+             "address_line1", "address_line2", "city", "state_province", "postal_code", "country_code",
+             "consent_marketing", "consent_analytics", "consent_given_date", "lawful_basis",
+             "data_retention_until", "created_at", "updated_at", "is_deleted", "deleted_at", "pii_classification"]
 
 
 @register("classify_by_value", with_tables("px_customers") + f"""
@@ -272,7 +275,7 @@ FROM (""" + "\n UNION ALL ".join(
     f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS v FROM px_customers" for c in MELT_COLS)
     + ") GROUP BY ALL")
 def classify_by_value(m):
-    """Value-based class of every cell of seven customer columns, counted."""
+    """Value-based class of every cell of the customer table, counted."""
     c = m["customers"]
     stack = "stack({n}, {args}) as (column_name, v)".format(
         n=len(MELT_COLS),

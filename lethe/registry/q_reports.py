@@ -8,6 +8,7 @@ from ..functions import classify as C
 from ..operators.skew import salted_join
 from ..plans import reports as R
 from ..sources.derived import AS_OF, EVENTS_AS_OF, VALID_REASONS
+from ..session import materialize
 from .core import canon_sql, register
 from .oracle_base import with_tables
 
@@ -189,12 +190,17 @@ def table_counts(m):
                                              "erasure_requests")})
 
 
-@register("sample_limit")
+@register("sample_limit", with_tables("px_customers") + """
+SELECT least(count(*), 5) AS sampled_rows, least(count(*), 5) AS customers_among_them FROM px_customers""")
 def sample_limit(m):
-    """Five customers, unsorted (a sampling preview: the limit is the feature)."""
-    return m["customers"].select("customer_id", "email", "first_name", "last_name",
-                                 "country_code", "consent_marketing",
-                                 "consent_analytics").limit(5)
+    """Five customers, unsorted (a sampling preview: the limit is the feature):
+    how many rows came, and how many of them are customers."""
+    cols = ["customer_id", "email", "first_name", "last_name", "country_code", "consent_marketing", "consent_analytics"]
+    c = m["customers"].select(*cols)
+    five = materialize(c.limit(5).select(F.struct(*cols).alias("row")), "sample")  # an unsorted limit may differ when run again
+    known = c.select(F.struct(*cols).alias("row")).join(F.broadcast(five), "row", "left_semi").distinct()  # five rows
+    return five.join(known.withColumn("known", F.lit(1)), "row", "left").agg(
+        F.count(F.lit(1)).alias("sampled_rows"), F.count("known").alias("customers_among_them"))
 
 
 @register("filter_not_deleted", with_tables("px_customers") + """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from ..sources import derived
 from ..streaming import operators as S
@@ -29,17 +30,38 @@ SELECT event_id, user_email FROM px_user_activities WHERE user_email NOT IN {NOT
 def stream_suppress(m):
     """Streaming activities with erased subjects suppressed (= rap_erased)."""
     acts, _ = _activity_stream(m)
-    s = S.suppress_erased(acts.select("event_id", "user_email"), "user_email", m["erasure_requests"])
-    return S.run_to_table(s, "stream_suppress", "append")
+    return S.run_batches(acts.select("event_id", "user_email"), "stream_suppress",
+                         lambda batch: S.suppress_erased(batch, "user_email", m["erasure_requests"]))
 
 
-@register("stream_audit_daily", canon_sql(with_tables("px_audit_log") + """
+#: Windows that end before the newest event less a day are final.
+CLOSED_SQL = """event_timestamp < date_trunc('day', (SELECT max(event_timestamp) FROM px_audit_log) - INTERVAL 1 DAY)"""
+
+
+@register("stream_audit_daily", canon_sql(with_tables("px_audit_log") + f"""
+SELECT CAST(event_timestamp AS DATE) AS audit_date, event_type, count(*) AS event_count,
+       min(event_timestamp) AS first_event, max(event_timestamp) AS last_event, TRUE AS sketches_close
+FROM px_audit_log WHERE {CLOSED_SQL} GROUP BY ALL""", ["audit_date", "first_event", "last_event"]))
+def stream_audit_daily(m):
+    """Daily audit summary as a watermarked tumbling-window stream in append
+    mode: final windows only, distinct counts by sketches (within 5% of exact)."""
+    _, audit = _activity_stream(m)
+    got = S.run_to_table(S.audit_daily(audit), "stream_audit_daily")
+    exact = (m["gdpr_audit_log"].groupBy(F.to_date("event_timestamp").alias("audit_date"), "event_type")
+             .agg(F.count_distinct("customer_email").alias("c"), F.count_distinct("user_name").alias("u")))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), 0.05 * F.col(b))
+    return got.join(exact, ["audit_date", "event_type"]).select(
+        "audit_date", "event_type", "event_count", "first_event", "last_event",
+        (near("unique_customers", "c") & near("unique_users", "u")).alias("sketches_close"))
+
+
+@register("stream_audit_daily_exact", canon_sql(with_tables("px_audit_log") + f"""
 SELECT CAST(event_timestamp AS DATE) AS audit_date, event_type, count(*) AS event_count,
        count(DISTINCT customer_email) AS unique_customers, count(DISTINCT user_name) AS unique_users,
        min(event_timestamp) AS first_event, max(event_timestamp) AS last_event
-FROM px_audit_log GROUP BY ALL""", ["audit_date", "first_event", "last_event"]))
-def stream_audit_daily(m):
-    """Daily audit summary as a watermarked tumbling-window stream (exact)."""
+FROM px_audit_log WHERE {CLOSED_SQL} GROUP BY ALL""", ["audit_date", "first_event", "last_event"]))
+def stream_audit_daily_exact(m):
+    """The same with exact distinct counts: the stream counts per (day, type,
+    customer, user), a batch aggregate adds the levels up."""
     _, audit = _activity_stream(m)
-    agg = S.audit_daily(audit, "1 day", exact=True)
-    return S.run_to_table(agg, "stream_audit_daily", "complete")
+    return S.audit_daily_exact(S.run_to_table(S.audit_daily_counts(audit), "stream_audit_exact"))

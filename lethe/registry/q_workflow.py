@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
-from ..operators.skew import salted_join
+from ..plans import discovery as D
 from ..plans import erasure as X
 from ..plans import requests as Q
+from ..session import materialize
 from ..sources.derived import AS_OF, VALID_REASONS
 from ..sources.tables import DRIVER_SCHEMAS
 from .core import canon_sql, register
@@ -15,7 +16,20 @@ from .oracle_base import with_tables
 
 SALT = "lethe-fixed-salt"  # a fixed salt makes pseudonyms comparable in checks
 OPEN = "('SUBMITTED', 'VALIDATED', 'IN_PROGRESS')"
-VALID_SQL = ", ".join(f"'{v}'" for v in VALID_REASONS)
+# Fixed values, written out again on the oracle side so that a wrong constant in the engine shows.
+VALID_SQL = ("'WITHDRAWN_CONSENT', 'NO_LONGER_NECESSARY', 'UNLAWFUL_PROCESSING', 'OBJECTION', "
+             "'LEGAL_COMPLIANCE', 'CHILD_CONSENT'")
+SQL_BAD_REASON = ("ERROR: Invalid GDPR grounds for erasure. Must be one of: WITHDRAWN_CONSENT, NO_LONGER_NECESSARY, "
+                  "UNLAWFUL_PROCESSING, OBJECTION, LEGAL_COMPLIANCE, CHILD_CONSENT")
+SQL_ACTIVE = "ERROR: An active erasure request already exists for this email"
+SQL_SUBMITTED = "SUCCESS: Erasure request submitted with ID: "
+SQL_NOT_FOUND = "ERROR: Erasure request not found"
+SQL_NOT_PROCESSABLE = "ERROR: Request is not in a processable state. Current status: "
+SQL_HOLD = "ERROR: Customer data under legal retention - cannot delete"
+SQL_HOLD_BASIS = "Customer data under legal retention - cannot delete"
+SQL_NO_ACTIVE = "ERROR: No active erasure request found for customer"
+SQL_COORDINATED = ("SUCCESS: Third-party coordination initiated for: GOOGLE_ANALYTICS, MAILCHIMP, SALESFORCE, "
+                   "STRIPE, ZENDESK, ")
 BATCH_REASONS = VALID_REASONS + ["JUST_BECAUSE"]
 
 
@@ -37,9 +51,10 @@ def candidates(m):
     return first.unionByName(second)
 
 
-CANDIDATES_SQL = f"""
+CANDIDATES_SQL = """
 SELECT email AS customer_email,
-       ({[r for r in BATCH_REASONS]})[CAST(substr(customer_id, 6) AS BIGINT) % 7 + 1] AS erasure_reason,
+       (['WITHDRAWN_CONSENT', 'NO_LONGER_NECESSARY', 'UNLAWFUL_PROCESSING', 'OBJECTION', 'LEGAL_COMPLIANCE',
+         'CHILD_CONSENT', 'JUST_BECAUSE'])[CAST(substr(customer_id, 6) AS BIGINT) % 7 + 1] AS erasure_reason,
        CAST(1 AS BIGINT) AS submission_seq
 FROM px_customers WHERE consent_marketing = FALSE
 UNION ALL
@@ -50,9 +65,9 @@ SUBMIT_SQL = f"""
 SELECT *,
        CASE WHEN outcome = 'ACCEPTED' THEN request_id_ END AS request_id,
        CASE WHEN outcome = 'ACCEPTED' THEN cid END AS customer_id,
-       CASE WHEN outcome = 'INVALID_REASON' THEN '{Q.MSG_BAD_REASON}'
-            WHEN outcome = 'ACTIVE_REQUEST_EXISTS' THEN '{Q.MSG_ACTIVE}'
-            ELSE '{Q.MSG_SUBMITTED}' || request_id_ END AS message,
+       CASE WHEN outcome = 'INVALID_REASON' THEN '{SQL_BAD_REASON}'
+            WHEN outcome = 'ACTIVE_REQUEST_EXISTS' THEN '{SQL_ACTIVE}'
+            ELSE '{SQL_SUBMITTED}' || request_id_ END AS message,
        CASE WHEN outcome = 'ACCEPTED' THEN DATE '2001-08-01' + 30 END AS estimated_completion_date
 FROM (
   SELECT c.customer_email, c.erasure_reason, 'API' AS request_source, c.submission_seq,
@@ -108,9 +123,9 @@ SELECT t.request_id, r.customer_email, r.status, coalesce(h.hold_count, 0) AS ho
             WHEN r.status NOT IN ('SUBMITTED', 'VALIDATED') THEN 'NOT_PROCESSABLE'
             WHEN coalesce(h.hold_count, 0) > 0 THEN 'REJECTED'
             ELSE 'IN_PROGRESS' END AS decision,
-       CASE WHEN r.customer_email IS NULL THEN '{Q.MSG_NOT_FOUND}'
-            WHEN r.status NOT IN ('SUBMITTED', 'VALIDATED') THEN '{Q.MSG_NOT_PROCESSABLE}' || r.status
-            WHEN coalesce(h.hold_count, 0) > 0 THEN '{Q.MSG_HOLD}' END AS message
+       CASE WHEN r.customer_email IS NULL THEN '{SQL_NOT_FOUND}'
+            WHEN r.status NOT IN ('SUBMITTED', 'VALIDATED') THEN '{SQL_NOT_PROCESSABLE}' || r.status
+            WHEN coalesce(h.hold_count, 0) > 0 THEN '{SQL_HOLD}' END AS message
 FROM to_process t
 LEFT JOIN px_erasure_requests r ON r.request_id = t.request_id
 LEFT JOIN holds h ON h.customer_email = r.customer_email"""
@@ -139,7 +154,7 @@ def process_plan(m):
 @register("request_status_update", canon_sql(_plan_with() + f"""
 SELECT r.request_id,
        CASE WHEN p.decision IN ('REJECTED', 'IN_PROGRESS') THEN p.decision ELSE r.status END AS status,
-       CASE WHEN p.decision = 'REJECTED' THEN '{Q.MSG_HOLD}' END AS legal_basis_override,
+       CASE WHEN p.decision = 'REJECTED' THEN '{SQL_HOLD_BASIS}' END AS legal_basis_override,
        CASE WHEN p.decision = 'IN_PROGRESS' THEN TIMESTAMP '2001-08-01 00:00:00' END AS started_at
 FROM px_erasure_requests r
 LEFT JOIN (SELECT request_id, decision FROM plan WHERE decision IN ('REJECTED', 'IN_PROGRESS')) p
@@ -203,15 +218,19 @@ def erase_pseudonymize(m):
     return t.select("event_id", "user_email", "is_pseudonymized", "pseudonym_id")
 
 
-@register("bulk_pseudonymize", _plan_with("px_marketing_interactions") + f"""
-SELECT interaction_id,
-       CASE WHEN customer_email IN (SELECT customer_email FROM erase)
-            THEN {_pseudo_sql('customer_email')} ELSE customer_email END AS customer_email
-FROM px_marketing_interactions""")
+ANALYTICS_TABLES = [("user_activities", "event_id", "user_email"),
+                    ("marketing_interactions", "interaction_id", "customer_email")]
+
+
+@register("bulk_pseudonymize", _plan_with("px_user_activities", "px_marketing_interactions") + "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, {i} AS row_id, CASE WHEN {c} IN (SELECT customer_email FROM erase) "
+    f"THEN {_pseudo_sql(c)} ELSE {c} END AS email FROM px_{t}" for t, i, c in ANALYTICS_TABLES))
 def bulk_pseudonymize(m):
-    """Pseudonymization applied to another analytics table (campaigns)."""
-    t, _ = X.erase_pseudonymize(m["marketing_interactions"], erase_set(m), SALT)
-    return t.select("interaction_id", "customer_email")
+    """Pseudonymization of every analytics table that has an e-mail column."""
+    subj = erase_set(m)
+    parts = [X.erase_pseudonymize(m[t].select(i, c), subj, SALT)[0].select(
+        F.lit(t).alias("table_name"), F.col(i).alias("row_id"), F.col(c).alias("email")) for t, i, c in ANALYTICS_TABLES]
+    return parts[0].unionByName(parts[1])
 
 
 AFFECTED_SQL = "\nUNION ALL\n".join([
@@ -236,9 +255,11 @@ JOIN (SELECT request_id, customer_email FROM plan WHERE decision = 'IN_PROGRESS'
 OP_TABLES = ("px_orders", "px_support_tickets", "px_user_activities", "px_marketing_interactions")
 
 
-def op_log(m):
-    planned = X.plan_erasure(m, erase_set(m), AS_OF, SALT)
-    reqs = plan(m).where(F.col("decision") == "IN_PROGRESS").select("request_id", "customer_email")
+def op_log(m, decided=None):
+    """The operation log of the plan ``decided`` (written once: it feeds every table's job)."""
+    decided = decided if decided is not None else materialize(plan(m), "plan")
+    planned = X.plan_erasure(m, X.subjects_to_erase(decided), AS_OF, SALT)
+    reqs = decided.where(F.col("decision") == "IN_PROGRESS").select("request_id", "customer_email")
     return X.operation_log(planned, reqs)
 
 
@@ -267,42 +288,51 @@ def deletion_summary(m):
     _plan_with(*OP_TABLES, affected_rows=AFFECTED_SQL, oplog=OPLOG_SQL, summary=SUMMARY_SQL) + """
 SELECT r.request_id, r.customer_email, 'COMPLETED' AS status,
        TIMESTAMP '2001-08-01 00:00:00' AS completed_at, DATE '2001-08-01' AS actual_completion_date,
-       s.deletion_summary, sha256(r.customer_email || '2001-08-01 00:00:00') AS verification_hash
-FROM px_erasure_requests r JOIN summary s USING (request_id)""",
+       coalesce(s.deletion_summary, '{}') AS deletion_summary,
+       sha256(r.customer_email || '2001-08-01 00:00:00') AS verification_hash
+FROM px_erasure_requests r JOIN plan p ON p.request_id = r.request_id AND p.decision = 'IN_PROGRESS'
+LEFT JOIN summary s ON s.request_id = r.request_id""",
     ["completed_at", "actual_completion_date"]))
 def complete_requests(m):
-    """Requests closed after their erasure ran without a failed table."""
-    return Q.complete_requests(m["erasure_requests"], op_log(m), AS_OF)
+    """Requests closed after their erasure ran without a failed table, also
+    those whose subject had no rows."""
+    decided = materialize(plan(m), "plan")
+    return Q.complete_requests(m["erasure_requests"], op_log(m, decided), AS_OF,
+                               decided.where(F.col("decision") == "IN_PROGRESS"))
+
+
+HOLDING_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{d}' AS target_database, '{sc}' AS target_schema, '{t}' AS target_table, {c} AS e FROM px_{t.lower()}"
+    for d, sc, t, c in [("CUSTOMER_DATA_DB", "CORE", "CUSTOMERS", "email"),
+                        ("CUSTOMER_DATA_DB", "TRANSACTIONS", "ORDERS", "customer_email"),
+                        ("CUSTOMER_DATA_DB", "SUPPORT", "SUPPORT_TICKETS", "customer_email"),
+                        ("ANALYTICS_DB", "EVENTS", "USER_ACTIVITIES", "user_email"),
+                        ("ANALYTICS_DB", "CAMPAIGNS", "MARKETING_INTERACTIONS", "customer_email")])
 
 
-@register("operation_type", _plan_with(*OP_TABLES, affected_rows=AFFECTED_SQL) + """
+@register("operation_type", _plan_with(*OP_TABLES, holding=HOLDING_SQL) + """
 SELECT DISTINCT target_database, target_schema, target_table,
        CASE WHEN target_database = 'ANALYTICS_DB' AND target_schema IN ('EVENTS', 'ML_MODELS')
             THEN 'PSEUDONYMIZE' ELSE 'DELETE' END AS operation
-FROM affected_rows WHERE e IN (SELECT customer_email FROM erase)""")
+FROM holding WHERE e IN (SELECT customer_email FROM erase)""")
 def operation_type(m):
     """Operation chosen for each table holding approved subjects' rows."""
-    return (op_log(m).select("target_database", "target_schema", "target_table").distinct()
+    found = D.discover_subjects(m, erase_set(m), databases=X.ERASURE_DATABASES)
+    return (found.select(F.col("database_name").alias("target_database"), F.col("schema_name").alias("target_schema"),
+                         F.col("table_name").alias("target_table")).distinct()
             .withColumn("operation", C.operation_type("target_database", "target_schema")))
 
 
 # --- verification ---------------------------------------------------------------
 
-SCOPE = [("CUSTOMER_DATA_DB.CORE.CUSTOMERS", "email"),
-         ("CUSTOMER_DATA_DB.TRANSACTIONS.ORDERS", "customer_email"),
-         ("ANALYTICS_DB.EVENTS.USER_ACTIVITIES", "user_email")]
-
-
 def verify_counts(m):
+    """Every e-mail column labelled as one, in every table the erasure rewrites."""
     subj = erase_set(m)
-    scope = X.scope_from_classification(m["data_classification"])
-    before = {n: m[n] for n in ("customers", "orders", "user_activities")}
-    after = {
-        "customers": X.erase_delete(m["customers"], subj, AS_OF)[0],
-        "orders": X.erase_delete(m["orders"], subj, AS_OF)[0],
-        "user_activities": X.erase_pseudonymize(m["user_activities"], subj, SALT)[0],
-    }
-    return X.verify_counts(before, after, scope, subj)
+    planned = X.plan_erasure(m, subj, AS_OF, SALT)
+    by_name = {X.full_name(m, n): n for n, e in planned.items() if e["status"] == "SUCCESS"}
+    scope = [s for s in X.scope_from_classification(m["data_classification"]) if s[0] in by_name]
+    return X.verify_counts({f: m[by_name[f]] for f, _ in scope},
+                           {f: planned[by_name[f]]["table"] for f, _ in scope}, scope, subj)
 
 
 COUNTS_SQL = f"""
@@ -316,12 +346,18 @@ FULL OUTER JOIN (SELECT t, e, count(*) AS n FROM after_rows
 BEFORE_SQL = """
 SELECT 'CUSTOMER_DATA_DB.CORE.CUSTOMERS' AS t, email AS e FROM px_customers
 UNION ALL SELECT 'CUSTOMER_DATA_DB.TRANSACTIONS.ORDERS', customer_email FROM px_orders
+UNION ALL SELECT 'CUSTOMER_DATA_DB.SUPPORT.SUPPORT_TICKETS', customer_email FROM px_support_tickets
+UNION ALL SELECT 'ANALYTICS_DB.CAMPAIGNS.MARKETING_INTERACTIONS', customer_email FROM px_marketing_interactions
 UNION ALL SELECT 'ANALYTICS_DB.EVENTS.USER_ACTIVITIES', user_email FROM px_user_activities"""
 AFTER_SQL = f"""
 SELECT 'CUSTOMER_DATA_DB.CORE.CUSTOMERS' AS t, email AS e FROM px_customers
 WHERE NOT coalesce(email IN (SELECT customer_email FROM erase), FALSE)
 UNION ALL SELECT 'CUSTOMER_DATA_DB.TRANSACTIONS.ORDERS', customer_email FROM px_orders
 WHERE NOT coalesce(customer_email IN (SELECT customer_email FROM erase) AND NOT {HELD_SQL}, FALSE)
+UNION ALL SELECT 'CUSTOMER_DATA_DB.SUPPORT.SUPPORT_TICKETS', customer_email FROM px_support_tickets
+WHERE NOT coalesce(customer_email IN (SELECT customer_email FROM erase), FALSE)
+UNION ALL SELECT 'ANALYTICS_DB.CAMPAIGNS.MARKETING_INTERACTIONS', customer_email FROM px_marketing_interactions
+WHERE NOT coalesce(customer_email IN (SELECT customer_email FROM erase), FALSE)
 UNION ALL SELECT 'ANALYTICS_DB.EVENTS.USER_ACTIVITIES',
        CASE WHEN user_email IN (SELECT customer_email FROM erase)
             THEN {_pseudo_sql('user_email')} ELSE user_email END
@@ -329,7 +365,7 @@ FROM px_user_activities"""
 
 
 def _verify_with(**extra):
-    return _plan_with("px_orders", "px_user_activities", before_rows=BEFORE_SQL,
+    return _plan_with(*OP_TABLES, before_rows=BEFORE_SQL,
                       after_rows=AFTER_SQL, counts=COUNTS_SQL, **extra)
 
 
@@ -375,7 +411,7 @@ def verify_all(m):
 
 # --- processors -------------------------------------------------------------------
 
-PROCESSORS_SQL = ", ".join(f"('{p}')" for p in Q.PROCESSORS)
+PROCESSORS_SQL = "('GOOGLE_ANALYTICS'), ('MAILCHIMP'), ('SALESFORCE'), ('STRIPE'), ('ZENDESK')"
 LATEST_ACTIVE_SQL = """
 SELECT customer_email, request_id FROM px_erasure_requests
 WHERE status IN ('IN_PROGRESS', 'COMPLETED')
@@ -422,8 +458,8 @@ def pending_notifications(m):
 @register("coordination_outcome", with_tables("px_customers", "px_erasure_requests",
                                               lat=LATEST_ACTIVE_SQL) + f"""
 SELECT s.customer_email, l.request_id,
-       CASE WHEN l.request_id IS NULL THEN '{Q.MSG_NO_ACTIVE}'
-            ELSE 'SUCCESS: Third-party coordination initiated for: {"".join(p + ", " for p in Q.PROCESSORS)}'
+       CASE WHEN l.request_id IS NULL THEN '{SQL_NO_ACTIVE}'
+            ELSE '{SQL_COORDINATED}'
        END AS message
 FROM (SELECT DISTINCT email AS customer_email FROM px_customers) s
 LEFT JOIN lat l USING (customer_email)""")
@@ -470,8 +506,8 @@ def semi_has_request(m):
     left-semi join, NOT EXISTS as a left-anti join)."""
     r = m["erasure_requests"]
     c = m["customers"].select("customer_id", "email")
-    open_ = r.where(F.col("status").isin(C.OPEN_STATES)).select(F.col("customer_email").alias("e"))
-    done = r.where(F.col("status") == "COMPLETED").select(F.col("customer_email").alias("e"))
+    open_ = r.where(F.col("status").isin(C.OPEN_STATES)).select(F.col("customer_email").alias("e")).distinct()
+    done = r.where(F.col("status") == "COMPLETED").select(F.col("customer_email").alias("e")).distinct()
     return (c.join(open_, c["email"] == open_["e"], "left_semi")
              .join(done, c["email"] == done["e"], "left_anti"))
 
@@ -545,44 +581,61 @@ FK = [("orders", "customer_id", "customers", "customer_id"),
       ("order_items", "order_id", "orders", "order_id"),
       ("support_tickets", "customer_id", "customers", "customer_id"),
       ("user_preferences", "customer_id", "customers", "customer_id"),
-      ("retention_policies", "customer_id", "customers", "customer_id")]
+      ("retention_policies", "customer_id", "customers", "customer_id"),
+      ("user_activities", "customer_id", "customers", "customer_id"),
+      ("marketing_interactions", "customer_id", "customers", "customer_id"),
+      ("customer_ml_features", "customer_id", "customers", "customer_id"),
+      ("erasure_requests", "customer_id", "customers", "customer_id")]
 
 
 @register("fk_orphans", with_tables("px_orders", "px_order_items", "px_support_tickets",
-                                    "px_user_preferences", "px_retention_policies",
-                                    "px_customers") + "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS child_table, '{fc}' AS fk_column, count(*) AS orphan_rows FROM px_{c} x "
-    f"WHERE NOT EXISTS (SELECT 1 FROM px_{p} y WHERE y.{pc} = x.{fc})" for c, fc, p, pc in FK))
+                                    "px_user_preferences", "px_retention_policies", "px_user_activities",
+                                    "px_marketing_interactions", "px_customer_ml_features",
+                                    "px_erasure_requests", "px_customers") + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS child_table, '{fc}' AS fk_column, "
+    f"count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM px_{p} y WHERE y.{pc} = x.{fc})) AS orphan_rows, "
+    + (f"count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM px_{p} y WHERE y.{pc} = x.{fc} AND y.is_deleted = FALSE))"
+       if p == "customers" else
+       f"count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM px_{p} y WHERE y.{pc} = x.{fc} AND y.can_be_deleted = FALSE))")
+    + f" AS rows_without_live_parent FROM px_{c} x" for c, fc, p, pc in FK))
 def fk_orphans(m):
-    """Child rows whose declared foreign key has no parent (left-anti)."""
+    """Child rows whose declared foreign key has no parent, and those that would
+    have none once deleted customers, or all deletable orders, are gone."""
     out = None
     for c, fc, p, pc in FK:
-        parent = m[p].select(F.col(pc).alias("__pk"))
-        child = m[c].select(fc)
-        # NULL foreign keys are orphans too: the salted anti join spreads
-        # them (and any hot key) instead of hashing them into one task
-        orphans = salted_join(child, parent, fc, "__pk", "left_anti")
-        part = orphans.agg(F.count(F.lit(1)).alias("orphan_rows")).select(
-            F.lit(c).alias("child_table"), F.lit(fc).alias("fk_column"), "orphan_rows")
+        live = (F.col("is_deleted") == F.lit(False)) if p == "customers" else (F.col("can_be_deleted") == F.lit(False))
+        parent = m[p].select(F.col(pc).alias("__pk"), F.coalesce(live, F.lit(False)).alias("__live"))
+        parent = parent.groupBy("__pk").agg(F.max("__live").alias("__live"))
+        # children are counted per key first (a hot key is combined map-side)
+        child = m[c].groupBy(fc).agg(F.count(F.lit(1)).alias("__n"))
+        j = child.join(parent, child[fc] == parent["__pk"], "left")
+        part = j.agg(F.coalesce(F.sum(F.when(F.col("__pk").isNull(), F.col("__n"))), F.lit(0)).cast("long").alias("orphan_rows"),
+                     F.coalesce(F.sum(F.when(~F.coalesce("__live", F.lit(False)), F.col("__n"))), F.lit(0)).cast("long")
+                      .alias("rows_without_live_parent")).select(
+            F.lit(c).alias("child_table"), F.lit(fc).alias("fk_column"), "orphan_rows", "rows_without_live_parent")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 PK = [("customers", "customer_id"), ("orders", "order_id"), ("order_items", "order_item_id"),
       ("support_tickets", "ticket_id"), ("user_activities", "event_id"),
-      ("erasure_requests", "request_id")]
+      ("marketing_interactions", "interaction_id"), ("customer_ml_features", "feature_id"),
+      ("user_preferences", "preference_id"), ("retention_policies", "policy_id"),
+      ("gdpr_audit_log", "audit_id"), ("erasure_requests", "request_id")]
+PX = {"gdpr_audit_log": "px_audit_log"}  # names that differ on the oracle side
 
 
-@register("pk_duplicates", with_tables(*[f"px_{t}" for t, _ in PK]) + "\nUNION ALL\n".join(
-    f"SELECT '{t}' AS table_name, count(*) AS duplicate_keys FROM "
-    f"(SELECT {k} FROM px_{t} GROUP BY {k} HAVING count(*) > 1)" for t, k in PK))
+@register("pk_duplicates", with_tables(*[PX.get(t, f"px_{t}") for t, _ in PK]) + "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {PX.get(t, f'px_{t}')}) AS key_rows, count(*) AS duplicate_keys FROM "
+    f"(SELECT {k} FROM {PX.get(t, f'px_{t}')} GROUP BY {k} HAVING count(*) > 1)" for t, k in PK))
 def pk_duplicates(m):
-    """Primary keys that occur more than once, per table."""
+    """Primary keys that occur more than once, per table, and the rows checked."""
     out = None
     for t, k in PK:
-        d = m[t].groupBy(k).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        part = d.agg(F.count(F.lit(1)).alias("duplicate_keys")).select(
-            F.lit(t).alias("table_name"), "duplicate_keys")
+        d = m[t].groupBy(k).agg(F.count(F.lit(1)).alias("n"))
+        part = d.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("key_rows"),
+                     F.count(F.when(F.col("n") > 1, 1)).alias("duplicate_keys")).select(
+            F.lit(t).alias("table_name"), "key_rows", "duplicate_keys")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -599,22 +652,53 @@ def scan_tables(m):
     return out
 
 
-@register("export_subject")
-def export_subject(m):
-    """Every row of each approved subject, as JSON, per table (the data
-    export an access request asks for)."""
-    subj = erase_set(m)
-    out = None
-    for name in ("customers", "orders", "support_tickets", "user_activities",
-                 "marketing_interactions"):
-        t = X.tag_rows(m[name], subj)
-        part = (t.where(F.col("__subject").isNotNull())
-                .select(F.col("__subject").alias("customer_email"), F.lit(name).alias("table_name"),
-                        F.to_json(F.struct(*[F.col(c) for c in m[name].columns])).alias("record")))
-        out = part if out is None else out.unionByName(part)
+EXPORT = [("customers", "customer_id", "email"), ("orders", "order_id", "customer_email"),
+          ("support_tickets", "ticket_id", "customer_email"), ("user_activities", "event_id", "user_email"),
+          ("marketing_interactions", "interaction_id", "customer_email"),
+          ("erasure_requests", "request_id", "customer_email"), ("gdpr_audit_log", "audit_id", "customer_email")]
+EXPORT_BY_ID = [("user_preferences", "preference_id"), ("retention_policies", "policy_id"),
+                ("customer_ml_features", "feature_id")]
+
+
+def export(m, subj):
+    """Every row of the subjects as JSON, in every table that names them by
+    e-mail, customer id or (order items) order: customer_email, table_name,
+    row_id, record."""
+    def part(t, rows, row_id, table):
+        return rows.select(F.col("__who").alias("customer_email"), F.lit(table).alias("table_name"),
+                           F.col(row_id).alias("row_id"), F.to_json(F.struct(*[F.col(c) for c in t.columns])).alias("record"))
+    parts, tagged = [], {}
+    for name, row_id, _ in EXPORT:
+        t = m[name]
+        tagged[name] = X.tag_rows(t, subj).withColumn("__who", F.explode("__subjects"))
+        parts.append(part(t, tagged[name], row_id, name))
+    owners = tagged["customers"].select(F.col("customer_id").alias("__cid"), "__who")
+    for name, row_id in EXPORT_BY_ID:
+        t = m[name]
+        parts.append(part(t, t.join(owners, t["customer_id"] == F.col("__cid")), row_id, name))
+    placed = tagged["orders"].select(F.col("order_id").alias("__oid"), "__who")
+    items = m["order_items"]
+    parts.append(part(items, items.join(placed, items["order_id"] == F.col("__oid")), "order_item_id", "order_items"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
+@register("export_subject", _plan_with(*OP_TABLES, "px_audit_log", "px_user_preferences", "px_customer_ml_features",
+                                       "px_order_items") + "\nUNION ALL\n".join(
+    [f"SELECT {c} AS customer_email, '{t}' AS table_name, {i} AS row_id FROM {PX.get(t, f'px_{t}')} "
+     f"WHERE {c} IN (SELECT customer_email FROM erase)" for t, i, c in EXPORT]
+    + [f"SELECT c.email, '{t}', x.{i} FROM px_{t} x JOIN px_customers c USING (customer_id) "
+       f"WHERE c.email IN (SELECT customer_email FROM erase)" for t, i in EXPORT_BY_ID]
+    + ["SELECT o.customer_email, 'order_items', x.order_item_id FROM px_order_items x JOIN px_orders o USING (order_id) "
+       "WHERE o.customer_email IN (SELECT customer_email FROM erase)"]))
+def export_subject(m):
+    """Every row of each approved subject in all eleven tables (the data
+    export an access request asks for; ``export`` adds each row as JSON)."""
+    return export(m, erase_set(m)).select("customer_email", "table_name", "row_id")
+
+
 # --- end to end -----------------------------------------------------------------
 
 def _scenario_ctes(**extra) -> str:
@@ -638,9 +722,7 @@ LEFT JOIN holds h USING (customer_email)"""
 SELECT request_id, customer_email, requested_at, status FROM px_erasure_requests
 UNION ALL
 SELECT p.request_id, p.customer_email, TIMESTAMP '2001-08-01 00:00:00',
-       CASE WHEN p.decision = 'REJECTED' THEN 'REJECTED'
-            WHEN EXISTS (SELECT 1 FROM affected_rows a WHERE a.e = p.customer_email) THEN 'COMPLETED'
-            ELSE 'IN_PROGRESS' END
+       CASE WHEN p.decision = 'REJECTED' THEN 'REJECTED' ELSE 'COMPLETED' END
 FROM sc_plan p"""
     notif = """
 SELECT s.customer_email, CAST(5 AS BIGINT) AS notifications
@@ -657,7 +739,7 @@ FROM (SELECT coalesce(x.t, y.t) AS t, coalesce(x.e, y.e) AS e, coalesce(x.n, 0)
         ON x.t = y.t AND x.e = y.e)
 WHERE b > 0 OR a > 0
 GROUP BY e"""
-    ctes = with_tables(
+    return with_tables(
         "px_customers", "px_erasure_requests", "px_retention_policies", "px_orders",
         "px_support_tickets", "px_user_activities", "px_marketing_interactions", "px_audit_log",
         subj=subj, holds=HOLDS_SQL, long=LONG_SQL, submitted=submitted, sc_plan=plan,
@@ -665,9 +747,6 @@ GROUP BY e"""
         affected_rows=AFFECTED_SQL,
         requests3=requests3, notif=notif, before_rows=BEFORE_SQL, after_rows=AFTER_SQL,
         verify=verify, **extra)
-    # affected_rows above lists every row; keep only the erased subjects' rows
-    return ctes.replace("WHERE a.e = p.customer_email)",
-                        "WHERE a.e = p.customer_email AND a.e IN (SELECT customer_email FROM erase))")
 
 
 def _full_scenario_sql() -> str:
@@ -702,39 +781,66 @@ def full_scenario(m):
     return scenario_summary(run(m, subj, AS_OF, SALT))
 
 
-# --- snapshots and appends (write to the shared checkpoint folder) ---------------
-
-def _store(m):
+@register("scenario_two_batches", _scenario_ctes() + """
+SELECT s.customer_email, CAST(regexp_extract(s.customer_email, '^user([0-9]+)@', 1) AS BIGINT) // 12 % 2 AS batch,
+       sb.outcome AS submit_outcome,
+       (SELECT max(r.status) FROM requests3 r WHERE r.request_id = sb.request_id AND sb.outcome = 'ACCEPTED') AS final_status,
+       (SELECT count(*) FROM px_customers c WHERE c.email = s.customer_email
+          AND c.email NOT IN (SELECT customer_email FROM erase)) AS customer_rows_left,
+       (SELECT count(*) FROM (SELECT DISTINCT target_table FROM affected_rows a
+          WHERE a.e = s.customer_email AND a.e IN (SELECT customer_email FROM erase))) AS operations_logged
+FROM subj s LEFT JOIN submitted sb USING (customer_email)""")
+def scenario_two_batches(m):
+    """Two disjoint batches of the scenario on one state, one after the other:
+    each subject's request, rows left and logged operations at the end."""
+    from ..plans.scenario import full_scenario as run
     from ..session import scratch_path
-    from ..sources.snapshots import SnapshotStore
-    return SnapshotStore(m.spark, scratch_path(m.spark, "snapshots"))
+    from ..sources.state import StateFolder
+    state = StateFolder(m.spark, scratch_path(m.spark, "state"))
+    c = m["customers"]
+    both = c.where((F.col("consent_marketing") == F.lit(False)) & (F.col("consent_analytics") == F.lit(False)))
+    # customers who withdrew both consents have keys divisible by 12: every other one
+    batch = F.floor(F.substring("customer_id", 6, 20).cast("long") / 12) % 2
+    subj = materialize(both.select(F.col("email").alias("customer_email"), batch.cast("long").alias("batch")), "batches")
+    first, second = (run(m, subj.where(F.col("batch") == b), AS_OF, SALT, state=state) for b in (0, 1))
+    sub = first["submitted"].unionByName(second["submitted"]).select(
+        "customer_email", F.col("outcome").alias("submit_outcome"), "request_id")
+    requests = state.read("erasure_requests").select("request_id", F.col("status").alias("final_status"))
+    left = state.read("customers").groupBy(F.col("email").alias("customer_email")).agg(F.count(F.lit(1)).alias("n"))
+    owners = sub.select("customer_email", "request_id")
+    ops = (state.read("erasure_operations").where(F.col("operation_status") == "SUCCESS").join(owners, "request_id")
+           .groupBy("customer_email").agg(F.count(F.lit(1)).alias("ops")))
+    j = (subj.join(sub, "customer_email", "left").join(requests, "request_id", "left")
+         .join(left, "customer_email", "left").join(ops, "customer_email", "left"))
+    return j.select("customer_email", "batch", "submit_outcome", "final_status",
+                    F.coalesce("n", F.lit(0)).cast("long").alias("customer_rows_left"),
+                    F.coalesce("ops", F.lit(0)).cast("long").alias("operations_logged"))
+
+
+# --- tables as of a time, and appends -------------------------------------------
+
+def _history(m):
+    """Customers valid from one day before the erasure, the erased ones until it."""
+    import datetime as dt
+    return X.mark_erased(m["customers"].select("customer_id", "email"), erase_set(m), AS_OF,
+                         dt.datetime(2001, 7, 31), dt.datetime(2001, 8, 1))
 
 
 @register("read_as_of", with_tables("px_customers") + """
 SELECT customer_id, email FROM px_customers""")
 def read_as_of(m):
-    """Customers committed as v0, erased as v1; read as of one hour after v0
-    (the earlier version comes back whole)."""
+    """Customers as they were an hour after the history begins: all of them."""
     import datetime as dt
-    store = _store(m)
-    t0 = dt.datetime(2001, 7, 31, 0, 0)
-    store.commit("customers", m["customers"].select("customer_id", "email"), t0)
-    kept, _ = X.erase_delete(store.current("customers"), erase_set(m), AS_OF)
-    store.commit("customers", kept, dt.datetime(2001, 8, 1, 0, 0))
-    return store.read_hours_ago("customers", t0 + dt.timedelta(hours=25), 24)
+    return X.valid_at(_history(m), dt.datetime(2001, 7, 31, 1, 0))
 
 
 @register("asof_snapshot", _plan_with() + """
 SELECT customer_id, email FROM px_customers
 WHERE NOT coalesce(email IN (SELECT customer_email FROM erase), FALSE)""")
 def asof_snapshot(m):
-    """The version in force at a time after the erasure commit: v1."""
+    """Customers as they are a day after the erasure."""
     import datetime as dt
-    store = _store(m)
-    store.commit("customers", m["customers"].select("customer_id", "email"), dt.datetime(2001, 7, 31))
-    kept, _ = X.erase_delete(store.current("customers"), erase_set(m), AS_OF)
-    store.commit("customers", kept, dt.datetime(2001, 8, 1))
-    return store.read_as_of("customers", dt.datetime(2001, 8, 2))
+    return X.valid_at(_history(m), dt.datetime(2001, 8, 2))
 
 
 @register("append_rows", canon_sql(
@@ -745,11 +851,12 @@ SELECT request_id, customer_email, 'SUBMITTED' FROM ({SUBMIT_SQL}) WHERE outcome
 def append_rows(m):
     """Accepted submissions appended to the stored request table (INSERT)."""
     from ..session import scratch_path
-    path = scratch_path(m.spark, "requests")
-    m["erasure_requests"].write.mode("overwrite").parquet(path)
+    from ..sources.state import StateFolder
+    state = StateFolder(m.spark, scratch_path(m.spark, "requests"))
+    state.append("erasure_requests", m["erasure_requests"])
     sub = Q.submit_requests(candidates(m), m["customers"], m["erasure_requests"], AS_OF)
-    Q.accepted_request_rows(sub, AS_OF).write.mode("append").parquet(path)
-    return m.spark.read.parquet(path).select("request_id", "customer_email", "status")
+    state.append("erasure_requests", Q.accepted_request_rows(sub, AS_OF))
+    return state.read("erasure_requests").select("request_id", "customer_email", "status")
 
 
 def _workflow_audit_sql() -> str:

@@ -168,7 +168,7 @@ def user_activities(t: TableSet) -> DataFrame:
 
 
 def marketing_interactions(t: TableSet) -> DataFrame:
-    e = t["events"].where(F.col("event_id") % 3 == 0)
+    e = t["events"]
     eid = F.col("event_id")
     j = e.join(_customer_keys(t), F.col("user_id") == F.col("_k"), "inner")
     return conform(j.select(
@@ -202,7 +202,7 @@ def customer_ml_features(t: TableSet) -> DataFrame:
 
 
 def user_preferences(t: TableSet) -> DataFrame:
-    c = t["customer"].where(F.col("c_custkey") % 2 == 0)
+    c = t["customer"]
     k = F.col("c_custkey")
     return conform(c.select(
         F.concat(F.lit("PREF_"), _s(k)).alias("preference_id"),
@@ -273,7 +273,10 @@ def gdpr_audit_log(t: TableSet) -> DataFrame:
 def support_tickets(t: TableSet) -> DataFrame:
     cv = t["conversations"]
     cid = F.col("conv_id")
-    j = cv.join(_customer_keys(t), cid % 150 == F.col("_k"), "inner")
+    # conversations are dealt over all customers, so tickets a customer do not grow with the data
+    owners = t["customer"].agg(F.count(F.lit(1)).alias("n")).scalar()
+    owned = cv.withColumn("_owner", cid % owners)
+    j = owned.join(_customer_keys(t), F.col("_owner") == F.col("_k"), "inner")
     return conform(j.select(
         F.concat(F.lit("TICK_"), _s(cid), F.lit("_"), _s("turn")).alias("ticket_id"),
         "customer_id",
@@ -287,15 +290,31 @@ def support_tickets(t: TableSet) -> DataFrame:
     ), "support_tickets")
 
 
+def query_log(t: TableSet) -> DataFrame:
+    """A log of statements that users ran: who, as what, when and the text."""
+    e = t["events"]
+    eid = F.col("event_id")
+    j = e.join(_customer_keys(t), F.col("user_id") == F.col("_k"), "inner")
+    text = (F.when(eid % 5 == 0, F.concat(F.lit("SELECT * FROM customers WHERE email = '"), F.col("email"), F.lit("'")))
+             .when(eid % 5 == 1, F.lit("SELECT count(*) FROM orders"))
+             .when(eid % 5 == 2, F.concat(F.lit("UPDATE Customer_Notes SET note = NULL WHERE id = "), _s(eid)))
+             .when(eid % 5 == 3, F.concat(F.lit("select PERSONAL_DATA from profiles -- for "), F.col("email")))
+             .otherwise(F.lit("SELECT event_type FROM events")))
+    return j.select(F.concat(F.lit("QRY_"), _s(eid)).alias("query_id"),
+                    F.concat(F.lit("analyst_"), _s(eid % 9)).alias("user_name"),
+                    _pick(["GDPR_ADMIN", "DATA_SCIENTIST", "SALES"], eid % 3).alias("role_name"),
+                    F.col("ts").alias("start_time"), text.alias("query_text"))
+
+
 # The configuration rows of the reference data model.
 CONFIG_ROWS = [
-    ("MAX_RESPONSE_TIME_DAYS", "30", "Maximum response time for GDPR requests in days"),
-    ("AUTO_APPROVE_SIMPLE_REQUESTS", "true", "Automatically approve simple erasure requests"),
-    ("REQUIRE_IDENTITY_VERIFICATION", "true", "Require identity verification for erasure requests"),
-    ("DEFAULT_RETENTION_YEARS", "7", "Default data retention period in years"),
-    ("ENABLE_PSEUDONYMIZATION", "true", "Enable pseudonymization for analytics data"),
-    ("NOTIFICATION_EMAIL", '"gdpr-officer@company.com"', "Email for GDPR notifications"),
-    ("THIRD_PARTY_COORDINATION_ENABLED", "true", "Enable automatic third-party coordination"),
+    ("MAX_RESPONSE_TIME_DAYS", "30", "Days within which a request must be answered"),
+    ("AUTO_APPROVE_SIMPLE_REQUESTS", "true", "Approve plain requests without review"),
+    ("REQUIRE_IDENTITY_VERIFICATION", "true", "Check identity before a request is taken"),
+    ("DEFAULT_RETENTION_YEARS", "7", "Years data is kept unless a policy says otherwise"),
+    ("ENABLE_PSEUDONYMIZATION", "true", "Keep analytics rows under pseudonyms"),
+    ("NOTIFICATION_EMAIL", '"privacy-office@lethe.example"', "Where notices go"),
+    ("THIRD_PARTY_COORDINATION_ENABLED", "true", "Notify processors of erasures"),
 ]
 
 
@@ -313,6 +332,8 @@ CLASSIFICATION_ROWS = [
     ("CLASS_004", "CUSTOMER_DATA_DB", "TRANSACTIONS", "ORDERS", "customer_email", "EMAIL_ADDRESS", "HIGH"),
     ("CLASS_005", "ANALYTICS_DB", "EVENTS", "USER_ACTIVITIES", "user_email", "EMAIL_ADDRESS", "MEDIUM"),
     ("CLASS_006", "ANALYTICS_DB", "EVENTS", "USER_ACTIVITIES", "ip_address", "IP_ADDRESS", "MEDIUM"),
+    ("CLASS_007", "CUSTOMER_DATA_DB", "SUPPORT", "SUPPORT_TICKETS", "customer_email", "EMAIL_ADDRESS", "HIGH"),
+    ("CLASS_008", "ANALYTICS_DB", "CAMPAIGNS", "MARKETING_INTERACTIONS", "customer_email", "EMAIL_ADDRESS", "MEDIUM"),
 ]
 
 
@@ -357,6 +378,8 @@ class ComplianceModel:
         if name not in self._dfs:
             if name == "gdpr_config":
                 self._dfs[name] = gdpr_config(self.spark)
+            elif name == "query_log":
+                self._dfs[name] = query_log(self.tables)
             elif name == "data_classification":
                 self._dfs[name] = data_classification(self.spark)
             else:

@@ -1,7 +1,10 @@
-"""The reference's demonstration rows, transcribed as intended (literal rows).
+"""Small invented tables that hold the edge cases of the compliance rules.
 
 Used by expected-value unit tests at ``FIXTURE_AS_OF``.  ``FixtureModel``
 offers the same interface as ``ComplianceModel`` so every plan runs on it.
+The cases: both consents withdrawn (009), retention expired (010), no consent
+date (005, 011), a hold that blocks (002, 006), a hold that may be overridden
+(012), an open, a running and a completed request, orders under retention.
 """
 
 from __future__ import annotations
@@ -13,48 +16,44 @@ from pyspark.sql import DataFrame, SparkSession
 from .schemas import LOCATION, conform
 
 FIXTURE_AS_OF = dt.date(2024, 3, 20)
-T = dt.datetime
-D = dt.date
 
-# Demonstration customers.
-CUSTOMERS = [
-    ("CUST_001", "anna.mueller@email.de", "Anna", "Mueller", "+49-30-12345678", D(1985, 3, 15),
-     "123 Hauptstrasse", "Berlin", "Berlin", "10115", "DE", True, True, T(2024, 1, 15, 10, 30),
-     "CONSENT", D(2031, 1, 15)),
-    ("CUST_002", "jean.dupont@email.fr", "Jean", "Dupont", "+33-1-23456789", D(1990, 7, 22),
-     "456 Rue de la Paix", "Paris", "Île-de-France", "75001", "FR", False, True,
-     T(2024, 2, 20, 14, 15), "LEGITIMATE_INTEREST", D(2029, 2, 20)),
-    ("CUST_003", "maria.garcia@email.es", "Maria", "Garcia", "+34-91-1234567", D(1988, 11, 8),
-     "789 Calle Mayor", "Madrid", "Madrid", "28001", "ES", True, False, T(2024, 3, 10, 9, 45),
-     "CONSENT", D(2030, 3, 10)),
-    ("CUST_004", "giovanni.rossi@email.it", "Giovanni", "Rossi", "+39-06-12345678", D(1992, 5, 3),
-     "321 Via Roma", "Rome", "Lazio", "00100", "IT", True, True, T(2024, 1, 5, 16, 20),
-     "CONTRACT", D(2031, 1, 5)),
-    ("CUST_005", "lars.andersson@email.se", "Lars", "Andersson", "+46-8-1234567", D(1987, 9, 18),
-     "654 Drottninggatan", "Stockholm", "Stockholm", "11151", "SE", False, False, None,
-     "LEGITIMATE_INTEREST", D(2028, 9, 18)),
-    ("CUST_006", "john.smith@email.com", "John", "Smith", "+1-555-123-4567", D(1984, 12, 12),
-     "123 Main Street", "New York", "NY", "10001", "US", True, True, T(2024, 2, 1, 11, 0),
-     "CONSENT", D(2032, 2, 1)),
-    ("CUST_007", "sarah.wilson@email.com", "Sarah", "Wilson", "+1-555-987-6543", D(1991, 4, 25),
-     "456 Oak Avenue", "Los Angeles", "CA", "90210", "US", True, False, T(2024, 1, 20, 13, 30),
-     "CONSENT", D(2031, 1, 20)),
-    ("CUST_008", "hiroshi.tanaka@email.jp", "Hiroshi", "Tanaka", "+81-3-1234-5678", D(1989, 8, 14),
-     "789 Shibuya Street", "Tokyo", "Tokyo", "150-0002", "JP", False, True, T(2024, 3, 5, 8, 15),
-     "LEGITIMATE_INTEREST", D(2029, 3, 5)),
-    ("CUST_009", "consent.withdrawn@email.de", "Klaus", "Weber", "+49-89-1234567", D(1986, 6, 30),
-     "111 Marienplatz", "Munich", "Bavaria", "80331", "DE", False, False, T(2023, 12, 1, 10, 0),
-     "CONSENT", D(2025, 12, 1)),
-    ("CUST_010", "data.retention.expired@email.fr", "Pierre", "Martin", "+33-4-12345678",
-     D(1983, 2, 14), "222 Boulevard Saint-Germain", "Lyon", "Auvergne-Rhône-Alpes", "69001", "FR",
-     True, True, T(2022, 1, 1, 12, 0), "CONSENT", D(2024, 1, 1)),
-    ("CUST_011", "teen.user@email.de", "Max", "Schmidt", "+49-40-1234567", D(2008, 3, 20),
-     "333 Reeperbahn", "Hamburg", "Hamburg", "20359", "DE", False, False, None,
-     "PARENTAL_CONSENT", D(2026, 3, 20)),
-    ("CUST_012", "business.contact@company.com", "Emma", "Johnson", "+44-20-12345678",
-     D(1982, 10, 5), "444 Business Park", "London", "England", "SW1A 1AA", "GB", True, True,
-     T(2024, 1, 10, 15, 45), "CONTRACT", D(2034, 1, 10)),
+
+def _at(days_before: int, hour: int = 12) -> dt.datetime:
+    """A time some days before the reference date."""
+    day = FIXTURE_AS_OF - dt.timedelta(days=days_before)
+    return dt.datetime(day.year, day.month, day.day, hour)
+
+
+def _in(days: int) -> dt.date:
+    return FIXTURE_AS_OF + dt.timedelta(days=days)
+
+
+# (number, mailbox, first, last, city, country, marketing, analytics, consent given days ago, basis, retention ends in days)
+_PEOPLE = [
+    (1, "liv.brandt@post.example", "Liv", "Brandt", "Kiel", "DE", True, True, 60, "CONSENT", 2400),
+    (2, "otto.krohn@mail.example", "Otto", "Krohn", "Metz", "FR", False, True, 30, "LEGITIMATE_INTEREST", 1700),
+    (3, "ines.vidal@post.example", "Ines", "Vidal", "Vigo", "ES", True, False, 10, "CONSENT", 2100),
+    (4, "enzo.bassi@mail.example", "Enzo", "Bassi", "Bari", "IT", True, True, 75, "CONTRACT", 2450),
+    (5, "siv.lund@post.example", "Siv", "Lund", "Umeå", "SE", False, False, None, "LEGITIMATE_INTEREST", 1600),
+    (6, "rhea.stone@mail.example", "Rhea", "Stone", "Dayton", "US", True, True, 45, "CONSENT", 2800),
+    (7, "noel.park@post.example", "Noel", "Park", "Tulsa", "US", True, False, 55, "CONSENT", 2500),
+    (8, "ren.mori@mail.example", "Ren", "Mori", "Nara", "JP", False, True, 15, "LEGITIMATE_INTEREST", 1800),
+    (9, "no.consent@post.example", "Uwe", "Falk", "Trier", "DE", False, False, 110, "CONSENT", 620),
+    (10, "kept.too.long@mail.example", "Luc", "Favre", "Nancy", "FR", True, True, 800, "CONSENT", -80),
+    (11, "young.user@post.example", "Tim", "Busch", "Jena", "DE", False, False, None, "PARENTAL_CONSENT", 730),
+    (12, "front.desk@firm.example", "Gwen", "Hale", "Leeds", "GB", True, True, 70, "CONTRACT", 3580),
 ]
+_MAIL = {n: mail for n, mail, *_ in _PEOPLE}
+
+
+def _cust(n: int) -> str:
+    return f"CUST_{n:03d}"
+
+
+CUSTOMERS = [
+    (_cust(n), mail, first, last, f"+{40 + n}-{n}0-55{n:04d}", dt.date(1980 + n, n, 2 * n), f"{n * 11} Example Lane", city,
+     city, f"{n:05d}", country, marketing, analytics, None if ago is None else _at(ago), basis, _in(ends))
+    for n, mail, first, last, city, country, marketing, analytics, ago, basis, ends in _PEOPLE]
 CUSTOMER_COLS = ("customer_id string, email string, first_name string, last_name string, "
                  "phone_number string, date_of_birth date, address_line1 string, city string, "
                  "state_province string, postal_code string, country_code string, "
@@ -62,85 +61,50 @@ CUSTOMER_COLS = ("customer_id string, email string, first_name string, last_name
                  "consent_given_date timestamp, lawful_basis string, data_retention_until date")
 
 
-def _addr(street, city, postal, country):
-    return (f'{{"street": "{street}", "city": "{city}", "postal_code": "{postal}", '
+def _addr(n: int) -> str:
+    _, _, _, _, city, country, *_ = _PEOPLE[n - 1]
+    return (f'{{"street": "{n * 11} Example Lane", "city": "{city}", "postal_code": "{n:05d}", '
             f'"country": "{country}"}}')
 
 
-# Demonstration orders.
+# (customer, order of that customer, days ago, amount, currency, status, may be deleted); all under retention
 ORDERS = [
-    ("ORD_001_001", "CUST_001", "anna.mueller@email.de", T(2024, 1, 20, 14, 30), 299.99, "EUR",
-     "CREDIT_CARD", _addr("123 Hauptstrasse", "Berlin", "10115", "DE"), "DELIVERED",
-     D(2031, 1, 20), True),
-    ("ORD_001_002", "CUST_001", "anna.mueller@email.de", T(2024, 3, 15, 10, 15), 149.50, "EUR",
-     "PAYPAL", _addr("123 Hauptstrasse", "Berlin", "10115", "DE"), "PROCESSING",
-     D(2031, 3, 15), True),
-    ("ORD_002_001", "CUST_002", "jean.dupont@email.fr", T(2024, 2, 25, 16, 45), 89.99, "EUR",
-     "BANK_TRANSFER", _addr("456 Rue de la Paix", "Paris", "75001", "FR"), "DELIVERED",
-     D(2031, 2, 25), False),
-    ("ORD_003_001", "CUST_003", "maria.garcia@email.es", T(2024, 3, 1, 12, 20), 199.99, "EUR",
-     "CREDIT_CARD", _addr("789 Calle Mayor", "Madrid", "28001", "ES"), "DELIVERED",
-     D(2031, 3, 1), True),
-    ("ORD_006_001", "CUST_006", "john.smith@email.com", T(2024, 2, 10, 9, 30), 399.99, "USD",
-     "CREDIT_CARD", _addr("123 Main Street", "New York", "10001", "US"), "DELIVERED",
-     D(2031, 2, 10), True),
-    ("ORD_012_001", "CUST_012", "business.contact@company.com", T(2024, 1, 15, 11, 0), 9999.99,
-     "GBP", "WIRE_TRANSFER", _addr("444 Business Park", "London", "SW1A 1AA", "GB"), "DELIVERED",
-     D(2034, 1, 15), False),
-]
+    (f"ORD_{n:03d}_{k:03d}", _cust(n), _MAIL[n], _at(ago), amount, currency, "CREDIT_CARD", _addr(n), status, _in(2500), deletable)
+    for n, k, ago, amount, currency, status, deletable in [
+        (1, 1, 61, 18.50, "EUR", "DELIVERED", True), (1, 2, 6, 240.00, "EUR", "PROCESSING", True),
+        (2, 1, 24, 75.25, "EUR", "DELIVERED", False), (3, 1, 18, 12.00, "EUR", "DELIVERED", True),
+        (6, 1, 40, 510.10, "USD", "DELIVERED", True), (12, 1, 66, 8200.00, "GBP", "DELIVERED", False)]]
 ORDER_COLS = ("order_id string, customer_id string, customer_email string, order_date timestamp, "
               "total_amount double, currency string, payment_method string, "
               "billing_address string, order_status string, legal_retention_until date, "
               "can_be_deleted boolean")
 
-# Demonstration support tickets.
 TICKETS = [
-    ("TICK_001_001", "CUST_001", "anna.mueller@email.de", "Laptop delivery delay",
-     "My laptop order is delayed. Can you provide an update?", "MEDIUM", "RESOLVED"),
-    ("TICK_002_001", "CUST_002", "jean.dupont@email.fr", "Request for data deletion",
-     "I want to delete my account and all personal data per GDPR Article 17.", "HIGH", "OPEN"),
-    ("TICK_003_001", "CUST_003", "maria.garcia@email.es", "Billing question",
-     "I have a question about my recent invoice.", "LOW", "RESOLVED"),
-    ("TICK_009_001", "CUST_009", "consent.withdrawn@email.de", "Withdraw marketing consent",
-     "Please remove me from all marketing communications.", "MEDIUM", "RESOLVED"),
-    ("TICK_011_001", "CUST_011", "teen.user@email.de", "Account access issue",
-     "Cannot access my account after turning 16.", "MEDIUM", "OPEN"),
-]
+    (f"TICK_{n:03d}_001", _cust(n), _MAIL[n], subject, text, priority, status)
+    for n, subject, text, priority, status in [
+        (1, "Parcel", "Where is my parcel?", "MEDIUM", "RESOLVED"), (2, "Erase me", "Erase all you hold about me.", "HIGH", "OPEN"),
+        (3, "Receipt", "The receipt shows a wrong sum.", "LOW", "RESOLVED"), (9, "No more mail", "Stop writing to me.", "MEDIUM", "RESOLVED"),
+        (11, "Login", "My login fails since my birthday.", "MEDIUM", "OPEN")]]
 TICKET_COLS = ("ticket_id string, customer_id string, customer_email string, subject string, "
                "description string, priority string, status string")
 
-# Demonstration activities (is_pseudonymized defaults to false).
+# (customer, event of that customer, type, days ago, analytics consent); is_pseudonymized defaults to false
 ACTIVITIES = [
-    ("EVT_001_001", "CUST_001", "anna.mueller@email.de", "page_view", T(2024, 1, 15, 9, 30),
-     "192.168.1.101", "DE", True),
-    ("EVT_001_002", "CUST_001", "anna.mueller@email.de", "add_to_cart", T(2024, 1, 15, 9, 32),
-     "192.168.1.101", "DE", True),
-    ("EVT_001_003", "CUST_001", "anna.mueller@email.de", "purchase", T(2024, 1, 20, 14, 30),
-     "192.168.1.101", "DE", True),
-    ("EVT_002_001", "CUST_002", "jean.dupont@email.fr", "page_view", T(2024, 2, 20, 14, 15),
-     "10.0.1.101", "FR", False),
-    ("EVT_003_001", "CUST_003", "maria.garcia@email.es", "page_view", T(2024, 2, 28, 16, 45),
-     "172.16.1.101", "ES", True),
-    ("EVT_003_002", "CUST_003", "maria.garcia@email.es", "purchase", T(2024, 3, 1, 12, 20),
-     "172.16.1.101", "ES", True),
-    ("EVT_009_001", "CUST_009", "consent.withdrawn@email.de", "page_view", T(2023, 11, 15, 10, 30),
-     "192.168.2.101", "DE", False),
-]
+    (f"EVT_{n:03d}_{k:03d}", _cust(n), _MAIL[n], kind, _at(ago), f"198.51.100.{n}", _PEOPLE[n - 1][5], consent)
+    for n, k, kind, ago, consent in [
+        (1, 1, "view", 66, True), (1, 2, "basket", 65, True), (1, 3, "buy", 61, True), (2, 1, "view", 29, False),
+        (3, 1, "view", 20, True), (3, 2, "buy", 18, True), (9, 1, "view", 125, False)]]
 ACTIVITY_COLS = ("event_id string, customer_id string, user_email string, event_type string, "
                  "event_timestamp timestamp, ip_address string, country_code string, "
                  "consent_for_analytics boolean")
 
-# Demonstration erasure requests.
 REQUESTS = [
-    ("REQ_2024_001", "CUST_009", "consent.withdrawn@email.de", "FULL_ERASURE", "WITHDRAWN_CONSENT",
-     "WEB_FORM", "COMPLETED", T(2023, 12, 1, 10, 0), T(2023, 12, 1, 10, 30), T(2023, 12, 2, 9, 0),
-     T(2023, 12, 5, 15, 30), D(2023, 12, 31), D(2023, 12, 5), "abc123def456789"),
-    ("REQ_2024_002", "CUST_002", "jean.dupont@email.fr", "FULL_ERASURE", "OBJECTION",
-     "SUPPORT_TICKET", "IN_PROGRESS", T(2024, 3, 1, 14, 0), T(2024, 3, 1, 14, 30),
-     T(2024, 3, 2, 9, 0), None, D(2024, 3, 31), None, None),
-    ("REQ_2024_003", "CUST_010", "data.retention.expired@email.fr", "FULL_ERASURE",
-     "NO_LONGER_NECESSARY", "API", "SUBMITTED", T(2024, 3, 15, 16, 30), None, None, None,
-     D(2024, 4, 14), None, None),
+    ("REQ_2024_001", _cust(9), _MAIL[9], "FULL_ERASURE", "WITHDRAWN_CONSENT", "WEB_FORM", "COMPLETED",
+     _at(100), _at(99), _at(98), _at(96), _in(-70), _in(-96), "0f1e2d3c"),
+    ("REQ_2024_002", _cust(2), _MAIL[2], "FULL_ERASURE", "OBJECTION", "SUPPORT_TICKET", "IN_PROGRESS",
+     _at(17), _at(16), _at(15), None, _in(13), None, None),
+    ("REQ_2024_003", _cust(10), _MAIL[10], "FULL_ERASURE", "NO_LONGER_NECESSARY", "API", "SUBMITTED",
+     _at(4), None, None, None, _in(26), None, None),
 ]
 REQUEST_COLS = ("request_id string, customer_id string, customer_email string, request_type string, "
                 "erasure_reason string, request_source string, status string, "
@@ -148,14 +112,10 @@ REQUEST_COLS = ("request_id string, customer_id string, customer_email string, r
                 "completed_at timestamp, estimated_completion_date date, "
                 "actual_completion_date date, verification_hash string")
 
-# Demonstration legal holds.
 POLICIES = [
-    ("POL_001", "CUST_002", "FINANCIAL_TRANSACTIONS", "TAX_COMPLIANCE", 84, D(2024, 2, 25),
-     D(2031, 2, 25), "FR", "French Tax Code Article 102", False),
-    ("POL_002", "CUST_012", "ALL_DATA", "LEGAL_INVESTIGATION", 36, D(2024, 1, 15), D(2027, 1, 15),
-     "GB", "Data Protection Act 2018", True),
-    ("POL_003", "CUST_006", "FINANCIAL_TRANSACTIONS", "REGULATORY_REQUIREMENT", 60, D(2024, 2, 10),
-     D(2029, 2, 10), "US", "SOX Compliance Requirements", False),
+    ("POL_001", _cust(2), "FINANCIAL_TRANSACTIONS", "TAX_COMPLIANCE", 90, _in(-24), _in(2700), "FR", "tax records", False),
+    ("POL_002", _cust(12), "ALL_DATA", "LEGAL_INVESTIGATION", 30, _in(-66), _in(900), "GB", "open case", True),
+    ("POL_003", _cust(6), "FINANCIAL_TRANSACTIONS", "REGULATORY_REQUIREMENT", 48, _in(-40), _in(1500), "US", "audit trail", False),
 ]
 POLICY_COLS = ("policy_id string, customer_id string, data_category string, retention_reason string, "
                "retention_period_months long, retention_start_date date, retention_end_date date, "
@@ -179,7 +139,7 @@ def literal_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 class FixtureModel:
-    """The demonstration tables behind the ``ComplianceModel`` interface."""
+    """The invented tables behind the ``ComplianceModel`` interface."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark

@@ -5,9 +5,11 @@
   table (re-planned per micro-batch), so an erasure takes effect on data
   that arrives after it.
 * ``audit_daily``: the daily audit summary as a watermarked 1-day tumbling
-  window.  Exact distinct counts keep a per-window set in state
-  (``size(collect_set)``; Spark rejects COUNT(DISTINCT) on streams); the
-  default keeps an HLL sketch instead, bounded whatever the key skew.
+  window with bounded state: distinct counts are HLL sketches whatever the
+  skew, and in append mode a window leaves the state once it is final.
+* ``audit_daily_counts``: the first level of the exact form, one state row
+  per (window, event type, customer, user) instead of a set in one row;
+  ``audit_daily_exact`` adds the levels up in batch.
 
 ``run_to_table`` drives a query with ``trigger(availableNow=True)`` into a
 Parquet folder under the shared checkpoint root and reads the result back,
@@ -36,23 +38,37 @@ def suppress_erased(stream: DataFrame, email_col: str, requests: DataFrame) -> D
     """Rows of ``stream`` whose e-mail is NOT IN the completed subjects.
 
     The same operator as the batch policy: a stream-static left-anti join
-    plus the NOT IN flags as scalar subqueries.  The static side is planned
-    again in every micro-batch, so an erasure completed while the query runs
-    takes effect on the next batch."""
+    plus the NOT IN flags as scalar subqueries.  Run it by ``run_batches``,
+    which plans it for every micro-batch: an erasure completed while the query
+    runs takes effect on the next batch, and the size of the completed subjects
+    is measured again before they are broadcast."""
     done = requests.where(F.col("status") == "COMPLETED").select("customer_email")
     return not_in(stream, email_col, done, "customer_email")
 
 
-def audit_daily(audit_stream: DataFrame, watermark: str = "1 day", exact: bool = False) -> DataFrame:
-    """Per (day, event type): events, distinct customers and users, first and
-    last event time; late rows beyond the watermark are dropped."""
-    distinct = ((lambda c: F.size(F.collect_set(c))) if exact
-                else (lambda c: F.approx_count_distinct(c, 0.01)))
+def run_batches(stream: DataFrame, name: str, step) -> DataFrame:
+    """Run ``step`` (DataFrame -> DataFrame) on every micro-batch of ``stream``
+    and return all results.  A batch is written under its number, so one that
+    is run again after a failure replaces its own output."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, f"{name}-out")
+
+    def write(batch: DataFrame, number: int) -> None:
+        step(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", scratch_path(spark, f"{name}-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+def audit_daily(audit_stream: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """Per (day, event type): events, distinct customers and users (sketches),
+    first and last event time; late rows beyond the watermark are dropped."""
     return (audit_stream.withWatermark("event_timestamp", watermark)
             .groupBy(F.window("event_timestamp", "1 day").alias("w"), "event_type")
             .agg(F.count(F.lit(1)).alias("event_count"),
-                 distinct("customer_email").alias("unique_customers"),
-                 distinct("user_name").alias("unique_users"),
+                 F.approx_count_distinct("customer_email", 0.01).alias("unique_customers"),
+                 F.approx_count_distinct("user_name", 0.01).alias("unique_users"),
                  F.min("event_timestamp").alias("first_event"),
                  F.max("event_timestamp").alias("last_event"))
             .select(F.to_date(F.col("w.start")).alias("audit_date"), "event_type",
@@ -61,6 +77,25 @@ def audit_daily(audit_stream: DataFrame, watermark: str = "1 day", exact: bool =
                     "first_event", "last_event"))
 
 
+def audit_daily_counts(audit_stream: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """Per (day, event type, customer, user): events, first and last event time."""
+    return (audit_stream.withWatermark("event_timestamp", watermark)
+            .groupBy(F.window("event_timestamp", "1 day").alias("w"), "event_type", "customer_email", "user_name")
+            .agg(F.count(F.lit(1)).alias("events"), F.min("event_timestamp").alias("first_event"),
+                 F.max("event_timestamp").alias("last_event"))
+            .select(F.to_date(F.col("w.start")).alias("audit_date"), "event_type", "customer_email", "user_name",
+                    "events", "first_event", "last_event"))
+
+
+def audit_daily_exact(counts: DataFrame) -> DataFrame:
+    """The daily summary with exact distinct counts, from ``audit_daily_counts``."""
+    return counts.groupBy("audit_date", "event_type").agg(
+        F.sum("events").cast("long").alias("event_count"),
+        F.count_distinct("customer_email").alias("unique_customers"),
+        F.count_distinct("user_name").alias("unique_users"),
+        F.min("first_event").alias("first_event"), F.max("last_event").alias("last_event"))
+
+
 def run_to_table(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
     """Run a streaming query to completion into the shared checkpoint root
     and return its output as a batch DataFrame.

@@ -19,7 +19,7 @@ def test_catalog_model_discovery_and_erasure(spark, fixtures):
         spark.sql(f"CREATE TABLE {db}.{name} USING parquet LOCATION '{path}'")
     model = CatalogModel(spark, [db])
     assert sorted(model.names()) == [f"{db}.customers", f"{db}.orders", f"{db}.user_activities"]
-    subj = spark.createDataFrame([("anna.mueller@email.de",)], "customer_email string")
+    subj = spark.createDataFrame([("liv.brandt@post.example",)], "customer_email string")
     found = D.discover_subjects(model, subj, databases=model.scope())
     got = {(r.schema_name, r.table_name, r.column_name): r.records_found for r in found.collect()}
     assert got == {(db.upper(), "CUSTOMERS", "EMAIL"): 1, (db.upper(), "ORDERS", "CUSTOMER_EMAIL"): 2,

@@ -120,13 +120,10 @@ def test_salted_join_equals_plain_join_on_skewed_keys(spark, model):
     small = (model["erasure_requests"].select(F.col("customer_email").alias("s")).distinct()
              .unionByName(spark.createDataFrame([(hot,)], "s string")))
     for how in ("left", "inner", "left_anti"):
-        salted = salted_join(big, small, "user_email", "s", how, min_rows=50, buckets=4,
-                             broadcast_max_rows=None)
+        salted = salted_join(big, small, "user_email", "s", how, buckets=4, broadcast_max_rows=None)
         plain = big.join(small, big["user_email"] == small["s"], how)
         cols = ["event_id", "user_email"] + ([] if how == "left_anti" else ["s"])
         assert sorted(map(tuple, salted.select(*cols).collect()), key=str) == \
             sorted(map(tuple, plain.select(*cols).collect()), key=str), how
-    p = salted_join(big, small, "user_email", "s", "left", min_rows=50, buckets=4,
-                    broadcast_max_rows=None) \
-        ._jdf.queryExecution().executedPlan().toString()
+    p = salted_join(big, small, "user_email", "s", "left", buckets=4, broadcast_max_rows=None)._jdf.queryExecution().executedPlan().toString()
     assert "__salt" in p

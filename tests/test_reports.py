@@ -1,4 +1,4 @@
-"""Expected values of the reports on the transcribed demonstration rows."""
+"""Expected values of the reports on the invented fixture rows."""
 from lethe.plans import reports as R
 from lethe.sources.fixtures import FIXTURE_AS_OF
 
@@ -26,7 +26,7 @@ def test_legal_holds_on_fixtures(fixtures):
            R.legal_hold_count(fixtures["retention_policies"], fixtures["customers"],
                               FIXTURE_AS_OF).collect()}
     # CUST_012's hold may be overridden, so only CUST_002 and CUST_006 are blocked
-    assert got == {"jean.dupont@email.fr": 1, "john.smith@email.com": 1}
+    assert got == {"otto.krohn@mail.example": 1, "rhea.stone@mail.example": 1}
     anyhold = R.legal_hold_count(fixtures["retention_policies"], fixtures["customers"],
                                  FIXTURE_AS_OF, honour_override=False).count()
     assert anyhold == 3
@@ -37,7 +37,7 @@ def test_topk_and_latest_active_on_fixtures(fixtures):
     assert top == ["REQ_2024_003", "REQ_2024_002"]
     la = {r.customer_email: r.request_id for r in
           R.latest_active_request(fixtures["erasure_requests"]).collect()}
-    assert la == {"consent.withdrawn@email.de": "REQ_2024_001", "jean.dupont@email.fr": "REQ_2024_002"}
+    assert la == {"no.consent@post.example": "REQ_2024_001", "otto.krohn@mail.example": "REQ_2024_002"}
 
 
 def test_views_and_policies_on_fixtures(fixtures):
@@ -46,8 +46,8 @@ def test_views_and_policies_on_fixtures(fixtures):
     comp = V.customers_compliant(fixtures["customers"], fixtures["erasure_requests"], FIXTURE_AS_OF)
     orders = {r.order_id: r for r in V.orders_safe(fixtures["orders"], comp, "ANALYTICS_TEAM").collect()}
     assert len(orders) == 6
-    assert orders["ORD_001_001"].customer_email == "an****@email.de"
-    assert orders["ORD_001_001"].billing_address == '{"masked":"true","city":"Berlin","country":"DE"}'
+    assert orders["ORD_001_001"].customer_email == "li****@post.example"
+    assert orders["ORD_001_001"].billing_address == '{"masked":"true","city":"Kiel","country":"DE"}'
     acts = V.activities_safe(fixtures["user_activities"], "ANALYTICS_TEAM")
     assert acts.count() == 5  # two events lack analytics consent, none is pseudonymized
     assert V.activities_safe(fixtures["user_activities"], "GDPR_ADMIN").count() == 7

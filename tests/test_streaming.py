@@ -18,8 +18,8 @@ class _Streamed:
 
 def test_stream_suppress_equals_batch(spark, model):
     acts = derived.user_activities(_Streamed(model)).select("event_id", "user_email")
-    streamed = S.run_to_table(S.suppress_erased(acts, "user_email", model["erasure_requests"]),
-                              "t_suppress")
+    streamed = S.run_batches(acts, "t_suppress",
+                             lambda b: S.suppress_erased(b, "user_email", model["erasure_requests"]))
     batch = P.rap_erased(model["user_activities"], "user_email", model["erasure_requests"],
                          "SALES").select("event_id", "user_email")
     assert sorted(streamed.collect()) == sorted(batch.collect())
@@ -27,7 +27,7 @@ def test_stream_suppress_equals_batch(spark, model):
 
 def test_stream_audit_daily_equals_batch(spark, model):
     audit = derived.gdpr_audit_log(_Streamed(model))
-    streamed = S.run_to_table(S.audit_daily(audit, exact=True), "t_audit", "complete")
+    streamed = S.audit_daily_exact(S.run_to_table(S.audit_daily_counts(audit), "t_audit", "complete"))
     batch = R.audit_summary(model["gdpr_audit_log"], derived.EVENTS_AS_OF, months=3)
     key = ["audit_date", "event_type", "event_count", "unique_customers", "unique_users"]
     assert sorted(streamed.select(*key).collect()) == sorted(batch.select(*key).collect())
@@ -57,7 +57,7 @@ def test_audit_window_drops_late_rows_in_append_mode(spark):
         time.sleep(1.1)  # files are taken in modification-time order
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(f"{root}/in"))
-    out = S.run_to_table(S.audit_daily(stream, "1 day", exact=True), "late", "append")
+    out = S.run_to_table(S.audit_daily(stream, "1 day"), "late", "append")
     got = sorted((r.audit_date.isoformat(), r.event_count, r.unique_customers) for r in out.collect())
     assert got == [("2024-01-01", 2, 2), ("2024-01-05", 1, 1), ("2024-01-06", 1, 1)]
 
