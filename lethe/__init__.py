@@ -11,7 +11,7 @@ Entry points by task:
 * end to end       ``lethe.plans.scenario.full_scenario``
 * views / masks    ``lethe.plans.views``, ``lethe.functions.masking``, ``lethe.operators.policies``
 * reports          ``lethe.plans.reports``
-* snapshots        ``lethe.sources.snapshots.SnapshotStore``
+* kept state       ``lethe.sources.state.StateFolder``
 * streaming        ``lethe.streaming.operators``
 """
 

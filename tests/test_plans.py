@@ -2,21 +2,22 @@
 import pytest
 
 import __spark_entry__ as E
+from lethe.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas",
-            "MapInPandas")
+            "MapInPandas", "MapInArrow")
 CARTESIAN = ("CartesianProduct", "BroadcastNestedLoopJoin")
-STREAMING = {"stream_suppress", "stream_audit_daily"}
+STREAMING = {"stream_suppress", "stream_audit_daily", "stream_audit_daily_exact"}
 
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - STREAMING))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMING))
 def test_no_python_and_no_cartesian(spark, name):
-    p = _plan(E.queries()[name](spark, SF))
+    p = _plan(QUERIES[name](spark, SF))
     assert not any(n in p for n in PY_NODES), name
     assert not any(n in p for n in CARTESIAN), name
 

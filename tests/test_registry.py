@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from lethe.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -42,7 +43,7 @@ def test_entry_smoke(spark):
     assert df.count() > 0 and "gdpr_status" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, con, name):
     got = _rows(E.queries()[name](spark, SF).toPandas())
     want = _rows(con.execute(E.oracle_sql()[name]).df())
@@ -51,6 +52,20 @@ def test_matches_oracle(spark, con, name):
     assert got[1] == want[1]
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows_only(spark, name):
     assert E.queries()[name](spark, SF).count() >= 0
+
+
+def test_without_the_operator_package(tmp_path):
+    """The other queries are there when lethe/llm and corpus_pipeline.py are not."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    shutil.copytree(os.path.join(root, "lethe"), tmp_path / "lethe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLE))]
