@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import per_batch
-from .common import framed, materialize, pick, restored
+from .common import attach_small, framed, materialize, pick, restored
 
 ORDER = 3
 #: The sample a language is learnt from: documents, and bytes of one document.
@@ -54,7 +54,7 @@ def sample(docs: DataFrame) -> list[tuple[str, list[bytes]]]:
     cut = F.when(F.col("n") <= 2 * SAMPLE_DOCS, F.lit(2.0 ** 63)).otherwise(
         F.lit(2.0 ** 64) * (2 * SAMPLE_DOCS) / F.col("n") - F.lit(2.0 ** 63))
     cuts = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", cut.alias("cut"))
-    near = distinct.join(cuts, "lang").filter(F.col("h").cast("double") <= F.col("cut"))
+    near = attach_small(distinct, cuts, ["lang"], ["h"]).filter(F.col("h").cast("double") <= F.col("cut"))
     first = Window.partitionBy("lang").orderBy("h")
     chosen = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE_DOCS).select("lang", "h", "id")
     same = (d["lang"] == chosen["lang"]) & (d["h"] == chosen["h"]) & d["doc_id"].eqNullSafe(chosen["id"])
