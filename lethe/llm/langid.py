@@ -78,7 +78,7 @@ class Model:
             by_order: list[list[tuple[bytes, int]]] = [[] for _ in range(ORDER + 1)]
             for c, i in self.contexts.items():
                 by_order[len(c)].append((c, i))
-            t = np.zeros((256, 256, 256), np.int32)
+            t = np.zeros((256, 256, 256), np.uint16 if len(self.contexts) < 1 << 16 else np.int32)
             for c, i in by_order[1]:
                 t[:, :, c[0]] = i
             for c, i in by_order[2]:
@@ -100,7 +100,7 @@ class Model:
                 piece = (_PAD + t[: 1 << 20]) if at == 0 else t[at - ORDER: at + (1 << 20)]
                 b = np.frombuffer(piece, np.uint8).astype(np.int32)
                 known = table[(b[:-3] << 16) | (b[1:-2] << 8) | b[2:-1]]
-                total += flat[known * 256 + b[3:]].sum(axis=0, dtype=np.float64)
+                total += flat[known.astype(np.int64) * 256 + b[3:]].sum(axis=0, dtype=np.float64)
             out[i] = total
         return out
 
@@ -161,8 +161,9 @@ def _lengths(context: bytes, follow: list[dict[bytes, Counter]]) -> np.ndarray:
     return bits
 
 
-#: A text whose shortest code needs more bits a byte than plain bytes is in no learnt language.
-MOST_BITS = 8.0
+#: A text whose shortest code is longer than its plain bytes, and that by more than
+#: this many bits, is in no learnt language.
+SLACK_BITS = 64.0
 
 
 def _predictor(docs: DataFrame) -> Callable[[], Callable[[list], tuple[list, list, list]]]:
@@ -208,8 +209,8 @@ def predict(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in a learnt language: not ``und``,
-    and coded in at most MOST_BITS bits a byte.  No row moves."""
+    """The rows of ``docs``, all columns, whose text is in a learnt language: not ``und``, and
+    with a code no longer than its plain bytes and SLACK_BITS.  No row moves."""
     predictor = _predictor(docs)
 
     @F.pandas_udf("boolean")
@@ -217,7 +218,8 @@ def keep_known(docs: DataFrame) -> DataFrame:
         run = predictor()
         for texts in batches:
             pred, _, rate = run(texts.tolist())
-            yield pd.Series([p != UNDETERMINED and r <= MOST_BITS for p, r in zip(pred, rate)], dtype=bool)
+            yield pd.Series([p != UNDETERMINED and (r - 8.0) * len(t.encode()) <= SLACK_BITS
+                             for p, r, t in zip(pred, rate, texts)], dtype=bool)
 
     return restored(framed(docs, "text").filter(known("text")), docs)
 
