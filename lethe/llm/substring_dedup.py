@@ -238,8 +238,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pieces(doc[k], pos[k], n[k], None, None, v[k], True)
 
 
-def _settled(rows: DataFrame) -> DataFrame:
-    return rows.repartition("v").sortWithinPartitions("v", "c", "doc", "pos").mapInArrow(_settle, PIECES)
+def _settled(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.repartition(*by).sortWithinPartitions("v", "c", "doc", "pos").mapInArrow(_settle, PIECES)
 
 
 def _start_edges() -> Callable:
@@ -342,13 +342,14 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def find_pieces(keyed: DataFrame) -> DataFrame:
     """Repeated pieces (doc, part, starts, windows, sources) by document, unverified."""
     paths = per_batch(keyed.select("doc", "part", "text"), ROWS, _start_paths)
-    first = materialize(_settled(paths), "repeats-paths")
+    first = materialize(_settled(paths, "v"), "repeats-paths")
     part_of = F.expr(f"pos div {PART}").alias("part")
     start_of = (F.col("pos") % PART).alias("start")
     branches = first.filter("branch is not null").select("doc", part_of, F.struct(start_of, "n", "branch").alias("b")).groupBy(
         "doc", "part").agg(F.collect_list("b").alias("b"))  # a document's own paths
     open_texts = keyed.join(branches, ["doc", "part"]).select("doc", "part", "text", "b.start", "b.n", "b.branch")
-    edges = _settled(per_batch(open_texts, ROWS, _start_edges)).filter("branch is null")
+    # edges only look for their like: a hot least hash is dealt by edge (branches found so mean nothing)
+    edges = _settled(per_batch(open_texts, ROWS, _start_edges), "v", "c").filter("branch is null")
     return first.filter("branch is null").union(edges).select("doc", part_of, start_of, "n", "src_doc", "src_pos")
 
 
