@@ -66,10 +66,13 @@ def sample(docs: DataFrame) -> list[tuple[str, list[bytes]]]:
 
 
 class Model:
-    """Code lengths in bits over (context, byte, language), and the contexts' numbers."""
+    """Code lengths in bits over (context, byte class, language), and the contexts' numbers.
 
-    def __init__(self, langs: list[str], contexts: dict[bytes, int], lengths: np.ndarray):
-        self.langs, self.contexts, self.lengths = langs, contexts, lengths
+    Bytes that no language has seen are coded alike everywhere and share a class.
+    """
+
+    def __init__(self, langs: list[str], contexts: dict[bytes, int], lengths: np.ndarray, classes: np.ndarray):
+        self.langs, self.contexts, self.lengths, self.classes = langs, contexts, lengths, classes
         self._table: np.ndarray | None = None
 
     def table(self) -> np.ndarray:
@@ -93,14 +96,14 @@ class Model:
         out = np.empty((len(texts), len(self.langs)))
         if not out.size:
             return out
-        table, flat = self.table(), self.lengths.reshape(-1, len(self.langs))
+        table, flat, width = self.table(), self.lengths.reshape(-1, len(self.langs)), self.lengths.shape[1]
         for i, t in enumerate(texts):
             total = np.zeros(len(self.langs))
             for at in range(0, len(t), 1 << 20):  # long texts in pieces, each after the bytes before it
                 piece = (_PAD + t[: 1 << 20]) if at == 0 else t[at - ORDER: at + (1 << 20)]
                 b = np.frombuffer(piece, np.uint8).astype(np.int32)
                 known = table[(b[:-3] << 16) | (b[1:-2] << 8) | b[2:-1]]
-                total += flat[known.astype(np.int64) * 256 + b[3:]].sum(axis=0, dtype=np.float64)
+                total += flat[known.astype(np.int64) * width + self.classes[b[3:]]].sum(axis=0, dtype=np.float64)
             out[i] = total
         return out
 
@@ -129,11 +132,16 @@ def learn(texts: list[tuple[str, list[bytes]]]) -> Model:
         for k in range(1, ORDER):
             names |= set(follow[k])
     contexts = {c: i for i, c in enumerate(sorted(names, key=lambda c: (len(c), c)))}
-    lengths = np.empty((len(contexts), 256, len(langs)), np.float32)
+    met = sorted({b for follow in stats for b in follow[0][b""]})
+    unmet = sorted(set(range(256)) - set(met))
+    shown = met + unmet[:1]  # one stands for all bytes that were never met
+    classes = np.full(256, len(met), np.int64)
+    classes[met] = np.arange(len(met))
+    lengths = np.empty((len(contexts), len(shown), len(langs)), np.float32)
     for at, follow in enumerate(stats):
         for c, i in contexts.items():
-            lengths[i, :, at] = _lengths(c, follow)
-    return Model(langs, contexts, lengths)
+            lengths[i, :, at] = _lengths(c, follow)[shown]
+    return Model(langs, contexts, lengths, classes)
 
 
 def _lengths(context: bytes, follow: list[dict[bytes, Counter]]) -> np.ndarray:
@@ -169,7 +177,7 @@ SLACK_BITS = 64.0
 def _predictor(docs: DataFrame) -> Callable[[], Callable[[list], tuple[list, list, list]]]:
     """Learn from ``docs``; the result, run once in a task, gives texts' languages, scores and bits a byte."""
     learnt = learn(sample(docs))
-    packed = docs.sparkSession.sparkContext.broadcast((learnt.langs, learnt.contexts, learnt.lengths))  # bounded by MAX_CONTEXTS and the languages
+    packed = docs.sparkSession.sparkContext.broadcast((learnt.langs, learnt.contexts, learnt.lengths, learnt.classes))  # bounded by MAX_CONTEXTS and the languages
 
     def start() -> Callable:
         model = Model(*packed.value)
@@ -177,8 +185,9 @@ def _predictor(docs: DataFrame) -> Callable[[], Callable[[list], tuple[list, lis
         def run(texts: list) -> tuple[list, list, list]:
             has = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.langs else []
             pred, scores, rate = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            raw = [texts[i].encode() for i in has]
-            for i, b, t in zip(has, model.code_lengths(raw), raw):
+            for i in has:  # one text at a time: no second copy of the batch
+                t = texts[i].encode()
+                b = model.code_lengths([t])[0]
                 best = int(b.argmin())
                 pred[i] = model.langs[best]
                 scores[i] = float(1.0 / np.exp2((b[best] - b) / BITS_PER_BIT).sum())
