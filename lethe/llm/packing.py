@@ -50,9 +50,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
 
 
+def read_added(path: str) -> dict[str, int]:
+    """The vocabulary file's added tokens: whole strings that stand for one id wherever a text holds them."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    for t in added:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+            raise ValueError(f"added token {t['content']!r} is not taken literally")
+    return {t["content"]: t["id"] for t in added}
+
+
 class Encoder:
     """Ids of whole texts, as the vocabulary's own library gives them.
 
+    ``encode`` cuts a text at the added tokens, leftmost first and longest among
+    those that start together; ``ids`` takes all of a text as ordinary text.
     Where no two white-space characters meet, the last two branches of PIECES
     come down to single characters; leaving their look-ahead out is faster.
     """
@@ -60,6 +72,9 @@ class Encoder:
     def __init__(self, path: str):
         import tiktoken
         ranks = read_ranks(path)
+        self.added = read_added(path)
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
         plain = PIECES.replace(r"|\s+(?!\S)|\s+", r"|\s")
         self.any, self.plain = (tiktoken.Encoding("ids", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
                                 for p in (PIECES, plain))
@@ -68,6 +83,15 @@ class Encoder:
     def ids(self, text: str) -> list[int]:
         return (self.any if self.gap.search(text) else self.plain)(text)
 
+    def encode(self, text: str) -> list[int]:
+        parts = self.cuts.split(text) if self.cuts else [text]
+        if len(parts) == 1:
+            return self.ids(text)
+        out: list[int] = []
+        for i, part in enumerate(parts):  # every second part is an added token
+            out += [self.added[part]] if i % 2 else self.ids(part)
+        return out
+
 
 def _start_cutting(path: str, size: int) -> Callable:
     encoder = Encoder(path)
@@ -75,7 +99,7 @@ def _start_cutting(path: str, size: int) -> Callable:
     def cut(cols: list[list]) -> list:
         out: list[list] = [[] for _ in range(5)]
         for doc_id, text in zip(*cols):
-            ids = np.array([*encoder.ids(text or ""), END], "<u4")
+            ids = np.array([*encoder.encode(text or ""), END], "<u4")
             for start in range(0, len(ids), size):
                 piece = ids[start:start + size]
                 for col, v in zip(out, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids))):

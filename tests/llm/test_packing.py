@@ -86,3 +86,29 @@ def test_pack(make_docs, tokenizer):
             at += length
         assert at <= 1024
     assert packing.op8_packing(make_docs([])).collect() == []
+
+
+@pytest.fixture(scope="module")
+def unchanged():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(packing.tokenizer_path())
+
+
+PARTS = ["<|endoftext|>", "<|endoftext", "|>", "<|", " ", "  ", "\n", "a", "'s", "word", "1", "é", "!"]
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=14))
+@settings(max_examples=1000, deadline=None)
+def test_added_tokens_are_one_id_each(unchanged, encoder, parts):
+    t = "".join(parts)
+    assert encoder.encode(t) == unchanged.encode(t, add_special_tokens=False).ids
+
+
+def test_pack_of_added_tokens(make_docs, unchanged):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endoftext|><|endoftext|>  y " * 700), (4, "<|endoftext|")]
+    got = rows_of(packing.op8_packing(make_docs(rows)), "doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    want = []
+    for i, t in rows:
+        ids = np.array([*unchanged.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want += [(i, s, len(ids[s:s + 1024]), zlib.crc32(ids[s:s + 1024].tobytes()), len(ids)) for s in range(0, len(ids), 1024)]
+    assert got == want and got[0][4] == 5
