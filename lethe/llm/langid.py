@@ -17,16 +17,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import per_batch
 from .common import attach_small, framed, materialize, pick, restored
 
 ORDER = 3
-#: The sample a language is learnt from: documents, and bytes of one document.
+#: The sample a language is learnt from: documents, bytes of one document, and the
+#: pieces that a longer document gives instead of its whole text.
 SAMPLE_DOCS = 300
 SAMPLE_BYTES = 32_768
+SAMPLE_PIECES = 32
 #: Contexts of the longest order kept, most frequent first, over all languages.
 MAX_CONTEXTS = 20_000
 UNDETERMINED = "und"
@@ -40,16 +42,31 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def pieces(text: Column) -> Column:
+    """The bytes of a text to learn from: of up to SAMPLE_BYTES the whole text; of a longer one
+    SAMPLE_PIECES pieces, one from a hash-chosen place in each equal part of it."""
+    data, size = text.cast("binary"), SAMPLE_BYTES // SAMPLE_PIECES
+    part = F.floor(F.octet_length(text) / SAMPLE_PIECES).cast("long")
+
+    def piece(k: Column) -> Column:
+        at = k * part + F.pmod(F.xxhash64(text, k), part - (size - 1))
+        return F.substring(data, (at + 1).cast("int"), F.lit(size))
+
+    spread = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PIECES - 1)), piece)
+    return F.when(F.octet_length(text) <= SAMPLE_BYTES, F.array(data)).otherwise(spread)
+
+
 def sample(docs: DataFrame) -> list[tuple[str, list[bytes]]]:
     """Per language, in order: the bytes of up to SAMPLE_DOCS training documents.
 
-    Candidates are distinct whole documents of up to SAMPLE_BYTES bytes with a
-    letter; those of the smallest hashes of text are taken.  Only the part of the
-    hash range that holds about twice as many is ranked.
+    Candidates are distinct documents of any length with a letter; those of the
+    smallest hashes of text are taken, long ones in ``pieces`` cut to whole
+    characters.  Only the part of the hash range that holds about twice as many
+    is ranked.
     """
     d = pick(docs, "doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()
-        & (F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+        & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     distinct = materialize(d.groupBy("lang", "h").agg(F.min("doc_id").alias("id")), "langid-candidates")
     cut = F.when(F.col("n") <= 2 * SAMPLE_DOCS, F.lit(2.0 ** 63)).otherwise(
         F.lit(2.0 ** 64) * (2 * SAMPLE_DOCS) / F.col("n") - F.lit(2.0 ** 63))
@@ -58,10 +75,10 @@ def sample(docs: DataFrame) -> list[tuple[str, list[bytes]]]:
     first = Window.partitionBy("lang").orderBy("h")
     chosen = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE_DOCS).select("lang", "h", "id")
     same = (d["lang"] == chosen["lang"]) & (d["h"] == chosen["h"]) & d["doc_id"].eqNullSafe(chosen["id"])
-    rows = d.join(F.broadcast(chosen), same).select(d["lang"], "text").distinct().collect()  # SAMPLE_DOCS a language
+    rows = d.join(F.broadcast(chosen), same).select(d["lang"], pieces(F.col("text")).alias("pieces")).distinct().collect()  # SAMPLE_DOCS a language
     texts: dict[str, list[bytes]] = defaultdict(list)
     for r in rows:
-        texts[r["lang"]].append(r["text"].encode())
+        texts[r["lang"]] += [bytes(p).decode(errors="ignore").encode() for p in r["pieces"]]
     return sorted((k, sorted(v)) for k, v in texts.items())
 
 

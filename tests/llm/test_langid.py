@@ -92,3 +92,26 @@ def test_keep_known(make_docs):
 def test_least_contexts_still_code_every_byte():
     lengths = langid._lengths(b"abc", [defaultdict(Counter) for _ in range(4)])
     assert lengths == pytest.approx(np.full(256, 8.0))
+
+
+def test_a_language_of_long_texts_alone_is_learnt(make_docs):
+    rows = [(i, EN.format(i), "en", "s") for i in range(60)]
+    long = {100 + i: " ".join(f"{w} {(i * 7 + n) % 97}" for n in range(1000) for w in "世界 の 言葉 は 長い 文章 です".split()) for i in range(8)}
+    assert all(len(t.encode()) > langid.SAMPLE_BYTES for t in long.values())
+    docs = make_docs(rows + [(i, t, "ja", "s") for i, t in long.items()])
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.op4_langid(docs).collect()} == dict.fromkeys(range(60), "en") | dict.fromkeys(long, "ja")
+    assert sorted(r["doc_id"] for r in langid.keep_known(docs).collect()) == [*range(60), *long]
+    alone = make_docs([(i, t, "ja", "s") for i, t in long.items()])
+    assert {r["lang_pred"] for r in langid.op4_langid(alone).collect()} == {"ja"}
+
+
+def test_pieces_of_a_long_text_are_spread_over_the_whole(make_docs):
+    words = [f"wörter{n:05d} " for n in range(40_000)]
+    (lang, got), = langid.sample(make_docs([(0, "".join(words), "de", "s")]))
+    assert lang == "de" and len(got) == langid.SAMPLE_PIECES and sum(map(len, got)) <= langid.SAMPLE_BYTES
+    text = "".join(words).encode()
+    starts = sorted(text.find(p) for p in got)
+    part = len(text) // langid.SAMPLE_PIECES
+    assert [at // part for at in starts] == list(range(langid.SAMPLE_PIECES))
+    whole = "ein kurzer Text"
+    assert langid.sample(make_docs([(0, whole, "de", "s")])) == [("de", [whole.encode()])]
