@@ -11,6 +11,9 @@
   broadcast-only null-aware anti-join.
 * ``broadcast_if_small`` broadcasts a side only after measuring its rows and
   bytes; beyond the bounds the join is left to the shuffle planner / AQE.
+* ``place_in_order`` numbers rows in a global order by range-sorted partitions
+  and the count of the rows before each, while a window without a partition key
+  would sort all rows inside one task.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Largest table we broadcast on our own initiative: rows and measured bytes.
 BROADCAST_MAX_ROWS = 1_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
@@ -112,3 +117,23 @@ def spread_nulls(df: DataFrame, col: str) -> Column:
 
 def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
+
+
+def place_in_order(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``df`` plus ``out``: a gapless number from 1 in ``order``.
+
+    Rows are sorted by ranges and written once with their partition and their
+    number in it, both from ``monotonically_increasing_id`` (33 bits of
+    number); the driver sees one count per partition.
+    """
+    spark = df.sparkSession
+    held = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    held = held.withColumn("_part", F.shiftright("_at", 33)).withColumn("_nth", F.col("_at").bitwiseAND((1 << 33) - 1))
+    starts, before = [], 0
+    for part, n in sorted(held.groupBy("_part").agg(F.count(F.lit(1))).collect()):
+        starts.append((part, before))
+        before += n
+    table = spark.createDataFrame(starts, "_part long, _before long")  # one row per partition
+    return (held.join(F.broadcast(table), "_part")
+            .withColumn(out, F.col("_before") + F.col("_nth") + 1)
+            .drop("_at", "_part", "_nth", "_before"))

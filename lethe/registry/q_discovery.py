@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
-from ..operators.keyed import broadcast_if_small
+from ..operators.keyed import broadcast_if_small, place_in_order
 from ..plans import discovery as D
 from ..sources.derived import DERIVED
 from ..sources.tables import DRIVER_SCHEMAS
@@ -240,12 +239,10 @@ def access_audit(m):
           f"row_number() OVER (ORDER BY start_time DESC, query_id DESC) AS place FROM ({ACCESSED_SQL}) "
           "QUALIFY place <= 100")
 def sort_access(m):
-    """The hundred newest statements that touch customer data, in order (a
-    top-k report)."""
-    newest = D.access_audit(m["query_log"], "query_text", "start_time", ["query_id", "start_time"]).orderBy(
-        F.col("start_time").desc(), F.col("query_id").desc()).limit(100)
-    return newest.withColumn("place", F.row_number().over(Window.orderBy(F.col("start_time").desc(), F.col("query_id").desc()))
-                             .cast("long")).select("query_id", "customer_email_accessed", "place")
+    """Every statement that touches customer data, newest first, with its place."""
+    log = D.access_audit(m["query_log"], "query_text", "start_time", ["query_id", "start_time"])
+    placed = place_in_order(log, [F.col("start_time").desc(), F.col("query_id").desc()], "place")
+    return placed.select("query_id", "customer_email_accessed", "place").orderBy("place")
 
 
 @register("name_pattern", _disc_with(candidates=CANDIDATES_SQL) + """
