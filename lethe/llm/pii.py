@@ -83,7 +83,7 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> Iterator[tuple[int,
             if at >= done["ip"]:
                 if m := _IP.match(text, at):
                     done["ip"] = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(len(p) <= 3 and int(p or "0") <= 255 for p in (d.lstrip("0") for d in m[0].split("."))):
                         yield at, m.end(), "ip"
                 else:
                     done["ip"] = _DIGITS.match(text, at).end()

@@ -74,3 +74,11 @@ def test_scan_and_redact(make_docs):
 
 def test_overlapping_spans_are_one():
     assert pii.redacted("abcdef", [(1, 3, "email"), (2, 5, "card")]) == "a[EMAIL]f"
+
+
+def test_ip_parts_of_many_zeros():
+    zeros = "0" * 5000
+    for t in (f"{zeros}.1.1.1", f"1.2.3.{zeros}", f"a {zeros}255.1.1.{zeros}7 b"):
+        at = len(t) - len(t.lstrip("a "))
+        assert base(t) == f"ip:{at}:{len(t.rstrip(' b'))}"
+    assert base(f"{zeros}256.1.1.1") == ""
