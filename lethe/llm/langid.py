@@ -29,7 +29,8 @@ ORDER = 3
 SAMPLE_DOCS = 300
 SAMPLE_BYTES = 32_768
 SAMPLE_PIECES = 32
-#: Contexts of the longest order kept, most frequent first, over all languages.
+#: Contexts of the longest order kept, over all languages: every language's most frequent ones
+#: in turn, so that each keeps at least its share by number of languages.
 MAX_CONTEXTS = 20_000
 UNDETERMINED = "und"
 #: Neighbouring bytes are no independent evidence: bits of difference that count as one.
@@ -129,7 +130,7 @@ def learn(texts: list[tuple[str, list[bytes]]]) -> Model:
     """Freeze the statistics of every language and lay their code lengths out."""
     langs = [k for k, _ in texts]
     stats: list[list[dict[bytes, Counter]]] = []
-    seen: Counter = Counter()
+    turn: dict[bytes, int] = {}  # a context's best place by frequency in any language
     for _, docs in texts:
         grams: Counter = Counter()
         for t in docs:
@@ -140,10 +141,11 @@ def learn(texts: list[tuple[str, list[bytes]]]) -> Model:
             g = bytes(g)
             for k in range(ORDER + 1):
                 follow[k][g[ORDER - k:ORDER]][g[ORDER]] += n
-        for c, f in follow[ORDER].items():
-            seen[c] += sum(f.values())
+        by_count = sorted(follow[ORDER].items(), key=lambda x: (-sum(x[1].values()), x[0]))
+        for i, (c, _) in enumerate(by_count):
+            turn[c] = min(i, turn.get(c, i))
         stats.append(follow)
-    keep = {c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MAX_CONTEXTS]}
+    keep = set(sorted(turn, key=lambda c: (turn[c], c))[:MAX_CONTEXTS])
     names = {b""} | keep
     for follow in stats:
         for k in range(1, ORDER):

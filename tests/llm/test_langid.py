@@ -115,3 +115,13 @@ def test_pieces_of_a_long_text_are_spread_over_the_whole(make_docs):
     assert [at // part for at in starts] == list(range(langid.SAMPLE_PIECES))
     whole = "ein kurzer Text"
     assert langid.sample(make_docs([(0, whole, "de", "s")])) == [("de", [whole.encode()])]
+
+
+def test_a_language_of_few_texts_keeps_its_contexts(monkeypatch):
+    monkeypatch.setattr(langid, "MAX_CONTEXTS", 40)
+    rng = np.random.default_rng(3)
+    large = [bytes(rng.integers(97, 107, 2000).tolist()) for _ in range(20)]
+    few = b"vwxyz" * 3
+    model = langid.learn([("aa", large), ("zz", [few])])
+    longest = {c for c in model.contexts if len(c) == 3}
+    assert len(longest) == 40 and {few[i:i + 3] for i in range(5)} <= longest
