@@ -88,6 +88,31 @@ def ranked(df: DataFrame, within: list[str], order: list[str], out: str, salts:
             .drop("_cell", "_from", "_i"))
 
 
+def sums_before(df: DataFrame, order: list[Column | str], what: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """``df`` plus, for each entry of ``what``, the sum of its column over the rows before in
+    ``order`` (0 for the first); and the sums over all rows, by name.
+
+    Rows are sorted by ranges and written once with their partition; a window holds one range,
+    and only one row a partition meets in one place, the driver.
+    """
+    from pyspark.sql import Window
+    spark = df.sparkSession
+    own = {f"_v{i}": c for i, c in enumerate(what.values())}
+    held = materialize(df.withColumns(own).orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sums")
+    held = held.withColumn("_part", F.shiftright("_at", 33))
+    totals, starts = [0] * len(own), []
+    for part, *sums in sorted(held.groupBy("_part").agg(*[F.sum(v) for v in own]).collect()):
+        starts.append((part, *totals))
+        totals = [a + b for a, b in zip(totals, sums)]
+    kinds = dict(held.dtypes)
+    table = spark.createDataFrame([(p, *[float(t) if kinds[v] == "double" else t for v, t in zip(own, s)]) for p, *s in starts],
+                                  ", ".join(["_part long", *[f"_from{v} {kinds[v]}" for v in own]]))
+    before = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = held.join(F.broadcast(table), "_part").withColumns(
+        {n: F.col(f"_from{v}") + F.coalesce(F.sum(v).over(before), F.lit(0).cast(kinds[v])) for n, v in zip(what, own)})
+    return placed.drop("_at", "_part", *own, *[f"_from{v}" for v in own]), dict(zip(what, totals))
+
+
 def meetings(rows: DataFrame, spread: str, part: int) -> DataFrame:
     """Rows (t, key, ...) of buckets with more than one row, dealt so that all of a bucket's rows
     meet in pairs of parts of about ``part`` rows: columns i, j (the pair) and part (the row's own).

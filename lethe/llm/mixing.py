@@ -7,10 +7,10 @@ each document is emitted floor(rate) times plus one more copy when a number in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, attach_small, framed, materialize, pick, restored
+from .common import WORD, attach_small, framed, materialize, pick, restored, sums_before
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -37,20 +37,19 @@ def rates(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int =
     sources sorted by cap over weight, those before some point stand at their
     caps and the others get one common multiple of their weights: the largest level
     that some source's cap allows (treating more sources as capped lowers it).  ``sizes`` has
-    (src_null, src, size); one row per source meets in the window.
+    (src_null, src, size); sources are numbered and added up by ranges, never all in one task.
     """
     s = sizes.groupBy("src_null", "src").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy("src_null", "src")) - 1
+    s, _ = sums_before(s, ["src_null", "src"], {"place": F.lit(1).cast("long")})
     pattern = F.array(*[F.lit(float(w)) for w in weights])
-    s = s.withColumn("w", F.element_at(pattern, (F.pmod(place, F.lit(len(weights))) + 1).cast("int")))
+    s = s.withColumn("w", F.element_at(pattern, (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int")))
     s = s.withColumn("cap", (F.col("source_size") * max_rate).cast("double"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), "src_null", "src")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-                     / F.sum("w").over(after))
-    s = s.withColumn("common", F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(everything))
+    s, whole = sums_before(s, [F.col("cap") / F.col("w"), "src_null", "src"],
+                           {"size_before": F.col("source_size"), "cap_before": F.col("cap"), "w_before": F.col("w")})
+    s = s.withColumn("level", (F.lit(whole["size_before"]).cast("long") - F.col("cap_before"))
+                     / (F.lit(whole["w_before"]).cast("double") - F.col("w_before")))
+    common = s.agg(F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level")))).first()[0]
+    s = s.withColumn("common", F.lit(common).cast("double"))
     target = F.coalesce(F.least(F.col("cap"), F.col("common") * F.col("w")), F.col("cap"))
     s = s.withColumn("target", target)
     return s.select("src_null", "src", "source_size", "target",

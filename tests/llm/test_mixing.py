@@ -63,3 +63,21 @@ def test_nothing(make_docs):
     assert rows_of(mixing.op5_mixing(make_docs([]))) == []
     assert rows_of(mixing.op5_mixing(make_docs([(1, None, None, None), (2, " \t", "en", "a")])), "doc_id", "taken") == [(1, 0), (2, 0)]
     assert mixing.mix(make_docs([(1, "", "en", "a")])).count() == 0
+
+
+def test_many_sources_never_meet_in_one_task(spark):
+    sizes = {f"host{i:04d}": i * 37 % 900 for i in range(3000)} | {"": 5}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = mixing.rates(spark.createDataFrame([(False, s, n) for s, n in sizes.items()], "src_null boolean, src string, size long"))
+        assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+        got = {r["src"]: (r["source_size"], r["target"]) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = shared(sizes)
+    assert {s: n for s, (n, _) in got.items()} == sizes
+    assert [got[s][1] for s in sizes] == pytest.approx([want[s][1] for s in sizes])
+
+
+def test_rates_of_no_source(spark):
+    assert mixing.rates(spark.createDataFrame([], "src_null boolean, src string, size long")).collect() == []
