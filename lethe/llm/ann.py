@@ -30,6 +30,15 @@ BATCH, CELLS = 256, 1 << 22
 EXPAND = 4
 
 
+#: Components beyond this have squared distances that single precision may not hold.
+SINGLE_MOST = 1e18
+
+
+def precision(*arrays: np.ndarray) -> type:
+    """The type to search ``arrays`` in: single precision, double where a component is too large for it."""
+    return np.float64 if any(np.abs(a).max(initial=0.0) > SINGLE_MOST for a in arrays) else np.float32
+
+
 def squared(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Squared distances of x[ids[i, j]] to q[i]."""
     diff = x[ids] - q[:, None, :]
@@ -134,7 +143,7 @@ def _add_reverse(x: np.ndarray, graph: np.ndarray, points: np.ndarray, alpha: fl
 
 def build_graph(x: np.ndarray) -> tuple[np.ndarray, int]:
     """(neighbour lists, entry point) for the rows of ``x``."""
-    x = np.ascontiguousarray(x, np.float32)
+    x = np.ascontiguousarray(x, precision(x))
     n = len(x)
     graph = np.full((n, DEGREE), -1, np.int64)
     centre = x.mean(axis=0)
@@ -179,12 +188,13 @@ def _search(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFr
     begins = np.append(0, ends[:-1])
     x = np.frombuffer(row["vecs"], "<f8").reshape(len(ends), -1)
     graph = np.frombuffer(row["graph"], "<i4").reshape(len(ends), -1).astype(np.int64)
-    x32 = x.astype(np.float32)
     q = np.stack(queries["vec"].to_numpy())
+    kind = precision(x, q)
+    near = x.astype(kind)
     step = max(1, min(BATCH, CELLS // len(x)))
     out = []
     for at in range(0, len(q), step):
-        found, _ = beam_search(x32, graph, q[at:at + step].astype(np.float32), int(row["start"]), QUERY_BEAM)
+        found, _ = beam_search(near, graph, q[at:at + step].astype(kind), int(row["start"]), QUERY_BEAM)
         for i, f in enumerate(found):
             f = f[f >= 0]
             own = queries["query_id"].iat[at + i]

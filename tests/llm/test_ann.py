@@ -53,3 +53,20 @@ def test_pruning_keeps_diverse_neighbours():
     x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2], [5, 5]], np.float32)
     kept = ann.robust_prune(x, np.array([0]), np.array([[1, 2, 3, 1, 0, -1]]), 1.2)[0]
     assert kept[kept >= 0].tolist() == [1, 3]
+
+
+@pytest.mark.parametrize("large", [0, 500])
+def test_a_very_large_vector(spark, large):
+    """As a query, and as the smallest id of its shard: nothing is lost."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    x[large] *= np.float32(1e30)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ann.op10_ann(frame(spark, rows)).collect()
+    found = 0
+    for q in range(0, 600, 100):
+        mine = [r["vec_id"] for r in got if r["query_id"] == q]
+        assert len(mine) == 10
+        if q != large:
+            found += len(set(mine) & {i for _, i in nearest(rows, q, rows[q][1])})
+    assert found / 50 >= 0.9
