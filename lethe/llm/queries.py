@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import ann, fingerprints, langid, mixing, packing, pii, quality, sentence_pieces, sharding, simhash_dedup, substring_dedup
+from . import (ann, divergence, fingerprints, langid, lexical, mixing, packing, pii, quality, sentence_pieces, sharding, simhash_dedup,
+               substring_dedup)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,4 +35,6 @@ _register("op2_quality", quality.score, "documents", "labels")
 _register("op10_ann", ann.op10_ann, "embeddings")
 _register("op7_substring_dedup", substring_dedup.op7_substring_dedup)
 _register("op6_fingerprints", fingerprints.op6_fingerprints)
+_register("op11_lexical", lexical.op11_lexical, "documents", "benchmark", sql=lexical.OP11_SQL)
+_register("op12_divergence", divergence.op12_divergence, sql=divergence.OP12_SQL)
 _register("op13_sentence_pieces", sentence_pieces.op13_sentence_pieces)

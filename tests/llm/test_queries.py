@@ -9,14 +9,15 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_an_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) <= set(E.queries()) and "pipeline" in E.queries()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(ORACLE[name]).df()
     cols = sorted(want.columns)
     got = QUERIES[name](spark, SF).toPandas()
@@ -25,7 +26,7 @@ def test_sql(spark, name):
     assert by(got).equals(by(want))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(("op11", "op12"))))
 def test_a_row_for_each_input(spark, name):
     table = "embeddings" if name.startswith("op10") else "documents"
     n = spark.read.parquet(f"{SF}/{table}.parquet").count()
