@@ -36,35 +36,39 @@ def main(argv=None) -> None:
     a = ap.parse_args(argv)
 
     from .plans import discovery as D, reports as R, requests as Q, scenario as SC
-    from .session import build_session
+    from .session import build_session, release, scratch_mark
     from .sources.derived import ComplianceModel
     from .sources.state import StateFolder
 
     spark = build_session()
-    spark.sparkContext.setLogLevel("ERROR")
-    model = ComplianceModel(spark, a.data)
-    as_of = dt.date.fromisoformat(a.as_of)
-    emails = [e.strip() for e in a.email.split(",") if e.strip()]
-    subjects = spark.createDataFrame([(e,) for e in emails], "customer_email string")
+    mark = scratch_mark(spark)
+    try:  # scratch holds e-mails of people to be erased: it goes, also when a command fails
+        spark.sparkContext.setLogLevel("ERROR")
+        model = ComplianceModel(spark, a.data)
+        as_of = dt.date.fromisoformat(a.as_of)
+        emails = [e.strip() for e in a.email.split(",") if e.strip()]
+        subjects = spark.createDataFrame([(e,) for e in emails], "customer_email string")
 
-    if a.command == "discover":
-        out = D.sort_discovery(D.discover_subjects(model, subjects))
-    elif a.command == "status":
-        out = Q.subject_status(subjects, model["erasure_requests"], model["customers"])
-        if a.json:
-            out = Q.subject_status_object(out)
-    elif a.command == "request":
-        cand = subjects.select("customer_email", F.lit(a.reason).alias("erasure_reason"),
-                               F.lit(1).cast("long").alias("submission_seq"))
-        out = Q.submit_requests(cand, model["customers"], model["erasure_requests"], as_of)
-    elif a.command == "scenario":
-        state = StateFolder(spark, a.store) if a.store else None
-        out = SC.scenario_summary(SC.full_scenario(model, subjects, as_of, a.salt, state=state))
-    elif a.command == "dashboard":
-        out = R.dashboard(model["erasure_requests"], as_of)
-    else:
-        out = R.requests_topk(model["erasure_requests"], as_of, a.limit)
-    out.show(a.rows, truncate=False)
+        if a.command == "discover":
+            out = D.sort_discovery(D.discover_subjects(model, subjects))
+        elif a.command == "status":
+            out = Q.subject_status(subjects, model["erasure_requests"], model["customers"])
+            if a.json:
+                out = Q.subject_status_object(out)
+        elif a.command == "request":
+            cand = subjects.select("customer_email", F.lit(a.reason).alias("erasure_reason"),
+                                   F.lit(1).cast("long").alias("submission_seq"))
+            out = Q.submit_requests(cand, model["customers"], model["erasure_requests"], as_of)
+        elif a.command == "scenario":
+            state = StateFolder(spark, a.store) if a.store else None
+            out = SC.scenario_summary(SC.full_scenario(model, subjects, as_of, a.salt, state=state))
+        elif a.command == "dashboard":
+            out = R.dashboard(model["erasure_requests"], as_of)
+        else:
+            out = R.requests_topk(model["erasure_requests"], as_of, a.limit)
+        out.show(a.rows, truncate=False)
+    finally:
+        release(spark, mark)
 
 
 if __name__ == "__main__":

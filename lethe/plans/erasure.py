@@ -1,33 +1,45 @@
 """Erasure: delete or pseudonymize a batch of subjects across tables, log
-the operations, and verify the result against an earlier snapshot.
-
-One Spark job per table: the table is tagged by a left join to the subject
-set (broadcast only when the set is proven small, otherwise a shuffle join
-with NULL keys spread and keys salted), then rows are dropped (DELETE)
-or rewritten (PSEUDONYMIZE) in a single projection.  The result is a
-new DataFrame that takes the table's place (see ``sources.state``);
-nothing is updated in place.
+the operations, and verify the result against the tables as they were.
+
+A table is marked once: a left join to the subject set (broadcast only when the
+set is proven small, otherwise a shuffle join with NULL keys spread and keys
+salted) says whose each row is and whether it goes.  Tables without an e-mail
+column are reached along the declared keys, from the erased rows of their parent.
+``write_erased`` turns the marks into the table's next contents and a log of the
+rows concerned in one job; the rows it read, kept and erased are observed on that
+job.  Nothing is updated in place (see ``sources.state``).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify as C
 from ..operators import subjects as S
-from ..operators.keyed import BROADCAST_MAX_ROWS, count_if
+from ..operators.keyed import BROADCAST_MAX_ROWS, count_if, is_small
 from ..operators.skew import salted_join
 from ..session import materialize as write_and_read
+from ..sources.state import LOG, NEXT, PART
 
 # Databases erasure may touch (the compliance database holds
 # the requests and the audit trail and is never erased from).
 ERASURE_DATABASES = ["CUSTOMER_DATA_DB", "ANALYTICS_DB"]
 PSEUDONYM_PREFIX = "PSEUDONYM_"
 PSEUDONYM_ID_PREFIX = "PID_"
+# Declared foreign keys, (child, column, parent, parent's key).
+DECLARED_KEYS = [("user_preferences", "customer_id", "customers", "customer_id"),
+                 ("orders", "customer_id", "customers", "customer_id"),
+                 ("order_items", "order_id", "orders", "order_id"),
+                 ("support_tickets", "customer_id", "customers", "customer_id"),
+                 ("customer_ml_features", "customer_id", "customers", "customer_id"),
+                 ("data_discovery_results", "request_id", "erasure_requests", "request_id"),
+                 ("erasure_operations", "request_id", "erasure_requests", "request_id"),
+                 ("third_party_notifications", "request_id", "erasure_requests", "request_id")]
 
 
 def _date(as_of) -> Column:
@@ -91,43 +103,108 @@ def rows_per_subject(tagged: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("records_affected")))
 
 
+def mark_rows(df: DataFrame, subjects: DataFrame, operation: str, as_of=None, honour_row_holds: bool = True,
+              cols: list[str] | None = None) -> DataFrame:
+    """``df`` plus ``__subjects`` (whose row it is), ``__subject`` (the first of them, NULL for
+    nobody's) and ``__hit``: whether the operation applies to it (held rows are not deleted)."""
+    t = tag_rows(df, subjects, cols)
+    hit = F.col("__subject").isNotNull()
+    if operation == "DELETE" and honour_row_holds:
+        hit = hit & ~row_hold(df, as_of)
+    return t.withColumn("__hit", hit)
+
+
+def mark_by_key(df: DataFrame, key: str, owners: DataFrame) -> DataFrame:
+    """``mark_rows`` along a key: a row is its parent's subjects'.  ``owners``: __key, __subjects."""
+    if is_small(owners.select("__key")):
+        t = df.join(F.broadcast(owners), df[key] == owners["__key"], "left")
+    else:
+        t = salted_join(df, owners, key, "__key", "left")
+    return (t.drop("__key").withColumn("__subject", F.get("__subjects", F.lit(0)))
+            .withColumn("__hit", F.col("__subject").isNotNull()))
+
+
+def owners_of(rows: DataFrame, key: str) -> DataFrame:
+    """__key and __subjects of the erased ones among marked ``rows`` (a key's subjects are few)."""
+    return (rows.where("__hit").where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.explode("__subjects").alias("s"))
+            .groupBy("__key").agg(F.sort_array(F.collect_set("s")).alias("__subjects")))
+
+
+def next_columns(columns: list[str], operation: str, salt: str, cols: list[str], key: str | None = None) -> list[Column]:
+    """The columns of a marked row in the table's next contents.
+
+    PSEUDONYMIZE replaces the subjects' own e-mails by a salted hash (in a table reached
+    by ``key`` that column), flags the row and gives it a pseudonym id; other people's
+    e-mails in the same row and all other columns stay."""
+    out = []
+    for c in columns:
+        new = None
+        if operation == "PSEUDONYMIZE":
+            if c in cols:
+                own = F.coalesce(F.array_contains("__subjects", F.col(c)), F.lit(False))
+                new = F.when(own, pseudonym(F.col(c), salt)).otherwise(F.col(c))
+            elif c == key:
+                new = F.when(F.col("__hit"), pseudonym(F.col("__subject"), salt)).otherwise(F.col(c))
+            elif c == "is_pseudonymized":
+                new = F.when(F.col("__hit"), F.lit(True)).otherwise(F.col(c))
+            elif c == "pseudonym_id":
+                new = F.when(F.col("__hit"), pseudonym_id(F.col("__subject"), salt)).otherwise(F.col(c))
+        out.append((F.col(c) if new is None else new).alias(c))
+    return out
+
+
+def next_rows(marked: DataFrame, columns: list[str], operation: str, salt: str, cols: list[str], key: str | None = None) -> DataFrame:
+    """The table's next contents from its marked rows."""
+    rows = marked.where(~F.col("__hit")) if operation == "DELETE" else marked
+    return rows.select(*next_columns(columns, operation, salt, cols, key))
+
+
 def erase_delete(df: DataFrame, subjects: DataFrame, as_of, honour_row_holds: bool = True,
                  cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows kept after deleting the subjects' rows, and per-subject counts
     of deleted rows.  Held rows stay when ``honour_row_holds``."""
     cols = cols if cols is not None else email_columns(df)
-    t = tag_rows(df, subjects, cols)
-    hold = row_hold(df, as_of) if honour_row_holds else F.lit(False)
-    gone = F.col("__subject").isNotNull() & ~hold
-    kept = t.where(~gone).drop("__subject", "__subjects")
+    kept = next_rows(mark_rows(df, subjects, "DELETE", as_of, honour_row_holds, cols), df.columns, "DELETE", "", cols)
     # the counts only need the subjects' rows: with few subjects the scan
     # behind them skips row groups (IN pushdown) instead of re-reading all
-    hit = tag_rows(S.prefilter(df, cols, subjects), subjects, cols)
-    return kept, rows_per_subject(hit.where(gone))
+    hit = mark_rows(S.prefilter(df, cols, subjects), subjects, "DELETE", as_of, honour_row_holds, cols)
+    return kept, rows_per_subject(hit.where("__hit"))
 
 
 def erase_pseudonymize(df: DataFrame, subjects: DataFrame, salt: str,
                        cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Subjects' e-mails replaced by a salted hash, rows flagged and given a
-    pseudonym id; other people's e-mails in the same row and all other columns
-    stay.  Returns (table, counts)."""
+    """The table with the subjects' rows pseudonymized (``next_columns``), and per-subject counts."""
     cols = cols if cols is not None else email_columns(df)
-    t = tag_rows(df, subjects, cols)
-    hit = F.col("__subject").isNotNull()
-    out = []
-    for c in df.columns:
-        if c in cols:
-            own = F.coalesce(F.array_contains("__subjects", F.col(c)), F.lit(False))
-            out.append(F.when(own, pseudonym(F.col(c), salt)).otherwise(F.col(c)).alias(c))
-        elif c == "is_pseudonymized":
-            out.append(F.when(hit, F.lit(True)).otherwise(F.col(c)).alias(c))
-        elif c == "pseudonym_id":
-            out.append(F.when(hit, pseudonym_id(F.col("__subject"), salt)).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    table = t.select(*out)
-    sub = tag_rows(S.prefilter(df, cols, subjects), subjects, cols)
-    return table, rows_per_subject(sub.where(hit))
+    table = next_rows(mark_rows(df, subjects, "PSEUDONYMIZE", cols=cols), df.columns, "PSEUDONYMIZE", salt, cols)
+    hit = mark_rows(S.prefilter(df, cols, subjects), subjects, "PSEUDONYMIZE", cols=cols)
+    return table, rows_per_subject(hit.where("__hit"))
+
+
+def write_erased(marked: DataFrame, columns: list[str], operation: str, salt: str, cols: list[str],
+                 path: str, key: str | None = None) -> dict:
+    """Write a marked table's next contents and its log in one job, under ``path``.
+
+    A row that stays gives a NEXT row; a subject's row also gives a LOG row, with its
+    e-mail and key columns as they were and the marks.  Returns ``table`` and ``log``, read
+    back, and ``rows``: rows read, written and affected, observed on the writing job."""
+    stays = ~F.col("__hit") if operation == "DELETE" else F.lit(True)
+    touched = F.col("__subject").isNotNull()
+    parts = F.when(~touched, F.array(F.lit(NEXT))).when(stays, F.array(F.lit(NEXT), F.lit(LOG))).otherwise(F.array(F.lit(LOG)))
+    shown = {*cols, *[c for c in columns if c.endswith("_id")]}
+    is_next = F.col(PART) == NEXT
+    rows = marked.withColumn(PART, F.explode(parts)).select(
+        *[F.when(is_next, new).otherwise(F.col(c) if c in shown else F.lit(None)).alias(c)
+          for c, new in zip(columns, next_columns(columns, operation, salt, cols, key))],
+        F.when(~is_next, F.col("__subjects")).alias("__subjects"), F.when(~is_next, F.col("__hit")).alias("__hit"), PART)
+    seen = Observation()
+    rows = rows.observe(seen, count_if(is_next).alias("rows_written"), count_if(~is_next & F.col("__hit")).alias("rows_affected"))
+    rows.write.mode("overwrite").partitionBy(PART).parquet(path)
+    spark = marked.sparkSession
+    if not seen.get["rows_written"]:  # nothing is left: the table keeps its columns
+        spark.createDataFrame([], rows.drop(PART).schema).write.parquet(f"{path}/{PART}={NEXT}")
+    back = spark.read.schema(rows.schema).parquet(path)
+    log = back.where(F.col(PART) == LOG).drop(PART).withColumn("__subject", F.get("__subjects", F.lit(0)))
+    return {"table": back.where(is_next).select(*columns), "log": log, "rows": seen.get}
 
 
 def mark_erased(df: DataFrame, subjects: DataFrame, as_of, since, at) -> DataFrame:
@@ -166,30 +243,66 @@ def erasure_targets(model, databases=None) -> list[tuple[str, str, str, str]]:
     return out
 
 
-def plan_erasure(model, subjects: DataFrame, as_of, salt: str,
-                 honour_row_holds: bool = True, databases=None) -> dict[str, dict]:
-    """For each erasable table: the new table DataFrame, per-subject counts,
-    and status (SUCCESS, or SKIPPED when no subject column exists, or FAILED
-    with the analysis error).  Nothing runs until the results are used."""
-    out = {}
+def plan_erasure(model, subjects: DataFrame, as_of, salt: str, honour_row_holds: bool = True, databases=None,
+                 write: Callable[[str], str] | None = None) -> dict[str, dict]:
+    """For each erasable table: its next contents, per-subject counts, the rows concerned as
+    they were (``log``), and status SUCCESS, SKIPPED (no way leads from a subject to the
+    table) or FAILED (with the error).
+
+    A table is reached by its e-mail columns or, where it has none, along a declared key
+    from the erased rows of a table reached before it.  With ``write`` (table name to
+    folder) each table is written when its turn comes, and one that fails while its job
+    runs is FAILED as well as one that cannot be planned; without it nothing is written
+    but the keys that lead to other tables."""
+    out: dict[str, dict] = {}
+    parents = {p for _, _, p, _ in DECLARED_KEYS}
+
+    def attempt(name: str, e: dict, df: DataFrame, cols: list[str], key: str | None, mark: Callable[[DataFrame], DataFrame]) -> None:
+        columns, op = df.columns, e["operation"]
+        if write is not None:
+            done = write_erased(mark(df), columns, op, salt, cols, write(name), key)
+        else:
+            ids = [c for c in columns if c.endswith("_id")]
+            log = mark(S.prefilter(df, cols, subjects)).where(F.col("__subject").isNotNull()).select(
+                *dict.fromkeys([*cols, *ids]), "__subjects", "__subject", "__hit")
+            if name in parents:  # read once, for its own counts and for its children's
+                log = write_and_read(log, f"erased-{name}")
+            done = {"table": next_rows(mark(df), columns, op, salt, cols, key), "log": log, "rows": None}
+        e.update(status="SUCCESS", cols=cols, key=key, affected=rows_per_subject(done["log"].where("__hit")), **done)
+
+    later = []
     for name, db, schema, op in erasure_targets(model, databases):
-        entry = {"database": db, "schema": schema, "operation": op, "error": None,
-                 "label": model.label(name) if hasattr(model, "label") else name.upper()}
-        df = None
+        e = out[name] = {"database": db, "schema": schema, "operation": op, "error": None, "table": None, "affected": None,
+                         "label": model.label(name) if hasattr(model, "label") else name.upper()}
         try:
-            df = model[name]
-            if not email_columns(df):
-                entry.update(status="SKIPPED", table=df, affected=None,
-                             error="no subject column")
-            elif op == "PSEUDONYMIZE":
-                t, a = erase_pseudonymize(df, subjects, salt)
-                entry.update(status="SUCCESS", table=t, affected=a)
+            df = e["table"] = model[name]
+            cols = email_columns(df)
+            if cols:
+                attempt(name, e, df, cols, None, lambda t, o=op, c=cols: mark_rows(t, subjects, o, as_of, honour_row_holds, c))
             else:
-                t, a = erase_delete(df, subjects, as_of, honour_row_holds)
-                entry.update(status="SUCCESS", table=t, affected=a)
-        except Exception as e:  # noqa: BLE001 - per-table failure is logged, as the reference does
-            entry.update(status="FAILED", table=df, affected=None, error=str(e))
-        out[name] = entry
+                e.update(status="SKIPPED", error="no way from a subject to this table")
+                later.append(name)
+        except Exception as error:  # noqa: BLE001 - per-table failure is logged, as the reference does
+            e.update(status="FAILED", affected=None, error=str(error))
+    while later:  # along the keys, until no further table is reached
+        ways = [(c, k, p, pk) for c, k, p, pk in DECLARED_KEYS
+                if c in later and p in out and p not in later and k in out[c]["table"].columns]
+        if not ways:
+            break
+        for name, key, parent, parent_key in ways:
+            if name not in later:
+                continue
+            later.remove(name)
+            e = out[name]
+            try:
+                if out[parent]["status"] != "SUCCESS":
+                    raise RuntimeError(f"{parent}, through which this table is reached, is {out[parent]['status']}")
+                owners = owners_of(out[parent]["log"], parent_key)
+                e["owners"] = owners
+                attempt(name, e, e["table"], [], key, lambda t, k=key, o=owners: mark_by_key(t, k, o))
+                e["error"] = None
+            except Exception as error:  # noqa: BLE001
+                e.update(status="FAILED", affected=None, error=str(error))
     return out
 
 
@@ -198,10 +311,9 @@ def operation_log(planned: dict[str, dict], requests: DataFrame) -> DataFrame:
 
     SUCCESS: one row per (request, table) where the subject had rows, with
     the number of rows the operation touched.  FAILED: a table whose plan
-    could not be built gets one row per request, with the error text and no
-    count (the reference logs SQLERRM the same way).  SKIPPED tables (no
-    subject column) hold none of the subject's data and are not logged, as
-    discovery never lists them."""
+    could not be built or written gets one row per request, with the error text
+    and no count (the reference logs SQLERRM the same way).  SKIPPED tables, to which
+    neither an e-mail nor a declared key leads, are not logged."""
     spark = requests.sparkSession
     r = requests.select("request_id", "customer_email")
     parts = []
@@ -259,31 +371,69 @@ def deletion_summary(op_log: DataFrame) -> DataFrame:
 
 # --- verification ---------------------------------------------------------------
 
-def _counts(df: DataFrame, col: str, subjects: DataFrame, max_rows: int) -> DataFrame:
-    src = S.prefilter(df.select(col), [col], subjects)
-    return S.count_matches(src, col, subjects, [], max_rows, name="n")
+def _summed(parts: list[DataFrame]) -> DataFrame:
+    """Signed rows of all tables, added up per (table, subject) in one aggregate."""
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.groupBy("table_name", "customer_email").agg(
+        F.sum("b").alias("records_before"), F.sum("a").alias("records_after"))
 
 
 def verify_counts(before: dict[str, DataFrame], after: dict[str, DataFrame],
                   scope: list[tuple[str, str]], subjects: DataFrame,
                   max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Full outer join of per-subject row counts before and after, for each
-    (full table name, e-mail column) in ``scope``; missing side = 0.
-    ``before`` and ``after`` are keyed by full table name."""
+    """Per-subject row counts before and after, for each (full table name, e-mail column) in
+    ``scope``; ``before`` and ``after`` are keyed by full table name.
+
+    Rows of the old tables count for before, those of the new ones for after: one union,
+    one match with the subjects and one aggregate, each table read once, no outer join."""
     parts = []
     for full, col in scope:
-        key = full
-        b = _counts(before[key], col, subjects, max_broadcast_rows).withColumnRenamed("n", "records_before")
-        a = _counts(after[key], col, subjects, max_broadcast_rows).withColumnRenamed("n", "records_after")
-        j = b.join(a, "customer_email", "full_outer")
-        parts.append(j.select(
-            F.lit(full).alias("table_name"), "customer_email",
-            F.coalesce("records_before", F.lit(0)).cast("long").alias("records_before"),
-            F.coalesce("records_after", F.lit(0)).cast("long").alias("records_after")))
+        for rows, b, a in ((before[full], 1, 0), (after[full], 0, 1)):
+            src = S.prefilter(rows.select(col), [col], subjects)
+            parts.append(src.select(F.lit(full).alias("table_name"), F.col(col).alias("value"),
+                                    F.lit(b).cast("long").alias("b"), F.lit(a).cast("long").alias("a")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u
+    long = u.where(F.col("value").isNotNull()).groupBy("table_name", "value").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    side, _ = S.subject_side(subjects, "__subject", max_broadcast_rows)
+    return long.join(side, long["value"] == side["__subject"]).select(
+        "table_name", F.col("__subject").alias("customer_email"), F.col("b").alias("records_before"), F.col("a").alias("records_after"))
+
+
+def verify_planned(planned: dict[str, dict], model, labelled: list[tuple[str, str]] | None = None,
+                   subjects: DataFrame | None = None) -> DataFrame | None:
+    """``verify_counts`` of a planned or written erasure.  Rows before come from its log, so
+    no table as it was is read again; None where nothing is checked.
+
+    Tables with e-mails are checked in their ``labelled`` (full table name, column) columns,
+    by default in all, tables reached along a key by that key.  With ``subjects`` the next
+    contents are searched for them again, else rows after come from the plan itself."""
+    parts = []
+    for name, e in planned.items():
+        if e["status"] != "SUCCESS":
+            continue
+        full = full_name(model, name)
+        row = lambda b, a: [F.lit(full).alias("table_name"), "customer_email", b.cast("long").alias("b"), a.cast("long").alias("a")]  # noqa: E731,B023
+        for c in e["cols"] or [None]:
+            if c and labelled is not None and (full, c) not in labelled:
+                continue
+            log = (e["log"] if c else e["log"].where("__hit")).withColumn("customer_email", F.explode("__subjects"))
+            if c:
+                log = log.where(F.col(c) == F.col("customer_email"))
+            if subjects is None:
+                parts.append(log.select(*row(F.lit(1), F.when(F.col("__hit"), 0).otherwise(1))))
+                continue
+            parts.append(log.select(*row(F.lit(1), F.lit(0))))
+            if c:
+                found = S.count_matches(S.prefilter(e["table"].select(c), [c], subjects), c, subjects, [], name="n")
+            else:
+                left = mark_by_key(e["table"].select(e["key"]), e["key"], e["owners"]).where("__hit")
+                found = left.select(F.explode("__subjects").alias("customer_email")).withColumn("n", F.lit(1))
+            parts.append(found.select(*row(F.lit(0), F.col("n"))))
+    return _summed(parts) if parts else None
 
 
 def verify_deletion(counts: DataFrame) -> DataFrame:

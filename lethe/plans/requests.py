@@ -89,9 +89,13 @@ def submit_requests(candidates: DataFrame, customers: DataFrame, requests: DataF
                 .when(F.col("__open").isNotNull(), "ACTIVE_REQUEST_EXISTS")
                 .when(F.col("submission_seq") != F.col("__first"), "ACTIVE_REQUEST_EXISTS")
                 .otherwise("ACCEPTED"))
+    # a person may have submitted before, even on the same day: their earlier requests are counted in
+    earlier = (requests.where(F.col("customer_email").isNotNull()).groupBy(F.col("customer_email").alias("__remail"))
+               .agg(F.count(F.lit(1)).alias("__earlier")))
+    c = salted_join(c, earlier, "customer_email", "__remail", "left")
     rid = F.concat(F.lit("REQ_"), F.year(a).cast("string"), F.lit("_"),
-                   short_hash("customer_email", "erasure_reason",
-                              F.col("submission_seq").cast("string"), a.cast("string")))
+                   short_hash("customer_email", "erasure_reason", F.col("submission_seq").cast("string"), a.cast("string"),
+                              F.coalesce("__earlier", F.lit(0)).cast("string")))
     accepted = F.col("outcome") == "ACCEPTED"
     return (c.withColumn("outcome", outcome)
              .select("customer_email", "erasure_reason", "request_source", "submission_seq",
@@ -237,7 +241,7 @@ def audit_append(events: DataFrame, user_name: str = "SYSTEM", role_name: str =
         warehouse_name = events.sparkSession.sparkContext.appName
     ts_txt = F.col("event_timestamp").cast("string")
     aid = F.concat(F.lit("AUDIT_"), short_hash("event_type", "customer_email", ts_txt,
-                                               "event_description"))
+                                               "event_description", "event_data"))
     rows = events.select(
         aid.alias("audit_id"), "event_type", "event_timestamp", "customer_email",
         F.lit(user_name).alias("user_name"), F.lit(role_name).alias("role_name"),

@@ -4,9 +4,10 @@ Steps, as the reference's demo runs them for one e-mail: initial status,
 discovery, submission, processing, third-party coordination, verification,
 final status, dashboard.  Every step is a DataFrame plan over the whole
 batch; the only driver work is composing them.  With a ``StateFolder`` every
-table is read from it once it is kept there, and the run keeps its results in
-this order: erased tables, after their verification; then requests; then the
-operations, audit rows and notifications, which are appended.
+table is read from it once it is kept there, and the run stages everything it
+makes (erased tables, requests, operations, audit rows, notifications) and
+commits it at its end: a run that dies before that changes nothing, one that
+dies within the commit is completed by the next use of the folder.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from . import discovery as D
 from . import erasure as X
 from . import reports as R
 from . import requests as Q
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources.state import StatefulModel, StateFolder
 
 
@@ -38,14 +39,14 @@ def full_scenario(model, subjects: DataFrame, as_of: dt.date, salt: str,
     """Run the eight steps; returns every intermediate result by name.
 
     ``databases`` are those searched and erased from, by default the fixed
-    ones (a model of other databases passes its ``scope()``).  Without a state
-    nothing is written but lineage cuts, and verification compares the tables
-    with the plan's results."""
+    ones (a model of other databases passes its ``scope()``).  Each erased table is
+    written once, by the job that also counts its rows: under the state, or without one
+    in the shared checkpoint folder.  Verification searches what was written.  All
+    results are written too and stay readable whatever later runs do."""
     if state is not None:
+        state.begin()
         model = StatefulModel(model, state)
-    # results that later steps read, or that must outlast the old tables, are
-    # written once in the shared checkpoint folder
-    kept = (lambda df, name: materialize(df, name)) if state is not None else (lambda df, name: df)
+    kept = materialize
     out: dict[str, DataFrame] = {}
     subj = subjects.select("customer_email").where(F.col("customer_email").isNotNull()).distinct()
     requests = model["erasure_requests"]
@@ -60,49 +61,42 @@ def full_scenario(model, subjects: DataFrame, as_of: dt.date, salt: str,
     out["plan"] = materialize(Q.process_plan(accepted, requests1, model["retention_policies"],
                                              customers, as_of), "plan")
     to_erase = X.subjects_to_erase(out["plan"])
-    planned = X.plan_erasure(model, to_erase, as_of, salt, databases=databases)
-    if state is not None:
-        for name, e in planned.items():  # a table that fails to be written is logged and stays as it is
-            if e["status"] == "SUCCESS":
-                try:
-                    e["table"] = state.stage(name, e["table"])
-                except Exception as error:  # noqa: BLE001
-                    e.update(status="FAILED", affected=None, error=str(error))
+    planned = X.plan_erasure(model, to_erase, as_of, salt, databases=databases,
+                             write=state.next_path if state is not None else (lambda name: scratch_path(model.spark, f"next-{name}")))
     # only tables the erasure rewrote change (failed and skipped ones stay)
     after = {name: e["table"] for name, e in planned.items() if e["status"] == "SUCCESS"}
+    out["rows_by_table"] = {name: e["rows"] for name, e in planned.items() if e["status"] == "SUCCESS"}
     go = out["plan"].where(F.col("decision") == "IN_PROGRESS").select("request_id", "customer_email")
     out["operations"] = kept(X.operation_log(planned, go), "operations")
-    # verification: every rewritten table's e-mail columns (the labelled ones, where there are labels)
-    by_name = {X.full_name(model, n): n for n in after}
+    # verification: every rewritten table's e-mail columns (the labelled ones, where there are labels) and keys
     try:
-        scope = X.scope_from_classification(model["data_classification"])
+        labelled = X.scope_from_classification(model["data_classification"])
     except KeyError:
-        scope = [(full, c) for full, n in by_name.items() for c in X.email_columns(after[n])]
-    scope = [s for s in scope if s[0] in by_name]
-    out["verification"] = (kept(X.verify_deletion(X.verify_counts(
-        {f: model[by_name[f]] for f, _ in scope}, {f: after[by_name[f]] for f, _ in scope}, scope, to_erase)),
-        "verification") if scope else None)
+        labelled = None
+    counts = X.verify_planned(planned, model, labelled, to_erase)
+    out["verification"] = kept(X.verify_deletion(counts), "verification") if counts is not None else None
     requests2 = Q.apply_decisions(requests1, out["plan"], as_of)
     done = Q.complete_requests(requests2, out["operations"], as_of, go)
     requests3 = materialize(_merge_requests(requests2, done, ["status", "completed_at", "actual_completion_date",
                                                               "deletion_summary", "verification_hash"]), "requests")
     out["requests"] = requests3
-    out["notifications"] = kept(Q.coordinate_processors(subj, requests3, as_of), "notifications")
+    # a request whose processors an earlier run has notified is not notified again
+    fresh = requests3
+    if state is not None and state.has("third_party_notifications"):
+        told = state.read("third_party_notifications").select("request_id").distinct()
+        fresh = requests3.join(told, "request_id", "left_anti")
+    out["notifications"] = kept(Q.coordinate_processors(subj, fresh, as_of), "notifications")
     completed_now = requests3.join(go.select("request_id"), "request_id", "left_semi")
     out["audit"] = kept(Q.audit_append(Q.workflow_audit_events(out["submitted"], completed_now,
                                                                out["notifications"], as_of)), "audit")
+    customers = after.get("customers", customers)
+    out["status_after"] = kept(Q.subject_status(subj, requests3, customers), "status-after")
     if state is not None:
-        for name in after:
-            state.publish(name)
         state.stage("erasure_requests", requests3)
-        state.publish("erasure_requests")
         for name, key in (("erasure_operations", "operations"), ("workflow_audit", "audit"),
                           ("third_party_notifications", "notifications")):
-            state.append(name, out[key])
-        customers = model["customers"]
-    else:
-        customers = after.get("customers", customers)
-    out["status_after"] = Q.subject_status(subj, requests3, customers)
+            state.stage_append(name, out[key])
+        state.commit([*after, "erasure_requests"])
     out["dashboard"] = R.dashboard(requests3, as_of)
     return out
 

@@ -236,8 +236,7 @@ def access_audit(m):
 
 
 @register("sort_access", with_tables("px_query_log") + f"SELECT query_id, customer_email_accessed, "
-          f"row_number() OVER (ORDER BY start_time DESC, query_id DESC) AS place FROM ({ACCESSED_SQL}) "
-          "QUALIFY place <= 100")
+          f"row_number() OVER (ORDER BY start_time DESC, query_id DESC) AS place FROM ({ACCESSED_SQL})")
 def sort_access(m):
     """Every statement that touches customer data, newest first, with its place."""
     log = D.access_audit(m["query_log"], "query_text", "start_time", ["query_id", "start_time"])

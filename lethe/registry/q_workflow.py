@@ -76,10 +76,13 @@ FROM (
               WHEN c.submission_seq <> f.f THEN 'ACTIVE_REQUEST_EXISTS'
               ELSE 'ACCEPTED' END AS outcome,
          'REQ_2001_' || substr(sha256(concat_ws('|', c.customer_email, c.erasure_reason,
-                                                CAST(c.submission_seq AS VARCHAR), '2001-08-01')), 1, 32)
+                                                CAST(c.submission_seq AS VARCHAR), '2001-08-01',
+                                                CAST(coalesce(e.n, 0) AS VARCHAR))), 1, 32)
            AS request_id_,
          l.customer_id AS cid
   FROM cand c
+  LEFT JOIN (SELECT customer_email, count(*) AS n FROM px_erasure_requests GROUP BY customer_email) e
+    ON e.customer_email = c.customer_email
   LEFT JOIN (SELECT DISTINCT customer_email FROM px_erasure_requests WHERE status IN {OPEN}) o
     ON o.customer_email = c.customer_email
   LEFT JOIN (SELECT customer_email, min(submission_seq) AS f FROM cand
@@ -222,15 +225,24 @@ ANALYTICS_TABLES = [("user_activities", "event_id", "user_email"),
                     ("marketing_interactions", "interaction_id", "customer_email")]
 
 
-@register("bulk_pseudonymize", _plan_with("px_user_activities", "px_marketing_interactions") + "\nUNION ALL\n".join(
+@register("bulk_pseudonymize", _plan_with("px_user_activities", "px_marketing_interactions", "px_customer_ml_features")
+          + "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, {i} AS row_id, CASE WHEN {c} IN (SELECT customer_email FROM erase) "
-    f"THEN {_pseudo_sql(c)} ELSE {c} END AS email FROM px_{t}" for t, i, c in ANALYTICS_TABLES))
+    f"THEN {_pseudo_sql(c)} ELSE {c} END AS person FROM px_{t}" for t, i, c in ANALYTICS_TABLES) + f"""
+UNION ALL SELECT 'customer_ml_features', x.feature_id, CASE WHEN c.email IN (SELECT customer_email FROM erase)
+       THEN {_pseudo_sql('c.email')} ELSE x.customer_id END
+FROM px_customer_ml_features x LEFT JOIN px_customers c USING (customer_id)""")
 def bulk_pseudonymize(m):
-    """Pseudonymization of every analytics table that has an e-mail column."""
+    """Pseudonymization of every analytics table: by its e-mail column, the features by the customer's key."""
     subj = erase_set(m)
+    people = m["customers"].select("customer_id", "email")
+    owners = X.owners_of(X.mark_rows(people, subj, "PSEUDONYMIZE").where(F.col("__subject").isNotNull()), "customer_id")
+    features = X.next_rows(X.mark_by_key(m["customer_ml_features"].select("feature_id", "customer_id"), "customer_id", owners),
+                           ["feature_id", "customer_id"], "PSEUDONYMIZE", SALT, [], "customer_id").select(
+        F.lit("customer_ml_features").alias("table_name"), F.col("feature_id").alias("row_id"), F.col("customer_id").alias("person"))
     parts = [X.erase_pseudonymize(m[t].select(i, c), subj, SALT)[0].select(
-        F.lit(t).alias("table_name"), F.col(i).alias("row_id"), F.col(c).alias("email")) for t, i, c in ANALYTICS_TABLES]
-    return parts[0].unionByName(parts[1])
+        F.lit(t).alias("table_name"), F.col(i).alias("row_id"), F.col(c).alias("person")) for t, i, c in ANALYTICS_TABLES]
+    return parts[0].unionByName(parts[1]).unionByName(features)
 
 
 AFFECTED_SQL = "\nUNION ALL\n".join([
@@ -241,7 +253,14 @@ AFFECTED_SQL = "\nUNION ALL\n".join([
     "SELECT 'CUSTOMER_DATA_DB', 'SUPPORT', 'SUPPORT_TICKETS', 'DELETE', customer_email FROM px_support_tickets",
     "SELECT 'ANALYTICS_DB', 'EVENTS', 'USER_ACTIVITIES', 'PSEUDONYMIZE', user_email FROM px_user_activities",
     "SELECT 'ANALYTICS_DB', 'CAMPAIGNS', 'MARKETING_INTERACTIONS', 'DELETE', customer_email "
-    "FROM px_marketing_interactions"])
+    "FROM px_marketing_interactions",
+    # tables without an e-mail: along the keys of the rows that are erased
+    "SELECT 'CUSTOMER_DATA_DB', 'PREFERENCES', 'USER_PREFERENCES', 'DELETE', c.email "
+    "FROM px_user_preferences x JOIN px_customers c USING (customer_id)",
+    "SELECT 'CUSTOMER_DATA_DB', 'TRANSACTIONS', 'ORDER_ITEMS', 'DELETE', o.customer_email "
+    f"FROM px_order_items x JOIN px_orders o USING (order_id) WHERE NOT {HELD_SQL}",
+    "SELECT 'ANALYTICS_DB', 'ML_MODELS', 'CUSTOMER_ML_FEATURES', 'PSEUDONYMIZE', c.email "
+    "FROM px_customer_ml_features x JOIN px_customers c USING (customer_id)"])
 OPLOG_SQL = """
 SELECT 'OP_' || substr(sha256(concat_ws('|', p.request_id, a.target_database, a.target_schema,
                                         a.target_table)), 1, 24) AS operation_id,
@@ -252,7 +271,8 @@ FROM (SELECT target_database, target_schema, target_table, operation_type, e AS
       FROM affected_rows WHERE e IN (SELECT customer_email FROM erase) GROUP BY ALL) a
 JOIN (SELECT request_id, customer_email FROM plan WHERE decision = 'IN_PROGRESS') p
   ON p.customer_email = a.customer_email"""
-OP_TABLES = ("px_orders", "px_support_tickets", "px_user_activities", "px_marketing_interactions")
+OP_TABLES = ("px_orders", "px_support_tickets", "px_user_activities", "px_marketing_interactions",
+             "px_user_preferences", "px_order_items", "px_customer_ml_features")
 
 
 def op_log(m, decided=None):
@@ -326,13 +346,10 @@ def operation_type(m):
 # --- verification ---------------------------------------------------------------
 
 def verify_counts(m):
-    """Every e-mail column labelled as one, in every table the erasure rewrites."""
+    """Every e-mail column labelled as one, and every key that leads to a table without, in
+    every table the erasure rewrites; one pass a table."""
     subj = erase_set(m)
-    planned = X.plan_erasure(m, subj, AS_OF, SALT)
-    by_name = {X.full_name(m, n): n for n, e in planned.items() if e["status"] == "SUCCESS"}
-    scope = [s for s in X.scope_from_classification(m["data_classification"]) if s[0] in by_name]
-    return X.verify_counts({f: m[by_name[f]] for f, _ in scope},
-                           {f: planned[by_name[f]]["table"] for f, _ in scope}, scope, subj)
+    return X.verify_planned(X.plan_erasure(m, subj, AS_OF, SALT), m, X.scope_from_classification(m["data_classification"]))
 
 
 COUNTS_SQL = f"""
@@ -348,7 +365,9 @@ SELECT 'CUSTOMER_DATA_DB.CORE.CUSTOMERS' AS t, email AS e FROM px_customers
 UNION ALL SELECT 'CUSTOMER_DATA_DB.TRANSACTIONS.ORDERS', customer_email FROM px_orders
 UNION ALL SELECT 'CUSTOMER_DATA_DB.SUPPORT.SUPPORT_TICKETS', customer_email FROM px_support_tickets
 UNION ALL SELECT 'ANALYTICS_DB.CAMPAIGNS.MARKETING_INTERACTIONS', customer_email FROM px_marketing_interactions
-UNION ALL SELECT 'ANALYTICS_DB.EVENTS.USER_ACTIVITIES', user_email FROM px_user_activities"""
+UNION ALL SELECT 'ANALYTICS_DB.EVENTS.USER_ACTIVITIES', user_email FROM px_user_activities
+UNION ALL SELECT target_database || '.' || target_schema || '.' || target_table, e FROM affected_rows
+WHERE target_table IN ('USER_PREFERENCES', 'ORDER_ITEMS', 'CUSTOMER_ML_FEATURES')"""
 AFTER_SQL = f"""
 SELECT 'CUSTOMER_DATA_DB.CORE.CUSTOMERS' AS t, email AS e FROM px_customers
 WHERE NOT coalesce(email IN (SELECT customer_email FROM erase), FALSE)
@@ -365,7 +384,7 @@ FROM px_user_activities"""
 
 
 def _verify_with(**extra):
-    return _plan_with(*OP_TABLES, before_rows=BEFORE_SQL,
+    return _plan_with(*OP_TABLES, affected_rows=AFFECTED_SQL, before_rows=BEFORE_SQL,
                       after_rows=AFTER_SQL, counts=COUNTS_SQL, **extra)
 
 
@@ -377,7 +396,7 @@ FROM counts WHERE records_before > 0 OR records_after > 0"""
 
 @register("verify_join", _verify_with() + "SELECT * FROM counts")
 def verify_join(m):
-    """Per (table, subject) row counts before and after (full outer join)."""
+    """Per (table, subject) row counts before and after, signed and added up in one aggregate."""
     return verify_counts(m)
 
 
@@ -549,8 +568,8 @@ FROM px_erasure_requests WHERE status = 'SUBMITTED'"""
 AUDIT_ROWS_SQL = """
 SELECT *, sha256(audit_id || event_type || customer_email || CAST(event_timestamp AS VARCHAR)) AS audit_hash
 FROM (SELECT 'AUDIT_' || substr(sha256(concat_ws('|', event_type, customer_email,
-                                                 CAST(event_timestamp AS VARCHAR), event_description)),
-                                1, 32) AS audit_id, *
+                                                 CAST(event_timestamp AS VARCHAR), event_description,
+                                                 event_data)), 1, 32) AS audit_id, *
       FROM ev)"""
 
 
@@ -709,8 +728,9 @@ def _scenario_ctes(**extra) -> str:
 SELECT s.customer_email,
        CASE WHEN o.customer_email IS NOT NULL THEN 'ACTIVE_REQUEST_EXISTS' ELSE 'ACCEPTED' END AS outcome,
        'REQ_2001_' || substr(sha256(concat_ws('|', s.customer_email, 'WITHDRAWN_CONSENT', '1',
-                                              '2001-08-01')), 1, 32) AS request_id
+                                              '2001-08-01', CAST(coalesce(e.n, 0) AS VARCHAR))), 1, 32) AS request_id
 FROM subj s
+LEFT JOIN (SELECT customer_email, count(*) AS n FROM px_erasure_requests GROUP BY customer_email) e USING (customer_email)
 LEFT JOIN (SELECT DISTINCT customer_email FROM px_erasure_requests WHERE status IN {OPEN}) o
   USING (customer_email)"""
     plan = """
@@ -742,6 +762,7 @@ GROUP BY e"""
     return with_tables(
         "px_customers", "px_erasure_requests", "px_retention_policies", "px_orders",
         "px_support_tickets", "px_user_activities", "px_marketing_interactions", "px_audit_log",
+        "px_user_preferences", "px_order_items", "px_customer_ml_features",
         subj=subj, holds=HOLDS_SQL, long=LONG_SQL, submitted=submitted, sc_plan=plan,
         erase="SELECT DISTINCT customer_email FROM sc_plan WHERE decision = 'IN_PROGRESS'",
         affected_rows=AFFECTED_SQL,
@@ -817,6 +838,46 @@ def scenario_two_batches(m):
                     F.coalesce("ops", F.lit(0)).cast("long").alias("operations_logged"))
 
 
+@register("scenario_rerun", _scenario_ctes() + f"""
+, counts AS (
+  SELECT (SELECT count(*) FROM px_erasure_requests) AS base, (SELECT count(*) FROM sc_plan) AS accepted,
+         (SELECT count(*) FROM sc_plan WHERE decision = 'IN_PROGRESS') AS done,
+         (SELECT count(*) FROM (SELECT DISTINCT e, target_table FROM affected_rows
+                                WHERE e IN (SELECT customer_email FROM erase))) AS operations,
+         (SELECT count(*) FROM notif) AS told_first,
+         -- the second time: who has a request that the first run did not pass on
+         (SELECT count(*) FROM (SELECT s.customer_email, count(r.request_id) FILTER (WHERE r.status IN ('IN_PROGRESS', 'COMPLETED'))
+                                  + count(DISTINCT p.request_id) AS n
+                                FROM subj s LEFT JOIN requests3 r USING (customer_email)
+                                LEFT JOIN (SELECT * FROM sc_plan WHERE decision = 'IN_PROGRESS') p USING (customer_email)
+                                GROUP BY s.customer_email) WHERE n > 1) AS told_again)
+SELECT table_name, n AS row_count, n AS distinct_ids FROM (
+  SELECT 'erasure_requests' AS table_name, base + 2 * accepted AS n FROM counts
+  UNION ALL SELECT 'erasure_operations', operations FROM counts
+  UNION ALL SELECT 'third_party_notifications', 5 * (told_first + told_again) FROM counts
+  UNION ALL SELECT 'workflow_audit', 2 * accepted + 2 * done + told_first + told_again FROM counts)""")
+def scenario_rerun(m):
+    """One batch of the scenario twice on one state: the second time its people submit again, nothing of
+    theirs is left to erase, and no id of any kept table comes up twice."""
+    from ..plans.scenario import full_scenario as run
+    from ..session import scratch_path
+    from ..sources.state import StateFolder
+    state = StateFolder(m.spark, scratch_path(m.spark, "state"))
+    c = m["customers"]
+    subj = materialize(c.where((F.col("consent_marketing") == F.lit(False)) & (F.col("consent_analytics") == F.lit(False)))
+                       .select(F.col("email").alias("customer_email")), "batch")
+    for _ in range(2):
+        run(m, subj, AS_OF, SALT, state=state)
+    out = None
+    for name, key in (("erasure_requests", "request_id"), ("erasure_operations", "operation_id"),
+                      ("third_party_notifications", "notification_id"), ("workflow_audit", "audit_id")):
+        ids = state.read(name).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        part = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("distinct_ids")).select(
+            F.lit(name).alias("table_name"), "row_count", "distinct_ids")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- tables as of a time, and appends -------------------------------------------
 
 def _history(m):
@@ -894,7 +955,7 @@ FROM latest"""
 SELECT audit_id, event_type, event_timestamp, customer_email, event_description, event_data,
        sha256(audit_id || event_type || customer_email || CAST(event_timestamp AS VARCHAR)) AS audit_hash
 FROM (SELECT 'AUDIT_' || substr(sha256(concat_ws('|', event_type, customer_email,
-                                                 '2001-08-01 00:00:00', event_description)), 1, 32)
+                                                 '2001-08-01 00:00:00', event_description, event_data)), 1, 32)
                AS audit_id,
              CAST(TIMESTAMP '2001-08-01 00:00:00' AS VARCHAR) AS event_timestamp, *
       FROM ev)"""

@@ -18,6 +18,8 @@ ENGINE_CONF = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # an erased table's parts are written side by side, so its rows need no sort by part
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
 }
 
 
@@ -75,10 +77,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or root
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch folder this session made; their DataFrames end with it."""
+def scratch_mark(spark: SparkSession) -> int:
+    """A point in the list of scratch folders; ``release`` can delete what was made after it."""
+    return len(_MADE.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch folders this session made (``since`` a mark); their DataFrames end with it."""
     jvm = spark.sparkContext._jvm
-    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    gone = made[since:]
+    del made[since:]
+    for path in gone:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -1,59 +1,142 @@
 """Tables that keep their state between runs: one Parquet folder a table.
 
-``stage`` writes a table's next contents beside it and ``publish`` puts them in
-its place, so a job may read the old contents while it writes and verifies the
-new ones.  Both are ordinary Spark writes on shared storage.  A run that dies
-before ``publish`` leaves the table as it was; ``publish`` sets a marker first,
-and one that dies within it is finished by the next ``has`` or ``publish``.
+A run stages what it makes beside the tables (``stage``, ``stage_append``, or a writer of
+its own at ``next_path``) and ``commit`` puts all of it in place, so that a job may read
+the old contents while it writes and verifies the new ones.  ``commit`` first writes one
+list of what is to be done; from then on the run has happened, and whoever uses the folder
+next completes it, as every step may be repeated.  A run that dies before leaves all tables
+as they were; ``begin`` clears what it staged.  All data are written by ordinary Spark jobs
+on shared storage.  The folder has one writer at a time.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders inside a table's: the part that is no table row (removed by ``commit``), and each run's additions.
+PART, NEXT, LOG, RUN = "part_of", "next", "log", "run_id"
+
 
 class StateFolder:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.added: dict[str, str] = {}
 
     def _path(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _finish(self, name: str) -> None:
-        """Complete a publication that has begun (its marker is there)."""
-        fs, marker = self._path(f"{name}__publish")
-        if not fs.exists(marker):
-            return
-        (_, table), (_, following) = self._path(name), self._path(f"{name}__next")
-        if fs.exists(following):
-            fs.delete(table, True)
-            fs.rename(following, table)
-        fs.delete(marker, True)
+    def _move(self, source: str, target: str) -> None:
+        fs, src = self._path(source)
+        _, dst = self._path(target)
+        fs.mkdirs(dst.getParent())
+        if not fs.rename(src, dst):
+            raise OSError(f"cannot rename {src} to {dst}")
 
-    def has(self, name: str) -> bool:
-        self._finish(name)
-        fs, table = self._path(name)
-        return fs.exists(table)
+    def _exists(self, name: str) -> bool:
+        fs, p = self._path(name)
+        return fs.exists(p)
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+    def _delete(self, name: str) -> None:
+        fs, p = self._path(name)
+        if fs.exists(p) and not fs.delete(p, True):
+            raise OSError(f"cannot delete {p}")
+
+    # --- what a run makes -------------------------------------------------------
+
+    def begin(self) -> None:
+        """Complete a commit that has begun, and drop what a run that died before its commit left."""
+        self.recover()
+        self._delete("__staged")
+        self.added = {}
+
+    def next_path(self, name: str) -> str:
+        """Where the next contents of ``name`` are written before the commit."""
+        return f"{self.root}/__staged/next/{name}"
 
     def stage(self, name: str, df: DataFrame) -> DataFrame:
         """Write the next contents of ``name``; returns them read back."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}__next")
-        return self.spark.read.parquet(f"{self.root}/{name}__next")
+        df.write.mode("overwrite").parquet(self.next_path(name))
+        return self.spark.read.schema(df.schema).parquet(self.next_path(name))
+
+    def stage_append(self, name: str, df: DataFrame) -> None:
+        """Write rows that the commit adds to ``name``."""
+        run = self.added.setdefault(name, uuid.uuid4().hex)
+        df.write.mode("overwrite").parquet(f"{self.root}/__staged/add/{name}/{RUN}={run}")
+
+    # --- the commit -------------------------------------------------------------
+
+    def commit(self, names: list[str] = ()) -> None:
+        """Put the staged contents of ``names``, and all staged additions, in place."""
+        todo = {"next": [n for n in names if self._exists(f"__staged/next/{n}")], "add": self.added}
+        fs, p = self._path(f"__commit-{uuid.uuid4().hex}")
+        stream = fs.create(p, True)
+        try:
+            stream.write(json.dumps(todo).encode())
+        finally:
+            stream.close()
+        self._move(p.getName(), "__commit")
+        self.added = {}
+        self.recover()
+
+    def recover(self) -> None:
+        """Complete a commit that has begun; every step may already have been done."""
+        if not self._exists("__commit"):
+            return
+        fs, p = self._path("__commit")
+        stream = fs.open(p)
+        try:
+            todo = json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+        for name in todo["next"]:
+            staged, old = f"__staged/next/{name}", f"__old/{name}"
+            if self._exists(staged):
+                self._delete(f"{staged}/{PART}={LOG}")  # rows as they were before: personal data
+                if self._exists(name) and not self._exists(old):  # the old table is kept until the new one stands
+                    self._move(name, old)
+                self._move(staged, name)
+            self._delete(old)
+        for name, run in todo["add"].items():
+            part = f"{RUN}={run}"
+            if self._exists(f"__staged/add/{name}/{part}"):
+                self._move(f"__staged/add/{name}/{part}", f"{name}/{part}")
+        self._delete("__staged")
+        self._delete("__old")
+        self._delete("__commit")
 
     def publish(self, name: str) -> None:
-        """Put the staged contents in the table's place."""
-        fs, following = self._path(f"{name}__next")
-        if fs.exists(following):
-            fs.mkdirs(self._path(f"{name}__publish")[1])
-            self._finish(name)
+        """Commit the staged contents of one table."""
+        self.commit([name])
 
     def append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(f"{self.root}/{name}")
+        """Add rows to ``name`` by themselves."""
+        self.recover()
+        self.stage_append(name, df)
+        self.commit()
+
+    # --- reading ----------------------------------------------------------------
+
+    def has(self, name: str) -> bool:
+        self.recover()
+        return self._exists(name)
+
+    def read(self, name: str) -> DataFrame:
+        self.recover()
+        fs, p = self._path(name)
+        found = [f.getPath().getName() for f in fs.listStatus(p)]
+        paths = [n for n in found if n == f"{PART}={NEXT}" or n.startswith(f"{RUN}=")]
+        if any(n.endswith(".parquet") for n in found):
+            paths.append("*.parquet")
+        out = None
+        for n in sorted(paths):
+            df = self.spark.read.parquet(f"{self.root}/{name}/{n}").drop("__subjects", "__hit")
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        return out
 
 
 class StatefulModel:
