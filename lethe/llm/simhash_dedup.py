@@ -31,6 +31,8 @@ from .graph import components
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints of a bucket compared in one piece.
 PART = 2048
+#: Entries (query and word of 64 lanes) whose hits are laid out at a time.
+HITS = 1 << 13
 #: Shingles whose bits are counted at a time.
 PIECE = 1 << 16
 
@@ -182,10 +184,10 @@ def links(fps: np.ndarray, side: np.ndarray, starts: np.ndarray, radius: int) ->
         place = (q[same] - word_at[w[same]]).astype(np.uint64)
         over[same] |= ALL >> (np.uint64(63) - place)  # lanes up to the query's own
         hit, out = past_radius(planes, w, fps[q], over, radius)
-        if len(hit):
-            lane_hits = np.unpackbits((~out).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            i, lane = np.nonzero(lane_hits)
-            labels = join_labels(labels, q[hit[i]], word_at[w[hit[i]]] + lane)
+        for some in range(0, len(hit), HITS):  # among near copies every lane may be one
+            some_hits, some_out = hit[some:some + HITS], out[some:some + HITS]
+            i, lane = np.nonzero(np.unpackbits((~some_out).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            labels = join_labels(labels, q[some_hits[i]], word_at[w[some_hits[i]]] + lane)
         at = to
     linked = np.nonzero(labels != np.arange(n))[0]
     return linked, labels[linked]

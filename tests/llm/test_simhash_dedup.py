@@ -111,3 +111,20 @@ def test_keep_first(make_docs):
     assert {k: sorted(map(str, v)) for k, v in texts.items()} == {
         3: [base, "something else entirely stands in this row"], 6: [""], None: ["lonely words"]}
     assert S.keep_first(make_docs([])).count() == 0
+
+
+def test_memory_of_dense_groups():
+    """Several groups of near copies in one batch, every lane of which is a link."""
+    import tracemalloc
+
+    import numpy as np
+    rng = np.random.default_rng(4)
+    groups = [np.uint64(int(rng.integers(0, 2 ** 63))) ^ np.array(
+        [sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 2))) for _ in range(2048)], np.uint64) for _ in range(6)]
+    fps = np.concatenate(groups)
+    starts = np.arange(6) * 2048
+    tracemalloc.start()
+    a, b = S.links(fps, np.zeros(len(fps), bool), starts, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == 6 * 2047 and peak < 200 << 20
