@@ -4,7 +4,9 @@ Equal vectors are one class, of which the smallest ids are kept (no search can
 return more of them).  Classes are dealt over shards by hash.  In each shard a
 graph is built: a greedy search over the graph so far proposes neighbours of a
 batch of points, relaxed distance pruning keeps a diverse few, and reverse edges
-are added and pruned alike.  A beam search queries every shard's graph; found
+are added and pruned alike.  Searches begin at many entry points, spread so that
+no cluster is without one; points that no path leads to from there get a link,
+which pruning never drops.  A beam search queries every shard's graph; found
 classes are scored again on the original vectors in double precision.
 """
 
@@ -21,10 +23,12 @@ from .common import materialize, pick
 K = 10
 #: Neighbours of a point, beam while building and while querying, relaxation of pruning.
 DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA = 24, 48, 128, 1.2
-#: Vectors a shard holds: 1/64 of all between these bounds.
-SHARD_LEAST, SHARD_MOST = 4096, 131_072
-#: Queries one search task takes.
-QUERY_BLOCK = 4096
+#: Entry points of a graph: ENTRIES times the root of its points.  Links a point can have besides its neighbours.
+ENTRIES, LINKS = 4, 8
+#: Vectors a shard holds: 1/64 of all between these bounds, and no more than SHARD_BYTES.
+SHARD_LEAST, SHARD_MOST, SHARD_BYTES = 4096, 131_072, 128 << 20
+#: Queries one search task takes, and their bytes; the index is sent once for each block of them.
+QUERY_BLOCK, QUERY_BYTES = 65_536, 64 << 20
 #: Points searched or pruned together, and cells of the table of visited points.
 BATCH, CELLS = 256, 1 << 22
 EXPAND = 4
@@ -45,19 +49,29 @@ def squared(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("qrd,qrd->qr", diff, diff)
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, start: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids (-1: none) and squared distances of the ``beam`` nearest points met from
-    ``start`` by always expanding the nearest unexpanded ones, for all rows of q."""
+def nearest_of(x: np.ndarray, some: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` of the points ``some`` that lie nearest to each row of q, about (rounding may err)."""
+    norm = np.einsum("sd,sd->s", x[some], x[some])
+    d = norm[None, :] - 2 * (q @ x[some].T)
+    if k >= len(some):
+        return np.broadcast_to(some, (len(q), len(some)))
+    return some[np.argpartition(d, k, axis=1)[:, :k]]
+
+
+def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, starts: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (-1: none) and squared distances of the ``beam`` nearest points met from the nearest
+    of ``starts`` by always expanding the nearest unexpanded ones, for all rows of q."""
     n, m = len(x), len(q)
     rows = np.arange(m)[:, None]
     ids = np.full((m, beam), -1, np.int64)
     dist = np.full((m, beam), np.inf, x.dtype)
     fresh = np.zeros((m, beam), bool)
-    ids[:, 0], dist[:, 0], fresh[:, 0] = start, squared(x, np.full((m, 1), start), q)[:, 0], True
+    first = nearest_of(x, starts, q, min(beam, 16))
+    k = first.shape[1]
+    ids[:, :k], dist[:, :k], fresh[:, :k] = first, squared(x, first, q), True
     stamp = np.full((m, n), -1, np.int32)
-    stamp[:, start] = 0
     seen = np.zeros((m, n), bool)
-    seen[:, start] = True
+    seen[rows, first] = True
     while fresh.any():
         order = np.argsort(np.where(fresh, dist, np.inf), axis=1)[:, :EXPAND]
         taken = fresh[rows, order]
@@ -141,39 +155,85 @@ def _add_reverse(x: np.ndarray, graph: np.ndarray, points: np.ndarray, alpha: fl
             graph[nodes[~fits]] = robust_prune(x, nodes[~fits], have[~fits], alpha)
 
 
-def build_graph(x: np.ndarray) -> tuple[np.ndarray, int]:
-    """(neighbour lists, entry point) for the rows of ``x``."""
+def entry_points(x: np.ndarray, k: int) -> np.ndarray:
+    """``k`` points: half at random, half each the farthest from all before it."""
+    n = len(x)
+    chosen = np.random.default_rng(11).permutation(n)[:min(n, max(1, k // 2))].tolist()
+    norm = np.einsum("nd,nd->n", x, x)
+
+    def gap(i: int) -> np.ndarray:
+        return norm - 2 * (x @ x[i]) + norm[i]
+
+    nearest = np.full(n, np.inf, x.dtype)
+    for i in chosen:
+        np.minimum(nearest, gap(i), out=nearest)
+    while len(chosen) < min(n, k):
+        nearest[chosen] = -np.inf
+        chosen.append(int(nearest.argmax()))
+        np.minimum(nearest, gap(chosen[-1]), out=nearest)
+    return np.unique(np.array(chosen, np.int64))
+
+
+def unreached(graph: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The points that no path leads to from ``starts``."""
+    met = np.zeros(len(graph), bool)
+    met[starts] = True
+    edge = starts
+    while len(edge):
+        to = np.unique(graph[edge])
+        edge = to[(to >= 0)]
+        edge = edge[~met[edge]]
+        met[edge] = True
+    return np.flatnonzero(~met)
+
+
+def build_graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lists of neighbours and links, entry points) for the rows of ``x``; every row can be reached."""
     x = np.ascontiguousarray(x, precision(x))
     n = len(x)
     graph = np.full((n, DEGREE), -1, np.int64)
-    centre = x.mean(axis=0)
-    start = int(((x - centre) ** 2).sum(axis=1).argmin())
+    starts = entry_points(x, int(ENTRIES * np.sqrt(n)) + 1)
     order = np.random.default_rng(7).permutation(n)
-    order = np.concatenate([[start], order[order != start]])
+    order = np.concatenate([starts, order[~np.isin(order, starts)]])
     batch = max(1, min(BATCH, CELLS // max(1, n)))
 
-    def place(points: np.ndarray, alpha: float) -> None:
-        found, _ = beam_search(x, graph, x[points], start, BUILD_BEAM)
-        graph[points] = robust_prune(x, points, np.concatenate([found, graph[points]], axis=1), alpha)
-        _add_reverse(x, graph, points, alpha)
+    def place(points: np.ndarray) -> None:
+        found, _ = beam_search(x, graph, x[points], starts, BUILD_BEAM)
+        graph[points] = robust_prune(x, points, np.concatenate([found, graph[points]], axis=1), ALPHA)
+        _add_reverse(x, graph, points, ALPHA)
 
     at = 1
     while at < n:  # batches no larger than the graph they search
         to = min(n, at + min(at, batch))
-        place(order[at:to], 1.0)
+        place(order[at:to])
         at = to
     for at in range(0, n, batch):
-        place(order[at:at + batch], ALPHA)
-    return graph, start
+        place(order[at:at + batch])
+    whole = np.concatenate([graph, np.full((n, LINKS), -1, np.int64)], axis=1)
+    used = np.zeros(n, np.int64)
+    left = unreached(whole, starts)
+    while len(left):  # each gets a link from the nearest reached point that has room for one
+        some = left[:batch]
+        found, _ = beam_search(x, whole, x[some], starts, QUERY_BEAM)
+        for point, near in zip(some.tolist(), found):
+            near = near[near >= 0]
+            near = near[(used[near] < LINKS) & (near != point)]
+            if len(near):
+                whole[near[0], DEGREE + used[near[0]]] = point
+                used[near[0]] += 1
+            else:
+                starts = np.append(starts, point)
+        left = unreached(whole, starts)
+    return whole, starts
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("first_id", kind="stable")
     x = np.stack(pdf["vec"].to_numpy())
-    graph, start = build_graph(x)
+    graph, starts = build_graph(x)
     ids = pdf["ids"].tolist()
     ends = np.cumsum([len(i) for i in ids])
-    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "start": [start], "vecs": [x.astype("<f8").tobytes()],
+    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "starts": [starts.astype("<i8").tobytes()], "vecs": [x.astype("<f8").tobytes()],
                          "graph": [graph.astype("<i4").tobytes()], "ids": [np.concatenate(ids).astype("<i8").tobytes()],
                          "ends": [ends.astype("<i8").tobytes()]})
 
@@ -191,16 +251,18 @@ def _search(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFr
     q = np.stack(queries["vec"].to_numpy())
     kind = precision(x, q)
     near = x.astype(kind)
+    starts = np.frombuffer(row["starts"], "<i8")
     step = max(1, min(BATCH, CELLS // len(x)))
     out = []
     for at in range(0, len(q), step):
-        found, _ = beam_search(near, graph, q[at:at + step].astype(kind), int(row["start"]), QUERY_BEAM)
+        found, _ = beam_search(near, graph, q[at:at + step].astype(kind), starts, QUERY_BEAM)
         for i, f in enumerate(found):
             f = f[f >= 0]
             own = queries["query_id"].iat[at + i]
             score = np.sqrt(((x[f] - q[at + i]) ** 2).sum(axis=1))
             best = np.argsort(score, kind="stable")[:K + 1]
-            held = [(s, v) for s, c in zip(score[best].tolist(), f[best]) for v in ids[begins[c]:ends[c]].tolist() if v != own]
+            held = [(s, v) for s, c in zip(score[best].tolist(), f[best]) for v in ids[begins[c]:ends[c]].tolist()
+                    if v != own or (x[c] != q[at + i]).any()]  # the query's own row, not others of its id
             out += [(own, queries["query_no"].iat[at + i], v, s) for s, v in sorted(held)[:K]]
     return pd.DataFrame(out, columns=list(none.columns)) if out else none
 
@@ -223,10 +285,12 @@ def build_index(vectors: DataFrame) -> DataFrame:
     classes = materialize(few.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(
         "vec", F.size("vec").alias("dim"), "ids", F.col("ids")[0].alias("first_id")), "ann-classes")
     counts = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "shards", F.ceil(F.col("n") / F.greatest(F.lit(SHARD_LEAST), F.least(F.lit(SHARD_MOST), F.floor(F.col("n") / 64)))).cast("int"))
+        "shards", F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(
+            F.greatest(F.lit(SHARD_LEAST), F.least(F.lit(SHARD_MOST), F.floor(F.col("n") / 64))),
+            F.floor(F.lit(SHARD_BYTES) / (8 * F.greatest("dim", F.lit(1))))))).cast("int"))
     dealt = classes.join(F.broadcast(counts.select("dim", "shards")), "dim").withColumn(  # one row per vector length
         "shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int"))
-    schema = "dim int, shard int, start int, vecs binary, graph binary, ids binary, ends binary"
+    schema = "dim int, shard int, starts binary, vecs binary, graph binary, ids binary, ends binary"
     return materialize(dealt.select("dim", "shard", "vec", "ids", "first_id").groupBy("dim", "shard").applyInPandas(_build, schema), "ann-index")
 
 
@@ -234,7 +298,8 @@ def search(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, rank, vec_id, score) of the K nearest found for every usable row of ``queries``."""
     q = usable(queries).select(F.col("vec_id").alias("query_id"), "vec", "dim").withColumn("query_no", F.xxhash64("vec"))
     q = materialize(q, "ann-queries")
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    n, dim = q.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    blocks = max(1, -(-n // max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * dim)))))
     shards = index.select("dim", "shard").groupBy("dim").agg(F.collect_list("shard").alias("shards"))
     asked = q.join(F.broadcast(shards), "dim").withColumn("block", F.pmod(F.xxhash64("query_id", "query_no"), F.lit(blocks)).cast("int"))
     asked = asked.select("dim", F.explode("shards").alias("shard"), "block", "query_id", "query_no", "vec")
@@ -251,7 +316,8 @@ def op10_ann(vectors: DataFrame) -> DataFrame:
 
     Vectors that are null, zero or hold a null or non-finite component take no part,
     nor do rows without vec_id; only vectors of equal length are compared; rows that
-    repeat id and vector count once.  An empty table gives an empty result.
+    repeat id and vector count once, rows that share an id only are rows of their own.
+    An empty table gives an empty result; other columns are left aside.
     """
-    index = build_index(vectors)
-    return search(index, vectors.filter(F.col("vec_id") % 100 == 0))
+    known = pick(vectors, "vec_id", "embedding")
+    return search(build_index(known), known.filter(F.col("vec_id") % 100 == 0))

@@ -70,3 +70,24 @@ def test_a_very_large_vector(spark, large):
         if q != large:
             found += len(set(mine) & {i for _, i in nearest(rows, q, rows[q][1])})
     assert found / 50 >= 0.9
+
+
+@pytest.mark.parametrize("clusters, sigma", [(50, 0.3), (50, 0.6), (400, 0.3)])
+def test_graph_holds_together_between_clusters(clusters, sigma):
+    from tests.llm.ann_recall import clustered, recall
+    found, lost, _ = recall(clustered(3000, clusters, sigma), 150)
+    assert found >= 0.95 and lost == 0
+
+
+def test_links_reach_every_point_of_tight_far_groups():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(60, 4)) * 1e-3 + 100 * c for c in range(40)])
+    graph, starts = ann.build_graph(x)
+    assert len(ann.unreached(graph, starts)) == 0 and graph.shape[1] == ann.DEGREE + ann.LINKS
+
+
+def test_rows_that_share_an_id_and_clashing_columns(spark):
+    rows = [(100, [1.0, 0.0], 5, [0.0]), (100, [1.0, 0.25], 6, [0.0]), (7, [1.0, 0.5], 7, [0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, VEC_ID long, Embedding array<double>")
+    got = rows_of(ann.op10_ann(df), "query_id", "rank", "vec_id", "score")
+    assert got == sorted([(100, 1, 100, 0.25), (100, 2, 7, 0.5), (100, 1, 7, 0.25), (100, 2, 100, 0.25)])
