@@ -26,6 +26,8 @@ from .common import materialize, pick, ranked
 SIZE = 1024
 #: Id after each document.
 END = 0
+#: White space in one run from which a text goes to the vocabulary's own library.
+LONG_RUN = 50_000
 #: How the vocabulary's pre-tokenizer cuts a text into pieces that merge by themselves.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -66,11 +68,14 @@ class Encoder:
     ``encode`` cuts a text at the added tokens, leftmost first and longest among
     those that start together; ``ids`` takes all of a text as ordinary text.
     Where no two white-space characters meet, the last two branches of PIECES
-    come down to single characters; leaving their look-ahead out is faster.
+    come down to single characters; leaving their look-ahead out is faster.  The
+    look-ahead uses up its stack in a very long run of white space: a text with one
+    is encoded by the library itself, which is slower.
     """
 
     def __init__(self, path: str):
         import tiktoken
+        self.path = path
         ranks = read_ranks(path)
         self.added = read_added(path)
         longest_first = sorted(self.added, key=len, reverse=True)
@@ -79,11 +84,18 @@ class Encoder:
         self.any, self.plain = (tiktoken.Encoding("ids", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
                                 for p in (PIECES, plain))
         self.gap = re.compile(r"\s\s")
+        self.runs = re.compile(r"\s+")
+        self.library = None
 
     def ids(self, text: str) -> list[int]:
         return (self.any if self.gap.search(text) else self.plain)(text)
 
     def encode(self, text: str) -> list[int]:
+        if len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in self.runs.finditer(text)):
+            if self.library is None:
+                from tokenizers import Tokenizer
+                self.library = Tokenizer.from_file(self.path)
+            return self.library.encode(text, add_special_tokens=False).ids
         parts = self.cuts.split(text) if self.cuts else [text]
         if len(parts) == 1:
             return self.ids(text)

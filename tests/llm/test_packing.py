@@ -112,3 +112,10 @@ def test_pack_of_added_tokens(make_docs, unchanged):
         ids = np.array([*unchanged.encode(t, add_special_tokens=False).ids, 0], "<u4")
         want += [(i, s, len(ids[s:s + 1024]), zlib.crc32(ids[s:s + 1024].tobytes()), len(ids)) for s in range(0, len(ids), 1024)]
     assert got == want and got[0][4] == 5
+
+
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 1_200_000, " \n\t" * 400_000, "\u00a0" * 1_100_000])
+def test_very_long_white_space(encoder, run):
+    from tokenizers import Tokenizer
+    text = "a <|endoftext|>" + run + "b"
+    assert encoder.encode(text) == Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids
