@@ -604,29 +604,47 @@ FK = [("orders", "customer_id", "customers", "customer_id"),
       ("user_activities", "customer_id", "customers", "customer_id"),
       ("marketing_interactions", "customer_id", "customers", "customer_id"),
       ("customer_ml_features", "customer_id", "customers", "customer_id"),
-      ("erasure_requests", "customer_id", "customers", "customer_id")]
-
-
-@register("fk_orphans", with_tables("px_orders", "px_order_items", "px_support_tickets",
-                                    "px_user_preferences", "px_retention_policies", "px_user_activities",
-                                    "px_marketing_interactions", "px_customer_ml_features",
-                                    "px_erasure_requests", "px_customers") + "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS child_table, '{fc}' AS fk_column, "
-    f"count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM px_{p} y WHERE y.{pc} = x.{fc})) AS orphan_rows, "
-    + (f"count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM px_{p} y WHERE y.{pc} = x.{fc} AND y.is_deleted = FALSE))"
-       if p == "customers" else
-       f"count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM px_{p} y WHERE y.{pc} = x.{fc} AND y.can_be_deleted = FALSE))")
-    + f" AS rows_without_live_parent FROM px_{c} x" for c, fc, p, pc in FK))
+      ("erasure_requests", "customer_id", "customers", "customer_id"),
+      ("data_discovery_results", "request_id", "erasure_requests", "request_id"),
+      ("erasure_operations", "request_id", "erasure_requests", "request_id"),
+      ("third_party_notifications", "request_id", "erasure_requests", "request_id")]
+
+
+# A parent that stays: customers not deleted, orders that must be kept, requests still open.
+LIVE_SQL = {"customers": "is_deleted = FALSE", "orders": "can_be_deleted = FALSE", "erasure_requests": f"status IN {OPEN}"}
+#: Tables the workflow makes: discovery results, operations and notifications of requests.
+MADE = ("data_discovery_results", "erasure_operations", "third_party_notifications")
+
+
+def _made(m) -> dict:
+    from .q_discovery import discovery_results
+    return {"data_discovery_results": discovery_results(m), "erasure_operations": op_log(m), "third_party_notifications": notifications(m)}
+
+
+def _fk_sql() -> str:
+    from .q_discovery import DISCOVERED_SQL, LONG_SQL
+    found = ("SELECT r.request_id FROM discovered d JOIN px_erasure_requests r ON r.customer_email = d.customer_email")
+    return _plan_with(*OP_TABLES, "px_audit_log", affected_rows=AFFECTED_SQL, long=LONG_SQL, discovered=DISCOVERED_SQL, lat=LATEST_ACTIVE_SQL,
+                      px_data_discovery_results=found, px_erasure_operations=OPLOG_SQL, px_third_party_notifications=NOTIF_SQL) + \
+        "\nUNION ALL\n".join(
+            f"SELECT '{c}' AS child_table, '{fc}' AS fk_column, "
+            f"count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM px_{p} y WHERE y.{pc} = x.{fc})) AS orphan_rows, "
+            f"count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM px_{p} y WHERE y.{pc} = x.{fc} AND y.{LIVE_SQL[p]})) "
+            f"AS rows_without_live_parent FROM px_{c} x" for c, fc, p, pc in FK)
+
+
+@register("fk_orphans", _fk_sql())
 def fk_orphans(m):
-    """Child rows whose declared foreign key has no parent, and those that would
-    have none once deleted customers, or all deletable orders, are gone."""
-    out = None
+    """Child rows whose declared foreign key has no parent, and those that would have none
+    once deleted customers, all deletable orders and closed requests are gone."""
+    out, made = None, _made(m)
+    live_of = {"customers": F.col("is_deleted") == F.lit(False), "orders": F.col("can_be_deleted") == F.lit(False),
+               "erasure_requests": F.col("status").isin(C.OPEN_STATES)}
     for c, fc, p, pc in FK:
-        live = (F.col("is_deleted") == F.lit(False)) if p == "customers" else (F.col("can_be_deleted") == F.lit(False))
-        parent = m[p].select(F.col(pc).alias("__pk"), F.coalesce(live, F.lit(False)).alias("__live"))
+        parent = m[p].select(F.col(pc).alias("__pk"), F.coalesce(live_of[p], F.lit(False)).alias("__live"))
         parent = parent.groupBy("__pk").agg(F.max("__live").alias("__live"))
         # children are counted per key first (a hot key is combined map-side)
-        child = m[c].groupBy(fc).agg(F.count(F.lit(1)).alias("__n"))
+        child = (made[c] if c in MADE else m[c]).groupBy(fc).agg(F.count(F.lit(1)).alias("__n"))
         j = child.join(parent, child[fc] == parent["__pk"], "left")
         part = j.agg(F.coalesce(F.sum(F.when(F.col("__pk").isNull(), F.col("__n"))), F.lit(0)).cast("long").alias("orphan_rows"),
                      F.coalesce(F.sum(F.when(~F.coalesce("__live", F.lit(False)), F.col("__n"))), F.lit(0)).cast("long")
@@ -887,12 +905,24 @@ def _history(m):
                          dt.datetime(2001, 7, 31), dt.datetime(2001, 8, 1))
 
 
-@register("read_as_of", with_tables("px_customers") + """
-SELECT customer_id, email FROM px_customers""")
+#: Times the history is read at: before it begins, in its first hour, just before and at the erasure, later.
+READ_TIMES = ["2001-07-30 23:59:59", "2001-07-31 01:00:00", "2001-07-31 23:59:59", "2001-08-01 00:00:00", "2001-08-02 00:00:00"]
+
+
+@register("read_as_of", _plan_with() + f"""
+SELECT t.ts AS read_at, c.customer_id, c.email
+FROM px_customers c, (VALUES {', '.join(f"('{t}')" for t in READ_TIMES)}) AS t(ts)
+WHERE t.ts >= '2001-07-31 00:00:00'
+  AND (t.ts < '2001-08-01 00:00:00' OR NOT coalesce(c.email IN (SELECT customer_email FROM erase), FALSE))""")
 def read_as_of(m):
-    """Customers as they were an hour after the history begins: all of them."""
-    import datetime as dt
-    return X.valid_at(_history(m), dt.datetime(2001, 7, 31, 1, 0))
+    """Customers as they were at several times: none before the history begins, all until
+    the erasure, those left from that very moment on."""
+    history = materialize(_history(m), "history")
+    parts = [X.valid_at(history, t).select(F.lit(t).alias("read_at"), "customer_id", "email") for t in READ_TIMES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @register("asof_snapshot", _plan_with() + """

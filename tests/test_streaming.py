@@ -88,3 +88,43 @@ def test_stream_audit_daily_sketch_is_close_to_exact(spark, model):
         a = approx[k]
         assert a.event_count == e.event_count
         assert abs(a.unique_customers - e.unique_customers) <= max(1, 0.05 * e.unique_customers)
+
+
+def test_sketches_of_late_batches_are_united(spark):
+    """Batches in any order, one of them days late: counts are exact, distinct counts within 5 %."""
+    import datetime as dt
+    day = dt.datetime(2024, 1, 1)
+    rows = [(day + dt.timedelta(hours=i % 72), "LOGIN" if i % 3 else "EXPORT", f"u{i % 700}" if i % 10 else None, f"a{i % 5}")
+            for i in range(6000)]
+    batches = [rows[i::4] for i in (2, 0, 3, 1)]
+    schema = "event_timestamp timestamp, event_type string, customer_email string, user_name string"
+    stored = None
+    for b in batches:
+        part = S.audit_day_sketches(spark.createDataFrame(b, schema))
+        stored = part if stored is None else stored.unionByName(part)
+    got = {(r["audit_date"], r["event_type"]): r for r in S.audit_days(stored).collect()}
+    want = {}
+    for at, kind, who, user in rows:
+        w = want.setdefault((at.date(), kind), [0, set(), set(), at, at])
+        w[0] += 1
+        w[1].update({who} - {None})
+        w[2].add(user)
+        w[3], w[4] = min(w[3], at), max(w[4], at)
+    assert got.keys() == want.keys()
+    for k, (n, customers, users, first, last) in want.items():
+        assert (got[k]["event_count"], got[k]["unique_users"], got[k]["first_event"], got[k]["last_event"]) == (n, len(users), first, last)
+        assert abs(got[k]["unique_customers"] - len(customers)) <= max(1, 0.05 * len(customers))
+
+
+def test_registered_stream_summary_is_close_to_exact(spark, model):
+    from pyspark.sql import functions as F
+
+    from lethe.registry.q_streaming import _activity_stream
+    _, audit = _activity_stream(model)
+    got = {(r["audit_date"], r["event_type"]): r for r in S.audit_days(S.run_batches(audit, "t_sketches", S.audit_day_sketches)).collect()}
+    exact = model["gdpr_audit_log"].groupBy(F.to_date("event_timestamp").alias("d"), "event_type").agg(
+        F.count_distinct("customer_email").alias("c"), F.count_distinct("user_name").alias("u")).collect()
+    assert len(got) == len(exact)
+    for r in exact:
+        for sketch, n in ((got[r["d"], r["event_type"]]["unique_customers"], r["c"]), (got[r["d"], r["event_type"]]["unique_users"], r["u"])):
+            assert abs(sketch - n) <= max(1, 0.05 * n)
