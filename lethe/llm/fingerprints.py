@@ -221,5 +221,6 @@ def fingerprint_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def op6_fingerprints(docs: DataFrame) -> DataFrame:
+    """Fingerprints of every whole text of ``documents`` and of its edited text, and how alike they are (null texts are empty)."""
     return fingerprint_documents(docs).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                                               "near_edited", "near_next", "n_near")

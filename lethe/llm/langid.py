@@ -238,7 +238,10 @@ def predict(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a learnt language: not ``und``, and
-    with a code no longer than its plain bytes and SLACK_BITS.  No row moves."""
+    with a code no longer than its plain bytes and SLACK_BITS.  No row moves.
+
+    Null and empty texts are ``und`` and go; where no row has a lang nothing is learnt, so
+    every text goes; an empty table stays empty."""
     predictor = _predictor(docs)
 
     @F.pandas_udf("boolean")
@@ -253,4 +256,5 @@ def keep_known(docs: DataFrame) -> DataFrame:
 
 
 def op4_langid(docs: DataFrame) -> DataFrame:
+    """The language of every whole text of ``documents``; ``predict`` says what null, empty and repeated texts give."""
     return predict(docs)

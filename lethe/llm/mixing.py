@@ -83,7 +83,9 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = M
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
     """``docs`` with every row emitted as often as the mix takes it (columns unchanged).
 
-    Texts are not moved unless the table of sources is too large to broadcast.
+    Texts are not moved unless the table of sources is too large to broadcast.  Null and
+    empty texts have no words and are taken as often as their source's others; in a source
+    without a word nothing is taken; an empty table stays empty.
     """
     sized = with_source_key(pick(docs, "source", "text").select("source", words(F.col("text")).alias("size")))
     r = materialize(rates(sized.drop("source"), weights, max_rate), "mix-rates").select("src_null", "src", "rate")
@@ -94,6 +96,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX
 
 
 def op5_mixing(docs: DataFrame) -> DataFrame:
+    """Size, target and words taken of every row of ``documents``; ``taken`` says what nulls and empty sources give."""
     return taken(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 

@@ -204,4 +204,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op9_pii(docs: DataFrame) -> DataFrame:
+    """Spans of personal data in every whole text of ``documents`` (null texts are empty), the base kinds digested."""
     return scan(docs)

@@ -85,6 +85,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
 
 
 def op1_sharding(docs: DataFrame) -> DataFrame:
+    """Every row of ``documents`` in one of 24 shards, equal texts together (null and empty texts are groups too)."""
     return assign_shards(docs, 24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
         "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -245,4 +245,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 
 def op3_simhash_dedup(docs: DataFrame) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; ``near_duplicates`` says what nulls and repeated rows give."""
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -390,4 +390,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op7_substring_dedup(docs: DataFrame) -> DataFrame:
+    """Words of every text of ``documents`` that an earlier window of 20 words covers, and what is left (null texts have none)."""
     return remove_repeats(docs).drop("kept")
