@@ -5,14 +5,16 @@ Each language has a context tree of the bytes that follow every run of up to
 code length of a byte after a context is a fixed number: found in the longest
 known context or, after an escape from it (method C: as many escapes as distinct
 followers, with the followers already ruled out excluded), in shorter ones, down
-to a uniform byte.  Those lengths are laid out as one array over (context, byte,
-language); a text's exact code length under every language is then a sum of
-array rows, and the language of the shortest code wins.
+to a uniform byte.  A tree is kept as sorted arrays of the contexts and followers
+the language really has, all of them, so a model grows with its sample and with
+the number of languages only.  The distinct runs of four bytes in a group of texts
+are looked up once a language; a text's exact code length under every language is
+then a sum of their lengths, and the language of the shortest code wins.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,9 +31,9 @@ ORDER = 3
 SAMPLE_DOCS = 300
 SAMPLE_BYTES = 32_768
 SAMPLE_PIECES = 32
-#: Contexts of the longest order kept, over all languages: every language's most frequent ones
-#: in turn, so that each keeps at least its share by number of languages.
-MAX_CONTEXTS = 20_000
+#: Texts are scored in pieces of so many bytes, pieces in groups of so many bytes times languages.
+PIECE = 1 << 18
+GROUP = 1 << 22
 UNDETERMINED = "und"
 #: Neighbouring bytes are no independent evidence: bits of difference that count as one.
 BITS_PER_BIT = 16.0
@@ -83,109 +85,119 @@ def sample(docs: DataFrame) -> list[tuple[str, list[bytes]]]:
     return sorted((k, sorted(v)) for k, v in texts.items())
 
 
-class Model:
-    """Code lengths in bits over (context, byte class, language), and the contexts' numbers.
+def _runs(data: bytes) -> np.ndarray:
+    """Every run of ORDER + 1 bytes, as a number whose lowest byte is the last one."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint32)
+    return (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``wanted`` is in the sorted ``keys``, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class Tree:
+    """One language's frozen contexts of up to ORDER bytes and the bytes that follow them.
 
-    Bytes that no language has seen are coded alike everywhere and share a class.
+    A context's followers also follow its suffix, so what an exclusion takes from the
+    suffix's total is one number a context: ``down`` holds the bits of that total's
+    share, ``escape`` those of leaving it (none where no follower is left).
     """
 
-    def __init__(self, langs: list[str], contexts: dict[bytes, int], lengths: np.ndarray, classes: np.ndarray):
-        self.langs, self.contexts, self.lengths, self.classes = langs, contexts, lengths, classes
-        self._table: np.ndarray | None = None
-
-    def table(self) -> np.ndarray:
-        """The number of the longest known context, by the last three bytes."""
-        if self._table is None:
-            by_order: list[list[tuple[bytes, int]]] = [[] for _ in range(ORDER + 1)]
-            for c, i in self.contexts.items():
-                by_order[len(c)].append((c, i))
-            t = np.zeros((256, 256, 256), np.uint16 if len(self.contexts) < 1 << 16 else np.int32)
-            for c, i in by_order[1]:
-                t[:, :, c[0]] = i
-            for c, i in by_order[2]:
-                t[:, c[0], c[1]] = i
-            for c, i in by_order[3]:
-                t[c[0], c[1], c[2]] = i
-            self._table = t.reshape(-1)
-        return self._table
+    def __init__(self, docs: list[bytes]):
+        runs = [_runs(_PAD + t) for t in docs if t]
+        run, n = np.unique(np.concatenate(runs), return_counts=True) if runs else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.grams, self.contexts, self.counts = [], [], []  # by order: sorted keys, bits of the counts
+        self.start, self.leave, self.down, self.escape = [], [], [], []  # by order: bits a context
+        shorter = None
+        for k in range(ORDER + 1):
+            gram, at = np.unique(run & np.uint32(256 ** (k + 1) - 1), return_inverse=True)
+            count = np.bincount(at, n, len(gram))
+            context, first, kinds = np.unique(gram >> np.uint32(8), return_index=True, return_counts=True)
+            total = np.add.reduceat(count, first) if len(gram) else np.zeros(0)
+            down, escape = np.zeros(len(context)), np.zeros(len(context))
+            if k and len(gram):
+                above, above_count, above_context, above_total, above_kinds = shorter
+                ruled_out = np.add.reduceat(above_count[_find(above, gram & np.uint32(256 ** k - 1))[0]], first)
+                suffix = _find(above_context, context & np.uint32(256 ** (k - 1) - 1))[0]
+                left = above_kinds[suffix] - kinds
+                share = above_total[suffix] - ruled_out + left
+                some = left > 0
+                down[some] = np.log2(share[some])
+                escape[some] = down[some] - np.log2(left[some])
+            self.grams.append(gram)
+            self.contexts.append(context)
+            self.counts.append(np.log2(count).astype(np.float32))
+            self.start.append(np.log2(total + kinds).astype(np.float32))
+            self.leave.append((np.log2(total + kinds) - np.log2(kinds)).astype(np.float32))
+            self.down.append(down.astype(np.float32))
+            self.escape.append(escape.astype(np.float32))
+            shorter = gram, count, context, total, kinds
+        self.unmet = float(np.log2(256 - len(self.grams[0]))) if len(self.grams[0]) < 256 else 0.0
+
+    def nbytes(self) -> int:
+        return sum(a.nbytes for part in vars(self).values() if isinstance(part, list) for a in part)
+
+    def lengths(self, run: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of every run, after the bytes before it."""
+        bits = np.zeros(len(run), np.float32)
+        open_, longer = np.arange(len(run)), np.full(len(run), -1)  # still without a code; their context one byte longer
+        for k in range(ORDER, -1, -1):
+            r = run[open_]
+            context, known = _find(self.contexts[k], (r >> np.uint32(8)) & np.uint32(256 ** k - 1))
+            gram, hit = _find(self.grams[k], r & np.uint32(256 ** (k + 1) - 1))
+            came = longer >= 0
+            start, leave = np.zeros(len(r), np.float32), np.zeros(len(r), np.float32)
+            fresh = known & ~came
+            start[fresh], leave[fresh] = self.start[k][context[fresh]], self.leave[k][context[fresh]]
+            if came.any():
+                start[came], leave[came] = self.down[k + 1][longer[came]], self.escape[k + 1][longer[came]]
+            bits[open_[hit]] += start[hit] - self.counts[k][gram[hit]]
+            miss = ~hit
+            bits[open_[miss]] += leave[miss]
+            longer = np.where(known, context, -1)[miss]
+            open_ = open_[miss]
+        bits[open_] += np.float32(self.unmet)
+        return bits
+
+
+class Model:
+    """The trees of all languages, in order of their names."""
+
+    def __init__(self, langs: list[str], trees: list[Tree]):
+        self.langs, self.trees = langs, trees
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of every text under every language."""
-        out = np.empty((len(texts), len(self.langs)))
+        """Bits of every text under every language; a piece's sum does not depend on its group."""
+        out = np.zeros((len(texts), len(self.langs)))
         if not out.size:
             return out
-        table, flat, width = self.table(), self.lengths.reshape(-1, len(self.langs)), self.lengths.shape[1]
+        held, size = [], 0
         for i, t in enumerate(texts):
-            total = np.zeros(len(self.langs))
-            for at in range(0, len(t), 1 << 20):  # long texts in pieces, each after the bytes before it
-                piece = (_PAD + t[: 1 << 20]) if at == 0 else t[at - ORDER: at + (1 << 20)]
-                b = np.frombuffer(piece, np.uint8).astype(np.int32)
-                known = table[(b[:-3] << 16) | (b[1:-2] << 8) | b[2:-1]]
-                total += flat[known.astype(np.int64) * width + self.classes[b[3:]]].sum(axis=0, dtype=np.float64)
-            out[i] = total
+            for at in range(0, len(t), PIECE):  # long texts in pieces, each after the bytes before it
+                run = _runs(_PAD + t[:PIECE] if at == 0 else t[at - ORDER: at + PIECE])
+                held.append((i, run))
+                size += len(run)
+                if size * len(self.langs) >= GROUP:
+                    self._add(held, out)
+                    held, size = [], 0
+        if held:
+            self._add(held, out)
         return out
 
+    def _add(self, held: list[tuple[int, np.ndarray]], out: np.ndarray) -> None:
+        distinct = np.unique(np.concatenate([run for _, run in held]))
+        bits = np.stack([tree.lengths(distinct) for tree in self.trees], axis=1)
+        for i, run in held:
+            out[i] += bits[np.searchsorted(distinct, run)].sum(axis=0, dtype=np.float64)
+
 
 def learn(texts: list[tuple[str, list[bytes]]]) -> Model:
-    """Freeze the statistics of every language and lay their code lengths out."""
-    langs = [k for k, _ in texts]
-    stats: list[list[dict[bytes, Counter]]] = []
-    turn: dict[bytes, int] = {}  # a context's best place by frequency in any language
-    for _, docs in texts:
-        grams: Counter = Counter()
-        for t in docs:
-            t = _PAD + t
-            grams.update(zip(t, t[1:], t[2:], t[3:]))
-        follow: list[dict[bytes, Counter]] = [defaultdict(Counter) for _ in range(ORDER + 1)]
-        for g, n in grams.items():
-            g = bytes(g)
-            for k in range(ORDER + 1):
-                follow[k][g[ORDER - k:ORDER]][g[ORDER]] += n
-        by_count = sorted(follow[ORDER].items(), key=lambda x: (-sum(x[1].values()), x[0]))
-        for i, (c, _) in enumerate(by_count):
-            turn[c] = min(i, turn.get(c, i))
-        stats.append(follow)
-    keep = set(sorted(turn, key=lambda c: (turn[c], c))[:MAX_CONTEXTS])
-    names = {b""} | keep
-    for follow in stats:
-        for k in range(1, ORDER):
-            names |= set(follow[k])
-    contexts = {c: i for i, c in enumerate(sorted(names, key=lambda c: (len(c), c)))}
-    met = sorted({b for follow in stats for b in follow[0][b""]})
-    unmet = sorted(set(range(256)) - set(met))
-    shown = met + unmet[:1]  # one stands for all bytes that were never met
-    classes = np.full(256, len(met), np.int64)
-    classes[met] = np.arange(len(met))
-    lengths = np.empty((len(contexts), len(shown), len(langs)), np.float32)
-    for at, follow in enumerate(stats):
-        for c, i in contexts.items():
-            lengths[i, :, at] = _lengths(c, follow)[shown]
-    return Model(langs, contexts, lengths, classes)
-
-
-def _lengths(context: bytes, follow: list[dict[bytes, Counter]]) -> np.ndarray:
-    """Bits of each byte after ``context`` by escaping to ever shorter contexts."""
-    bits = np.zeros(256)
-    ruled_out = np.zeros(256, bool)
-    spent = 0.0
-    for k in range(len(context), -1, -1):
-        f = follow[k].get(context[len(context) - k:])
-        if not f:
-            continue
-        symbols = np.fromiter(f.keys(), np.int64, len(f))
-        counts = np.fromiter(f.values(), np.float64, len(f))
-        new = ~ruled_out[symbols]
-        symbols, counts = symbols[new], counts[new]
-        if not len(symbols):
-            continue
-        total = counts.sum() + len(symbols)
-        bits[symbols] = spent - np.log2(counts / total)
-        spent -= np.log2(len(symbols) / total)
-        ruled_out[symbols] = True
-    rest = int((~ruled_out).sum())
-    if rest:
-        bits[~ruled_out] = spent + np.log2(rest)
-    return bits
+    """Freeze the statistics of every language."""
+    return Model([k for k, _ in texts], [Tree(docs) for _, docs in texts])
 
 
 #: A text whose shortest code is longer than its plain bytes, and that by more than
@@ -196,17 +208,16 @@ SLACK_BITS = 64.0
 def _predictor(docs: DataFrame) -> Callable[[], Callable[[list], tuple[list, list, list]]]:
     """Learn from ``docs``; the result, run once in a task, gives texts' languages, scores and bits a byte."""
     learnt = learn(sample(docs))
-    packed = docs.sparkSession.sparkContext.broadcast((learnt.langs, learnt.contexts, learnt.lengths, learnt.classes))  # bounded by MAX_CONTEXTS and the languages
+    packed = docs.sparkSession.sparkContext.broadcast(learnt)  # at most SAMPLE_DOCS x SAMPLE_BYTES runs a language
 
     def start() -> Callable:
-        model = Model(*packed.value)
+        model = packed.value
 
         def run(texts: list) -> tuple[list, list, list]:
             has = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.langs else []
             pred, scores, rate = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            for i in has:  # one text at a time: no second copy of the batch
-                t = texts[i].encode()
-                b = model.code_lengths([t])[0]
+            coded = [texts[i].encode() for i in has]
+            for i, t, b in zip(has, coded, model.code_lengths(coded)):
                 best = int(b.argmin())
                 pred[i] = model.langs[best]
                 scores[i] = float(1.0 / np.exp2((b[best] - b) / BITS_PER_BIT).sum())

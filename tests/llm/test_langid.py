@@ -89,9 +89,10 @@ def test_keep_known(make_docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [*range(60), 103]
 
 
-def test_least_contexts_still_code_every_byte():
-    lengths = langid._lengths(b"abc", [defaultdict(Counter) for _ in range(4)])
-    assert lengths == pytest.approx(np.full(256, 8.0))
+def test_a_language_without_statistics_codes_every_byte_in_eight_bits():
+    model = langid.learn([("aa", []), ("bb", [bytes(range(256)) * 2])])
+    assert model.code_lengths([b"abc"])[0][0] == pytest.approx(24.0)
+    assert np.isfinite(model.code_lengths([bytes(range(256))[::-1]])).all()
 
 
 def test_a_language_of_long_texts_alone_is_learnt(make_docs):
@@ -117,11 +118,35 @@ def test_pieces_of_a_long_text_are_spread_over_the_whole(make_docs):
     assert langid.sample(make_docs([(0, whole, "de", "s")])) == [("de", [whole.encode()])]
 
 
-def test_a_language_of_few_texts_keeps_its_contexts(monkeypatch):
-    monkeypatch.setattr(langid, "MAX_CONTEXTS", 40)
+def test_random_code_lengths_are_exact():
+    rng = np.random.default_rng(5)
+    for kinds in (2, 5, 30, 256):
+        docs = [bytes(rng.integers(0, kinds, int(n)).astype(np.uint8)) for n in rng.integers(1, 300, 6)]
+        model = langid.learn([("aa", docs)])
+        for _ in range(10):
+            t = bytes(rng.integers(0, min(256, kinds + 2), 80).astype(np.uint8))
+            assert model.code_lengths([t])[0][0] == pytest.approx(partial_matching(t, docs), rel=1e-5, abs=1e-5)
+
+
+def test_every_context_of_every_language_is_kept():
     rng = np.random.default_rng(3)
-    large = [bytes(rng.integers(97, 107, 2000).tolist()) for _ in range(20)]
-    few = b"vwxyz" * 3
-    model = langid.learn([("aa", large), ("zz", [few])])
-    longest = {c for c in model.contexts if len(c) == 3}
-    assert len(longest) == 40 and {few[i:i + 3] for i in range(5)} <= longest
+    docs = {f"l{i:03d}": [bytes(rng.choice(rng.permutation(256)[:90], 20_000).astype(np.uint8))] for i in range(100)}
+    model = langid.learn(sorted(docs.items()))
+    for tree, (_, (t,)) in zip(model.trees, sorted(docs.items())):
+        padded = b"\n\n\n" + t
+        assert len(tree.contexts[3]) == len({padded[i:i + 3] for i in range(len(t))})
+    assert sum(tree.nbytes() for tree in model.trees) < 100 * 20_000 * 80  # in proportion to the sample
+    for lang in ("l000", "l050", "l099"):
+        assert model.langs[int(model.code_lengths([docs[lang][0][:300]])[0].argmin())] == lang
+
+
+def test_a_code_length_does_not_depend_on_its_group(monkeypatch):
+    rng = np.random.default_rng(7)
+    model = langid.learn([("aa", [b"abcabd" * 20]), ("bb", [b"xyzxyw" * 20])])
+    texts = [bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in (0, 1, 5, 700, 3000)]
+    monkeypatch.setattr(langid, "PIECE", 256)
+    together = model.code_lengths(texts)
+    monkeypatch.setattr(langid, "GROUP", 1)
+    assert (model.code_lengths(texts) == together).all()
+    monkeypatch.setattr(langid, "PIECE", 1 << 18)
+    assert model.code_lengths(texts) == pytest.approx(together)
