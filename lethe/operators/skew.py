@@ -21,20 +21,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom, maybe_in
 from .keyed import is_small, spread_nulls
 
 SALT_BUCKETS = 64  # sub-keys a key is dealt over
 
 
 def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, how: str,
-                buckets: int = SALT_BUCKETS, broadcast_max_rows: int | None = None) -> DataFrame:
+                buckets: int = SALT_BUCKETS, broadcast_max_rows: int | None = None,
+                bloom: Bloom | None = None) -> DataFrame:
     """``big`` joined to ``small`` on ``big_key == small_key`` with the keys
     of ``big`` salted.  ``how`` is ``left``, ``inner`` or ``left_anti``;
     the output has ``big``'s columns (plus ``small``'s unless anti).
 
     With ``broadcast_max_rows``, a ``small`` side within that bound (counted
     first) is broadcast instead: a map-side join has no reduce task for a hot
-    key to overload."""
+    key to overload.  ``bloom``, a filter of ``small``'s keys, keeps pairs (and
+    in an inner join rows) that it rules out from the shuffle."""
     cols = big.columns
     keep = cols if how == "left_anti" else cols + [c for c in small.columns if c not in cols]
     if broadcast_max_rows is not None and is_small(small, broadcast_max_rows):
@@ -48,7 +51,10 @@ def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
         return out.select(*[b[c] if c in cols else small[c] for c in keep])
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(buckets)).cast("int")
     b = big.withColumn("__probe", probe).withColumn("__salt", salt)
-    pairs = (b.where(F.col(big_key).isNotNull())
+    if how == "inner":
+        b = maybe_in(b, big_key, bloom)
+    pairs = b if how == "inner" else maybe_in(b, big_key, bloom)
+    pairs = (pairs.where(F.col(big_key).isNotNull())
              .select(F.col("__probe").alias("__pair"), F.col("__salt").alias("__pair_salt")).distinct())
     s = pairs.join(small, pairs["__pair"] == small[small_key].cast("string"), "inner")
     cond = (b["__probe"] == s["__pair"]) & (b["__salt"] == s["__pair_salt"])

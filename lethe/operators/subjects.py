@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom, build, maybe_in
 from .keyed import BROADCAST_MAX_ROWS, is_small
 from .skew import salted_join
 
@@ -72,6 +73,20 @@ def subject_side(subjects: DataFrame, alias: str, max_rows: int = BROADCAST_MAX_
     return (F.broadcast(s) if small else s), small
 
 
+def subject_bloom(subjects: DataFrame) -> Bloom | None:
+    """The Bloom filter of the subject keys; remembered on the DataFrame, so a
+    set shared by many tables is read once."""
+    memo = getattr(subjects, "_lethe_bloom", None)
+    if memo is not None:
+        return memo[0]
+    bloom = build(subjects, SUBJECT)
+    try:
+        subjects._lethe_bloom = (bloom,)
+    except AttributeError:
+        pass
+    return bloom
+
+
 def tag_rows(df: DataFrame, subjects: DataFrame, cols: list[str],
              max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``df`` plus ``__subjects``, the distinct subjects whose keys appear in
@@ -87,7 +102,7 @@ def tag_rows(df: DataFrame, subjects: DataFrame, cols: list[str],
         else:
             # shuffle join: NULL keys get a spread, non-matching probe key
             # and hot keys are salted over several tasks (see operators.skew)
-            out = salted_join(out, side, c, alias, "left")
+            out = salted_join(out, side, c, alias, "left", bloom=subject_bloom(subjects))
         hits.append(F.col(alias))
     found = (F.array_distinct(F.array_compact(F.array(*hits))) if hits
              else F.array().cast("array<string>"))
@@ -105,6 +120,7 @@ def count_matches(long: DataFrame, value_col: str, subjects: DataFrame, group: l
         j = v.join(side, v[value_col] == side["__subject"], "inner")
         return (j.groupBy(F.col("__subject").alias(SUBJECT), *group)
                 .agg(F.count(F.lit(1)).alias(name)))
+    v = maybe_in(v, value_col, subject_bloom(subjects))
     pre = v.groupBy(*group, value_col).agg(F.count(F.lit(1)).alias(name))
     j = pre.join(side, pre[value_col] == side["__subject"], "inner")
     return j.select(F.col("__subject").alias(SUBJECT), *group, name)

@@ -70,6 +70,13 @@ def discover_subjects(m):
     return observed(m)
 
 
+@register("discover_subjects_large", _disc_with() + "SELECT * FROM discovered")
+def discover_subjects_large(m):
+    """Discovery as for a subject set too large to broadcast: a Bloom filter of the
+    keys before the shuffle, then the join on what passes."""
+    return D.discover_subjects(m, subjects(m), mode="observed", max_broadcast_rows=0)
+
+
 _CATALOG_VALUES = ",\n".join(
     f"('{r[0]}', '{r[1]}', '{r[2]}', '{r[3]}')"
     for r in D.declared_catalog_rows(list(DERIVED)))
