@@ -17,12 +17,13 @@ whole DataFrame of subjects:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify as C
 from ..operators.keyed import BROADCAST_MAX_ROWS, broadcast_if_small
+from ..operators.leaves import json_leaves
 from ..operators.skew import salted_join
 from ..operators.subjects import count_matches, prefilter
 
@@ -217,6 +218,15 @@ def distinct_tables(discovered: DataFrame) -> DataFrame:
 SCAN_PATTERNS = {"email": C.EMAIL_RE, "ssn": C.SSN_RE, "phone": C.PHONE_RE, "date": C.DATE_RE}
 
 
+def _pattern_hits(v: Column) -> list[Column]:
+    """Per pattern, how many values have a partial match."""
+    hits = {
+        "email": F.when(F.instr(v, "@") > 0, v.rlike(C.EMAIL_RE)).otherwise(F.lit(False)),
+        "ssn": v.rlike(C.SSN_RE), "phone": v.rlike(C.PHONE_RE), "date": v.rlike(C.DATE_RE),
+    }
+    return [F.count(F.when(h, 1)).alias(f"{k}_hits") for k, h in hits.items()]
+
+
 def pii_scan(tables: dict[str, DataFrame], text_columns: dict[str, list[str]]) -> DataFrame:
     """Per (table, column): rows scanned and rows with a partial match of
     each personal-data pattern, plus the share of e-mail hits.  One pass per
@@ -228,20 +238,29 @@ def pii_scan(tables: dict[str, DataFrame], text_columns: dict[str, list[str]]) -
             n=len(cols), args=", ".join(f"'{c}', cast(`{c}` as string)" for c in cols))
         long = df.select(*cols).selectExpr(stack)
         v = F.col("v")
-        hits = {
-            "email": F.when(F.instr(v, "@") > 0, v.rlike(C.EMAIL_RE)).otherwise(F.lit(False)),
-            "ssn": v.rlike(C.SSN_RE), "phone": v.rlike(C.PHONE_RE), "date": v.rlike(C.DATE_RE),
-        }
-        agg = long.groupBy("column_name").agg(
-            F.count(F.lit(1)).alias("rows_scanned"),
-            F.count(v).alias("non_null"),
-            *[F.count(F.when(h, 1)).alias(f"{k}_hits") for k, h in hits.items()])
+        agg = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("rows_scanned"), F.count(v).alias("non_null"),
+                                              *_pattern_hits(v))
         parts.append(agg.select(F.lit(name).alias("table_name"), "*"))
     out = _union(parts)
     return out.withColumn("email_share",
                           F.round(F.col("email_hits") / F.greatest(F.col("rows_scanned"), F.lit(1)), 6))
 
 
+def pii_scan_leaves(tables: dict[str, DataFrame], json_columns: dict[str, list[str]]) -> DataFrame:
+    """``pii_scan`` inside semi-structured columns: per (table, column, path)
+    the leaves, those not null, those with a partial match of each pattern,
+    and the share of e-mail hits.  One walk and one aggregate for all columns."""
+    parts = []
+    for name, cols in json_columns.items():
+        for c in cols:
+            leaves = json_leaves(tables[name], c)
+            parts.append(leaves.select(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), "path", "leaf"))
+    leaf = F.col("leaf")
+    out = _union(parts).groupBy("table_name", "column_name", "path").agg(
+        F.count(F.lit(1)).alias("leaves"), F.count(leaf).alias("non_null"), *_pattern_hits(leaf))
+    return out.withColumn("email_share", F.round(F.col("email_hits") / F.greatest(F.col("leaves"), F.lit(1)), 6))
+
+
 REDACTIONS = [("email", C.EMAIL_RE, "[EMAIL]"), ("ssn", C.SSN_RE, "[SSN]"),
               ("phone", C.PHONE_RE, "[PHONE]")]
 

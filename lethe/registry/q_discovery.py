@@ -215,6 +215,33 @@ def pii_scan(m):
     return D.pii_scan({n: t[n] for n in SCAN_TEXT}, SCAN_TEXT)
 
 
+#: Every column of JSON text of the input tables and of the tables reached along a key.
+SCAN_JSON = {"events": ["props"], "user_preferences": ["preference_value"], "customer_ml_features": ["features"]}
+
+
+@register("pii_scan_leaves", f"""
+WITH texts AS (
+  SELECT 'events' AS table_name, 'props' AS column_name, props AS t FROM events
+  UNION ALL SELECT 'user_preferences', 'preference_value', '{{"segment": "' || c_mktsegment || '"}}' FROM customer
+  UNION ALL SELECT 'customer_ml_features', 'features', '{{"balance": ' || CAST(CAST(round(c_acctbal) AS BIGINT) AS VARCHAR)
+                   || ', "segment": "' || c_mktsegment || '"}}' FROM customer),
+leaves AS (
+  SELECT table_name, column_name, regexp_replace(j.fullkey, '\\[[0-9]+\\]', '[*]', 'g') AS path,
+         json_extract_string(j.atom, '$') AS leaf
+  FROM texts, json_tree(texts.t) AS j WHERE j.type NOT IN ('OBJECT', 'ARRAY'))
+SELECT table_name, column_name, path, count(*) AS leaves, count(leaf) AS non_null,
+       count(*) FILTER (WHERE regexp_matches(leaf, '{EMAIL_SQL}')) AS email_hits,
+       count(*) FILTER (WHERE regexp_matches(leaf, '{SSN_SQL}')) AS ssn_hits,
+       count(*) FILTER (WHERE regexp_matches(leaf, '{PHONE_SQL}')) AS phone_hits,
+       count(*) FILTER (WHERE regexp_matches(leaf, '{DATE_SQL}')) AS date_hits,
+       round(count(*) FILTER (WHERE regexp_matches(leaf, '{EMAIL_SQL}')) / greatest(count(*), 1), 6) AS email_share
+FROM leaves GROUP BY ALL""")
+def pii_scan_leaves(m):
+    """Personal-data pattern hits inside every JSON column, by path."""
+    tables = {n: m.tables[n] if n in DRIVER_SCHEMAS else m[n] for n in SCAN_JSON}
+    return D.pii_scan_leaves(tables, SCAN_JSON)
+
+
 @register("pii_text_redact", f"""
 WITH s1 AS (SELECT doc_id, text AS t0,
                    len(regexp_extract_all(text, '{EMAIL_SQL}')) AS email_found,
