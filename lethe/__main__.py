@@ -6,6 +6,7 @@
     python -m lethe scenario  --data DIR --email a@x.org [--store PATH]
     python -m lethe dashboard --data DIR
     python -m lethe requests  --data DIR --limit 10
+    python -m lethe export    --data DIR --email a@x.org --out PATH
 
 ``--data`` is a folder of the driver tables (the compliance model is derived
 from it); ``--as-of`` replaces the current date.  Output is printed with
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="lethe")
     ap.add_argument("command", choices=["discover", "status", "request", "scenario", "dashboard",
-                                        "requests"])
+                                        "requests", "export"])
     ap.add_argument("--data", required=True)
     ap.add_argument("--email", default="")
     ap.add_argument("--reason", default="WITHDRAWN_CONSENT")
@@ -33,9 +34,12 @@ def main(argv=None) -> None:
     ap.add_argument("--store", default=None, help="folder that keeps the tables between runs (shared storage)")
     ap.add_argument("--rows", type=int, default=50, help="rows to print")
     ap.add_argument("--json", action="store_true", help="status as one JSON object per subject")
+    ap.add_argument("--out", default=None, help="new folder of the export's documents (shared storage)")
     a = ap.parse_args(argv)
+    if a.command == "export" and not a.out:
+        ap.error("export needs --out")
 
-    from .plans import discovery as D, reports as R, requests as Q, scenario as SC
+    from .plans import discovery as D, export as E, reports as R, requests as Q, scenario as SC
     from .session import build_session, release, scratch_mark
     from .sources.derived import ComplianceModel
     from .sources.state import StateFolder
@@ -62,6 +66,10 @@ def main(argv=None) -> None:
         elif a.command == "scenario":
             state = StateFolder(spark, a.store) if a.store else None
             out = SC.scenario_summary(SC.full_scenario(model, subjects, as_of, a.salt, state=state))
+        elif a.command == "export":
+            E.write_documents(E.export_documents(E.export_rows(model, subjects)), a.out)
+            out = (E.read_documents(spark, a.out).groupBy("customer_email", "table_name")
+                   .agg(F.sum("copies").alias("records")).orderBy("customer_email", "table_name"))
         elif a.command == "dashboard":
             out = R.dashboard(model["erasure_requests"], as_of)
         else:

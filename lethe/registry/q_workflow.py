@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..plans import discovery as D
 from ..plans import erasure as X
+from ..plans import export as E
 from ..plans import requests as Q
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources.derived import AS_OF, VALID_REASONS
 from ..sources.tables import DRIVER_SCHEMAS
 from .core import canon_sql, register
@@ -697,31 +698,6 @@ EXPORT_BY_ID = [("user_preferences", "preference_id"), ("retention_policies", "p
                 ("customer_ml_features", "feature_id")]
 
 
-def export(m, subj):
-    """Every row of the subjects as JSON, in every table that names them by
-    e-mail, customer id or (order items) order: customer_email, table_name,
-    row_id, record."""
-    def part(t, rows, row_id, table):
-        return rows.select(F.col("__who").alias("customer_email"), F.lit(table).alias("table_name"),
-                           F.col(row_id).alias("row_id"), F.to_json(F.struct(*[F.col(c) for c in t.columns])).alias("record"))
-    parts, tagged = [], {}
-    for name, row_id, _ in EXPORT:
-        t = m[name]
-        tagged[name] = X.tag_rows(t, subj).withColumn("__who", F.explode("__subjects"))
-        parts.append(part(t, tagged[name], row_id, name))
-    owners = tagged["customers"].select(F.col("customer_id").alias("__cid"), "__who")
-    for name, row_id in EXPORT_BY_ID:
-        t = m[name]
-        parts.append(part(t, t.join(owners, t["customer_id"] == F.col("__cid")), row_id, name))
-    placed = tagged["orders"].select(F.col("order_id").alias("__oid"), "__who")
-    items = m["order_items"]
-    parts.append(part(items, items.join(placed, items["order_id"] == F.col("__oid")), "order_item_id", "order_items"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 @register("export_subject", _plan_with(*OP_TABLES, "px_audit_log", "px_user_preferences", "px_customer_ml_features",
                                        "px_order_items") + "\nUNION ALL\n".join(
     [f"SELECT {c} AS customer_email, '{t}' AS table_name, {i} AS row_id FROM {PX.get(t, f'px_{t}')} "
@@ -732,8 +708,43 @@ def export(m, subj):
        "WHERE o.customer_email IN (SELECT customer_email FROM erase)"]))
 def export_subject(m):
     """Every row of each approved subject in all eleven tables (the data
-    export an access request asks for; ``export`` adds each row as JSON)."""
-    return export(m, erase_set(m)).select("customer_email", "table_name", "row_id")
+    export an access request asks for)."""
+    return E.export_rows(m, erase_set(m)).select("customer_email", "table_name", "row_id")
+
+
+#: Fields of the exported records that are compared, as SQL on the derived tables and as JSON fields of the same names.
+EXPORT_FIELDS = {"customers": ["first_name", "last_name", "phone_number", "address_line1", "city", "lawful_basis"],
+                 "orders": ["customer_id", "payment_method", "order_status", "billing_address"],
+                 "support_tickets": ["customer_id", "subject", "description"],
+                 "user_activities": ["customer_id", "session_id", "page_url", "ip_address", "event_properties", "pseudonym_id"],
+                 "marketing_interactions": ["customer_id", "campaign_name", "interaction_type", "channel"],
+                 "erasure_requests": ["customer_id", "erasure_reason", "status"],
+                 "gdpr_audit_log": ["customer_id", "event_type", "user_name"],
+                 "user_preferences": ["customer_id"], "retention_policies": ["customer_id"],
+                 "customer_ml_features": ["customer_id"], "order_items": ["order_id"]}
+
+
+def _fields_sql(table, alias):
+    return " || '|' || ".join(f"coalesce({alias}.{c}, '')" for c in EXPORT_FIELDS[table])
+
+
+@register("export_documents", _plan_with(*OP_TABLES, "px_audit_log", "px_user_preferences", "px_customer_ml_features",
+                                         "px_order_items") + "\nUNION ALL\n".join(
+    [f"SELECT x.{c} AS customer_email, '{t}' AS table_name, x.{i} AS row_id, CAST(1 AS BIGINT) AS copies, {_fields_sql(t, 'x')} AS fields "
+     f"FROM {PX.get(t, f'px_{t}')} x WHERE x.{c} IN (SELECT customer_email FROM erase)" for t, i, c in EXPORT]
+    + [f"SELECT c.email, '{t}', x.{i}, 1, {_fields_sql(t, 'x')} FROM px_{t} x JOIN px_customers c USING (customer_id) "
+       f"WHERE c.email IN (SELECT customer_email FROM erase)" for t, i in EXPORT_BY_ID]
+    + [f"SELECT o.customer_email, 'order_items', x.order_item_id, 1, {_fields_sql('order_items', 'x')} FROM px_order_items x "
+       "JOIN px_orders o USING (order_id) WHERE o.customer_email IN (SELECT customer_email FROM erase)"]))
+def export_documents(m):
+    """The records inside the written JSON documents of all approved subjects, read back
+    (one document a subject, several numbered ones for a large one), with their fields."""
+    path = scratch_path(m.spark, "export")
+    E.write_documents(E.export_documents(E.export_rows(m, erase_set(m))), path)
+    fields = F.create_map(*[x for t, cols in EXPORT_FIELDS.items() for x in (F.lit(t), F.concat_ws(
+        "|", *[F.coalesce(F.get_json_object("record", f"$.{c}"), F.lit("")) for c in cols]))])
+    return E.read_documents(m.spark, path).select("customer_email", "table_name", "row_id", "copies",
+                                                  F.element_at(fields, F.col("table_name")).alias("fields"))
 
 
 # --- end to end -----------------------------------------------------------------
