@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..sources import derived
 from ..streaming import operators as S
+from ..streaming.erasures import suppress_live
 from .core import canon_sql, register
 from .oracle_base import with_tables
 from .q_views import NOT_IN_COMPLETED
 
 
-def _activity_stream(m):
+def _activity_stream(m, max_files=1):
     """Activities derived from the events file stream (stream-static join
     with the customer dimension)."""
     class _Streamed:
@@ -20,7 +23,7 @@ def _activity_stream(m):
 
         def __getitem__(self, name):
             if name == "events":
-                return S.read_stream(self.model.spark, self.model.sf_dir, "events")
+                return S.read_stream(self.model.spark, self.model.sf_dir, "events", max_files)
             return self.model.tables[name]
     return derived.user_activities(_Streamed(m)), derived.gdpr_audit_log(_Streamed(m))
 
@@ -62,3 +65,22 @@ def stream_audit_daily_exact(m):
     customer, user), a batch aggregate adds the levels up."""
     _, audit = _activity_stream(m)
     return S.audit_daily_exact(S.run_to_table(S.audit_daily_counts(audit), "stream_audit_exact"))
+
+
+#: Every eleventh audit event with an e-mail stands for a completed erasure, as requests date from other years.
+COMPLETION_SQL = """SELECT customer_email, event_timestamp AS completed_at FROM px_audit_log
+WHERE CAST(substr(audit_id, 5) AS BIGINT) % 11 = 0 AND customer_email IS NOT NULL"""
+
+
+@register("stream_suppress_live", with_tables("px_user_activities", "px_audit_log", completions=COMPLETION_SQL) + """
+SELECT a.event_id, a.user_email FROM px_user_activities a
+WHERE NOT EXISTS (SELECT 1 FROM completions c WHERE c.customer_email = a.user_email
+                  AND c.completed_at <= a.event_timestamp AND a.event_timestamp < c.completed_at + INTERVAL 7 DAY)""")
+def stream_suppress_live(m):
+    """Streaming activities without those of seven days from an erasure of their subject on, the
+    erasures being a stream too.  All files are one micro-batch: later ones are tested."""
+    acts, audit = _activity_stream(m, 1_000_000)
+    done = audit.where(F.substring("audit_id", 5, 30).cast("long") % 11 == 0).select("customer_email", "event_timestamp")
+    kept, _ = suppress_live(acts.select("event_id", "user_email", "event_timestamp"), "user_email", "event_timestamp",
+                            done, "customer_email", "event_timestamp", dt.timedelta(days=7), dt.timedelta(days=1))
+    return kept.select("event_id", "user_email")

@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas",
             "MapInPandas", "MapInArrow")
 CARTESIAN = ("CartesianProduct", "BroadcastNestedLoopJoin")
-STREAMING = {"stream_suppress", "stream_audit_daily", "stream_audit_daily_exact"}
+STREAMING = {"stream_suppress", "stream_audit_daily", "stream_audit_daily_exact", "stream_suppress_live"}
 
 
 def _plan(df):
