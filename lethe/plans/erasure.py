@@ -24,7 +24,7 @@ from ..operators import subjects as S
 from ..operators.keyed import BROADCAST_MAX_ROWS, count_if, is_small
 from ..operators.skew import salted_join
 from ..session import materialize as write_and_read
-from ..sources.state import LOG, NEXT, PART
+from ..sources.state import LOG, NEXT, PART, StateFolder
 
 # Databases erasure may touch (the compliance database holds
 # the requests and the audit trail and is never erased from).
@@ -207,6 +207,39 @@ def write_erased(marked: DataFrame, columns: list[str], operation: str, salt: st
     return {"table": back.where(is_next).select(*columns), "log": log, "rows": seen.get}
 
 
+#: Columns that say whether a row is held.
+HOLD_COLUMNS = ["can_be_deleted", "legal_retention_until"]
+FILE = "__file"
+
+
+def rewrite_files(state: StateFolder, name: str, mark: Callable[[DataFrame], DataFrame], subjects: DataFrame,
+                  operation: str, salt: str, cols: list[str], key: str | None = None) -> dict:
+    """``write_erased`` of only those files of a kept table that hold a subject's row.
+
+    A first pass reads the e-mail, key and hold columns (few subjects are pushed into its scan)
+    and finds the files; their rows alone are read whole and written anew, and the commit puts
+    these in the files' place.  All other files keep their names and are not read again.  Returns
+    the same as ``write_erased`` (``table`` is the whole next table, ``rows`` counts what was
+    written) and ``files``, the replaced ones; without any, nothing is written."""
+    t = state.read(name, FILE)
+    columns = [c for c in t.columns if c != FILE]
+    schema = t.select(*columns).schema
+    need = [c for c in columns if c in {*cols, *HOLD_COLUMNS, key}]
+    mine = mark(S.prefilter(t.select(*need, FILE), cols, subjects)).where(F.col("__subject").isNotNull())
+    files = sorted(r[0] for r in mine.select(FILE).distinct().collect())
+    if not files:
+        log = state.spark.createDataFrame([], schema).withColumns({
+            "__subjects": F.array().cast("array<string>"), "__hit": F.lit(False), "__subject": F.lit(None).cast("string")})
+        return {"table": state.read(name), "log": log, "rows": {"rows_written": 0, "rows_affected": 0}, "files": files}
+    run, path = state.new_part(name)
+    done = write_erased(mark(state.read_files(name, files, schema)), columns, operation, salt, cols, path, key)
+    rest = sorted(set(state.files(name)) - set(files))
+    if rest:
+        done["table"] = state.read_files(name, rest, schema).unionByName(done["table"])
+    state.replace_files(name, run, files)
+    return {**done, "files": files}
+
+
 def mark_erased(df: DataFrame, subjects: DataFrame, as_of, since, at) -> DataFrame:
     """``df`` as a history: every row valid from ``since``, those an erasure at
     ``at`` removes valid until then (``valid_from``, ``valid_to``)."""
@@ -244,7 +277,7 @@ def erasure_targets(model, databases=None) -> list[tuple[str, str, str, str]]:
 
 
 def plan_erasure(model, subjects: DataFrame, as_of, salt: str, honour_row_holds: bool = True, databases=None,
-                 write: Callable[[str], str] | None = None) -> dict[str, dict]:
+                 write: Callable[[str], str] | None = None, state: StateFolder | None = None) -> dict[str, dict]:
     """For each erasable table: its next contents, per-subject counts, the rows concerned as
     they were (``log``), and status SUCCESS, SKIPPED (no way leads from a subject to the
     table) or FAILED (with the error).
@@ -253,13 +286,16 @@ def plan_erasure(model, subjects: DataFrame, as_of, salt: str, honour_row_holds:
     from the erased rows of a table reached before it.  With ``write`` (table name to
     folder) each table is written when its turn comes, and one that fails while its job
     runs is FAILED as well as one that cannot be planned; without it nothing is written
-    but the keys that lead to other tables."""
+    but the keys that lead to other tables.  Of a table that ``state`` keeps only the files
+    that hold a subject are written (``rewrite_files``)."""
     out: dict[str, dict] = {}
     parents = {p for _, _, p, _ in DECLARED_KEYS}
 
     def attempt(name: str, e: dict, df: DataFrame, cols: list[str], key: str | None, mark: Callable[[DataFrame], DataFrame]) -> None:
         columns, op = df.columns, e["operation"]
-        if write is not None:
+        if state is not None and state.has(name):
+            done = rewrite_files(state, name, mark, subjects, op, salt, cols, key)
+        elif write is not None:
             done = write_erased(mark(df), columns, op, salt, cols, write(name), key)
         else:
             ids = [c for c in columns if c.endswith("_id")]

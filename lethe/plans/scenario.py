@@ -62,7 +62,8 @@ def full_scenario(model, subjects: DataFrame, as_of: dt.date, salt: str,
                                              customers, as_of), "plan")
     to_erase = X.subjects_to_erase(out["plan"])
     planned = X.plan_erasure(model, to_erase, as_of, salt, databases=databases,
-                             write=state.next_path if state is not None else (lambda name: scratch_path(model.spark, f"next-{name}")))
+                             write=state.next_path if state is not None else (lambda name: scratch_path(model.spark, f"next-{name}")),
+                             state=state)
     # only tables the erasure rewrote change (failed and skipped ones stay)
     after = {name: e["table"] for name, e in planned.items() if e["status"] == "SUCCESS"}
     out["rows_by_table"] = {name: e["rows"] for name, e in planned.items() if e["status"] == "SUCCESS"}

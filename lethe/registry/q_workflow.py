@@ -204,6 +204,24 @@ def erase_delete(m):
     return out
 
 
+@register("erase_files", _plan_with(*[t[1] for t in DELETE_TABLES]) + "\nUNION ALL\n".join(
+    _kept_sql(px, idc, col, held) for _, px, idc, col, held in DELETE_TABLES))
+def erase_files(m):
+    """The same on kept tables, of which only the files that hold a subject are rewritten."""
+    from ..sources.state import StateFolder
+    state, subj, out = StateFolder(m.spark, scratch_path(m.spark, "files")), erase_set(m), None
+    for name, _, _, col, _ in DELETE_TABLES:  # kept in order of the e-mail: a subject's rows are in few files
+        state.stage(name, m[name].repartitionByRange(64, col))
+    state.commit([name for name, *_ in DELETE_TABLES])
+    for name, _, _, col, _ in DELETE_TABLES:
+        X.rewrite_files(state, name, lambda t, c=col: X.mark_rows(t, subj, "DELETE", AS_OF, cols=[c]), subj, "DELETE", "", [col])
+    state.commit()
+    for name, _, idc, _, _ in DELETE_TABLES:
+        part = state.read(name).select(F.lit(name).alias("table_name"), F.col(idc).alias("row_id"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _pseudo_sql(col):
     return f"'PSEUDONYM_' || sha256('{SALT}' || {col})"
 

@@ -7,17 +7,26 @@ list of what is to be done; from then on the run has happened, and whoever uses
 next completes it, as every step may be repeated.  A run that dies before leaves all tables
 as they were; ``begin`` clears what it staged.  All data are written by ordinary Spark jobs
 on shared storage.  The folder has one writer at a time.
+
+A run may also replace single files of a table (``new_part``, ``replace_files``): what the
+rows of some files become is staged as an addition, and the commit puts it in place and
+removes those files; all others keep their names and contents.  The driver and the commit's
+list hold one relative path for each replaced file, as Spark's own listing of a scan does.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders inside a table's: the part that is no table row (removed by ``commit``), and each run's additions.
 PART, NEXT, LOG, RUN = "part_of", "next", "log", "run_id"
+#: A data file's path within its table, at the end of its whole path.
+RELATIVE = f"/((?:(?:{PART}|{RUN})=[^/]+/)*[^/]+)$"
 
 
 class StateFolder:
@@ -25,6 +34,7 @@ class StateFolder:
         self.spark = spark
         self.root = root.rstrip("/")
         self.added: dict[str, str] = {}
+        self.replaced: dict[str, dict] = {}
 
     def _path(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -52,7 +62,7 @@ class StateFolder:
         """Complete a commit that has begun, and drop what a run that died before its commit left."""
         self.recover()
         self._delete("__staged")
-        self.added = {}
+        self.added, self.replaced = {}, {}
 
     def next_path(self, name: str) -> str:
         """Where the next contents of ``name`` are written before the commit."""
@@ -68,11 +78,21 @@ class StateFolder:
         run = self.added.setdefault(name, uuid.uuid4().hex)
         df.write.mode("overwrite").parquet(f"{self.root}/__staged/add/{name}/{RUN}={run}")
 
+    def new_part(self, name: str) -> tuple[str, str]:
+        """A run id and the folder in which rows that replace files of ``name`` are written."""
+        run = uuid.uuid4().hex
+        return run, f"{self.root}/__staged/add/{name}/{RUN}={run}"
+
+    def replace_files(self, name: str, run: str, files: list[str]) -> None:
+        """The commit puts the part ``run`` in the place of ``files`` (relative paths)."""
+        self.replaced[name] = {"run": run, "files": files}
+
     # --- the commit -------------------------------------------------------------
 
     def commit(self, names: list[str] = ()) -> None:
         """Put the staged contents of ``names``, and all staged additions, in place."""
-        todo = {"next": [n for n in names if self._exists(f"__staged/next/{n}")], "add": self.added}
+        todo = {"next": [n for n in names if self._exists(f"__staged/next/{n}")], "add": self.added,
+                "replace": self.replaced}
         fs, p = self._path(f"__commit-{uuid.uuid4().hex}")
         stream = fs.create(p, True)
         try:
@@ -80,7 +100,7 @@ class StateFolder:
         finally:
             stream.close()
         self._move(p.getName(), "__commit")
-        self.added = {}
+        self.added, self.replaced = {}, {}
         self.recover()
 
     def recover(self) -> None:
@@ -105,6 +125,13 @@ class StateFolder:
             part = f"{RUN}={run}"
             if self._exists(f"__staged/add/{name}/{part}"):
                 self._move(f"__staged/add/{name}/{part}", f"{name}/{part}")
+        for name, new in todo.get("replace", {}).items():
+            part = f"{RUN}={new['run']}"
+            if self._exists(f"__staged/add/{name}/{part}"):
+                self._delete(f"__staged/add/{name}/{part}/{PART}={LOG}")
+                self._move(f"__staged/add/{name}/{part}", f"{name}/{part}")
+            for f in new["files"]:
+                self._delete(f"{name}/{f}")
         self._delete("__staged")
         self._delete("__old")
         self._delete("__commit")
@@ -125,19 +152,39 @@ class StateFolder:
         self.recover()
         return self._exists(name)
 
-    def read(self, name: str) -> DataFrame:
+    def _holds_data(self, name: str) -> bool:
+        fs, p = self._path(name)
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            if files.next().getPath().getName().endswith(".parquet"):
+                return True
+        return False
+
+    def read(self, name: str, file_col: str | None = None) -> DataFrame:
+        """The table; with ``file_col`` also the relative path of each row's file."""
         self.recover()
         fs, p = self._path(name)
         found = [f.getPath().getName() for f in fs.listStatus(p)]
-        paths = [n for n in found if n == f"{PART}={NEXT}" or n.startswith(f"{RUN}=")]
+        paths = [n for n in found if (n == f"{PART}={NEXT}" or n.startswith(f"{RUN}=")) and self._holds_data(f"{name}/{n}")]
         if any(n.endswith(".parquet") for n in found):
             paths.append("*.parquet")
         out = None
         for n in sorted(paths):
-            df = self.spark.read.parquet(f"{self.root}/{name}/{n}").drop("__subjects", "__hit")
+            df = self.spark.read.parquet(f"{self.root}/{name}/{n}")
+            if file_col:
+                df = df.withColumn(file_col, F.regexp_extract("_metadata.file_path", RELATIVE, 1))
+            df = df.drop("__subjects", "__hit", PART)
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         return out
 
+    def files(self, name: str) -> list[str]:
+        """Relative paths of the table's data files."""
+        return sorted(re.search(RELATIVE, f).group(1) for f in self.read(name).inputFiles())
+
+    def read_files(self, name: str, files: list[str], schema) -> DataFrame:
+        """The rows of some of the table's files."""
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{f}" for f in files])
+
 
 class StatefulModel:
     """A model whose tables are read from a StateFolder once they are kept there."""
