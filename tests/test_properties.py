@@ -127,3 +127,19 @@ def test_salted_join_equals_plain_join_on_skewed_keys(spark, model):
             sorted(map(tuple, plain.select(*cols).collect()), key=str), how
     p = salted_join(big, small, "user_email", "s", "left", buckets=4, broadcast_max_rows=None)._jdf.queryExecution().executedPlan().toString()
     assert "__salt" in p
+
+
+def test_only_hot_keys_are_salted(spark):
+    """Of a table without a hot key nothing is repeated; with one, its rows alone are, and joins stay exact."""
+    from pyspark.sql import functions as F
+    from lethe.operators.skew import hot_keys, salted_join
+    big = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('u', id % 50) END AS e", "id")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("u1", 3), ("u1", 4), ("u2", 5), (None, 6), ("none", 7)], "k string, v int")
+    assert [r[0] for r in hot_keys(big, "e", 500).collect()] == ["hot"] and hot_keys(big, "e").count() == 0
+    for how in ("inner", "left", "left_anti"):
+        plain = big.join(small, big["e"] == small["k"], how)
+        for hot_rows in (500, 10, 10_000):
+            got = salted_join(big, small, "e", "k", how, buckets=4, hot_rows=hot_rows)
+            assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())), (how, hot_rows)
+    own = big.groupBy("e").agg(F.count(F.lit(1)).alias("n"))  # the small side comes from the same table
+    assert salted_join(big, own.withColumnRenamed("e", "k"), "e", "k", "inner", hot_rows=500).count() == big.where("e IS NOT NULL").count()
