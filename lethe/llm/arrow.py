@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 # This package's functions travel to the executors with the task, which need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -18,6 +18,18 @@ TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string"
          "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
 
 
+#: Rows of whole texts in a batch: the JVM, Arrow and Python each hold a batch in every task at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let the session's Arrow batches hold at most ``rows`` rows (fewer where it is set so)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def arrow_type(name: str) -> pa.DataType:
     if name.startswith("array<"):
         return pa.list_(arrow_type(name[6:-1]))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import per_batch
+from .arrow import per_batch, small_batches
 from .common import attach_small, framed, materialize, pick, restored
 
 ORDER = 3
@@ -254,6 +254,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     Null and empty texts are ``und`` and go; where no row has a lang nothing is learnt, so
     every text goes; an empty table stays empty."""
     predictor = _predictor(docs)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -150,3 +150,16 @@ def test_a_code_length_does_not_depend_on_its_group(monkeypatch):
     assert (model.code_lengths(texts) == together).all()
     monkeypatch.setattr(langid, "PIECE", 1 << 18)
     assert model.code_lengths(texts) == pytest.approx(together)
+
+
+def test_the_pipeline_stage_takes_small_batches(spark):
+    """A batch of whole texts is held several times over in each task, so it holds few of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10000")
+    docs = spark.range(2500).selectExpr("id AS doc_id", "concat('the cat and the dog number ', id) AS text", "'en' AS lang", "'s' AS source", "10L AS n_chars")
+    assert langid.keep_known(docs).count() == 2500
+    assert int(spark.conf.get(name)) == 1000
+    spark.conf.set(name, "100")
+    langid.keep_known(docs)
+    assert spark.conf.get(name) == "100"
+    spark.conf.unset(name)
