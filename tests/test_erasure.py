@@ -231,3 +231,33 @@ def test_the_same_batch_twice(spark, model):
     assert state.read("erasure_requests").where(F.col("customer_email").isin(free)).count() == 4
     assert {r["deletion_completed"] for r in first["status_after"].collect()} == {True}
     assert not {r["email"] for r in state.read("customers").collect()} & set(free)
+
+
+def test_independent_tables_are_written_side_by_side(spark, model, monkeypatch):
+    """Two tables that name subjects themselves wait for each other here; one after the other they would time out."""
+    import threading
+    real, meet, lock, calls = X.write_erased, threading.Barrier(2, timeout=60), threading.Lock(), []
+
+    def met(*args, **more):
+        with lock:
+            calls.append(args[5])
+            first = len(calls) <= 2
+        if first:
+            meet.wait()
+        return real(*args, **more)
+    monkeypatch.setattr(X, "write_erased", met)
+    subjects = model["customers"].where("customer_id IN ('CUST_3', 'CUST_5')").selectExpr("email AS customer_email")
+    planned = X.plan_erasure(model, subjects, "2001-08-01", "s", write=lambda name: scratch_path(spark, f"t-{name}"))
+    assert [n for n, e in planned.items() if e["status"] == "FAILED"] == [] and len(calls) == 8
+    assert list(planned) == [t[0] for t in X.erasure_targets(model)]
+
+
+def test_written_timestamps_are_long(spark, model):
+    """Eight bytes with statistics, not the twelve of INT96."""
+    import glob
+    import pyarrow.parquet as pq
+    from lethe.session import materialize, configure
+    configure(spark)
+    kept = materialize(model["orders"].select("order_date").limit(5), "t-stamps")
+    file = glob.glob(kept.inputFiles()[0].removeprefix("file://"))[0]
+    assert pq.ParquetFile(file).schema.column(0).physical_type == "INT64"
